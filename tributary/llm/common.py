@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
@@ -68,3 +71,30 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         last = tuple(key.iloc[-1])
     if held:
         yield pd.concat(held, ignore_index=True)
+
+
+def map_rows(
+    df: DataFrame,
+    keep: list[str],
+    inputs: list[Column],
+    added: list[tuple[str, str, pa.DataType]],
+    make: Callable[[], Callable[..., tuple[list, ...]]],
+) -> DataFrame:
+    """Columns ``keep`` of ``df`` as they are, and columns that Python works out from ``inputs``.
+
+    ``make`` runs once in a task and gives a function from one list per input to one list per added
+    column (name, DDL type, Arrow type). Kept columns pass through in Arrow, so nulls and large
+    numbers stay exact, and names of inputs cannot clash with them.
+    """
+    chosen = df.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(f"__input_{i}") for i, c in enumerate(inputs)])
+    fields = [chosen.schema[i] for i in range(len(keep))]
+    schema = T.StructType([*fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t, _ in added)])
+    names, n = [*keep, *(a[0] for a in added)], len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            out = f(*(b.column(i).to_pylist() for i in range(n, b.num_columns)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(o, a[2]) for o, a in zip(out, added, strict=True))], names=names)
+
+    return chosen.mapInArrow(run, schema)

@@ -20,12 +20,12 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import bounded_batches, groups, written
+from .common import bounded_batches, groups, map_rows, written
 from .components import components
 from .shingles import WIDTH, minhash, permutations, shingle_hashes
 
@@ -35,14 +35,6 @@ MISS = 2e-5
 #: Members compared with one hub in one sorted run, and shingles (plus 64 a class) in one block.
 CHUNK, BLOCK = 512, 400_000
 
-SKETCH = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("key", T.BinaryType()),
-        T.StructField("sig", T.ArrayType(T.IntegerType())),
-    ]
-)
 LINK = "a long, b long"
 
 
@@ -59,17 +51,22 @@ def match_threshold(k: int, percent: int, miss: float = MISS) -> int:
 def sketches(documents: DataFrame, k: int = COORDINATES, width: int = WIDTH) -> DataFrame:
     """(doc_id, n, key, sig) of every row: set size, digest of the set and signature (null: no set)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         a, b = permutations(k)
-        for pdf in batches:
-            out = []
-            for doc, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
-                h = shingle_hashes(text, width)
-                full = len(h) > 0
-                out.append((doc, len(h), xxhash.xxh3_128_digest(h.tobytes()) if full else None, minhash(h, a, b) if full else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "key", "sig"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, SKETCH)
+        def run(texts: list[str | None]) -> tuple[list, ...]:
+            sets = [shingle_hashes(t, width) for t in texts]
+            return (
+                [len(h) for h in sets],
+                [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets],
+                [minhash(h, a, b) if len(h) else None for h in sets],
+            )
+
+        return run
+
+    added = [("n", "long", pa.int64()), ("key", "binary", pa.binary()), ("sig", "array<int>", pa.list_(pa.int32()))]
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_rows(rows, ["doc_id"], [F.col("text").cast("string")], added, make)
 
 
 def prefix_postings(reps: DataFrame, k: int, tau: int) -> DataFrame:
@@ -233,13 +230,9 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = COORDINATE
     postings = written(prefix_postings(reps, k, tau), "postings")
     need = postings.select("rep").distinct()
 
-    def full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hashes = [shingle_hashes(t, width).tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"rep": pdf["rep"], "hashes": hashes})
-
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(need, "rep", "left_semi")
-    sets = texts.mapInPandas(full_sets, "rep long, hashes binary").where(F.length("hashes") > 0)
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(need, "rep", "left_semi")
+    hashed = [("hashes", "binary", pa.binary())]
+    sets = map_rows(texts, ["rep"], [F.col("text")], hashed, lambda: lambda ts: ([shingle_hashes(t, width).tobytes() for t in ts],)).where(F.length("hashes") > 0)
     sets = written(sets.join(reps.select("rep", "n", "sig"), "rep").where("n * 8 = length(hashes)"), "sets")
     hubs = written(hub_links(postings, sets, percent), "hub-links")
     first = components(hubs)
