@@ -4,21 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import bpe, near_dedup, secrets, warc
+
+#: The vocabulary of op10; the files belong to the installed tokenizers, not to this repository.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"), least_bytes=1000)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in the whole text of every document and in the layers decoded from it."""
+    return secrets.span_digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.85."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the bytes that they decode to, as digests."""
+    tokenizer = bpe.codec(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_warc_round_trip": op4_warc_round_trip,
+    "op5_secret_scan": op5_secret_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
