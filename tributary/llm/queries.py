@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dedup, secrets, warc
+from . import bpe, decontaminate, near_dedup, quality, secrets, warc
 
 #: The vocabulary of op10; the files belong to the installed tokenizers, not to this repository.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark question, as it is or with other names and numbers."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of the whole text of every document."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back."""
     return warc.round_trip(_table(spark, sf_dir, "pages"), least_bytes=1000)
@@ -39,6 +49,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_template_decontamination": op1_template_decontamination,
+    "op3_pu_quality": op3_pu_quality,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_secret_scan": op5_secret_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
