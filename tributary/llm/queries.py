@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_dedup, quality, secrets, warc
+from . import bpe, decontaminate, line_dedup, near_dedup, quality, secrets, warc
 
 #: The vocabulary of op10; the files belong to the installed tokenizers, not to this repository.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the line blocks that an earlier document has."""
+    out = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes that they decode to, as digests."""
     tokenizer = bpe.codec(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_secret_scan": op5_secret_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
