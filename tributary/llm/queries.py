@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, near_dedup, quality, secrets, warc
+from . import bpe, decontaminate, line_dedup, near_dedup, neighbours, quality, secrets, warc
 
 #: The vocabulary of op10; the files belong to the installed tokenizers, not to this repository.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -48,6 +48,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op9_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product found for every twentieth vector."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes that they decode to, as digests."""
     tokenizer = bpe.codec(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op9_projected_neighbours": op9_projected_neighbours,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
