@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, near_dedup, neighbours, quality, secrets, warc
+from . import bpe, decontaminate, line_dedup, near_dedup, neighbours, quality, secrets, token_rollups, warc
 
 #: The vocabulary of op10; the files belong to the installed tokenizers, not to this repository.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The tokenizers of op2, old version first.
+TOKENIZER_VERSIONS = ("byte_bpe_50k", "byte_bpe_multi_50k")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,12 @@ def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents by source, language and tokenizer version, kept by deltas."""
+    old, new = ((v, public_tokenizers.path(f"{v}.tiktoken")) for v in TOKENIZER_VERSIONS)
+    return token_rollups.history(_table(spark, sf_dir, "documents"), old, new, public_tokenizers.PATTERN)
+
+
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of the whole text of every document."""
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
@@ -61,6 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_decontamination": op1_template_decontamination,
+    "op2_token_rollups": op2_token_rollups,
     "op3_pu_quality": op3_pu_quality,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_secret_scan": op5_secret_scan,
