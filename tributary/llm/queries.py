@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, near_dedup, neighbours, quality, secrets, token_rollups, warc
+from . import bpe, decontaminate, line_dedup, near_dedup, neighbours, quality, secrets, substring_dedup, token_rollups, warc
 
 #: The vocabulary of op10; the files belong to the installed tokenizers, not to this repository.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -56,6 +56,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op8_bwt_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that begin earlier as well."""
+    return substring_dedup.digests(_table(spark, sf_dir, "documents"), length=100)
+
+
 def op9_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors of largest inner product found for every twentieth vector."""
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_bwt_substring_dedup": op8_bwt_substring_dedup,
     "op9_projected_neighbours": op9_projected_neighbours,
     "op10_byte_bpe": op10_byte_bpe,
 }
