@@ -98,3 +98,20 @@ def map_rows(
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(o, a[2]) for o, a in zip(out, added, strict=True))], names=names)
 
     return chosen.mapInArrow(run, schema)
+
+
+#: Rows of plain ids that may be broadcast.
+MOST_IDS = 2_000_000
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has at most MOST_IDS rows.
+
+    With more rows it stays as it is and the join shuffles.
+    """
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """A number of partitions that stays, where Python takes far longer than the bytes suggest."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

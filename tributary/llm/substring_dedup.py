@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_rows, written
+from .common import bounded, bounded_batches, map_rows, shuffle_partitions, written
 
 LENGTH, GRAM = 100, 32
 #: log2 of the bits of the largest filter of repeated anchors that is broadcast (64 MB).
@@ -247,7 +247,7 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     met = rows.select("doc_id", "key", "data").mapInArrow(segments, schema)
     # Rows without bytes need no partner and are dealt out evenly.
     met = met.withColumn("h", F.when(F.col("segment").isNull(), F.xxhash64("doc_id", "place")).otherwise(F.col("h")))
-    return met.repartition("h").sortWithinPartitions("h").mapInPandas(merge, "doc_id long, key long, start long, end long")
+    return met.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h").mapInPandas(merge, "doc_id long, key long, start long, end long")
 
 
 def substring_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -266,6 +266,8 @@ def substring_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     long_enough = rows.where(F.col("doc_id").isNotNull() & (F.length("data") >= length))
     gone = removals(long_enough, length)
     ranges = gone.groupBy("doc_id", "key").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("ranges"))
+    ranges = written(ranges, "ranges")
+    ids, on = bounded(ranges.select("doc_id", "key")), ["doc_id", "key"]
 
     def cut(data: list[bytes], ranges: list) -> tuple[list, ...]:
         kept, removed, spans = [], [], []
@@ -281,9 +283,13 @@ def substring_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             spans.append(n)
         return kept, removed, spans
 
-    both = rows.join(ranges, ["doc_id", "key"], "left").withColumn("n_bytes", F.length("data").cast("long"))
+    # Only the texts that lose bytes move to meet their ranges.
+    sized = rows.withColumn("n_bytes", F.length("data").cast("long"))
+    both = sized.join(ids, on, "left_semi").join(ranges, on)
+    none = F.lit(0).cast("long")
+    same = sized.join(ids, on, "left_anti").select("doc_id", "n_bytes", F.col("data").alias("kept"), none.alias("n_removed"), none.alias("n_spans"))
     added = [("kept", "binary", pa.binary()), ("n_removed", "long", pa.int64()), ("n_spans", "long", pa.int64())]
-    return map_rows(both, ["doc_id", "n_bytes"], [F.col("data"), F.col("ranges")], added, lambda: cut)
+    return map_rows(both, ["doc_id", "n_bytes"], [F.col("data"), F.col("ranges")], added, lambda: cut).unionByName(same)
 
 
 def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
