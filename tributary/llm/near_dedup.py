@@ -101,7 +101,7 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def hub_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def hub_links(postings: DataFrame, sets: DataFrame, tau: int, percent: int) -> DataFrame:
     """Links between the least member of each posting list and the list's others.
 
     Rows of one hub are dealt out in chunks, each led by the hub's own set, and streamed: no more
@@ -109,6 +109,12 @@ def hub_links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     hubs = postings.groupBy("posting").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
     pairs = postings.join(hubs, "posting").where("rep <> hub").select("hub", "rep").distinct()
+    # Only pairs that collide often enough, of sets that are large enough, take their sets along.
+    one = sets.select("rep", "n", "sig")
+    other = one.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"))
+    hits = F.aggregate(F.zip_with("sig", "hub_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda c, x: c + x)
+    near = (hits >= tau) & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
+    pairs = pairs.join(one, "rep").join(other, "hub").where(near).select("hub", "rep").distinct()
     pairs = written(pairs.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.lit(1 << 20))), "hub-pairs")
     chunks = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     members = (
@@ -162,10 +168,11 @@ def block_links(postings: DataFrame, sets: DataFrame, comps: DataFrame, k: int,
     rows = (
         placed.withColumn("pair", F.explode(F.when(F.col("rest"), mine).otherwise(other)))
         .select("posting", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "rep", "comp", "mask", (F.when(F.col("rest"), F.col("slot")).otherwise(F.col("rests") + F.col("slot")) == F.col("pair.i")).alias("left"))
-        .join(sets.select("rep", "n", "sig", "hashes"), "rep")
+        .join(sets.select("rep", "n", "sig"), "rep")
     )
 
-    def compare(g: pd.DataFrame) -> list[tuple[int, int]]:
+    def candidates(g: pd.DataFrame) -> list[tuple[int, int]]:
+        """Row pairs of one block pair by falling number of collisions."""
         coordinate = int(g["posting"].iloc[0]) >> 32
         sig = np.stack([np.asarray(x, np.int32) for x in g["sig"]])
         bits = (g["mask"].to_numpy(np.int64)[:, None] >> np.arange(k)) & 1 == 1
@@ -184,29 +191,38 @@ def block_links(postings: DataFrame, sets: DataFrame, comps: DataFrame, k: int,
             first = (same & bits[ys] & bits[x]).argmax(axis=1)
             ok = (hits >= tau) & (first == coordinate)
             found += [(-int(c), int(x), int(y)) for c, y in zip(hits[ok], ys[ok], strict=True)]
-        parent: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while (up := parent.get(c, c)) != c:
-                c = up
-            return c
-
-        out, sets_ = [], [np.frombuffer(x, np.uint64) for x in g["hashes"]] if found else []
-        reps = g["rep"].to_numpy(np.int64)
-        for _, x, y in sorted(found):
-            p, q = root(int(comp[x])), root(int(comp[y]))
-            if p != q and _alike(sets_[x], sets_[y], percent):
-                parent[max(p, q)] = min(p, q)
-                out.append((int(reps[x]), int(reps[y])))
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups(batches, ["posting", "i", "j"]):
-            if (out := compare(g)):
+        return [(x, y) for _, x, y in sorted(found)]
+
+    block = ["posting", "i", "j"]
+
+    def concerned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, block):
+            if (rows_of := sorted({r for pair in candidates(g) for r in pair})):
+                yield g.iloc[rows_of]
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, block):
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := parent.get(c, c)) != c:
+                    c = up
+                return c
+
+            own = [np.frombuffer(x, np.uint64) for x in g["hashes"]]
+            reps, comp, out = g["rep"].tolist(), g["comp"].tolist(), []
+            for x, y in candidates(g):
+                p, q = root(comp[x]), root(comp[y])
+                if p != q and _alike(own[x], own[y], percent):
+                    parent[max(p, q)] = min(p, q)
+                    out.append((reps[x], reps[y]))
+            if out:
                 yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    dealt = rows.repartition("posting", "i", "j").sortWithinPartitions("posting", "i", "j")
-    return dealt.mapInPandas(run, LINK).distinct()
+    # Signatures alone tell which members have a candidate at all; only those bring their sets.
+    few = written(rows.repartition(*block).sortWithinPartitions(*block).mapInPandas(concerned, rows.schema), "candidates")
+    full = few.join(sets.select("rep", "hashes"), "rep")
+    return full.repartition(*block).sortWithinPartitions(*block).mapInPandas(confirm, LINK).distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, k: int = COORDINATES, width: int = WIDTH) -> DataFrame:
@@ -234,7 +250,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = COORDINATE
     hashed = [("hashes", "binary", pa.binary())]
     sets = map_rows(texts, ["rep"], [F.col("text")], hashed, lambda: lambda ts: ([shingle_hashes(t, width).tobytes() for t in ts],)).where(F.length("hashes") > 0)
     sets = written(sets.join(reps.select("rep", "n", "sig"), "rep").where("n * 8 = length(hashes)"), "sets")
-    hubs = written(hub_links(postings, sets, percent), "hub-links")
+    hubs = written(hub_links(postings, sets, tau, percent), "hub-links")
     first = components(hubs)
     rest = block_links(postings, sets, first, k, tau, percent)
     label = first.select("node", "comp")
