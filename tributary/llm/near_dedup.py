@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, groups, map_rows, written
+from .common import bounded, bounded_batches, groups, map_rows, shuffle_partitions, written
 from .components import components
 from .shingles import WIDTH, minhash, permutations, shingle_hashes
 
@@ -142,7 +142,7 @@ def hub_links(postings: DataFrame, sets: DataFrame, tau: int, percent: int) -> D
                     out.append((h, rep))
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    dealt = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "member")
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "hub", "chunk").sortWithinPartitions("hub", "chunk", "member")
     return dealt.mapInPandas(run, LINK).distinct()
 
 
@@ -219,10 +219,11 @@ def block_links(postings: DataFrame, sets: DataFrame, comps: DataFrame, k: int,
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
+    n = shuffle_partitions(rows.sparkSession)
     # Signatures alone tell which members have a candidate at all; only those bring their sets.
-    few = written(rows.repartition(*block).sortWithinPartitions(*block).mapInPandas(concerned, rows.schema), "candidates")
+    few = written(rows.repartition(n, *block).sortWithinPartitions(*block).mapInPandas(concerned, rows.schema), "candidates")
     full = few.join(sets.select("rep", "hashes"), "rep")
-    return full.repartition(*block).sortWithinPartitions(*block).mapInPandas(confirm, LINK).distinct()
+    return full.repartition(n, *block).sortWithinPartitions(*block).mapInPandas(confirm, LINK).distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, k: int = COORDINATES, width: int = WIDTH) -> DataFrame:
@@ -244,7 +245,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = COORDINATE
     reps = whole.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
     reps = written(reps.select(F.col("doc_id").alias("rep"), "n", "sig", "key"), "classes")
     postings = written(prefix_postings(reps, k, tau), "postings")
-    need = postings.select("rep").distinct()
+    need = bounded(written(postings.select("rep").distinct(), "in-postings"))
 
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(need, "rep", "left_semi")
     hashed = [("hashes", "binary", pa.binary())]
