@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_rows, written
+from .common import bounded, bounded_batches, map_rows, written
 
 #: Characters that a line needs to pair documents, and a common block needs to be deleted.
 LEAST_CHARS = 30
@@ -141,7 +141,11 @@ def line_dedup(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int =
     keep = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     left = documents.select(*keep).withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", F.unhex(F.md5(F.col("text").cast("string"))))
     right = gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"), F.col("hit").alias("__hit"))
-    joined = left.join(right, ["__id", "__key"], "left")
+    # Only the texts that lose lines move to meet their line numbers.
+    ids = bounded(written(right.select("__id", "__key").distinct(), "losing"))
+    on = ["__id", "__key"]
+    same = left.join(ids, on, "left_anti").withColumn("__gone", F.lit(None).cast("array<int>")).withColumn("__hit", F.lit(None).cast("boolean"))
+    joined = left.join(ids, on, "left_semi").join(right, on).unionByName(same)
     lines = F.split("text", "\n", -1)
 
     def between(x, i):
