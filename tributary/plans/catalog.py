@@ -1,6 +1,583 @@
-"""Registered queries and the SQL that has to give the same rows."""
+"""Registered queries and the SQL that has to give the same rows.
+
+Every query works on a cascade over a whole data table. Doubles are rounded to nine places on both
+sides, ranks are 64-bit.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import names as N
+from ..functions import statistics as S
+from ..functions.utility import Utility, ndcg, recall
+from ..operators import allocation, effects, features, judgments, probes, ranking, resample, summaries, universe, worlds
+from ..sources import retrieval, score_store
+from ..sources.tables import table
+from . import sql
+from .cascades import event_cascade, event_qrels, event_runs, vector_cascade
+from .sql import K_C, T_GRID, K, r
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+DCG, TOPK, RBP = Utility("dcg", K), Utility("topk", K), Utility("rbp", K)
+DEPTH = 60
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    """Register a query, and its SQL where it has one."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if oracle:
+            ORACLES[key] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles at nine places without a negative zero, integers as long."""
+    out = []
+    for c, kind in df.dtypes:
+        col = F.col(f"`{c}`")
+        out.append((F.round(col, 9) + F.lit(0.0)).alias(c) if kind == "double" else col.cast("long").alias(c) if kind in ("int", "smallint") else col)
+    return df.select(*out)
+
+
+def _worlds(spark, d, modes=(False,), swapped=False, depths=(K_C,)):
+    return worlds.build_worlds(event_cascade(spark, d, swapped), list(depths), list(modes))
+
+
+def _stage(spark, d, u=DCG, modes=(False,), swapped=False, depths=(K_C,)):
+    return effects.stage_effects(_worlds(spark, d, modes, swapped, depths), u)
+
+
+def _allocated(spark, d, policies=(N.BOUNDARY, N.ALTERNATIVE), seeds=(42,)):
+    grid = allocation.parameters(spark, [K_C], T_GRID, policies, seeds)
+    return allocation.allocate(_worlds(spark, d), grid)
+
+
+def _budget(spark, d, u=DCG, policies=(N.BOUNDARY, N.ALTERNATIVE), seeds=(42,)):
+    return effects.budget_effects(_allocated(spark, d, policies, seeds), u)
+
+
+# Orders and worlds
+
+
+@query(f"WITH {sql.events()}, {sql.RANKED} SELECT query_id, doc_id, {r('s1', 's1')}, rank_s1 AS rank FROM rk")
+def order_by(spark, d):
+    return rounded(ranking.rank_by(event_cascade(spark, d), "s1").select("query_id", "doc_id", "s1", "rank"))
+
+
+@query(f"WITH {sql.events()}, {sql.RANKED} SELECT query_id, doc_id, rank_s1 AS rank FROM rk WHERE rank_s1 <= {K_C}")
+def topk_candidates(spark, d):
+    return rounded(ranking.top_k(event_cascade(spark, d), "s1", K_C).select("query_id", "doc_id", "rank"))
+
+
+@query(f"WITH {sql.worlds((K_C, 30), (False, True))} SELECT query_id, doc_id, CAST(k_c AS BIGINT) AS k_c, condensed, in_cq, rank_a, rank_b, rank_c FROM w")
+def worlds_abc(spark, d):
+    return rounded(_worlds(spark, d, (False, True), depths=(K_C, 30)).select("query_id", "doc_id", "k_c", "condensed", "in_cq", "rank_a", "rank_b", "rank_c"))
+
+
+@query(f"WITH {sql.worlds()} SELECT query_id, 0 AS n FROM w WHERE (rank_a IS NULL) <> (rank_b IS NULL)")
+def isolation_violations(spark, d):
+    return worlds.isolation_violations(_worlds(spark, d)).select("query_id", F.lit(0).alias("n"))
+
+
+@query(f"WITH {sql.worlds((K_C,), (True,))} SELECT query_id, doc_id, rank_a FROM w WHERE in_cq")
+def condensed_cascade(spark, d):
+    inside = ranking.top_k(event_cascade(spark, d), "s1", K_C).drop("rank")
+    return rounded(ranking.condense(ranking.rank_by(inside, "s2", "rank_a"), "rank_a").select("query_id", "doc_id", "rank_a"))
+
+
+# Effects
+
+_STAGE = "query_id, doc_id, effect_type, stratum, judged, rank_treatment, rank_control, " + ", ".join(r(c, c) for c in ("utility_treatment", "utility_control", "effect"))
+
+
+def _stage_columns(df):
+    return rounded(df.select("query_id", "doc_id", "effect_type", "stratum", "judged", "rank_treatment", "rank_control", "utility_treatment", "utility_control", "effect"))
+
+
+for _u in (DCG, TOPK, RBP):
+    query(f"WITH {sql.stage(_u)} SELECT {_STAGE} FROM st", f"stage_effects_{_u.kind}")(lambda spark, d, u=_u: _stage_columns(_stage(spark, d, u)))
+
+
+@query(f"WITH {sql.stage(DCG, modes=(True,))} SELECT {_STAGE} FROM st")
+def stage_effects_condensed(spark, d):
+    return _stage_columns(_stage(spark, d, modes=(True,)))
+
+
+@query(f"SELECT CAST(b AS BIGINT) AS budget, t, CAST(floor(t * b) AS BIGINT) AS n_cand, b - CAST(floor(t * b) AS BIGINT) AS n_out FROM (SELECT unnest([10, {K_C}, 100, 1000]) AS b), (SELECT unnest([{', '.join(f'CAST({t} AS DOUBLE)' for t in (1.0, 0.9, 0.75, 0.5, 0.29, 0.25, 0.0))}]) AS t)")
+def split_budget(spark, d):
+    grid = allocation.parameters(spark, [10, K_C, 100, 1000], (1.0, 0.9, 0.75, 0.5, 0.29, 0.25, 0.0), [N.BOUNDARY])
+    return rounded(grid.select("budget", "t", "n_cand", "n_out"))
+
+
+for _p in (N.BOUNDARY, N.ALTERNATIVE):
+    query(f"WITH {sql.allocated((_p,))} SELECT query_id, doc_id, t, policy, stratum, submitted FROM ta", f"alloc_{_p}")(lambda spark, d, p=_p: _allocated(spark, d, (p,)).select("query_id", "doc_id", "t", "policy", "stratum", "submitted"))
+
+
+@query()
+def alloc_random(spark, d):
+    return _allocated(spark, d, (N.RANDOM,), (42, 43, 44)).select("query_id", "doc_id", "t", "policy", "seed", "stratum", "submitted")
+
+
+@query(f"WITH {sql.allocated()} SELECT query_id, policy, t, max(n_cand) AS n_cand, max(n_out) AS n_out, count(*) FILTER (stratum = 'retained') AS retained, count(*) FILTER (stratum = 'removed') AS removed, count(*) FILTER (stratum = 'selected_outsider') AS selected, count(*) FILTER (stratum = 'unselected_outsider') AS unselected, true AS valid FROM ta GROUP BY ALL")
+def allocation_audit(spark, d):
+    return rounded(allocation.audit(_allocated(spark, d)).select("query_id", "policy", "t", "n_cand", "n_out", "retained", "removed", "selected", "unselected", "valid"))
+
+
+@query(f"WITH {sql.allocated()} SELECT query_id, doc_id, policy, t, rank_t FROM ta WHERE submitted")
+def t_world_ranks(spark, d):
+    return rounded(_allocated(spark, d).where("submitted").select("query_id", "doc_id", "policy", "t", "rank_t"))
+
+
+_BUDGET = "query_id, doc_id, policy, t, stratum, rank_t AS rank_treatment, rank_1 AS rank_control, " + r("effect", "effect")
+for _p in (N.BOUNDARY, N.ALTERNATIVE):
+    query(f"WITH {sql.budget(DCG, (_p,))} SELECT {_BUDGET} FROM bg", f"delta_t_{_p}")(lambda spark, d, p=_p: rounded(_budget(spark, d, policies=(p,)).select("query_id", "doc_id", "policy", "t", "stratum", "rank_treatment", "rank_control", "effect")))
+
+
+@query()
+def delta_t_random(spark, d):
+    return rounded(_budget(spark, d, policies=(N.RANDOM,), seeds=(42, 43, 44)).select("query_id", "doc_id", "policy", "seed", "t", "stratum", "rank_treatment", "rank_control", "effect"))
+
+
+@query(f"WITH {sql.stage(DCG)}, x AS (SELECT effect_type, count(*) AS n FROM st GROUP BY ALL) SELECT effect_type, n, CAST(0 AS BIGINT) AS broken FROM x")
+def invariant_violations(spark, d):
+    got = effects.violations(_stage(spark, d), DCG.monotone)
+    return got.select("effect_type", "n", sum((F.col(c) for c in got.columns if c not in ("effect_type", "n")), F.lit(0).cast("long")).alias("broken"))
+
+
+@query(f"WITH {sql.stage(DCG)}, a AS (SELECT query_id, doc_id, max(effect) FILTER (effect_type = 'e_rerank') AS er, max(effect) FILTER (effect_type = 'e_gate') AS eg, max(utility_control) FILTER (effect_type = 'e_rerank') AS ub, max(utility_control) FILTER (effect_type = 'e_gate') AS uc FROM st GROUP BY ALL) SELECT query_id, doc_id, {r('er', 'e_rerank')}, {r('eg', 'e_gate')}, {r('er + ub - eg - uc', 'residual')} FROM a")
+def additivity(spark, d):
+    return rounded(effects.additivity(_stage(spark, d)).select("query_id", "doc_id", "e_rerank", "e_gate", "residual"))
+
+
+@query(f"""WITH {sql.stage(DCG)}, a AS (SELECT query_id, doc_id, stratum, abs(max(effect) FILTER (effect_type = 'e_gate')) AS g, abs(max(effect) FILTER (effect_type = 'e_rerank')) AS rr, max(utility_control) FILTER (effect_type = 'e_gate') AS u FROM st GROUP BY ALL)
+SELECT query_id, doc_id, CASE WHEN stratum = 'non_survivor' AND u > 1e-9 THEN 'gating_failure' WHEN g > 0.05 AND rr > 0.05 THEN 'jointly_sensitive' WHEN g > 0.05 THEN 'gate_sensitive' WHEN rr > 0.05 THEN 'rerank_sensitive' ELSE 'stable' END AS label FROM a""")
+def document_labels(spark, d):
+    return effects.document_labels(_stage(spark, d)).select("query_id", "doc_id", "label")
+
+
+@query(f"WITH {sql.stage(DCG)}, {sql.FAILURES} SELECT query_id, doc_id, rank_control, {r('utility_control', 'lost')} FROM gf")
+def gating_failures(spark, d):
+    return rounded(effects.gating_failures(_stage(spark, d)).select("query_id", "doc_id", "rank_control", F.col("utility_control").alias("lost")))
+
+
+@query(f"WITH {sql.stage(DCG)}, {sql.FAILURES}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY effect, rank_control, doc_id) AS n FROM gf) SELECT query_id, doc_id, {r('effect', 'effect')} FROM f WHERE n = 1 ORDER BY f.effect, rank_control, query_id, doc_id LIMIT 10")
+def worst_failures(spark, d):
+    return rounded(effects.worst_failures(_stage(spark, d), 10).select("query_id", "doc_id", "effect"))
+
+
+@query(f"WITH {sql.budget(DCG)} SELECT query_id, doc_id, policy, t, coalesce(rank_t <= {K}, false) AS entered_top_k FROM bg WHERE stratum = 'selected_outsider'")
+def recovered_outsiders(spark, d):
+    return effects.recovered_outsiders(_budget(spark, d)).select("query_id", "doc_id", "policy", "t", "entered_top_k")
+
+
+# Summaries
+
+
+@query(f"WITH {sql.stage(DCG)} SELECT effect_type, stratum, count(*) AS n_documents, count(DISTINCT query_id) AS n_queries, count(*) FILTER (judged) AS n_judged, {r('avg(effect)', 'mean_effect')}, {r('avg(abs(effect))', 'mean_abs_effect')} FROM st GROUP BY ALL")
+def strata_sizes(spark, d):
+    return rounded(summaries.strata_sizes(_stage(spark, d)))
+
+
+@query(f"WITH {sql.stage(DCG)}, s AS (SELECT effect_type, stratum, count(*) AS n_documents FROM st GROUP BY ALL) SELECT * FROM s WHERE n_documents < 1000")
+def thin_strata(spark, d):
+    return summaries.thin_strata(_stage(spark, d), 1000).select("effect_type", "stratum", "n_documents")
+
+
+@query(f"WITH {sql.stage(DCG, modes=(False, True))} SELECT effect_type, CAST(k_c AS BIGINT) AS k_c, condensed, stratum, count(*) AS n, count(*) FILTER (judged) AS n_judged, {r('avg(effect)', 'mean')}, {r('avg(abs(effect))', 'mean_abs')}, {r('max(abs(effect))', 'max_abs')} FROM st GROUP BY ALL")
+def effect_summary(spark, d):
+    return rounded(summaries.effect_summary(_stage(spark, d, modes=(False, True))).drop("stage1_system", "utility", "t", "policy"))
+
+
+_QUANTILES = ", ".join(r(f"quantile_cont(effect, {q})", f"q{int(q * 100):02d}") for q in summaries.QUANTILES)
+
+
+@query(f"WITH {sql.budget(DCG)} SELECT t, policy, stratum, count(*) AS n, count(DISTINCT query_id) AS n_queries, {r('avg(effect)', 'mean')}, {r('stddev_samp(effect)', 'sd')}, {r('avg(CASE WHEN abs(effect) > 1e-9 THEN 1.0 ELSE 0.0 END)', 'share_nonzero')}, {_QUANTILES} FROM bg WHERE judged GROUP BY ALL")
+def effect_distributions(spark, d):
+    return rounded(summaries.distributions(_budget(spark, d), judged_only=True).drop("condensed", "effect_type", "k_c", "judged_only"))
+
+
+@query(f"WITH {sql.stage(DCG)}, s AS (SELECT effect_type, stratum, avg(effect) AS m FROM st WHERE NOT (effect_type = 'e_rerank' AND stratum = 'non_survivor') GROUP BY ALL) SELECT effect_type, count(*) AS n_strata, string_agg(stratum, ',' ORDER BY stratum) AS strata, {r('avg(m)', 'macro_mean_effect')} FROM s GROUP BY ALL")
+def macro_average(spark, d):
+    return rounded(summaries.macro_average(summaries.strata_sizes(_stage(spark, d)), ["mean_effect"]))
+
+
+@query(f"""WITH {sql.stage(DCG)}, x AS (SELECT query_id, judged, 'A' AS world FROM st WHERE effect_type = 'e_rerank' AND rank_treatment <= {K} UNION ALL SELECT query_id, judged, 'B' FROM st WHERE effect_type = 'e_rerank' AND rank_control <= {K} UNION ALL SELECT query_id, judged, 'C' FROM st WHERE effect_type = 'e_gate' AND rank_control <= {K})
+SELECT query_id, world, count(*) AS n_top, count(*) FILTER (NOT judged) AS n_unjudged, {r('count(*) FILTER (NOT judged) / count(*)', 'share_unjudged')} FROM x GROUP BY ALL""")
+def unjudged_at_k(spark, d):
+    return rounded(summaries.unjudged_at_k(_stage(spark, d)).drop("k_c", "k"))
+
+
+@query(f"WITH {sql.stage(DCG, modes=(False, True))}, {sql.DIAGNOSIS} SELECT query_id, condensed, {r('dcg_actual', 'dcg_actual')}, {r('g_q', 'g_q')}, {r('r_q', 'r_q')}, {r('rerank_signed', 'rerank_signed')}, reranker_harms, label FROM dg")
+def query_diagnosis(spark, d):
+    got = summaries.diagnose(_stage(spark, d, modes=(False, True)))
+    return rounded(got.select("query_id", "condensed", "dcg_actual", "g_q", "r_q", "rerank_signed", "reranker_harms", "label"))
+
+
+@query(f"WITH {sql.budget(DCG)} SELECT query_id, policy, t, {r('sum(effect)', 'delta_dcg')} FROM bg GROUP BY ALL")
+def budget_outcomes(spark, d):
+    return rounded(summaries.budget_outcomes(_budget(spark, d)).select("query_id", "policy", "t", "delta_dcg"))
+
+
+def _replace_base(text: str) -> str:
+    """The budget's expressions after the stage's, whose base tables they share."""
+    return text[text.index("pl AS") :]
+
+
+_BOTH = f"{sql.stage(DCG)}, {_replace_base(sql.budget(DCG))}"
+
+
+@query(f"""WITH {_BOTH}, {sql.DIAGNOSIS}, o AS (SELECT query_id, policy, t, sum(effect) AS delta FROM bg GROUP BY ALL), j AS (SELECT o.*, label FROM o LEFT JOIN dg USING (query_id))
+SELECT policy, t, count(*) AS n_queries, count(*) FILTER (label = 'gate_sensitive') AS n_gate_sensitive, count(*) FILTER (label = 'rerank_sensitive') AS n_rerank_sensitive, {r("avg(delta) FILTER (label = 'gate_sensitive')", 'mean_gate')}, {r("avg(delta) FILTER (label = 'rerank_sensitive')", 'mean_rerank')} FROM j GROUP BY ALL""")
+def h7_groups(spark, d):
+    got = summaries.outcomes_by_label(summaries.diagnose(_stage(spark, d)), summaries.budget_outcomes(_budget(spark, d)))
+    return rounded(got.drop("k_c", "condensed", "difference"))
+
+
+@query(f"""SELECT count(*) AS n_queries, count(*) FILTER (a) AS n_a, count(*) FILTER (b) AS n_b, count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b FROM
+(WITH {sql.stage(DCG)}, {sql.DIAGNOSIS} SELECT query_id, label = 'gate_sensitive' AS a FROM dg) JOIN (WITH {sql.stage(DCG, swapped=True)}, {sql.DIAGNOSIS} SELECT query_id, label = 'gate_sensitive' AS b FROM dg) USING (query_id)""")
+def label_contrast(spark, d):
+    return summaries.paired_labels(*(summaries.diagnose(_stage(spark, d, swapped=s)) for s in (False, True)))
+
+
+@query(f"""WITH {_BOTH}, {sql.FAILURES}, p AS (SELECT bg.*, gf.doc_id IS NOT NULL AS failure, coalesce(bg.relevance, 0) >= 2 AS relevant FROM bg LEFT JOIN (SELECT query_id, doc_id FROM gf) gf USING (query_id, doc_id) WHERE bg.stratum = 'selected_outsider')
+SELECT policy, t, {r('count(*)', 'n_promoted')}, {r('avg(CASE WHEN judged THEN 1.0 ELSE 0.0 END)', 'share_judged')}, {r('avg(CASE WHEN relevant THEN 1.0 ELSE 0.0 END)', 'share_relevant')}, {r('avg(CASE WHEN utility_treatment > 1e-12 THEN 1.0 ELSE 0.0 END)', 'share_reached_top_k')}, {r('count(*) FILTER (failure)', 'gating_failures_promoted')} FROM p GROUP BY ALL""")
+def promotion(spark, d):
+    relevant = event_cascade(spark, d).where("relevance >= 2")
+    return rounded(summaries.promotion(_budget(spark, d), _stage(spark, d), relevant, 20).drop("promoted_per_query", "n_seeds"))
+
+
+@query(f"""WITH {_BOTH}, {sql.FAILURES}, h AS (SELECT g.query_id, c.policy, c.t, s.doc_id IS NOT NULL AS hit FROM gf g CROSS JOIN (SELECT DISTINCT policy, t FROM bg) c LEFT JOIN (SELECT * FROM bg WHERE stratum = 'selected_outsider') s ON s.query_id = g.query_id AND s.doc_id = g.doc_id AND s.policy = c.policy AND s.t = c.t),
+q AS (SELECT policy, t, query_id, count(*) AS n, count(*) FILTER (hit) AS found FROM h GROUP BY ALL) SELECT policy, t, {r('sum(n)', 'gating_failures')}, {r('sum(found)', 'found')}, {r('1 - sum(found) / sum(n)', 'false_negative_rate')}, {r('count(*)', 'queries_with_failures')}, {r('count(*) FILTER (found = 0)', 'queries_all_missed')} FROM q GROUP BY ALL""")
+def false_negatives(spark, d):
+    return rounded(summaries.false_negatives(_budget(spark, d), _stage(spark, d)).drop("n_seeds"))
+
+
+def _metrics(spark, d):
+    """Settings that differ from the headline in utility, cutoff, depth or mode, for two first stages."""
+    parts = []
+    for swapped, system in ((False, "value"), (True, "mix")):
+        own = _worlds(spark, d, (False, True), swapped, (K_C, 30))
+        parts += [effects.stage_effects(own, u, system) for u in (DCG, TOPK, Utility("dcg", 5))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return summaries.setting_metrics(out)
+
+
+@query(f"""WITH {sql.stage(DCG, (K_C, 30), (False, True))}, {sql.DIAGNOSIS}, f AS (SELECT k_c, condensed, count(*) AS n FROM st WHERE effect_type = 'e_gate' AND stratum = 'non_survivor' AND utility_control > 1e-9 GROUP BY ALL)
+SELECT CAST(dg.k_c AS BIGINT) AS k_c, dg.condensed, {r('avg(g_q)', 'g_q_mean')}, {r('median(g_q)', 'g_q_median')}, {r('avg(r_q)', 'r_q_mean')}, {r("CAST(count(*) FILTER (label = 'gate_sensitive') AS DOUBLE)", 'n_gate_sensitive')}, {r('CAST(max(coalesce(f.n, 0)) AS DOUBLE)', 'n_gating_failures')} FROM dg LEFT JOIN f ON f.k_c = dg.k_c AND f.condensed = dg.condensed GROUP BY ALL""")
+def setting_metrics(spark, d):
+    got = summaries.setting_metrics(_stage(spark, d, modes=(False, True), depths=(K_C, 30)))
+    wanted = ["g_q_mean", "g_q_median", "r_q_mean", "n_gate_sensitive", "n_gating_failures"]
+    return rounded(got.groupBy("k_c", "condensed").pivot("metric", wanted).agg(F.first("value")))
+
+
+@query()
+def compare_one_axis(spark, d):
+    return rounded(summaries.one_axis(_metrics(spark, d), {"k_c": K_C, "utility": "dcg", "k": K, "condensed": False}, "value", "mix"))
+
+
+# Retrieval effectiveness
+
+
+@query(f"""WITH {sql.runs(K)}, {sql.QRELS}, g AS (SELECT ru.query_id, sum(coalesce(CAST(relevance AS DOUBLE), 0.0) * ([{', '.join(repr(1 / math.log2(1 + i)) for i in range(1, K + 1))}])[rank]) AS dcg FROM ru LEFT JOIN qr USING (query_id, doc_id) WHERE system = 'value' GROUP BY ALL),
+b AS (SELECT query_id, sum(CAST(relevance AS DOUBLE) * ([{', '.join(repr(1 / math.log2(1 + i)) for i in range(1, K + 1))}])[n]) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS n FROM qr) WHERE n <= {K} GROUP BY ALL)
+SELECT query_id, {r('coalesce(dcg, 0.0)', 'dcg')}, {r('ideal', 'ideal')}, {r('CASE WHEN ideal > 0 THEN coalesce(dcg, 0.0) / ideal ELSE 0.0 END', 'ndcg')} FROM b LEFT JOIN g USING (query_id)""")
+def trec_ndcg(spark, d):
+    return rounded(ndcg(event_runs(spark, d, K).where("system = 'value'"), event_qrels(spark, d), K))
+
+
+@query(f"""WITH {sql.stage(DCG)}, b AS (SELECT query_id, sum({sql.gain()} * ([{', '.join(repr(1 / math.log2(1 + i)) for i in range(1, K + 1))}])[n]) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {sql.gain()} DESC, doc_id) AS n FROM ev WHERE judged) WHERE n <= {K} GROUP BY ALL),
+a AS (SELECT query_id, sum(utility_treatment) AS dcg FROM st WHERE effect_type = 'e_rerank' GROUP BY ALL) SELECT query_id, {r('dcg', 'dcg')}, {r('ideal', 'ideal')}, {r('CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0.0 END', 'ndcg')} FROM b JOIN a USING (query_id)""")
+def ndcg_at_k(spark, d):
+    top = _worlds(spark, d).where("in_cq").select("query_id", "doc_id", F.col("rank_a").alias("rank"))
+    return rounded(ndcg(top, event_qrels(spark, d), K, DCG.gain))
+
+
+@query(f"""WITH {sql.runs(DEPTH)}, {sql.QRELS}, g AS (SELECT query_id, count(*) FILTER (relevance >= 2) AS relevant FROM qr GROUP BY ALL), h AS (SELECT ru.query_id, count(*) AS found FROM ru JOIN qr USING (query_id, doc_id) WHERE system = 'value' AND relevance >= 2 GROUP BY ALL)
+SELECT query_id, relevant, coalesce(found, 0) AS found, round(CAST(coalesce(found, 0) AS DOUBLE) / nullif(relevant, 0), 9) + 0.0 AS recall FROM g LEFT JOIN h USING (query_id)""")
+def recall_at_k(spark, d):
+    return rounded(recall(event_runs(spark, d, DEPTH).where("system = 'value'"), event_qrels(spark, d), DEPTH))
+
+
+# Universe and judgments
+
+
+@query(f"WITH {sql.universe(DEPTH)} SELECT query_id, doc_id, sources FROM un")
+def universe_union(spark, d):
+    return universe.build(event_runs(spark, d, DEPTH), DEPTH)
+
+
+@query(f"WITH {sql.universe(DEPTH)}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_rank, doc_id) AS n FROM un) SELECT query_id, doc_id, sources FROM c WHERE n <= 50")
+def universe_capped(spark, d):
+    return universe.build(event_runs(spark, d, DEPTH), DEPTH, max_size=50)
+
+
+@query(f"WITH {sql.universe(DEPTH)} SELECT query_id, count(*) AS n_docs FROM un GROUP BY ALL")
+def universe_sizes(spark, d):
+    return universe.sizes(universe.build(event_runs(spark, d, DEPTH), DEPTH))
+
+
+@query(f"""WITH {sql.runs(K_C)}, s AS (SELECT query_id, doc_id, max(CASE WHEN system = 'value' THEN 1 ELSE 0 END) AS a, max(CASE WHEN system = 'mix' THEN 1 ELSE 0 END) AS b FROM ru GROUP BY ALL)
+SELECT query_id, CAST(sum(a * b) AS BIGINT) AS n_both, CAST(sum(a * (1 - b)) AS BIGINT) AS n_only_first, CAST(sum(b * (1 - a)) AS BIGINT) AS n_only_second, {r('sum(a * b) / count(*)', 'jaccard')} FROM s GROUP BY ALL""")
+def universe_overlap(spark, d):
+    return rounded(universe.overlap(event_runs(spark, d, DEPTH), "value", "mix", K_C))
+
+
+@query(f"WITH {sql.universe(K_C)}, deep AS ({'WITH ' + sql.runs(DEPTH)} SELECT * FROM ru) SELECT query_id, doc_id, system, rank FROM deep WHERE rank <= 30 AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM un)")
+def containment_escapes(spark, d):
+    shallow = universe.build(event_runs(spark, d, K_C), K_C)
+    return universe.escapes(event_runs(spark, d, DEPTH), shallow, 30)
+
+
+@query(f"WITH {sql.universe(DEPTH)}, {sql.QRELS} SELECT un.query_id, un.doc_id, relevance, qr.doc_id IS NOT NULL AS judged FROM un LEFT JOIN qr USING (query_id, doc_id)")
+def attach_judgments(spark, d):
+    return judgments.attach(universe.build(event_runs(spark, d, DEPTH), DEPTH), event_qrels(spark, d)).drop("sources")
+
+
+@query(f"WITH {sql.universe(DEPTH)}, {sql.QRELS} SELECT un.query_id, count(*) AS n_universe, count(qr.doc_id) AS n_judged, count(*) FILTER ({sql.gain()} > 0) AS n_relevant, {r('count(qr.doc_id) / count(*)', 'judged_share')} FROM un LEFT JOIN qr USING (query_id, doc_id) GROUP BY ALL")
+def judgment_coverage(spark, d):
+    return rounded(judgments.coverage(universe.build(event_runs(spark, d, DEPTH), DEPTH), event_qrels(spark, d), DCG.gain))
+
+
+@query(f"WITH {sql.runs(K_C)}, {sql.QRELS}, c AS (SELECT DISTINCT query_id, doc_id FROM ru WHERE system = 'value') SELECT qr.query_id, count(*) AS n_judged, count(*) FILTER (c.doc_id IS NULL) AS n_outside, count(*) FILTER (c.doc_id IS NULL AND {sql.gain()} > 0) AS n_outside_relevant FROM qr LEFT JOIN c ON c.query_id = qr.query_id AND c.doc_id = qr.doc_id GROUP BY ALL")
+def judged_non_survivors(spark, d):
+    return judgments.judged_outside(event_qrels(spark, d), event_runs(spark, d, K_C).where("system = 'value'"), DCG.gain)
+
+
+@query(f"""WITH {sql.runs(DEPTH)}, {sql.QRELS}, c AS (SELECT ru.*, k_c FROM ru, (SELECT unnest([10, {K_C}, 50]) AS k_c) WHERE system = 'value' AND rank <= k_c), a AS (SELECT query_id, count(*) FILTER ({sql.gain()} > 0) AS n_all FROM qr GROUP BY ALL)
+SELECT c.query_id, CAST(k_c AS BIGINT) AS k_c, count(*) AS n_candidates, count(qr.doc_id) AS n_judged, count(*) FILTER ({sql.gain()} > 0) AS n_relevant, coalesce(max(n_all), 0) AS n_relevant_all, round(CAST(count(*) FILTER ({sql.gain()} > 0) AS DOUBLE) / nullif(max(n_all), 0), 9) + 0.0 AS recall FROM c LEFT JOIN qr ON qr.query_id = c.query_id AND qr.doc_id = c.doc_id LEFT JOIN a ON a.query_id = c.query_id GROUP BY ALL""")
+def density(spark, d):
+    return rounded(judgments.density(event_runs(spark, d, DEPTH).where("system = 'value'"), event_qrels(spark, d), DCG.gain, [10, K_C, 50]))
+
+
+_FLOOR = f"{sql.universe(DEPTH)}, fl AS (SELECT un.query_id, un.doc_id, v.score IS NOT NULL AS retrieved, coalesce(v.score, min(v.score) OVER (PARTITION BY un.query_id) - 1, 0.0) AS score FROM un LEFT JOIN (SELECT * FROM ru WHERE system = 'value') v ON v.query_id = un.query_id AND v.doc_id = un.doc_id)"
+
+
+def _floored(spark, d):
+    runs = event_runs(spark, d, DEPTH)
+    return universe.floored(runs, "value", universe.build(runs, DEPTH))
+
+
+@query(f"WITH {_FLOOR} SELECT query_id, doc_id, retrieved, {r('score', 'score')} FROM fl")
+def floor_scores(spark, d):
+    return rounded(_floored(spark, d).select("query_id", "doc_id", "retrieved", "score"))
+
+
+@query(f"WITH {_FLOOR} SELECT query_id, count(*) AS n_universe, count(*) FILTER (retrieved) AS n_retrieved, count(*) FILTER (NOT retrieved) AS n_floored, {r('count(*) FILTER (NOT retrieved) / count(*)', 'floored_share')} FROM fl GROUP BY ALL")
+def floor_counts(spark, d):
+    return rounded(universe.floor_counts(_floored(spark, d)))
+
+
+@query(f"WITH {_FLOOR} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, {r('score', 'score')} FROM fl")
+def stage1_over_universe(spark, d):
+    return rounded(universe.stage1_table(_floored(spark, d), "value", "v1").select("query_id", "doc_id", "rank", "score"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS top_k_disagreements, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS floors_out_of_order")
+def stage1_mismatches(spark, d):
+    runs = event_runs(spark, d, DEPTH)
+    uni = universe.build(runs, DEPTH)
+    return universe.table_mismatches(universe.stage1_table(_floored(spark, d), "value", "v1"), runs.where("system = 'value'"), uni, [K_C, 30])
+
+
+# Score store
+
+
+def _scores(spark, d):
+    """Versions of scores: a first one of half the pairs, then a second one that replaces some."""
+    c = event_cascade(spark, d).withColumn("n", F.substring("doc_id", 2, 7).cast("long"))
+    one = c.where("n % 2 = 0").select("query_id", "doc_id", F.lit("m").alias("model"), F.col("s2").alias("score"), F.lit(1).alias("version"))
+    two = c.where("n % 6 = 0").select("query_id", "doc_id", F.lit("m").alias("model"), (F.col("s2") + 1).alias("score"), F.lit(2).alias("version"))
+    return c, one.unionByName(two)
+
+
+_HELD = f"{sql.events()}, sc AS (SELECT query_id, doc_id, CASE WHEN CAST(substr(doc_id, 2) AS BIGINT) % 6 = 0 THEN s2 + 1 ELSE s2 END AS score FROM ev WHERE CAST(substr(doc_id, 2) AS BIGINT) % 2 = 0)"
+
+
+@query(f"WITH {_HELD} SELECT query_id, doc_id, 'm' AS model, {r('score', 'score')} FROM sc")
+def cache_upsert(spark, d):
+    return rounded(score_store.latest(_scores(spark, d)[1]))
+
+
+@query(f"WITH {_HELD} SELECT query_id, doc_id FROM ev WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM sc)")
+def cache_missing(spark, d):
+    pairs, rows = _scores(spark, d)
+    return score_store.missing(pairs, score_store.latest(rows), "m")
+
+
+@query(f"WITH {_HELD} SELECT ev.query_id, count(*) AS n_universe, count(sc.doc_id) AS n_scored, count(*) - count(sc.doc_id) AS n_missing FROM ev LEFT JOIN sc ON sc.query_id = ev.query_id AND sc.doc_id = ev.doc_id GROUP BY ALL")
+def cache_coverage(spark, d):
+    pairs, rows = _scores(spark, d)
+    return score_store.coverage(pairs, score_store.latest(rows), "m")
+
+
+# Features, baselines, metrics
+
+_FEATURES = f"""{sql.worlds()}, c AS (SELECT *, max(CASE WHEN rank_s1 = k_c THEN s1 END) OVER q AS s1_cut, max(CASE WHEN rank_a = {K} THEN s2 END) OVER q AS s2_cut FROM w WINDOW q AS (PARTITION BY query_id)),
+fe AS (SELECT query_id, doc_id, in_cq AS survivor, ln(CAST(rank_s1 AS DOUBLE)) AS s1_log_rank, s1 - s1_cut AS s1_margin, CAST(rank_s1 > {DEPTH} AS DOUBLE) AS s1_floored, ln(CAST(alt_rank AS DOUBLE)) AS alt_log_rank, CAST(alt_rank <= k_c AS DOUBLE) AS alt_top_kc, CAST(alt_rank > {DEPTH} AS DOUBLE) AS alt_floored,
+ CASE WHEN in_cq THEN s2 END AS s2_score, CAST(rank_a AS DOUBLE) AS s2_rank, CASE WHEN in_cq THEN s2 - s2_cut END AS s2_margin_k, CAST(rank_s1 - rank_a AS DOUBLE) AS displacement FROM c)"""
+
+
+@query(f"WITH {_FEATURES} SELECT query_id, doc_id, survivor, {', '.join(r(c, c) for c in features.SURVIVOR)} FROM fe")
+def features_wide(spark, d):
+    return rounded(features.wide(_worlds(spark, d), K, DEPTH).drop("k_c"))
+
+
+@query(f"WITH {_FEATURES} SELECT query_id, doc_id, feature_name, round(value, 9) + 0.0 AS value FROM (UNPIVOT (SELECT query_id, doc_id, {', '.join(features.SURVIVOR)} FROM fe) ON {', '.join(features.SURVIVOR)} INTO NAME feature_name VALUE value)")
+def features_long(spark, d):
+    return rounded(features.long(features.wide(_worlds(spark, d), K, DEPTH)).select("query_id", "doc_id", "feature_name", "value"))
+
+
+@query(f"WITH {sql.worlds()} SELECT query_id, doc_id, {r('s2', 's2')}, {r('(s2 - min(s2) OVER q) / greatest(max(s2) OVER q - min(s2) OVER q, 1e-12)', 's2_norm')} FROM w WHERE in_cq WINDOW q AS (PARTITION BY query_id)")
+def stage2_norms(spark, d):
+    return rounded(features.stage2_norms(_worlds(spark, d)).drop("k_c"))
+
+
+@query("WITH p AS (SELECT source AS query_id, doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS words FROM documents) SELECT query_id, doc_id, CAST(words AS BIGINT) AS words, round(words / avg(words) OVER (PARTITION BY query_id), 9) + 0.0 AS relative_words FROM p")
+def passage_lengths(spark, d):
+    return rounded(features.passage_lengths(table(spark, d, "documents").withColumn("query_id", F.col("source"))))
+
+
+@query(f"WITH {sql.stage(DCG)} SELECT query_id, doc_id, effect_type, CAST(0 AS DOUBLE) AS pred_zero, CASE stratum WHEN 'survivor' THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS pred_membership FROM st")
+def baseline_membership(spark, d):
+    return features.membership(_stage(spark, d)).select("query_id", "doc_id", "effect_type", "pred_zero", "pred_membership")
+
+
+_TRAIN = "query_id < 'q10'"
+_MEANS = f"{sql.stage(DCG)}, tm AS (SELECT effect_type, stratum, avg(effect) AS m FROM st WHERE {_TRAIN} GROUP BY ALL), tp AS (SELECT st.*, CASE WHEN st.effect_type = 'e_rerank' AND st.stratum = 'non_survivor' THEN 0.0 ELSE m END AS pred FROM st JOIN tm USING (effect_type, stratum) WHERE query_id >= 'q10')"
+
+
+def _predicted(spark, d):
+    stage = _stage(spark, d)
+    return features.stratum_means(stage.where(_TRAIN), stage.where(f"not ({_TRAIN})"))
+
+
+@query(f"WITH {_MEANS} SELECT query_id, doc_id, effect_type, {r('pred', 'pred_stratum_mean')} FROM tp")
+def baseline_stratum_mean(spark, d):
+    return rounded(_predicted(spark, d).select("query_id", "doc_id", "effect_type", "pred_stratum_mean"))
+
+
+_RANKS = "rank() OVER (PARTITION BY stratum ORDER BY {0}) + (count(*) OVER (PARTITION BY stratum, {0}) - 1) / 2.0"
+
+
+@query(f"""WITH {sql.stage(DCG)}, g AS (SELECT stratum, -CAST(rank_control AS DOUBLE) AS p, effect AS x FROM st WHERE effect_type = 'e_gate' AND judged), k AS (SELECT *, {_RANKS.format('p')} AS pr, {_RANKS.format('x')} AS xr FROM g)
+SELECT stratum, count(*) AS n, {r('avg(abs(p - x))', 'mae')}, {r('sqrt(avg((p - x) * (p - x)))', 'rmse')}, {r('avg(p - x)', 'signed_bias')}, {r('corr(p, x)', 'pearson')}, {r('corr(pr, xr)', 'spearman')} FROM k GROUP BY ALL""")
+def metrics_within_strata(spark, d):
+    rows = _stage(spark, d).where("effect_type = 'e_gate' and judged").withColumn("p", -F.col("rank_control").cast("double"))
+    return rounded(S.point_metrics(rows, "p", "effect", ["stratum"]))
+
+
+@query(f"""WITH {sql.stage(DCG)}, g AS (SELECT 'all' AS stratum, CASE stratum WHEN 'survivor' THEN 1.0 ELSE -1.0 END AS p, effect AS x FROM st WHERE effect_type = 'e_gate' AND judged), k AS (SELECT *, {_RANKS.format('p')} AS pr, {_RANKS.format('x')} AS xr FROM g) SELECT count(*) AS n, {r('corr(pr, xr)', 'spearman')} FROM k""")
+def spearman_pooled(spark, d):
+    rows = features.membership(_stage(spark, d).where("effect_type = 'e_gate' and judged")).withColumn("pool", F.lit("all"))
+    return rounded(S.point_metrics(rows, "pred_membership", "effect", ["pool"]).select("n", "spearman"))
+
+
+@query(f"""WITH {sql.stage(DCG)}, g AS (SELECT stratum, query_id, doc_id, row_number() OVER (PARTITION BY stratum ORDER BY abs(1.0 / rank_control) DESC, query_id, doc_id) AS pp, row_number() OVER (PARTITION BY stratum ORDER BY abs(effect) DESC, query_id, doc_id) AS rp FROM st WHERE effect_type = 'e_gate' AND judged)
+SELECT stratum, count(*) FILTER (pp <= 20 AND rp <= 20) AS hits, count(*) FILTER (rp <= 20) AS m, {r('count(*) FILTER (pp <= 20 AND rp <= 20) / count(*) FILTER (rp <= 20)', 'top_m_recovery')} FROM g GROUP BY ALL""")
+def top_m_recovery(spark, d):
+    rows = _stage(spark, d).where("effect_type = 'e_gate' and judged").withColumn("p", F.lit(1.0) / F.col("rank_control"))
+    return rounded(S.top_m_recovery(rows, "p", "effect", ["stratum"], 20, ["query_id", "doc_id"]))
+
+
+@query(f"""WITH {sql.events()}, e AS (SELECT list_distinct(list_transform(range(0, 6), lambda i: i)) AS z), q AS (SELECT [quantile_cont(s1, 0.0), quantile_cont(s1, 0.2), quantile_cont(s1, 0.4), quantile_cont(s1, 0.6), quantile_cont(s1, 0.8), quantile_cont(s1, 1.0)] AS edges FROM ev), b AS (SELECT s1, s2, len(list_filter(edges[2:5], lambda x: x < s1)) AS bin FROM ev, q)
+SELECT CAST(bin AS BIGINT) AS bin, count(*) AS n, {r('avg(s1)', 'mean_reference')}, {r('avg(s2)', 'mean_predicted')} FROM b GROUP BY ALL""")
+def calibration(spark, d):
+    return rounded(S.calibration(event_cascade(spark, d), "s2", "s1", 5))
+
+
+# Probes
+
+
+def _probe_sql(policy: str) -> str:
+    place = "rank_s1 - k_c" if policy == N.BOUNDARY else "row_number() OVER (PARTITION BY query_id, in_cq ORDER BY alt_rank, doc_id)"
+    return f"""WITH {sql.worlds()}, p AS (SELECT *, {place} AS place FROM w), c AS (SELECT * FROM p, (SELECT unnest([0, 5, 20, 50]) AS budget) WHERE in_cq OR place <= budget),
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id, budget ORDER BY rank_s2) AS rank_p FROM c) SELECT query_id, doc_id, CAST(budget AS BIGINT) AS budget, NOT in_cq AS probed, {r(f"{sql.utility('rank_a', DCG)} - {sql.utility('rank_p', DCG)}", 'effect')} FROM x"""
+
+
+for _p in (N.BOUNDARY, N.ALTERNATIVE):
+    query(_probe_sql(_p), f"probe_{_p}")(lambda spark, d, p=_p: rounded(probes.probe(_worlds(spark, d), [0, 5, 20, 50], p, DCG).select("query_id", "doc_id", "budget", "probed", "effect")))
+
+
+@query()
+def probe_fidelity(spark, d):
+    probed = probes.probe(_worlds(spark, d), [0, 5, 20, 50], N.ALTERNATIVE, DCG)
+    return rounded(probes.query_fidelity(probed, summaries.diagnose(_stage(spark, d))))
+
+
+@query()
+def probe_failures(spark, d):
+    probed = probes.probe(_worlds(spark, d), [0, 5, 20, 50], N.ALTERNATIVE, DCG)
+    return rounded(probes.failures_found(probed, effects.gating_failures(_stage(spark, d))))
+
+
+# Resampling and models
+
+
+@query()
+def h7_test(spark, d):
+    return resample.h7_test(summaries.diagnose(_stage(spark, d)), summaries.budget_outcomes(_budget(spark, d)), permutations=1000)
+
+
+@query()
+def bootstrap_intervals(spark, d):
+    both = summaries.budget_outcomes(_budget(spark, d)).join(summaries.diagnose(_stage(spark, d)).select("query_id", "label", "g_q"), "query_id")
+    stats = {"delta_mean": lambda p: p["delta_dcg"].mean(), "group_difference": resample.group_difference, "spearman": lambda p: resample.spearman(p["g_q"].to_numpy(float), p["delta_dcg"].to_numpy(float))}
+    return resample.bootstrap(both.select("policy", "t", "query_id", "label", "g_q", "delta_dcg"), ["policy", "t"], stats, n=200)
+
+
+@query()
+def power(spark, d):
+    both = summaries.budget_outcomes(_budget(spark, d, policies=(N.ALTERNATIVE,))).where("t = 0.5").join(summaries.diagnose(_stage(spark, d)).select("query_id", "label"), "query_id")
+    return resample.power(both, [5, 10, 20], simulations=50, permutations=200)
+
+
+def _model(spark, d, kind):
+    w = _worlds(spark, d)
+    own = effects.stage_effects(w, DCG).where("effect_type = 'e_gate' and stratum = 'survivor' and judged").withColumn("k_c", F.col("k_c").cast("int"))
+    rows = features.attach(own, features.wide(w, K, DEPTH))
+    got = features.fit_predict(rows.where(_TRAIN), rows.where(f"not ({_TRAIN})"), features.SURVIVOR, kind)
+    return got.select("query_id", "doc_id", F.round("effect", 6).alias("effect"), F.round("prediction", 6).alias("prediction"))
+
+
+@query()
+def ridge_predictor(spark, d):
+    return _model(spark, d, "ridge")
+
+
+@query()
+def gbt_predictor(spark, d):
+    return _model(spark, d, "boosted")
+
+
+# Retrievers
+
+
+@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 20), s AS (SELECT 'q' || lpad(CAST(q.vec_id AS VARCHAR), 2, '0') AS query_id, 'd' || lpad(CAST(e.vec_id AS VARCHAR), 6, '0') AS doc_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM embeddings e, q WHERE e.vec_id >= 20),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, rank, score FROM k WHERE rank <= 100""")
+def dense_topk(spark, d):
+    return rounded(ranking.top_k(vector_cascade(spark, d), "s2", 100).select("query_id", "doc_id", "rank", F.col("s2").alias("score")))
+
+
+@query(f"""WITH v AS (SELECT 'b' || CAST(item_id AS VARCHAR) AS query_id, unnest(string_split(text, ' ')) AS token FROM benchmark), vq AS (SELECT DISTINCT * FROM v WHERE token <> ''), p0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS token FROM documents), p AS (SELECT * FROM p0 WHERE token <> ''),
+l AS (SELECT d.doc_id, count(p.token) AS dl FROM documents d LEFT JOIN p USING (doc_id) GROUP BY ALL), a AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), tf AS (SELECT token, doc_id, count(*) AS tf FROM p WHERE token IN (SELECT token FROM vq) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY ALL),
+s AS (SELECT query_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / avgdl))), 6) AS score FROM vq JOIN tf ON tf.token = vq.token JOIN df ON df.token = tf.token JOIN l ON l.doc_id = tf.doc_id CROSS JOIN a GROUP BY ALL)
+SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 50""")
+def bm25_topk(spark, d):
+    queries = table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), "text")
+    got = retrieval.bm25(queries, table(spark, d, "documents").select("doc_id", "text")).withColumn("score", F.round("score", 6))
+    return ranking.top_k(got, "score", 50).select("query_id", "doc_id", "score")
