@@ -136,14 +136,14 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, confidence: float = 0.1) ->
     """Share of positives among the unlabelled, from the scores of both: the best-bin bound.
 
     Above any threshold the unlabelled share is at least prior times the positive share; the ratio
-    is least where nearly only positives are left. Both shares get a deviation bound.
+    is least where nearly only positives are left. A bound on the deviation of both shares keeps the
+    choice away from thresholds that few positives reach.
     """
     at = np.sort(np.unique(pos))
     qp = 1 - np.searchsorted(np.sort(pos), at, "left") / len(pos)
     qu = 1 - np.searchsorted(np.sort(unl), at, "left") / len(unl)
     slack = np.sqrt(np.log(4 / confidence) / 2 / len(pos)) + np.sqrt(np.log(4 / confidence) / 2 / len(unl))
-    bound = (qu + slack * qu) / np.maximum(qp, 1e-9)
-    bound[qp < 0.1] = np.inf
+    bound = (qu + slack) / np.maximum(qp, 1e-9)
     k = int(np.argmin(bound))
     return float(np.clip(qu[k] / qp[k], 0.02, 0.98))
 
