@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import names as N
+from ..config import Settings
 from ..functions import statistics as S
 from ..functions.utility import Utility, ndcg, recall
 from ..operators import allocation, effects, features, judgments, probes, ranking, resample, summaries, universe, worlds
 from ..sources import retrieval, score_store
 from ..sources.tables import table
-from . import sql
+from . import feasibility, grid, reports, sql
 from .cascades import event_cascade, event_qrels, event_runs, vector_cascade
 from .sql import K_C, T_GRID, K, r
 
@@ -581,3 +582,57 @@ def bm25_topk(spark, d):
     queries = table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), "text")
     got = retrieval.bm25(queries, table(spark, d, "documents").select("doc_id", "text")).withColumn("score", F.round("score", 6))
     return ranking.top_k(got, "score", 50).select("query_id", "doc_id", "score")
+
+
+# The whole grid and its reports
+
+_SMALL_GRID = Settings(candidate_depths=(K_C, 30), depth_m=60, k=K, other_cutoffs=(5,), other_utilities=("topk",), budget_seeds=(42, 43))
+
+
+@query()
+def effect_grid(spark, d):
+    got = grid.effect_grid(event_cascade(spark, d), _SMALL_GRID, "value")
+    key = ["utility", "k", "effect_type", "k_c", "condensed", "policy", "t", "stratum"]
+    return rounded(got.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("effect").alias("total")))
+
+
+@query(f"WITH {sql.allocated((N.BOUNDARY,))} SELECT query_id, t, doc_id, row_number() OVER (PARTITION BY query_id, t ORDER BY rank_s1) AS promoted_rank FROM ta WHERE stratum = 'selected_outsider'")
+def promoted_outsiders(spark, d):
+    return rounded(grid.promoted(_allocated(spark, d, (N.BOUNDARY,))).select("query_id", "t", "doc_id", "promoted_rank"))
+
+
+@query(f"""WITH {sql.runs(DEPTH)}, x AS (SELECT query_id, k_c, doc_id, max(CASE WHEN system = 'value' THEN 1 ELSE 0 END) AS a, max(CASE WHEN system = 'mix' THEN 1 ELSE 0 END) AS b FROM ru, (SELECT unnest([10, {K_C}, 50]) AS k_c) WHERE rank <= k_c GROUP BY ALL)
+SELECT query_id, CAST(k_c AS BIGINT) AS k_c, CAST(sum(a * b) AS BIGINT) AS n_both, count(*) AS n_either, {r('sum(a * b) / count(*)', 'jaccard')} FROM x GROUP BY ALL""")
+def leverage(spark, d):
+    return rounded(feasibility.leverage(event_runs(spark, d, DEPTH), ["value", "mix"], [10, K_C, 50]))
+
+
+@query()
+def feasibility_verdict(spark, d):
+    runs = event_runs(spark, d, DEPTH)
+    lever = feasibility.leverage(runs, ["value", "mix"], [10, K_C, 50])
+    return rounded(feasibility.verdict(lever, feasibility.outside(runs, event_qrels(spark, d), DCG.gain, ["value", "mix"], [10, K_C, 50])))
+
+
+@query(f"""WITH {sql.universe(DEPTH)}, o AS (SELECT un.query_id, un.doc_id, v.rank AS r, m.rank AS o FROM un LEFT JOIN (SELECT * FROM ru WHERE system = 'value') v USING (query_id, doc_id) LEFT JOIN (SELECT * FROM ru WHERE system = 'mix') m USING (query_id, doc_id)),
+g AS (SELECT query_id, k_c, count(r) AS ranked, count(o) AS by_other FROM o, (SELECT unnest([10, {K_C}]) AS k_c) WHERE r IS NULL OR r > k_c GROUP BY ALL) SELECT CAST(k_c AS BIGINT) AS k_c, min(ranked) AS least_ranked, {r('median(ranked)', 'median_ranked')}, min(by_other) AS least_by_other, {r('median(by_other)', 'median_by_other')}, CAST(min(CASE WHEN by_other >= k_c THEN 1 ELSE 0 END) AS BIGINT) AS enough FROM g GROUP BY ALL""")
+def policy_supply(spark, d):
+    runs = event_runs(spark, d, DEPTH)
+    return rounded(feasibility.policy_supply(runs, universe.build(runs, DEPTH), "value", "mix", [10, K_C]))
+
+
+@query(f"WITH {sql.stage(DCG)}, a AS (SELECT query_id, doc_id, max(effect) FILTER (effect_type = 'e_rerank') AS er, max(effect) FILTER (effect_type = 'e_gate') AS eg FROM st GROUP BY ALL) SELECT count(*) AS n, {r('avg(CASE WHEN abs(er) > 1e-9 AND abs(eg) > 1e-9 THEN 1.0 ELSE 0.0 END)', 'share_off_diagonal')} FROM a")
+def off_diagonal(spark, d):
+    return rounded(reports.off_diagonal(effects.additivity(_stage(spark, d))).drop("max_residual"))
+
+
+@query(f"WITH {_BOTH}, {sql.DIAGNOSIS}, l AS (SELECT query_id, sum(effect) > 0.05 AS p FROM bg WHERE policy = 'alternative' AND t = 0.5 GROUP BY ALL), j AS (SELECT p, label = 'gate_sensitive' AS y FROM l JOIN dg USING (query_id)) SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (y AND NOT p) AS fn FROM j")
+def label_agreement(spark, d):
+    gained = summaries.budget_outcomes(_budget(spark, d, policies=(N.ALTERNATIVE,))).where("t = 0.5").select("query_id", (F.col("delta_dcg") > 0.05).alias("p"))
+    both = gained.join(summaries.diagnose(_stage(spark, d)), "query_id").withColumn("y", F.col("label") == N.GATE_SENSITIVE)
+    return S.agreement(both, "p", "y").select("tp", "fp", "fn")
+
+
+@query(f"WITH {sql.events()}, {sql.RANKED} SELECT query_id, doc_id, {r(f'least(1.0, (rank_s1 - 1) / CAST({K_C - 1} AS DOUBLE))', 'rank_share')}, {r('1 - (rank_s1 - 1) / CAST(greatest(n_docs - 1, 1) AS DOUBLE)', 'percentile')}, rank_s1 <= {K_C} AS survivor FROM rk")
+def stage1_positions(spark, d):
+    return rounded(features.stage1_positions(worlds.ranked(event_cascade(spark, d)), K_C))
