@@ -2,8 +2,9 @@
 
 Every string of ``length`` bytes is assigned to one anchor: the gram of least hash among the grams
 inside it, leftmost among equals. Equal strings have equal anchors at equal offsets, so only anchors
-whose gram occurs more than once need a closer look; the others cannot be in a repeated string. The
-strings of one anchor overlap and travel as one segment; segments meet by the anchor's hash.
+that occur more than once, with their neighbouring bytes on the string's longer side, need a closer
+look; the others cannot be in a repeated string. The strings of one anchor overlap and travel as one
+segment; segments meet by the anchor's hash.
 
 Where they meet, segments are aligned at their grams and form shards. Each shard has its own
 Burrows-Wheeler transform, the characters before its sorted suffixes column by column. The shards
@@ -45,9 +46,15 @@ def _grams(b: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(gram hash, place, first string, last string) of each anchor: the strings that begin there
-    and between have it. Long texts come in pieces; one anchor may come in two."""
+    """(hash, place, first string, last string) of each anchor's strings, by side.
+
+    The strings that begin from first to last have the anchor at ``place``. Those that reach further
+    to its right are hashed with bytes there, the others with bytes to its left, so a hash stands for
+    twice the gram and lies inside every string it stands for. Long texts come in pieces; one anchor
+    may come in two.
+    """
     width = length - GRAM + 1
+    half = width // 2
     b = np.frombuffer(data, np.uint8)
     for s in range(0, len(b) - length + 1, _PIECE):
         part = b[s : s + _PIECE + length - 1]
@@ -62,7 +69,13 @@ def anchors(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         ends = np.r_[starts[1:], len(at)] - 1
         place = at[starts]
-        yield h[place].view(np.int64), place + s, starts + s, ends + s
+        low, high = place - ends, place - starts
+        right, left = low <= half, high > half
+        after = h[place[right]] * _M1 ^ h[place[right] + half]
+        before = h[place[left]] * _M2 ^ h[place[left] - half - 1]
+        keys = np.r_[after ^ (after >> np.uint64(31)), before ^ (before >> np.uint64(29))] * _M1
+        where = np.r_[place[right], place[left]] + s
+        yield keys.view(np.int64), where, where - np.r_[np.minimum(high[right], half), high[left]], where - np.r_[low[right], np.maximum(low[left], half + 1)]
 
 
 def shard_transform(m: np.ndarray) -> list[np.ndarray]:
