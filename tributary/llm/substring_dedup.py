@@ -236,31 +236,38 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         yield batch_of([(x, d, k, p, low, high, seg) for (x, low, high, seg), (d, p, k) in first.items()])
         yield batch_of(out)
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Blocks of whole anchors, about MERGED segments each."""
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            done = pdf["segment"].isna()
-            if done.any():
-                gone = pdf[done]
-                yield pd.DataFrame({"doc_id": gone["doc_id"], "key": gone["key"], "start": gone["place"] - gone["high"], "end": gone["place"] - gone["low"] + length})
-                pdf = pdf[~done]
-            if pdf.empty:
-                continue
-            held.append(pdf)
-            if sum(map(len, held)) >= MERGED:
-                every = pd.concat(held, ignore_index=True)
-                cut = int((every["h"] != every["h"].iloc[-1]).to_numpy().nonzero()[0].max(initial=-1)) + 1
-                if cut:
-                    yield _merge(every.iloc[:cut], length)
-                held = [every.iloc[cut:]]
-        if held:
-            yield _merge(pd.concat(held, ignore_index=True), length)
-
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of whole anchors, about MERGED segments each; small batches are gathered first."""
+
+        def blocks() -> Iterator[pd.DataFrame]:
+            held: list[pa.RecordBatch] = []
+            rest, n = None, 0
+            for batch in batches:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= MERGED:
+                    new = pa.Table.from_batches(held).to_pandas()
+                    rest = new if rest is None else pd.concat([rest, new], ignore_index=True)
+                    cut = int((rest["h"] != rest["h"].iloc[-1]).to_numpy().nonzero()[0].max(initial=-1)) + 1
+                    if cut:
+                        yield rest.iloc[:cut]
+                    held, rest, n = [], rest.iloc[cut:], 0
+            last = [x for x in (rest, pa.Table.from_batches(held).to_pandas() if held else None) if x is not None]
+            if last:
+                yield pd.concat(last, ignore_index=True)
+
+        for g in blocks():
+            done = g["segment"].isna().to_numpy()
+            gone = g[done]
+            known = pd.DataFrame({"doc_id": gone["doc_id"], "key": gone["key"], "start": gone["place"] - gone["high"], "end": gone["place"] - gone["low"] + length})
+            every = pd.concat([known, _merge(g[~done], length)]) if not done.all() else known
+            yield pa.RecordBatch.from_arrays([pa.array(every[c].to_numpy(np.int64)) for c in ranges], names=ranges)
+
+    ranges = ["doc_id", "key", "start", "end"]
     met = rows.select("doc_id", "key", "data").mapInArrow(segments, schema)
     # Rows without bytes need no partner and are dealt out evenly.
     met = met.withColumn("h", F.when(F.col("segment").isNull(), F.xxhash64("doc_id", "place")).otherwise(F.col("h")))
-    return met.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h").mapInPandas(merge, "doc_id long, key long, start long, end long")
+    return met.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h").mapInArrow(merge, "doc_id long, key long, start long, end long")
 
 
 def substring_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
