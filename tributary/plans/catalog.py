@@ -19,7 +19,7 @@ from ..functions.utility import Utility, ndcg, recall
 from ..operators import allocation, effects, features, judgments, probes, ranking, resample, summaries, universe, worlds
 from ..sources import retrieval, score_store
 from ..sources.tables import table
-from . import feasibility, grid, reports, sql
+from . import feasibility, grid, reports, sql, study
 from .cascades import event_cascade, event_qrels, event_runs, vector_cascade
 from .sql import K_C, T_GRID, K, r
 
@@ -636,3 +636,20 @@ def label_agreement(spark, d):
 @query(f"WITH {sql.events()}, {sql.RANKED} SELECT query_id, doc_id, {r(f'least(1.0, (rank_s1 - 1) / CAST({K_C - 1} AS DOUBLE))', 'rank_share')}, {r('1 - (rank_s1 - 1) / CAST(greatest(n_docs - 1, 1) AS DOUBLE)', 'percentile')}, rank_s1 <= {K_C} AS survivor FROM rk")
 def stage1_positions(spark, d):
     return rounded(features.stage1_positions(worlds.ranked(event_cascade(spark, d)), K_C))
+
+
+@query()
+def fidelity_within_strata(spark, d):
+    return rounded(study.fidelity_within_strata(features.membership(_stage(spark, d)), "pred_membership"))
+
+
+@query()
+def paired_intervals(spark, d):
+    return rounded(study.paired_intervals(*(summaries.diagnose(_stage(spark, d, swapped=s)) for s in (False, True)), draws=200))
+
+
+@query()
+def cost_fidelity(spark, d):
+    own = _worlds(spark, d)
+    stage = effects.stage_effects(own, DCG)
+    return rounded(study.cost_fidelity(own, summaries.diagnose(stage), stage, DCG, [0, 20, 50]))

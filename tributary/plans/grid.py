@@ -56,10 +56,9 @@ def read_grid(spark, path: str, system: str | None = None, k_c: int | None = Non
 def allocation_mismatches(first: DataFrame, second: DataFrame) -> DataFrame:
     """Promoted outsiders that only one of two allocation tables has, per run; null seeds are equal."""
     key = ["query_id", "k_c", "t", "policy", "seed", "doc_id"]
-    a, b = first.select(*key, F.lit(True).alias("in_first")), second.select(*key, F.lit(True).alias("in_second"))
-    on = [a[c].eqNullSafe(b[c]) for c in key]
-    both = a.join(b, on, "full").select(*[F.coalesce(a[c], b[c]).alias(c) for c in key], F.coalesce("in_first", F.lit(False)).alias("in_first"), F.coalesce("in_second", F.lit(False)).alias("in_second"))
-    return both.where("in_first <> in_second")
+    both = first.select(*key, F.lit(True).alias("a")).unionByName(second.select(*key, F.lit(False).alias("a")))
+    sides = both.groupBy(*key).agg(F.bool_or("a").alias("in_first"), F.bool_or(~F.col("a")).alias("in_second"))
+    return sides.where("in_first <> in_second")
 
 
 def promoted(allocated: DataFrame) -> DataFrame:
