@@ -109,3 +109,9 @@ def test_refusals(spark, toy_worlds):
 def test_order_does_not_depend_on_partitions(spark):
     c = toy.cascade(spark).withColumn("s1", F.lit(1.0))
     assert order(ranking.rank_by(c.repartition(7), "s1"), "rank") == order(ranking.rank_by(c.orderBy(F.desc("doc_id")), "s1"), "rank") == list("abcdefghij")
+
+
+def test_ranks_in_ranges_are_the_same(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("q"), F.col("id") % 7)).alias("query_id"), F.format_string("d%05d", "id").alias("doc_id"), F.pmod(F.hash("id"), F.lit(50)).cast("double").alias("s1"))
+    want = {(r.query_id, r.doc_id): r.rank for r in ranking.rank_by(rows, "s1").collect()}
+    assert {(r.query_id, r.doc_id): r.rank for r in ranking.rank_in_ranges(rows, "s1", ranges=9).collect()} == want

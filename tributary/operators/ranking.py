@@ -41,3 +41,19 @@ def condense(ranked: DataFrame, rank: str = "rank") -> DataFrame:
     """Judged documents only, ranks recounted in the order they had."""
     order = Window.partitionBy("query_id").orderBy(rank)
     return ranked.where(F.coalesce("judged", F.lit(False))).withColumn(rank, F.row_number().over(order))
+
+
+def rank_in_ranges(df: DataFrame, score: str, name: str = "rank", ranges: int = 200) -> DataFrame:
+    """The ranks of :func:`rank_by` where single queries are too large for one task.
+
+    Rows are dealt out by ranges of (query, score, doc_id), so a hot query spans many tasks; each
+    range ranks its own rows and adds the number of the query's rows in earlier ranges. Ranges are
+    checkpointed, since the counts and the ranks have to see the same ones.
+    """
+    dealt = df.withColumn(score, scored(score)).repartitionByRange(ranges, "query_id", F.desc(score), "doc_id")
+    dealt = dealt.withColumn("_range", F.spark_partition_id()).checkpoint()
+    counts = dealt.groupBy("query_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("query_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("query_id", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    ranked = dealt.join(before, ["query_id", "_range"]).withColumn(name, F.row_number().over(by_score(score, "_range")) + F.col("_before"))
+    return ranked.drop("_range", "_before")
