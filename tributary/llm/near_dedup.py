@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, bounded_batches, groups, map_rows, shuffle_partitions, written
 from .components import components
-from .shingles import WIDTH, minhash, permutations, shingle_hashes
+from .shingles import WIDTH, WordHashes, minhash, permutations, shingle_hashes
 
 COORDINATES = 32
 #: Chance to miss one pair at exactly the similarity asked for.
@@ -52,10 +52,10 @@ def sketches(documents: DataFrame, k: int = COORDINATES, width: int = WIDTH) ->
     """(doc_id, n, key, sig) of every row: set size, digest of the set and signature (null: no set)."""
 
     def make():
-        a, b = permutations(k)
+        (a, b), cache = permutations(k), WordHashes()
 
         def run(texts: list[str | None]) -> tuple[list, ...]:
-            sets = [shingle_hashes(t, width) for t in texts]
+            sets = [shingle_hashes(t, width, cache) for t in texts]
             return (
                 [len(h) for h in sets],
                 [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets],
@@ -249,7 +249,12 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = COORDINATE
 
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(need, "rep", "left_semi")
     hashed = [("hashes", "binary", pa.binary())]
-    sets = map_rows(texts, ["rep"], [F.col("text")], hashed, lambda: lambda ts: ([shingle_hashes(t, width).tobytes() for t in ts],)).where(F.length("hashes") > 0)
+
+    def full_sets():
+        cache = WordHashes()
+        return lambda ts: ([shingle_hashes(t, width, cache).tobytes() for t in ts],)
+
+    sets = map_rows(texts, ["rep"], [F.col("text")], hashed, full_sets).where(F.length("hashes") > 0)
     sets = written(sets.join(reps.select("rep", "n", "sig"), "rep").where("n * 8 = length(hashes)"), "sets")
     hubs = written(hub_links(postings, sets, tau, percent), "hub-links")
     first = components(hubs)

@@ -9,12 +9,13 @@ WIDTH = 5
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 _BLOCK = 4096
 
 
-class _WordHashes(dict):
-    """word -> 64-bit hash; emptied when it holds ``_CACHE_WORDS`` words, so a worker stays small."""
+class WordHashes(dict):
+    """word -> 64-bit hash; emptied when it holds ``_CACHE_WORDS`` words. A task makes its own, so
+    an idle worker keeps nothing."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHE_WORDS:
@@ -23,9 +24,6 @@ class _WordHashes(dict):
         return value
 
 
-_hash_of = _WordHashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased words: maximal runs without space and \\x09-\\x0d, which is bytes.split()."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -37,7 +35,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+def shingle_hashes(text: str | None, width: int = WIDTH, cache: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles.
 
     A text with fewer words has one shingle, its whole word sequence; no words give none.
@@ -46,7 +44,8 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, n)
+    hash_of = WordHashes() if cache is None else cache
+    ids = np.fromiter(map(hash_of.__getitem__, words), np.uint64, n)
     span = min(n, width)
     h = np.full(n - span + 1, span, np.uint64)
     for j in range(span):
