@@ -78,7 +78,7 @@ def prefix_postings(reps: DataFrame, k: int, tau: int) -> DataFrame:
     posted = reps.select("rep", F.posexplode("sig").alias("i", "v")).select(
         "rep", (F.col("i").cast("long") * F.lit(1 << 32) + (F.col("v").cast("long") + F.lit(1 << 31))).alias("posting")
     )
-    shared = posted.groupBy("posting").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = written(posted.groupBy("posting").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared-postings")
     ranked = (
         posted.join(shared, "posting")
         .groupBy("rep")
@@ -108,7 +108,7 @@ def hub_links(postings: DataFrame, sets: DataFrame, tau: int, percent: int) -> D
     than one batch is held.
     """
     hubs = postings.groupBy("posting").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pairs = postings.join(hubs, "posting").where("rep <> hub").select("hub", "rep").distinct()
+    pairs = postings.join(written(hubs, "hubs"), "posting").where("rep <> hub").select("hub", "rep").distinct()
     # Only pairs that collide often enough, of sets that are large enough, take their sets along.
     one = sets.select("rep", "n", "sig")
     other = one.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"))
@@ -116,7 +116,8 @@ def hub_links(postings: DataFrame, sets: DataFrame, tau: int, percent: int) -> D
     near = (hits >= tau) & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
     pairs = pairs.join(one, "rep").join(other, "hub").where(near).select("hub", "rep").distinct()
     pairs = written(pairs.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.lit(1 << 20))), "hub-pairs")
-    chunks = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    # Sums are written before they meet the rows they came from: a join of two exchanges can split a hot hub.
+    chunks = written(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "hub-chunks")
     members = (
         pairs.join(chunks, "hub")
         .select("hub", "rep", (F.col("chunk") % F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("member"))
@@ -155,13 +156,14 @@ def block_links(postings: DataFrame, sets: DataFrame, comps: DataFrame, k: int,
     own = postings.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     own = own.join(sets.select("rep", "n"), "rep")
     split = own.groupBy("posting").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "rep").alias("main"))
-    open_ = written(own.join(split.where("lo <> hi").select("posting", "main"), "posting").withColumn("rest", F.col("comp") != F.col("main")), "open-lists")
+    split = written(split.where("lo <> hi").select("posting", "main"), "open-postings")
+    open_ = written(own.join(split, "posting").withColumn("rest", F.col("comp") != F.col("main")), "open-lists")
     weight = F.col("n") + 64
     blocks = open_.groupBy("posting").agg(
         F.ceil(F.sum(F.when(F.col("rest"), weight).otherwise(0)) / BLOCK).cast("int").alias("rests"),
         F.ceil(F.sum(F.when(F.col("rest"), 0).otherwise(weight)) / BLOCK).cast("int").alias("mains"),
     )
-    placed = open_.join(blocks, "posting").withColumn("slot", F.pmod(F.xxhash64("rep"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+    placed = open_.join(written(blocks, "blocks"), "posting").withColumn("slot", F.pmod(F.xxhash64("rep"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
     # Block pairs: (i, j) with i <= j among the rest, then (i, rests + j) for block j of the main side.
     mine = F.transform(F.sequence(F.lit(0), F.col("rests") + F.col("mains") - 1), lambda j: F.struct(F.least(F.col("slot"), j).alias("i"), F.greatest(F.col("slot"), j).alias("j")))
     other = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda i: F.struct(i.alias("i"), (F.col("rests") + F.col("slot")).alias("j")))
@@ -276,7 +278,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = COORDINATE
         .select("key", "component_id")
     )
     return (
-        found.join(known, "key", "left")
+        found.join(written(known, "component-of"), "key", "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
