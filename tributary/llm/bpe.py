@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -27,8 +28,8 @@ from .common import bounded_batches, map_rows
 
 #: Vocabularies larger than this are refused rather than broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Pre-tokens remembered by a worker, and tokens of one text handled at once.
-MEMO, PIECE = 400_000, 200_000
+#: Pre-tokens of a generation that a task remembers, and tokens of one text handled at once.
+MEMO, PIECE = 150_000, 200_000
 _KEYS_PER_BUCKET = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,6 +99,19 @@ class PerfectHash:
         return [int(index[s]) if keys[s] == w else -1 for s, w in zip(slots.tolist(), words, strict=True)]
 
 
+class Memo:
+    """Pre-tokens with their packed ids in two generations: what is used stays, the rest goes."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def room(self) -> dict[str, bytes]:
+        if len(self.new) > MEMO:
+            self.new, self.old = {}, self.new
+        return self.new
+
+
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
     """(bytes, rank) lines of a rank file: base64, space, number."""
     with open(path, "rb") as f:
@@ -120,47 +134,63 @@ class Codec:
             self.rank = dict(zip(self.words, self.ids, strict=True))
             self.bytes_of = {r: w for w, r in self.rank.items()}
             self.cut = regex.compile(self.pattern)
-            self.memo: dict[str, bytes] = {}
         return self
 
     def merge(self, piece: bytes) -> list[int]:
-        """Tier two: ids of one pre-token by heap merges over linked bytes."""
-        n, rank = len(piece), self.rank
+        """Tier two: ids of one pre-token by heap merges over linked bytes.
+
+        An entry of the heap is rank * n + place, so the lowest rank comes first and the leftmost
+        among equals; it counts only while the pair at its place still has that rank.
+        """
+        n, find, push, pop = len(piece), self.rank.get, heapq.heappush, heapq.heappop
         end = list(range(1, n + 1))  # part i covers piece[i:end[i]]; end is also the next part
         before = list(range(-1, n - 1))
-        alive = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank.get(piece[i : i + 2])) is not None]
+        pair = [find(piece[i : i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = end[i] if alive[i] else n
-            if j >= n or end[j] != stop:
-                continue  # one of the two parts has changed since
-            alive[j] = False
-            end[i] = stop
+            r, i = divmod(pop(heap), n)
+            if pair[i] != r:
+                continue
+            j = end[i]
+            stop = end[i] = end[j]
+            pair[j] = -1
             if stop < n:
                 before[stop] = i
-                if (r := rank.get(piece[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if (p := before[i]) >= 0 and (r := rank.get(piece[p:stop])) is not None:
-                heapq.heappush(heap, (r, p, stop))
+                r = pair[i] = find(piece[i : end[stop]], -1)
+                if r >= 0:
+                    push(heap, r * n + i)
+            else:
+                pair[i] = -1
+            p = before[i]
+            if p >= 0:
+                r = pair[p] = find(piece[p:stop], -1)
+                if r >= 0:
+                    push(heap, r * n + p)
         out, i = [], 0
         while i < n:
-            out.append(rank[piece[i : end[i]]])
+            out.append(self.rank[piece[i : end[i]]])
             i = end[i]
         return out
 
-    def _learn(self, tokens: set[str]) -> None:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        todo = [t for t in tokens if t not in self.memo]
+    def _learn(self, tokens: set[str], memo: Memo) -> dict[str, bytes]:
+        known = memo.room()
+        todo = []
+        for t in tokens.difference(known):
+            if (was := memo.old.get(t)) is not None:
+                known[t] = was
+            else:
+                todo.append(t)
         raw = [t.encode("utf-8", "surrogatepass") for t in todo]
         for t, w, k in zip(todo, raw, self.hash.find(raw), strict=True):
             ids = [self.ids[k]] if k >= 0 else self.merge(w)
-            self.memo[t] = np.array(ids, "<u4").tobytes()
+            known[t] = struct.pack(f"<{len(ids)}I", *ids)
+        return known
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def encode(self, text: str | None, memo: Memo | None = None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers; ``memo`` is what a task has learned so far."""
+        memo = memo or Memo()
         if not text:
             return b""
         if len(text) <= PIECE:
@@ -170,8 +200,8 @@ class Codec:
             pieces = iter(lambda: list(islice(found, PIECE)), [])
         out = []
         for tokens in pieces:
-            self._learn(set(tokens))
-            out.append(b"".join(map(self.memo.__getitem__, tokens)))
+            known = self._learn(set(tokens), memo)
+            out.append(b"".join(map(known.__getitem__, tokens)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
@@ -186,10 +216,11 @@ def _shared(df: DataFrame, tokenizer: Codec):
     return df.sparkSession.sparkContext.broadcast(tokenizer)
 
 
-def encode(documents: DataFrame, tokenizer: Codec, text: str = "text", packed: bool = False) -> DataFrame:
+def encode(documents: DataFrame, tokenizer: Codec, text: str = "text", packed: bool = False, check: bool = False) -> DataFrame:
     """Rows of ``documents`` with ``ids`` and ``n_tokens``.
 
-    ids is array<int>, or with ``packed`` the same as little-endian unsigned 32-bit integers. Null
+    ids is array<int>, or with ``packed`` the same as little-endian unsigned 32-bit integers. With
+    ``check`` the ids are decoded again at once and a text they do not give back is an error. Null
     and empty texts have no tokens. Every row comes back, repeated ones too; other columns stay as
     they are, save ``ids`` and ``n_tokens``, which are replaced. An empty table gives an empty table.
     """
@@ -198,10 +229,12 @@ def encode(documents: DataFrame, tokenizer: Codec, text: str = "text", packed: b
     kind = ("ids", "binary", pa.binary()) if packed else ("ids", "array<int>", pa.list_(pa.int32()))
 
     def make():
-        tool = shared.value.ready()
+        tool, memo = shared.value.ready(), Memo()
 
         def run(texts: list[str | None]) -> tuple[list, ...]:
-            ids = [tool.encode(t) for t in texts]
+            ids = [tool.encode(t, memo) for t in texts]
+            if check and any(tool.decode(x) != (t or "").encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)):
+                raise ValueError("ids do not decode to their text")
             return ids if packed else [np.frombuffer(x, "<i4") for x in ids], [len(x) // 4 for x in ids]
 
         return run
