@@ -73,6 +73,14 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         yield pd.concat(held, ignore_index=True)
 
 
+def _values(column: pa.Array) -> list:
+    """Python values; lists of numbers come as arrays, not as one object a number."""
+    if pa.types.is_list(column.type) and pa.types.is_primitive(column.type.value_type) and not column.values.null_count:
+        flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+        return [None if gone else flat[a:b] for a, b, gone in zip(at, at[1:], column.is_null().to_pylist(), strict=False)]
+    return column.to_pylist()
+
+
 def map_rows(
     df: DataFrame,
     keep: list[str],
@@ -94,7 +102,7 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            out = f(*(b.column(i).to_pylist() for i in range(n, b.num_columns)))
+            out = f(*(_values(b.column(i)) for i in range(n, b.num_columns)))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(o, a[2]) for o, a in zip(out, added, strict=True))], names=names)
 
     return chosen.mapInArrow(run, schema)
