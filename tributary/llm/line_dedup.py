@@ -112,10 +112,12 @@ def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = R
     )
     lined = written(lined, "lines")
     copies = lined.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.aggregate("sizes", F.lit(0), lambda s, x: s + x)).alias("chars"))
+    copies = written(copies, "texts")  # a hot text can be split in a join of two exchanges
     whole = lined.select("doc_id", "key").join(copies.where("first < last").where(F.col("chars") >= least_chars), "key").where("doc_id > first").select("doc_id", "key", F.lit(None).cast("array<int>").alias("gone"))
     own = written(lined.join(copies.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"]), "first-copies")
     each = own.select("doc_id", F.explode(F.arrays_zip("hashes", "sizes")).alias("l")).where(F.col("l.sizes") >= least_chars).select("doc_id", F.col("l.hashes").alias("line"))
     held = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("df")).where("owner < last")
+    held = written(held.select("line", "owner", "df"), "shared-lines")
     pairs = each.distinct().join(held, "line").where("doc_id > owner").groupBy("doc_id", "owner").agg(F.count(F.lit(1)).alias("shared"), F.min("df").alias("df")).where((F.col("df") <= rare) | (F.col("shared") > 1))
     pairs = written(pairs.select("doc_id", "owner"), "line-pairs")
     early = own.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("early"))
