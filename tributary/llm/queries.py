@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, near_dedup, neighbours, quality, secrets, substring_dedup, token_rollups, warc
+from . import bpe, decontaminate, line_dedup, near_dedup, neighbours, oracles, quality, secrets, substring_dedup, token_rollups, warc
 
 #: The vocabulary of op10; the files belong to the installed tokenizers, not to this repository.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -86,4 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+#: The others have models, decoded layers, alignments, token merges or an index in them; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op4_warc_round_trip": oracles.OP4,
+    "op6_minhash_near_dedup": oracles.OP6,
+    "op8_bwt_substring_dedup": oracles.OP8,
+}
