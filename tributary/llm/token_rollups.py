@@ -115,6 +115,7 @@ def history(documents: DataFrame, old: tuple[str, str], new: tuple[str, str], pa
     spark = documents.sparkSession
     each = written(counts(documents, old, new, pattern), "token-counts")
     least = each.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("key", "least")
+    least = written(least, "copied-texts")  # a hot text can be split in a join of two exchanges
     marked = written(each.join(least, "key", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))), "marked")
     at = {v: marked.withColumn("tokenizer", F.lit(v)) for v in (old[0], new[0])}
     left = {v: df.where(~F.col("copy")) for v, df in at.items()}
