@@ -218,6 +218,7 @@ def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     """(page_id, digest, refers_to) of pages whose payload of ``least_bytes`` or more is that of a page of a larger id."""
     each = pages.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n")).where(f"n >= {int(least_bytes)} and page_id is not null")
     last = each.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to")
+    last = written(last.select("digest", "refers_to"), "copied-payloads")  # a hot payload can be split in a join of two exchanges
     return each.join(last, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
