@@ -6,6 +6,8 @@ absent from a ranking has a null rank and utility 0. Rows come out for every doc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,44 +19,52 @@ COLUMNS = "query_id doc_id stage1_system effect_type k_c k utility condensed bud
 TYPES = {"k_c": "long", "k": "long", "condensed": "boolean", "budget_b": "long", "t": "double", "seed": "long", "judged": "boolean", "rank_treatment": "long", "rank_control": "long", "utility_treatment": "double", "utility_control": "double", "effect": "double"}
 
 
-def _contract(df: DataFrame, utility: Utility, system: str) -> DataFrame:
+def _contract(df: DataFrame, system: str) -> DataFrame:
     """The effect table's columns in order, with typed nulls for those that do not apply."""
-    out = df.withColumns({"stage1_system": F.lit(system), "k": F.lit(utility.k), "utility": F.lit(utility.kind), "effect": F.col("utility_treatment") - F.col("utility_control")})
+    out = df.withColumns({"stage1_system": F.lit(system), "effect": F.col("utility_treatment") - F.col("utility_control")})
     return out.select(*[(F.col(c) if c in out.columns else F.lit(None)).cast(TYPES.get(c, "string")).alias(c) for c in COLUMNS])
 
 
-def _side(rank: Column, u: Column) -> list[Column]:
-    return [rank.cast("long"), u]
+def _listed(utility: Utility | Sequence[Utility]) -> list[Utility]:
+    return [utility] if isinstance(utility, Utility) else list(utility)
 
 
-def stage_effects(worlds: DataFrame, utility: Utility, system: str = "s1") -> DataFrame:
-    """e_rerank and e_gate of every document in ``worlds``: two rows each, unpivoted in one pass."""
-    u = {w: utility.of(F.col(f"rank_{w}"), F.col("relevance")) for w in "abc"}
-    wide = worlds.select("query_id", "doc_id", "k_c", "condensed", "judged", F.when(F.col("in_cq"), N.SURVIVOR).otherwise(N.NON_SURVIVOR).alias("stratum"), "rank_a", "rank_b", "rank_c", *[u[w].alias(f"u_{w}") for w in "abc"])
+def stage_effects(worlds: DataFrame, utility: Utility | Sequence[Utility], system: str = "s1") -> DataFrame:
+    """e_rerank and e_gate of every document in ``worlds``: two rows per utility, unpivoted in one pass."""
+    each = list(enumerate(_listed(utility)))
+    worth = [u.of(F.col(f"rank_{w}"), F.col("relevance")).alias(f"u_{w}_{i}") for i, u in each for w in "abc"]
+    wide = worlds.select("query_id", "doc_id", "k_c", "condensed", "judged", F.when(F.col("in_cq"), N.SURVIVOR).otherwise(N.NON_SURVIVOR).alias("stratum"), "rank_a", "rank_b", "rank_c", *worth)
 
-    def pair(kind: str, control: str) -> Column:
-        return F.struct(F.lit(kind).alias("effect_type"), F.col("rank_a").alias("rank_treatment"), F.col(f"rank_{control}").alias("rank_control"), F.col("u_a").alias("utility_treatment"), F.col(f"u_{control}").alias("utility_control"))
+    def pair(kind: str, control: str, i: int, u: Utility) -> Column:
+        return F.struct(
+            F.lit(kind).alias("effect_type"), F.lit(u.k).alias("k"), F.lit(u.kind).alias("utility"), F.col("rank_a").alias("rank_treatment"), F.col(f"rank_{control}").alias("rank_control"),
+            F.col(f"u_a_{i}").alias("utility_treatment"), F.col(f"u_{control}_{i}").alias("utility_control"),
+        )
 
-    rows = wide.withColumn("e", F.explode(F.array(pair(N.E_RERANK, "b"), pair(N.E_GATE, "c")))).select("query_id", "doc_id", "k_c", "condensed", "judged", "stratum", "e.*")
-    return _contract(rows, utility, system)
+    pairs = [pair(kind, control, i, u) for i, u in each for kind, control in ((N.E_RERANK, "b"), (N.E_GATE, "c"))]
+    rows = wide.withColumn("e", F.explode(F.array(*pairs))).select("query_id", "doc_id", "k_c", "condensed", "judged", "stratum", "e.*")
+    return _contract(rows, system)
 
 
-def budget_effects(allocated: DataFrame, utility: Utility, system: str = "s1") -> DataFrame:
+def budget_effects(allocated: DataFrame, utility: Utility | Sequence[Utility], system: str = "s1") -> DataFrame:
     """delta_t of every document and grid cell but t = 1, whose world is the baseline.
 
     The baseline is found again for each policy and seed, never taken from world A; it equals A only
-    where B = K_c.
+    where B = K_c. Several utilities are worked out on the same ranks.
     """
     same = Window.partitionBy("query_id", "doc_id", "k_c", "condensed", "policy", "seed")
     is_base = F.col("t") == 1.0
     rows = allocated.withColumn("rank_1", F.max(F.when(is_base, F.col("rank_t"))).over(same)).withColumn("has_base", F.max(is_base.cast("int")).over(same))
     rows = rows.where(F.when(F.col("has_base") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("a grid without t = 1 has no baseline")).cast("boolean"))).where(~is_base)
-    rows = rows.select(
+
+    def sides(u: Utility) -> Column:
+        return F.struct(F.lit(u.k).alias("k"), F.lit(u.kind).alias("utility"), u.of(F.col("rank_t"), F.col("relevance")).alias("utility_treatment"), u.of(F.col("rank_1"), F.col("relevance")).alias("utility_control"))
+
+    rows = rows.withColumn("e", F.explode(F.array(*map(sides, _listed(utility))))).select(
         "query_id", "doc_id", F.lit(N.DELTA_T).alias("effect_type"), "k_c", "condensed", F.col("budget").alias("budget_b"), "t", "policy", "seed", "stratum", "judged",
-        F.col("rank_t").alias("rank_treatment"), F.col("rank_1").alias("rank_control"),
-        utility.of(F.col("rank_t"), F.col("relevance")).alias("utility_treatment"), utility.of(F.col("rank_1"), F.col("relevance")).alias("utility_control"),
+        F.col("rank_t").alias("rank_treatment"), F.col("rank_1").alias("rank_control"), "e.*",
     )
-    return _contract(rows, utility, system)
+    return _contract(rows, system)
 
 
 def violations(effects: DataFrame, monotone: bool = True) -> DataFrame:

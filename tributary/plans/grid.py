@@ -32,11 +32,7 @@ def effect_grid(cascade: DataFrame, settings: Settings, system: str, utilities:
     grid = allocation.parameters(cascade.sparkSession, depths, settings.grid_t(optional_t), settings.policies, settings.budget_seeds, budget)
     full = allocation.allocate(worlds.build_worlds(cascade, depths), grid)
     spent = full if not any(modes) else allocation.condense(full) if all(modes) else full.unionByName(allocation.condense(full))
-    out = None
-    for u in own:
-        part = effects.stage_effects(both, u, system).unionByName(effects.budget_effects(spent, u, system))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return effects.stage_effects(both, own, system).unionByName(effects.budget_effects(spent, own, system))
 
 
 def write_grid(effects_: DataFrame, path: str) -> None:
