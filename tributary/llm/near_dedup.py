@@ -114,7 +114,8 @@ def hub_links(postings: DataFrame, sets: DataFrame, tau: int, percent: int) -> D
     other = one.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"))
     hits = F.aggregate(F.zip_with("sig", "hub_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda c, x: c + x)
     near = (hits >= tau) & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
-    pairs = pairs.join(one, "rep").join(other, "hub").where(near).select("hub", "rep").distinct()
+    # No distinct here: it would tie the join to the hub and keep a hot one in a single task.
+    pairs = pairs.join(one, "rep").join(other, "hub").where(near).select("hub", "rep")
     pairs = written(pairs.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.lit(1 << 20))), "hub-pairs")
     # Sums are written before they meet the rows they came from: a join of two exchanges can split a hot hub.
     chunks = written(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "hub-chunks")
