@@ -113,7 +113,8 @@ def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = R
     lined = written(lined, "lines")
     copies = lined.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.aggregate("sizes", F.lit(0), lambda s, x: s + x)).alias("chars"))
     copies = written(copies, "texts")  # a hot text can be split in a join of two exchanges
-    whole = lined.select("doc_id", "key").join(copies.where("first < last").where(F.col("chars") >= least_chars), "key").where("doc_id > first").select("doc_id", "key", F.lit(None).cast("array<int>").alias("gone"))
+    # Rows that repeat go first: a distinct after the join would keep all copies of a hot text in a single task.
+    whole = lined.select("doc_id", "key").distinct().join(copies.where("first < last").where(F.col("chars") >= least_chars), "key").where("doc_id > first").select("doc_id", "key", F.lit(None).cast("array<int>").alias("gone"))
     own = written(lined.join(copies.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"]), "first-copies")
     each = own.select("doc_id", F.explode(F.arrays_zip("hashes", "sizes")).alias("l")).where(F.col("l.sizes") >= least_chars).select("doc_id", F.col("l.hashes").alias("line"))
     held = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("df")).where("owner < last")
@@ -128,7 +129,7 @@ def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = R
 
     aligned = map_rows(both, ["doc_id", "key"], [F.col("early"), F.col("hashes"), F.col("sizes")], [("gone", "array<int>", pa.list_(pa.int32()))], lambda: run)
     part = aligned.where(F.size("gone") > 0).groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    return whole.distinct().unionByName(part)
+    return whole.unionByName(part)
 
 
 def line_dedup(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = RARE) -> DataFrame:
