@@ -47,6 +47,14 @@ def test_edges(edge, edge_rows, nothing):
     assert S.digests(nothing).count() == 0
 
 
+@pytest.mark.parametrize("combined, parts", [(S.COMBINED, 1), (1, 1), (S.COMBINED, 2)])
+def test_repeated_rows_of_a_unique_text_lose_nothing(spark, monkeypatch, combined, parts):
+    monkeypatch.setattr(S, "COMBINED", combined)
+    text = " ".join(f"word{i}" for i in range(60))
+    out = S.digests(frame(spark, [(1, text), (1, text), (2, "another " + text), (2, "another " + text)]).repartition(parts)).collect()
+    assert {(r.doc_id, r.n_removed) for r in out} == {(1, 0), (2, len(text))} and len(out) == 4
+
+
 def test_periodic_texts_and_zero_bytes(spark):
     rows = [(1, "ab" * 300 + "x" + "ab" * 200), (2, "ab" * 120), (3, "y" * 99), (4, "y" * 100), (5, "y" * 300 + "é" * 200), (6, "\0" * 250), (7, "the of " * 400)]
     assert got(S.digests(frame(spark, rows))) == brute(rows)

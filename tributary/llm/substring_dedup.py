@@ -152,6 +152,8 @@ def _spans(found: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarra
 def _merge(g: pd.DataFrame, length: int) -> pd.DataFrame:
     """Ranges to remove among segments of whole anchors; g: doc_id, key, place, low, high, segment."""
     g = g.sort_values(["doc_id", "place", "key"], kind="stable", ignore_index=True)
+    # Repeated rows of a document are one occurrence.
+    g = g[~g.duplicated(["doc_id", "place", "key", "low", "high"])]
     again = g.duplicated(["low", "high", "segment"]).to_numpy()
     twice = g[again]
     out = [pd.DataFrame({"doc_id": twice["doc_id"], "key": twice["key"], "start": twice["place"] - twice["high"], "end": twice["place"] - twice["low"] + length})]
@@ -222,6 +224,8 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                         low, high, segment = p - j, p - i, data[i : j + length]
                         mark, mine = (x, low, high, segment), (doc, p, key)
                         was = first.get(mark)
+                        if mine == was:  # the same row again
+                            continue
                         if was is None or mine < was:
                             first[mark] = mine
                             mine = was
