@@ -74,3 +74,29 @@ def test_boilerplate_alone_pairs_nothing(spark):
     rows = [(i, f"the only line of its kind, number {i}, and long enough\n{notice}") for i in range(L.RARE + 5)]
     assert texts_of(L.line_dedup(frame(spark, rows))) == sorted(rows, key=str)
     assert sum(notice in t for _, t in texts_of(L.line_dedup(frame(spark, rows[: L.RARE])))) == 1
+
+
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14), st.sampled_from([1, 20, 1 << 28]))
+@settings(max_examples=300, deadline=None)
+def test_longest_common_subsequence(a, b, bits):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    had, L.ROW_BITS = L.ROW_BITS, bits
+    try:
+        got = L.longest_common(a, b)
+    finally:
+        L.ROW_BITS = had
+    assert len(got) == table[-1][-1] and all(a[i] == b[j] for i, j in got)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+def test_lines_that_recur_are_matched():
+    assert L.common_lines([1, 7, 7, 8, 8, 2], [3, 7, 7, 8, 8, 4], [0, 20, 20, 20, 20, 0], 30) == [1, 2, 3, 4]
+
+
+def test_passages_of_short_lines_are_removed(spark):
+    verse = "\n".join(f"short line {c}" for c in "abcdef")
+    rows = [(1, f"one text\n{verse}\nends here"), (2, f"other text\n{verse}\nhas an end"), (3, "short line a\nshort line b\nno more of it")]
+    assert texts_of(L.line_dedup(frame(spark, rows))) == [rows[0], (2, "other text\nhas an end"), rows[2]]

@@ -1,13 +1,14 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed. The first document that holds a line owns it, and a later document is paired with
-the owners of its lines: one shared rare line is enough, common lines have to be two or more with
-one owner, so boilerplate alone pairs nothing while large groups of near copies still meet in their
-first member. Each pair is aligned by patience diff over the line hashes and the aligned common
+Lines are hashed. At every line a run begins: the fewest lines in a row that have LEAST_CHARS
+characters, so a long line is one and short lines are joined. The first document that holds a run
+owns it, and a later document is paired with the owners of its runs: one shared rare run is enough,
+common runs have to end on two or more lines with one owner, so boilerplate alone pairs nothing while
+large groups of near copies still meet in their first member. Each pair is aligned by patience diff over the line hashes and the aligned common
 blocks are deleted from the later document. Exact copies collapse before all this: the whole text of
 a later copy is one common block.
 
-A document has no more partners than lines, so the pairs grow with the lines, not with the square of
+A document has no more partners than runs, one a line at most, so the pairs grow with the lines, not with the square of
 a group. What is joined and aligned are hashes; whole texts move once, when the lines are deleted.
 """
 
@@ -15,23 +16,77 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, bounded_batches, map_rows, written
 
-#: Characters that a line needs to pair documents, and a common block needs to be deleted.
+#: Characters that a run of lines needs to pair documents, and a common block needs to be deleted.
 LEAST_CHARS = 30
-#: Documents that may share a line for it to count as rare.
+#: Documents that may share a run for it to count as rare.
 RARE = 10
+#: Bits of the rows that a longest common subsequence keeps at once; longer sequences are halved first.
+ROW_BITS = 1 << 28
+_MULT = 0x9E3779B97F4A7C15
+
+
+def _rows(a: list[int], b: list[int]) -> list[int]:
+    """After each element of ``a``, the bits of ``b``: 0 where the longest common subsequence with
+    what comes before is one shorter."""
+    places: dict[int, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    v = full = (1 << len(b)) - 1
+    out = []
+    for x in a:
+        u = v & places.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        out.append(v)
+    return out
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with every beginning of ``b``."""
+    places: dict[int, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    v = full = (1 << len(b)) - 1
+    for x in a:
+        u = v & places.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), count=len(b), bitorder="little")
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def longest_common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places (in a, in b) of one longest common subsequence, in order."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > ROW_BITS:
+        half = len(a) // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return longest_common(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in longest_common(a[half:], b[cut:])]
+    rows, out = _rows(a, b), []
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Common blocks (start in a, start in b, length) of two sequences, in order.
 
     Elements that occur once in both sequences of a range are matched along their longest increasing
-    subsequence; matches grow over equal neighbours, and the gaps between them are taken in turn.
+    subsequence; matches grow over equal neighbours, and the gaps between them are taken in turn. A
+    range without such elements is matched along a longest common subsequence.
     """
     matched: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
@@ -53,6 +108,9 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
             in_b[b[j]] = -1 if b[j] in in_b else j
         unique = [(in_a[h], j) for h, j in in_b.items() if j >= 0 and in_a.get(h, -1) >= 0]
         if not unique:
+            at_a = [i for i in range(a0, a1) if a[i] in in_b]
+            at_b = [j for j in range(b0, b1) if b[j] in in_a]
+            matched += [(at_a[i], at_b[j]) for i, j in longest_common([a[i] for i in at_a], [b[j] for j in at_b])]
             continue
         unique.sort(key=lambda x: x[1])
         tails: list[int] = []
@@ -96,6 +154,21 @@ def common_lines(early: list[int], late: list[int], sizes: list[int], least_char
     return out
 
 
+def runs(hashes: list[int], sizes: list[int], least_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the run, hash of its last line) of each run of lines; a run of one line has its hash."""
+    h, n = np.asarray(hashes, np.int64).view(np.uint64), np.asarray(sizes, np.int64)
+    sums = np.r_[0, np.cumsum(n)]
+    at = np.flatnonzero((n > 0) | (n >= least_chars))
+    end = np.maximum(np.searchsorted(sums, sums[at] + least_chars), at + 1)
+    at, end = at[end <= len(n)], end[end <= len(n)]
+
+    def powers(x: int) -> np.ndarray:
+        return np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(n), x, np.uint64)])
+
+    before = np.r_[np.uint64(0), np.cumsum(h * powers(_MULT)[:-1], dtype=np.uint64)]
+    return ((before[end] - before[at]) * powers(pow(_MULT, -1, 1 << 64))[at]).view(np.int64), h[end - 1].view(np.int64)
+
+
 def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = RARE) -> DataFrame:
     """(doc_id, key, gone): line numbers to delete by document; gone is null where all lines go.
 
@@ -116,10 +189,17 @@ def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = R
     # Rows that repeat go first: a distinct after the join would keep all copies of a hot text in a single task.
     whole = lined.select("doc_id", "key").distinct().join(copies.where("first < last").where(F.col("chars") >= least_chars), "key").where("doc_id > first").select("doc_id", "key", F.lit(None).cast("array<int>").alias("gone"))
     own = written(lined.join(copies.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"]), "first-copies")
-    each = own.select("doc_id", F.explode(F.arrays_zip("hashes", "sizes")).alias("l")).where(F.col("l.sizes") >= least_chars).select("doc_id", F.col("l.hashes").alias("line"))
+
+    def joined(a: list, n: list) -> tuple[list, ...]:
+        both = [runs(x, y, least_chars) for x, y in zip(a, n, strict=True)]
+        return [x for x, _ in both], [y for _, y in both]
+
+    longs = pa.list_(pa.int64())
+    each = map_rows(own, ["doc_id"], [F.col("hashes"), F.col("sizes")], [("line", "array<long>", longs), ("last", "array<long>", longs)], lambda: joined)
+    each = each.select("doc_id", F.explode(F.arrays_zip("line", "last")).alias("l")).select("doc_id", "l.line", F.col("l.last").alias("at"))
     held = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("df")).where("owner < last")
     held = written(held.select("line", "owner", "df"), "shared-lines")
-    pairs = each.distinct().join(held, "line").where("doc_id > owner").groupBy("doc_id", "owner").agg(F.count(F.lit(1)).alias("shared"), F.min("df").alias("df")).where((F.col("df") <= rare) | (F.col("shared") > 1))
+    pairs = each.distinct().join(held, "line").where("doc_id > owner").groupBy("doc_id", "owner").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.min("df").alias("df")).where((F.col("df") <= rare) | (F.col("a") < F.col("b")))
     pairs = written(pairs.select("doc_id", "owner"), "line-pairs")
     early = own.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("early"))
     both = pairs.join(own, "doc_id").join(early, "owner")
