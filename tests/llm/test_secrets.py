@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -84,3 +86,51 @@ def test_same_layer_twice_and_cycles_end():
     for _ in range(12):
         deep = base64.b64encode(deep.encode()).decode()
     assert [f for f in secrets.findings(deep) if f[0] == "assign"]
+
+
+def wrap(data, width=76, indent=""):
+    run = base64.b64encode(data).decode()
+    return f"\n{indent}".join(run[i : i + width] for i in range(0, len(run), width))
+
+
+FILLER = "".join(f"{i},{i * i % 977};" for i in range(400))
+RAW = zlib.compressobj(9, zlib.DEFLATED, -15)
+RAW = RAW.compress(PLAIN.encode()) + RAW.flush()
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        base64.b64encode(gzip.compress(b"nothing in here") + gzip.compress(PLAIN.encode())).decode(),
+        base64.b64encode(RAW).decode(),
+        base64.b64encode(bz2.compress(PLAIN.encode())).decode(),
+        base64.b64encode(lzma.compress(PLAIN.encode())).decode(),
+        base64.b64encode(gzip.compress((FILLER + PLAIN).encode())[:-9]).decode(),  # cut off
+        base64.b64encode(b"caf\xe9 au lait, " + PLAIN.encode()).decode(),
+        wrap(("x" * 50 + PLAIN + " y" * 40).encode()),
+        wrap(gzip.compress((FILLER + PLAIN).encode()), 64),
+        wrap(gzip.compress((FILLER + PLAIN).encode()), 64, "    "),
+        "internationalisms\n" + wrap(gzip.compress((FILLER + PLAIN).encode()), 64),
+        "first%FFpassword%3Dabcdefgh1",
+    ],
+)
+def test_layers_that_are_not_whole_or_plain(hidden):
+    text = f"é {hidden} ü"
+    found = [f for f in secrets.findings(text) if f[0] == "assign" and f[3]]
+    assert found and 2 <= found[0][1] < found[0][2] <= 2 + len(hidden)
+
+
+@pytest.mark.parametrize("piece", [secrets.PIECE, 1000, 37])
+def test_streams_are_scanned_to_their_end(monkeypatch, piece):
+    monkeypatch.setattr(secrets, "PIECE", piece)
+    noise = ", ".join(str(i * 7919 % 10007) for i in range(20_000))
+    for inner in (PLAIN, base64.b64encode(PLAIN.encode()).decode(), f"{'a' * 3000}{PLAIN}"):
+        body = f"{noise}, {inner}, {noise}".encode()
+        for packed in (gzip.compress(body), bz2.compress(body), lzma.compress(body), zlib.compress(gzip.compress(body))):
+            text = base64.b64encode(packed).decode()
+            assert [(k, s, e) for k, s, e, via in secrets.findings(text) if k == "assign"] == [("assign", 0, len(text.rstrip("=")))]
+
+
+def test_more_is_inflated_than_is_held():
+    body = b"no secret in this line, " * 6_000_000 + PLAIN.encode()
+    assert [f[0] for f in secrets.findings(base64.b64encode(zlib.compress(body)).decode())] == ["assign"]

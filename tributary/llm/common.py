@@ -45,9 +45,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts travel to Python in Arrow batches; few rows a batch keep workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 512, bytes_: int = 16 << 20) -> None:
+    """Whole texts travel to Python in Arrow batches; few rows and bytes a batch keep workers small.
+
+    Frames are lazy and read these settings when they run, so they stay in the session; they are only
+    ever lowered. A row larger than ``bytes_`` is a batch of its own.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", bytes_)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

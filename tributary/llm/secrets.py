@@ -2,19 +2,27 @@
 
 The text itself is the first layer. A worklist takes one layer at a time, scans it, and adds the
 layers that decoding it yields: percent escapes, Unicode escapes and character references (the layer
-as a whole, so that a secret may begin in plain text and end in an escape), and base64 runs, whose
-bytes may be gzip or zlib streams. Each character of a layer carries the span of the text that it
-came from, so every finding maps back. The worklist ends at a fixpoint: a layer whose content and
-place have been seen is not taken again, which also ends cycles.
+as a whole, so that a secret may begin in plain text and end in an escape), and base64 runs, also
+those wrapped into lines, whose bytes may be gzip, zlib, deflate, bzip2 or xz streams. Each character
+of a layer carries the span of the text that it came from, so every finding maps back. The worklist
+ends at a fixpoint: a layer whose content and place have been seen is not taken again, which also
+ends cycles.
+
+Streams are inflated through all their members, piece by piece. A piece ends where no pattern can be
+running, so nothing is cut, and only a single run of pattern characters is ever held whole.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bz2
+import codecs
+import lzma
 import re
 import zlib
-from collections import deque
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, map_rows
 
 KINDS = ("assign", "access", "hex")
-#: A stream that inflates to more bytes than this is scanned that far (a guard against bombs).
-MAX_INFLATED = 64 << 20
+#: Bytes that a stream is inflated by at a time.
+PIECE = 1 << 20
 
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
 
@@ -43,6 +51,12 @@ _HINTS = ("passw", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
+#: Runs that touch over single line breaks: the first long, the others of any length.
+_WRAPPED = tuple(re.compile(rf"(?<!{c}){c}{{16,}}+(?:\r?\n[ \t]*+{c}++)+") for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]"))
+_LINE = (re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"[A-Za-z0-9_-]+"))
+_NO_TEXT = re.compile("[\0-\x08\x0b\x0c\x0e-\x1f\udc80-\udcff]")
+#: Every character that a pattern of this module can hold; a piece may end after any other.
+_RUNNING = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\{}&#;\r\n\t"
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -66,35 +80,106 @@ class _Layer:
         self.text, self.start, self.end, self.via = text, start, end, via
 
 
-def _from_bytes(data: bytes, start: np.ndarray, end: np.ndarray, via: str) -> _Layer | None:
-    """A layer of bytes that are UTF-8 text, or a gzip or zlib stream of it; else none."""
-    whole = False
-    while data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-        try:
-            tool = zlib.decompressobj(47)
-            inflated = tool.decompress(data, MAX_INFLATED)
-        except zlib.error:
-            break
-        if not inflated or inflated == data:
-            break
-        data, whole, via = inflated, True, f"{via}>inflate"
+def _is_text(text: str) -> bool:
+    return bool(text) and 8 * len(_NO_TEXT.findall(text)) <= len(text)
+
+
+def _opened(data: bytes, raw: bool = False):
+    """A decompressor for the stream that ``data`` begins with, or None."""
+    if raw:
+        return zlib.decompressobj(-15)
+    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\0" else None
+
+
+def _inflated(chunks: Iterator[bytes], raw: bool = False) -> Iterator[bytes]:
+    """What the members of a stream inflate to, one after the other and in pieces; then what follows
+    them. A broken member ends it; what came out before counts."""
+    tool, rest = None, b""
+    for chunk in chain(chunks, [None]):
+        rest += chunk or b""
+        pending = bool(rest)
+        while pending and (tool is not None or chunk is None or len(rest) > 5):
+            if tool is None and (tool := _opened(rest, raw)) is None:
+                yield rest
+                yield from (x for x in chunks if x)
+                return
+            try:
+                out = tool.decompress(rest, PIECE)
+            except (zlib.error, lzma.LZMAError, OSError, EOFError):
+                return
+            rest = tool.unused_data if tool.eof else getattr(tool, "unconsumed_tail", b"")
+            if out:
+                yield out
+            pending = bool(rest) or (len(out) >= PIECE and not tool.eof)
+            if tool.eof:
+                if raw:
+                    return
+                tool = None
+
+
+def _raw_stream(data: bytes) -> bool:
+    """Whether the bytes are one whole deflate stream without a header."""
+    tool, rest = zlib.decompressobj(-15), data
     try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        if not whole:
-            return None
-        text = data.decode("utf-8", "replace")
-    if not text or sum(c < " " and c not in "\t\n\r" for c in text) > len(text) // 8:
-        return None
-    if whole:
-        first, last = int(start[0]), int(end[-1])
-        return _Layer(text, np.full(len(text), first), np.full(len(text), last), via)
-    if len(text) != len(data):
-        at = np.frombuffer(data, np.uint8)
-        heads = np.flatnonzero((at & 0xC0) != 0x80)
-        tails = np.r_[heads[1:], len(data)] - 1
-        start, end = start[heads], end[tails]
-    return _Layer(text, start, end, via)
+        while not tool.eof and (rest or rest is data):
+            out = tool.decompress(rest, PIECE)
+            rest = tool.unconsumed_tail
+            if not rest and len(out) < PIECE:
+                break
+    except zlib.error:
+        return False
+    return tool.eof and not tool.unused_data
+
+
+def _pieces(chunks: Iterator[bytes]) -> Iterator[str]:
+    """Text of a stream, cut only after characters that no pattern holds."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("surrogateescape"), []
+    for chunk in chunks:
+        text = decoder.decode(chunk)
+        cut = len(text.rstrip(_RUNNING))
+        if cut:
+            yield "".join([*held, text[:cut]])
+            held = []
+        held.append(text[cut:])
+    if last := "".join([*held, decoder.decode(b"", True)]):
+        yield last
+
+
+def _from_bytes(data: bytes, start: np.ndarray, end: np.ndarray, via: str) -> Iterator[_Layer]:
+    """Layers of bytes that are text, or a stream of it. All of a stream stands for all its bytes."""
+    text = data.decode("utf-8", "surrogateescape")
+    raw = False
+    if _opened(data) is None:
+        if _is_text(text):
+            if len(text) != len(data):
+                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                wide = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+                wide[(points >= 0xDC80) & (points <= 0xDCFF)] = 1
+                tails = np.cumsum(wide)
+                start, end = start[tails - wide], end[tails - 1]
+            yield _Layer(text, start, end, via)
+            return
+        if not (raw := len(data) > 8 and _raw_stream(data)):
+            return
+    first, last, chunks = start[0], end[-1], iter([data])
+    while True:
+        chunks, via = _inflated(chunks, raw), f"{via}>inflate"
+        head = next(chunks, None)
+        if head is None:
+            return
+        while len(head) < 6 and (more := next(chunks, None)):
+            head += more
+        chunks = chain([head], chunks)
+        if _opened(head) is None:
+            break
+        raw = False
+    for text in _pieces(chunks):
+        if not raw or _is_text(text):
+            yield _Layer(text, np.broadcast_to(first, len(text)), np.broadcast_to(last, len(text)), via)
 
 
 def _replaced(layer: _Layer, pattern: re.Pattern, to_text, via: str) -> _Layer | None:
@@ -117,12 +202,10 @@ def _replaced(layer: _Layer, pattern: re.Pattern, to_text, via: str) -> _Layer |
 
 def _percent(m: re.Match):
     data = binascii.unhexlify(m.group().replace("%", ""))
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    heads = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    return text, heads * 3, np.r_[heads[1:], len(data)] * 3 - 1
+    text = data.decode("utf-8", "surrogateescape")  # a byte that is no UTF-8 is a character of its own
+    size = np.array([len(c.encode("utf-8", "surrogateescape")) for c in text])
+    tails = np.cumsum(size)
+    return text, (tails - size) * 3, tails * 3 - 1
 
 
 def _escape(m: re.Match):
@@ -133,55 +216,83 @@ def _escape(m: re.Match):
     return chr(point), np.array([0]), np.array([m.end() - m.start() - 1])
 
 
-def _decodings(layer: _Layer) -> list[_Layer]:
-    text, out = layer.text, []
+def _wrapped(places: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Ways to read touching runs as one: all of them, and those of one width with a shorter last
+    one, with or without a first one of another width."""
+    if len(places) > 1:
+        yield places
+    sizes = [b - a for a, b in places]
+    i = 0
+    while i < len(places):
+        j = i + 1
+        while j < len(places) and sizes[j] == sizes[i]:
+            j += 1
+        stop = j + (j < len(places) and sizes[j] < sizes[i])
+        if stop - i > 1:
+            for first in (i - 1, i):
+                if first >= 0 and (first, stop) != (0, len(places)):
+                    yield places[first:stop]
+        i = j
+
+
+def _decodings(layer: _Layer) -> Iterator[_Layer]:
+    text = layer.text
     if "%" in text:
-        out.append(_replaced(layer, _PERCENT, _percent, "url"))
+        if (whole := _replaced(layer, _PERCENT, _percent, "url")) is not None:
+            yield whole
         for m in _PERCENT.finditer(text):  # bytes that are no text may be a stream
             data = binascii.unhexlify(m.group().replace("%", ""))
-            if data[:1] in (b"\x1f", b"\x78"):
+            if _opened(data) is not None:
                 at = m.start() + 3 * np.arange(len(data))
-                out.append(_from_bytes(data, layer.start[at], layer.end[at + 2], f"{layer.via}>url" if layer.via else "url"))
+                yield from _from_bytes(data, layer.start[at], layer.end[at + 2], f"{layer.via}>url" if layer.via else "url")
     if "\\" in text or "&#" in text:
-        out.append(_replaced(layer, _UNICODE, _escape, "unicode"))
+        if (whole := _replaced(layer, _UNICODE, _escape, "unicode")) is not None:
+            yield whole
+
+    def decoded(places: list[tuple[int, int]], other: bytes | None) -> Iterator[_Layer]:
+        run = "".join(text[a:b] for a, b in places)
+        run = run[: len(run) - (len(run) % 4 == 1)]
+        try:
+            data = base64.b64decode(run + "=" * (-len(run) % 4), altchars=other)
+        except (binascii.Error, ValueError):
+            return
+        at = np.concatenate([np.arange(a, b) for a, b in places])
+        n = np.arange(len(data))
+        yield from _from_bytes(data, layer.start[at[n * 4 // 3]], layer.end[at[np.minimum((n * 8 + 7) // 6, len(at) - 1)]], f"{layer.via}>base64" if layer.via else "base64")
+
     done = set()
-    for pattern, other in zip(_BASE64, (None, b"-_"), strict=True):
-        for m in pattern.finditer(text):
-            if m.span() in done:
-                continue
-            done.add(m.span())
-            run = m.group().rstrip("=")
-            run = run[: len(run) - (len(run) % 4 == 1)]
-            try:
-                data = base64.b64decode(run + "=" * (-len(run) % 4), altchars=other)
-            except (binascii.Error, ValueError):
-                continue
-            at = m.start() + np.arange(len(data)) * 4 // 3
-            last = np.minimum(m.start() + (np.arange(len(data)) * 8 + 7) // 6, m.end() - 1)
-            out.append(_from_bytes(data, layer.start[at], layer.end[last], f"{layer.via}>base64" if layer.via else "base64"))
-    return [x for x in out if x is not None]
+    for pattern, wrapped, line, other in zip(_BASE64, _WRAPPED, _LINE, (None, b"-_"), strict=True):
+        single = ((m.start(), m.start() + len(m.group().rstrip("="))) for m in pattern.finditer(text))
+        joined = ([x.span() for x in line.finditer(text, m.start(), m.end())] for m in wrapped.finditer(text)) if "\n" in text else ()
+        for places in chain(([x] for x in single), (way for places in joined for way in _wrapped(places))):
+            if (mark := tuple(places)) not in done:
+                done.add(mark)
+                yield from decoded(places, other)
 
 
 def findings(text: str | None) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, via) of all layers in order of start, kind, end; via is empty for the text itself."""
     if not text:
         return []
-    base = scan(text)
-    found = {s: "" for s in base}
-    has_runs = any(p.search(text) for p in _BASE64)
-    if has_runs or "%" in text or "\\" in text or "&#" in text:
+    found = {s: "" for s in scan(text)}
+    if "%" in text or "\\" in text or "&#" in text or any(p.search(text) for p in _BASE64):
         at = np.arange(len(text))
-        work, seen = deque([_Layer(text, at, at + 1, "")]), set()
+        work: list[Iterator[_Layer]] = [iter([_Layer(text, at, at + 1, "")])]
+        seen: set[tuple[bytes, int]] = set()
         while work:
-            layer = work.popleft()
+            if (layer := next(work[-1], None)) is None:
+                work.pop()
+                continue
             mark = (xxhash.xxh3_128_digest(layer.text.encode("utf-8", "surrogatepass")), int(layer.start[0]))
             if mark in seen:
                 continue
             seen.add(mark)
-            if layer.via:
-                for kind, s, e in scan(layer.text):
-                    found.setdefault((kind, int(layer.start[s]), int(layer.end[e - 1])), layer.via)
-            work.extend(_decodings(layer))
+            for kind, s, e in scan(layer.text) if layer.via else ():
+                key = (kind, int(layer.start[s]), int(layer.end[e - 1]))
+                was = found.get(key)
+                if was is None or (was and layer.via.count(">") < was.count(">")):
+                    found[key] = layer.via
+            work.append(_decodings(layer))
     order = {k: i for i, k in enumerate(KINDS)}
     return [(*k, via) for k, via in sorted(found.items(), key=lambda x: (x[0][1], order[x[0][0]], x[0][2]))]
 
@@ -192,7 +303,7 @@ def secret_spans(documents: DataFrame) -> DataFrame:
     Spans are in code points of the row's text, end exclusive; via names the layers that a finding
     was decoded through and is empty for one in the text itself. Null and empty texts have none.
     Every row comes back, repeated ones and null ids too; other columns are ignored. An empty table
-    gives an empty table.
+    gives an empty table. Texts and what is inflated from them are scanned to their end.
     """
     bounded_batches(documents.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("via", pa.string())]))
@@ -206,7 +317,13 @@ def secret_spans(documents: DataFrame) -> DataFrame:
 
 
 def span_digests(documents: DataFrame) -> DataFrame:
-    """Counts and spans per document: those of the text itself, digested, and all with decoded layers."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of ``documents``.
+
+    Counts and digest are those of the text itself, ``spans`` joins all, decoded ones too. Null and
+    empty texts count 0, have the digest of an empty string and no spans; a text may be of any
+    length. Repeated rows and null ids come back as they are, ties between spans fall by start, kind
+    and end, other columns are ignored, and an empty table gives an empty table.
+    """
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
