@@ -14,6 +14,9 @@ that no language, source or word list enters.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -174,10 +177,11 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
     """Model and class prior from the rows that are not held out.
 
     Positives are documents labelled 1, the unlabelled side is drawn from all documents; either
-    side has at most ``sample`` rows, so what reaches the driver has a fixed bound. Labels are used
-    only to find positives; null, repeated and unmatched ones do no harm. Fewer than 20 rows on
-    either side give no model.
+    side has at most ``sample`` rows, which one task fits on, and the driver receives the weights.
+    Labels are used only to find positives; null, repeated and unmatched ones do no harm. Fewer than
+    20 rows on either side give no model. Texts may be of any length: they are read in pieces.
     """
+    bounded_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     good = labels.where("quality = 1").select("doc_id").join(rows.select("doc_id"), "doc_id", "left_semi")
     chosen = [_sampled(d, sample).withColumn("positive", F.lit(p)) for d, p in ((good, True), (rows.select("doc_id"), False))]
@@ -185,14 +189,22 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
     texts = rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "positive"])
     added = [("x", "binary", pa.binary())]
     got = map_rows(texts, ["positive"], [F.col("text").cast("string")], added, lambda: lambda ts: ([features(t).astype(np.float16).tobytes() for t in ts],))
-    sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for r in written(got, "training-features").toLocalIterator():
-        sides[r.positive].append(np.frombuffer(r.x, np.float16))
-    if min(map(len, sides.values())) < 20:
-        return None, 0.5
-    pos, unl = (np.stack(sides[p]).astype(np.float32) for p in (True, False))
-    order = [np.lexsort(x.T[:8]) for x in (pos, unl)]  # the same order at any partitioning
-    return fit(pos[order[0]], unl[order[1]])
+    sample_of = written(got, "training-features")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        for batch in batches:
+            for positive, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sides[positive].append(np.frombuffer(x, np.float16))
+        if min(map(len, sides.values())) >= 20:
+            pos, unl = (np.stack(sides.pop(p)).astype(np.float32) for p in (True, False))
+            order = [np.lexsort(x.T[:8]) for x in (pos, unl)]  # the same order at any partitioning
+            model, prior = fit(pos[order[0]], unl[order[1]])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary()), pa.array([prior])], names=["model", "prior"])
+
+    # One task fits on the bounded sample; the driver sees the weights only.
+    rows = sample_of.select("positive", "x").coalesce(1).mapInArrow(fitted, "model binary, prior double").collect()
+    return (pickle.loads(rows[0].model), rows[0].prior) if rows else (None, 0.5)
 
 
 def scores(documents: DataFrame, model: Model | None, keep: list[str], name: str = "score") -> DataFrame:
