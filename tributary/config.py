@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from dataclasses import asdict, dataclass, field, replace
-
-import numpy as np
+from itertools import accumulate
 
 from . import names as N
 from .errors import ConfigError
@@ -15,6 +15,7 @@ from .functions.utility import GAINS, KINDS
 
 @dataclass(frozen=True)
 class Settings:
+    # The defaults of the study.
     sources: tuple[str, ...] = ("bm25", "dpr")
     optional_sources: tuple[str, ...] = ("splade",)
     depth_m: int = 5000
@@ -45,28 +46,9 @@ class Settings:
     seed: int = 42
 
     def __post_init__(self):
-        for refused, why in (
-            (set(self.stage1_systems) - set(self.sources), "a first stage that is no source could leave the universe"),
-            (self.depth_m <= max(self.candidate_depths), "the universe has to be deeper than the gate"),
-            (self.k > min(self.candidate_depths), "the cutoff exceeds the candidate set"),
-            (not self.b_equals_kc and self.b_absolute is None, "the budget is unset"),
-            (1.0 not in self.t_grid, "t = 1 is the baseline and has to be in the grid"),
-            (any(not 0 <= t <= 1 for t in self.t_grid + self.t_grid_optional), "t lies in [0, 1]"),
-            (set(self.policies) - set(N.POLICIES), "unknown policy"),
-            (N.ALTERNATIVE in self.policies and self.alternative_source not in self.sources + self.optional_sources, "the alternative policy needs another source"),
-            (self.utility not in KINDS, "unknown utility"),
-            (not self.gains or min(self.gains.values()) < 0, "gains have to be given and not negative"),
-            ([self.gains[g] for g in sorted(self.gains)] != sorted(self.gains.values()), "gains must not fall with the grade"),
-            (not 0 < self.persistence < 1, "persistence lies in (0, 1)"),
-            (self.unjudged != "unknown", "unjudged documents are unknown, not irrelevant"),
-            (self.reference_strategy not in ("random", "stratified_universe_size", "stratified_jaccard"), "unknown reference strategy"),
-            (self.reference_size < 2, "a reference subset needs two queries"),
-            (self.tau_query <= 0, "tau has to be positive"),
-            (self.granularity not in ("passage", "document"), "unknown granularity"),
-            (self.granularity == "document" and not self.segmentation, "documents need a segmentation"),
-        ):
-            if refused:
-                raise ConfigError(why)
+        """All that is incoherent is named at once, field by field."""
+        if wrong := [f"{name}: {why}" for name, rules in _RULES.items() for holds, why in rules if not holds(self)]:
+            raise ConfigError("; ".join(wrong))
 
     @property
     def fingerprint(self) -> str:
@@ -83,6 +65,41 @@ class Settings:
         return [(self.utility, self.k), *((u, self.k) for u in self.other_utilities), *((self.utility, k) for k in self.other_cutoffs)]
 
 
+def _one_of(name: str, allowed) -> tuple:
+    return (lambda s: getattr(s, name) in allowed), f"has to be one of {', '.join(allowed)}"
+
+
+#: What each field has to satisfy, given the others.
+_RULES: dict[str, list[tuple]] = {
+    "utility": [_one_of("utility", KINDS)],
+    "persistence": [(lambda s: 0 < s.persistence < 1, "has to lie between 0 and 1")],
+    "gains": [
+        (lambda s: bool(s.gains), "no grade has a gain"),
+        (lambda s: all(v >= 0 for v in s.gains.values()), "a gain is negative"),
+        (lambda s: all(s.gains[a] <= s.gains[b] for a in s.gains for b in s.gains if a < b), "a higher grade gains less"),
+    ],
+    "unjudged": [_one_of("unjudged", ("unknown",))],
+    "granularity": [_one_of("granularity", ("passage", "document"))],
+    "segmentation": [(lambda s: s.segmentation or s.granularity != "document", "missing for whole documents")],
+    "candidate_depths": [
+        (lambda s: all(d < s.depth_m for d in s.candidate_depths), "a gate is not shallower than the universe"),
+        (lambda s: all(s.k <= d for d in s.candidate_depths), "a candidate set is smaller than the cutoff"),
+    ],
+    "stage1_systems": [(lambda s: set(s.stage1_systems) <= set(s.sources), "a system that is no source can leave the universe")],
+    "b_absolute": [(lambda s: s.b_equals_kc or s.b_absolute is not None, "no budget is given")],
+    "t_grid": [
+        (lambda s: 1.0 in s.t_grid, "the baseline t = 1 is missing"),
+        (lambda s: all(0 <= t <= 1 for t in s.grid_t(True)), "a t is outside [0, 1]"),
+    ],
+    "policies": [(lambda s: set(s.policies) <= set(N.POLICIES), "one is unknown")],
+    "alternative_source": [(lambda s: N.ALTERNATIVE not in s.policies or s.alternative_source in (*s.sources, *s.optional_sources), "is no source")],
+    "reference_strategy": [_one_of("reference_strategy", ("random", "stratified_universe_size", "stratified_jaccard"))],
+    "reference_size": [(lambda s: s.reference_size >= 2, "a subset has at least two queries")],
+    "tau_query": [(lambda s: s.tau_query > 0, "has to be positive")],
+    "tau_document": [(lambda s: s.tau_document > 0, "has to be positive")],
+}
+
+
 def load(path: str, **changes) -> Settings:
     """Settings from a YAML mapping of field names."""
     import yaml
@@ -97,19 +114,16 @@ def load(path: str, **changes) -> Settings:
 
 
 def split_queries(query_ids: list[str], fractions: dict[str, float], seed: int) -> dict[str, list[str]]:
-    """Seeded partition of sorted ids; sizes by largest remainder, so every query is in one part."""
-    ids = sorted(set(query_ids))
-    if len(ids) != len(query_ids) or abs(sum(fractions.values()) - 1) > 1e-9:
+    """Parts of the ids in the order of their hash with the seed, cut where the running shares end.
+
+    An id's place depends on its own hash, not on a random stream, so ids that are added later leave
+    the order of the others as it is.
+    """
+    if len(set(query_ids)) < len(query_ids) or not math.isclose(math.fsum(fractions.values()), 1):
         raise ConfigError("query ids repeat or fractions do not add up to 1")
-    exact = {s: f * len(ids) for s, f in fractions.items()}
-    sizes = {s: int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (sizes[s] - exact[s], s))[: len(ids) - sum(sizes.values())]:
-        sizes[s] += 1
-    mixed, out, at = [ids[i] for i in np.random.default_rng(seed).permutation(len(ids))], {}, 0
-    for s in fractions:
-        out[s] = sorted(mixed[at : at + sizes[s]])
-        at += sizes[s]
-    return out
+    order = sorted(query_ids, key=lambda q: (hashlib.sha256(f"{seed}/{q}".encode()).digest(), q))
+    ends = [math.floor(share * len(order) + 0.5) for share in accumulate(fractions.values())]
+    return {name: sorted(order[begin:end]) for name, begin, end in zip(fractions, [0, *ends], ends, strict=False)}
 
 
 def manifest(settings: Settings, owner: str, **extra) -> dict:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,26 +78,13 @@ def table_mismatches(table: DataFrame, run: DataFrame, universe: DataFrame, dept
 
 
 def reference_subset(universe: DataFrame, size: int, seed: int = 42, n_strata: int = 5, key: DataFrame | None = None) -> list[str]:
-    """Queries for full scoring: drawn evenly from equal bins by universe size, or by ``key(query_id, value)``.
+    """Queries for full scoring: dealt in turn from equal bins by universe size, or by ``key(query_id, value)``.
 
-    There is one row per query, so binning and drawing happen on the driver.
+    Within a bin queries follow the hash of their id with the seed. Taking one of each bin at a time
+    is even over the bins, and a bin that runs out is made up for by the others.
     """
     by = (key or sizes(universe).withColumnRenamed("n_docs", "value")).select("query_id", F.col("value").cast("double").alias("value"))
-    table = sorted((r.query_id, r.value) for r in by.collect())
-    queries = [q for q, _ in table]
-    if size >= len(queries):
-        return queries
-    rng = np.random.default_rng(seed)
-    place = np.empty(len(table))
-    place[np.argsort([v for _, v in table], kind="stable")] = np.arange(len(table))
-    bins = np.minimum((place / (len(table) / n_strata)).astype(int), n_strata - 1)
-    chosen: list[str] = []
-    for b in range(n_strata):
-        own = [q for q, x in zip(queries, bins, strict=True) if x == b]
-        take = min(len(own), size // n_strata + (b < size % n_strata))
-        if take:
-            chosen += [own[i] for i in rng.choice(len(own), size=take, replace=False)]
-    rest = [q for q in queries if q not in set(chosen)]
-    if len(chosen) < size:
-        chosen += [rest[i] for i in rng.choice(len(rest), size=min(size - len(chosen), len(rest)), replace=False)]
-    return sorted(chosen)
+    binned = by.withColumn("bin", F.ntile(n_strata).over(Window.orderBy("value", "query_id")))  # one row a query
+    turn = F.row_number().over(Window.partitionBy("bin").orderBy(F.xxhash64(F.lit(seed), "query_id"), "query_id"))
+    dealt = binned.withColumn("turn", turn).orderBy("turn", "bin").limit(size)
+    return sorted(r.query_id for r in dealt.select("query_id").collect())
