@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from . import names as N
 from .errors import ContractError
 
+# The columns and keys of the tables.
 SCHEMAS = {
     "run": "query_id string, doc_id string, system string, rank long, score double, checkpoint string",
     "universe": "query_id string, doc_id string, sources string",

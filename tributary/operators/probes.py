@@ -13,26 +13,66 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import names as N
+from ..errors import InputError
+from ..functions.statistics import average_rank, correlation
 from ..functions.utility import Utility
 
 
-def probe(worlds: DataFrame, budgets: Sequence[int], policy: str, utility: Utility) -> DataFrame:
-    """(query_id, doc_id, k_c, budget, probed, effect): e_gate as b calls would show it, per budget."""
-    outside = Window.partitionBy("query_id", "k_c", "condensed", "in_cq")
-    place = {N.BOUNDARY: F.col("rank_s1") - F.col("k_c"), N.ALTERNATIVE: F.row_number().over(outside.orderBy(F.coalesce("alt_rank", F.lit(N.UNRANKED)), "doc_id"))}[policy]
-    cells = worlds.withColumn("place", F.when(~F.col("in_cq"), place)).withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
+KEY = ["query_id", "k_c", "condensed"]
+
+
+def probe(worlds: DataFrame, budgets: Sequence[int], policy: str, utility: Utility, seeds: Sequence[int] = (42,)) -> DataFrame:
+    """(query_id, doc_id, k_c, condensed, budget, probed, effect): e_gate as b calls would show it, per budget.
+
+    The random policy takes outsiders in the order of their hash with the seed, gives a row per seed
+    and adds a seed column.
+    """
+    outside = Window.partitionBy(*KEY, "in_cq")
+    cells, run = worlds, ["budget"]
+    if policy == N.RANDOM:
+        cells, run = worlds.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))), ["budget", "seed"]
+        place = F.row_number().over(Window.partitionBy(*KEY, "in_cq", "seed").orderBy(F.xxhash64("seed", "query_id", "doc_id"), "doc_id"))
+    elif policy == N.ALTERNATIVE:
+        place = F.row_number().over(outside.orderBy(F.coalesce("alt_rank", F.lit(N.UNRANKED)), "doc_id"))
+    elif policy == N.BOUNDARY:
+        place = F.col("rank_s1") - F.col("k_c")
+    else:
+        raise InputError(f"unknown policy {policy!r}")
+    cells = cells.withColumn("place", F.when(~F.col("in_cq"), place)).withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
     cells = cells.withColumn("probed", ~F.col("in_cq") & (F.col("place") <= F.col("budget"))).where("in_cq or probed")
-    order = Window.partitionBy("query_id", "k_c", "condensed", "budget").orderBy("rank_s2")
-    ranked = cells.withColumn("rank_p", F.row_number().over(order))
+    ranked = cells.withColumn("rank_p", F.row_number().over(Window.partitionBy(*KEY, *run).orderBy("rank_s2")))
     u = utility.of(F.col("rank_a"), F.col("relevance")) - utility.of(F.col("rank_p"), F.col("relevance"))
-    return ranked.select("query_id", "doc_id", "k_c", "condensed", "budget", "probed", u.alias("effect"))
+    return ranked.select("query_id", "doc_id", "k_c", "condensed", *run, "probed", u.alias("effect"))
+
+
+def full_probe(worlds: DataFrame, utility: Utility) -> DataFrame:
+    """A probe of every outsider; a row whose effect is not the gate's is refused."""
+    u = {w: utility.of(F.col(f"rank_{w}"), F.col("relevance")) for w in "ac"}
+    ranked = worlds.withColumn("rank_p", F.row_number().over(Window.partitionBy(*KEY).orderBy("rank_s2")))
+    effect = u["a"] - utility.of(F.col("rank_p"), F.col("relevance"))
+    same = F.when(F.abs(effect - (u["a"] - u["c"])) <= N.EPS, effect).otherwise(F.raise_error(F.lit("probing every outsider does not give the effects of the gate")).cast("double"))
+    return ranked.select("query_id", "doc_id", "k_c", "condensed", same.alias("effect"))
+
 
+def query_fidelity(probed: DataFrame, diagnosis: DataFrame, tau: float = 0.05) -> DataFrame:
+    """Per budget (and seed): calls spent, the approximate g_q against the reference's, and how well the
+    gate-sensitive label that it implies agrees.
 
-def query_fidelity(probed: DataFrame, diagnosis: DataFrame) -> DataFrame:
-    """Per budget: calls spent and approximate g_q against the reference's."""
-    hat = probed.groupBy("query_id", "budget").agg((-F.sum("effect")).alias("g_hat"), F.sum(F.col("probed").cast("long")).alias("calls"))
-    both = hat.join(diagnosis.select("query_id", "g_q"), "query_id")
-    return both.groupBy("budget").agg(F.count(F.lit(1)).alias("n_queries"), F.avg("calls").alias("calls_per_query"), F.avg(F.abs(F.col("g_hat") - F.col("g_q"))).alias("gq_mae"), F.avg("g_hat").alias("g_hat_mean"))
+    Ranks are taken at nine places, so that the order of a sum does not part equal queries.
+    """
+    run = [c for c in ("budget", "seed") if c in probed.columns]
+    hat = probed.groupBy("query_id", *run).agg((-F.sum("effect")).alias("g_hat"), F.sum(F.col("probed").cast("long")).alias("calls"))
+    both = hat.join(diagnosis.select("query_id", "g_q", "r_q", (F.col("label") == N.GATE_SENSITIVE).alias("so")), "query_id")
+    both = both.withColumns({"said": (F.col("g_hat") > tau) & (F.col("g_hat") > F.col("r_q")), "_h": F.round("g_hat", 9) + F.lit(0.0), "_g": F.round("g_q", 9) + F.lit(0.0)})
+    both = both.withColumns({"_hr": average_rank("_h", run), "_gr": average_rank("_g", run)})
+    count = {"tp": F.col("said") & F.col("so"), "fp": F.col("said") & ~F.col("so"), "fn": F.col("so") & ~F.col("said")}
+    got = both.groupBy(*run).agg(
+        F.count(F.lit(1)).alias("n_queries"), F.avg("calls").alias("calls_per_query"), F.avg(F.abs(F.col("g_hat") - F.col("g_q"))).alias("gq_mae"), F.avg("g_hat").alias("g_hat_mean"),
+        correlation("_hr", "_gr").alias("gq_spearman"), *[F.sum(c.cast("long")).alias(n) for n, c in count.items()],
+    )
+    tp = F.col("tp").cast("double")
+    got = got.withColumns({"precision": F.try_divide(tp, F.col("tp") + F.col("fp")), "recall": F.try_divide(tp, F.col("tp") + F.col("fn"))})
+    return got.withColumn("f1", F.coalesce(F.try_divide(2 * tp, 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
 
 
 def failures_found(probed: DataFrame, failures: DataFrame) -> DataFrame:

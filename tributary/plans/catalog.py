@@ -20,7 +20,7 @@ from ..operators import allocation, effects, features, judgments, probes, rankin
 from ..sources import retrieval, score_store
 from ..sources.tables import table
 from . import feasibility, grid, reports, sql, study
-from .cascades import event_cascade, event_qrels, event_runs, vector_cascade
+from .cascades import event_cascade, event_qrels, event_runs
 from .sql import K_C, T_GRID, K, r
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,7 +179,7 @@ def worst_failures(spark, d):
     return rounded(effects.worst_failures(_stage(spark, d), 10).select("query_id", "doc_id", "effect"))
 
 
-@query(f"WITH {sql.budget(DCG)} SELECT query_id, doc_id, policy, t, coalesce(rank_t <= {K}, false) AS entered_top_k FROM bg WHERE stratum = 'selected_outsider'")
+@query(f"WITH {sql.allocated()} SELECT query_id, doc_id, policy, t, coalesce(rank_t <= {K}, false) AS entered_top_k FROM ta WHERE stratum = 'selected_outsider' AND t <> 1.0")
 def recovered_outsiders(spark, d):
     return effects.recovered_outsiders(_budget(spark, d)).select("query_id", "doc_id", "policy", "t", "entered_top_k")
 
@@ -268,14 +268,18 @@ def false_negatives(spark, d):
 
 def _metrics(spark, d):
     """Settings that differ from the headline in utility, cutoff, depth or mode, for two first stages."""
-    parts = []
-    for swapped, system in ((False, "value"), (True, "mix")):
-        own = _worlds(spark, d, (False, True), swapped, (K_C, 30))
-        parts += [effects.stage_effects(own, u, system) for u in (DCG, TOPK, Utility("dcg", 5))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return summaries.setting_metrics(out)
+    value, mix = (effects.stage_effects(_worlds(spark, d, (False, True), swapped, (K_C, 30)), _AXES, system) for swapped, system in ((False, "value"), (True, "mix")))
+    return summaries.setting_metrics(value.unionByName(mix))
+
+
+_AXES = (DCG, TOPK, Utility("dcg", 5))
+
+
+def _metrics_sql(u: Utility, swapped: bool) -> str:
+    labels = ", ".join(f"CAST(count(*) FILTER (label = '{k}') AS DOUBLE) AS n_{k}" for k in (N.GATE_SENSITIVE, N.RERANK_SENSITIVE, N.MIXED))
+    return f"""(WITH {sql.stage(u, (K_C, 30), (False, True), swapped)}, {sql.DIAGNOSIS}, f AS (SELECT query_id, k_c, condensed, count(*) AS fails FROM st WHERE effect_type = 'e_gate' AND stratum = 'non_survivor' AND utility_control > 1e-9 GROUP BY ALL)
+ SELECT '{"mix" if swapped else "value"}' AS system, '{u.kind}' AS utility, {u.k} AS k, dg.k_c, dg.condensed, CAST(count(*) AS DOUBLE) AS n_queries, avg(dcg_actual) AS utility_actual_mean, avg(g_q) AS g_q_mean, median(g_q) AS g_q_median, avg(r_q) AS r_q_mean, avg(rerank_signed) AS rerank_signed_mean, {labels},
+ CAST(count(*) FILTER (rerank_signed < 0) AS DOUBLE) AS n_reranker_harms, CAST(sum(coalesce(fails, 0)) AS DOUBLE) AS n_gating_failures, CAST(count(*) FILTER (fails > 0) AS DOUBLE) AS n_queries_with_gating_failure FROM dg LEFT JOIN f ON f.query_id = dg.query_id AND f.k_c = dg.k_c AND f.condensed = dg.condensed GROUP BY ALL)"""
 
 
 @query(f"""WITH {sql.stage(DCG, (K_C, 30), (False, True))}, {sql.DIAGNOSIS}, f AS (SELECT k_c, condensed, count(*) AS n FROM st WHERE effect_type = 'e_gate' AND stratum = 'non_survivor' AND utility_control > 1e-9 GROUP BY ALL)
@@ -286,7 +290,14 @@ def setting_metrics(spark, d):
     return rounded(got.groupBy("k_c", "condensed").pivot("metric", wanted).agg(F.first("value")))
 
 
-@query()
+_OFF = f"[k_c <> {K_C}, utility <> 'dcg', k <> {K}, condensed]"
+
+
+@query(
+    f"""WITH m AS ({' UNION ALL '.join(_metrics_sql(u, s) for u in _AXES for s in (False, True))}), l AS (UNPIVOT m ON COLUMNS(* EXCLUDE (system, utility, k, k_c, condensed)) INTO NAME metric VALUE value), n AS (SELECT *, {_OFF} AS o FROM l WHERE len(list_filter({_OFF}, lambda x: x)) <= 1)
+SELECT CASE WHEN o[1] THEN 'k_c' WHEN o[2] THEN 'utility' WHEN o[3] THEN 'k' WHEN o[4] THEN 'condensed' ELSE 'headline' END AS varied, CASE WHEN o[1] THEN CAST(k_c AS VARCHAR) WHEN o[2] THEN utility WHEN o[3] THEN CAST(k AS VARCHAR) WHEN o[4] THEN 'true' ELSE '' END AS setting, CAST(k_c AS BIGINT) AS k_c, utility, CAST(k AS BIGINT) AS k, condensed, metric,
+round(max(value) FILTER (system = 'value'), 9) + 0.0 AS "first", round(max(value) FILTER (system = 'mix'), 9) + 0.0 AS "second", round(max(value) FILTER (system = 'value') - max(value) FILTER (system = 'mix'), 9) + 0.0 AS difference FROM n GROUP BY ALL"""
+)
 def compare_one_axis(spark, d):
     return rounded(summaries.one_axis(_metrics(spark, d), {"k_c": K_C, "utility": "dcg", "k": K, "condensed": False}, "value", "mix"))
 
@@ -504,28 +515,50 @@ def calibration(spark, d):
 # Probes
 
 
-def _probe_sql(policy: str) -> str:
+def _probe_x(policy: str, budgets=(0, 5, 20, 50)) -> str:
     place = "rank_s1 - k_c" if policy == N.BOUNDARY else "row_number() OVER (PARTITION BY query_id, in_cq ORDER BY alt_rank, doc_id)"
-    return f"""WITH {sql.worlds()}, p AS (SELECT *, {place} AS place FROM w), c AS (SELECT * FROM p, (SELECT unnest([0, 5, 20, 50]) AS budget) WHERE in_cq OR place <= budget),
-x AS (SELECT *, row_number() OVER (PARTITION BY query_id, budget ORDER BY rank_s2) AS rank_p FROM c) SELECT query_id, doc_id, CAST(budget AS BIGINT) AS budget, NOT in_cq AS probed, {r(f"{sql.utility('rank_a', DCG)} - {sql.utility('rank_p', DCG)}", 'effect')} FROM x"""
+    return f"""p AS (SELECT *, {place} AS place FROM w), c AS (SELECT * FROM p, (SELECT unnest([{', '.join(map(str, budgets))}]) AS budget) WHERE in_cq OR place <= budget),
+x0 AS (SELECT *, row_number() OVER (PARTITION BY query_id, budget ORDER BY rank_s2) AS rank_p FROM c), x AS (SELECT query_id, doc_id, CAST(budget AS BIGINT) AS budget, NOT in_cq AS probed, {sql.utility('rank_a', DCG)} - {sql.utility('rank_p', DCG)} AS effect FROM x0)"""
+
+
+_NO_SPREAD = "count(*) >= 3 AND stddev_pop(hr) * stddev_pop(gr) > 1e-18"
+_QUERY_LEVEL = f"""h AS (SELECT query_id, budget, -sum(effect) AS g_hat, count(*) FILTER (probed) AS calls FROM x GROUP BY ALL), b0 AS (SELECT h.*, g_q, g_hat > 0.05 AND g_hat > r_q AS said, label = 'gate_sensitive' AS so, round(g_hat, 9) + 0.0 AS hh, round(g_q, 9) + 0.0 AS gg FROM h JOIN dg USING (query_id)),
+b1 AS (SELECT *, rank() OVER (PARTITION BY budget ORDER BY hh) + (count(*) OVER (PARTITION BY budget, hh) - 1) / 2.0 AS hr, rank() OVER (PARTITION BY budget ORDER BY gg) + (count(*) OVER (PARTITION BY budget, gg) - 1) / 2.0 AS gr FROM b0),
+b2 AS (SELECT budget, count(*) AS n_queries, avg(calls) AS calls_per_query, avg(abs(g_hat - g_q)) AS gq_mae, avg(g_hat) AS g_hat_mean, CASE WHEN {_NO_SPREAD} THEN corr(hr, gr) END AS gq_spearman, count(*) FILTER (said AND so) AS tp, count(*) FILTER (said AND NOT so) AS fp, count(*) FILTER (so AND NOT said) AS fn FROM b1 GROUP BY ALL),
+ql AS (SELECT budget, n_queries, {r('calls_per_query', 'calls_per_query')}, {r('gq_mae', 'gq_mae')}, {r('g_hat_mean', 'g_hat_mean')}, {r('gq_spearman', 'gq_spearman')}, tp, fp, fn, round(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 9) + 0.0 AS "precision", round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 9) + 0.0 AS recall, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 9) + 0.0 AS f1_or_null FROM b2),
+qf AS (SELECT * EXCLUDE (f1_or_null), CASE WHEN tp = 0 THEN 0.0 ELSE f1_or_null END AS f1 FROM ql)"""
+_FOUND = f"""fo AS (SELECT g.query_id, g.doc_id, g.effect AS lost, b.budget, x.doc_id IS NOT NULL AS seen FROM gf g CROSS JOIN (SELECT DISTINCT budget FROM x) b LEFT JOIN (SELECT * FROM x WHERE effect < -1e-12) x ON x.query_id = g.query_id AND x.doc_id = g.doc_id AND x.budget = b.budget),
+ff AS (SELECT budget, count(*) AS failures, count(*) FILTER (seen) AS found, round(sum(CASE WHEN seen THEN lost ELSE 0.0 END) / nullif(sum(lost), 0), 9) + 0.0 AS loss_recovered_share FROM fo GROUP BY ALL)"""
 
 
 for _p in (N.BOUNDARY, N.ALTERNATIVE):
-    query(_probe_sql(_p), f"probe_{_p}")(lambda spark, d, p=_p: rounded(probes.probe(_worlds(spark, d), [0, 5, 20, 50], p, DCG).select("query_id", "doc_id", "budget", "probed", "effect")))
+    query(f"WITH {sql.worlds()}, {_probe_x(_p)} SELECT query_id, doc_id, budget, probed, {r('effect', 'effect')} FROM x", f"probe_{_p}")(lambda spark, d, p=_p: rounded(probes.probe(_worlds(spark, d), [0, 5, 20, 50], p, DCG).select("query_id", "doc_id", "budget", "probed", "effect")))
 
 
-@query()
+@query(f"WITH {sql.stage(DCG)}, {sql.DIAGNOSIS}, {_probe_x(N.ALTERNATIVE)}, {_QUERY_LEVEL} SELECT * FROM qf")
 def probe_fidelity(spark, d):
     probed = probes.probe(_worlds(spark, d), [0, 5, 20, 50], N.ALTERNATIVE, DCG)
     return rounded(probes.query_fidelity(probed, summaries.diagnose(_stage(spark, d))))
 
 
-@query()
+@query(f"WITH {sql.stage(DCG)}, {sql.FAILURES}, {_probe_x(N.ALTERNATIVE)}, {_FOUND} SELECT * FROM ff")
 def probe_failures(spark, d):
     probed = probes.probe(_worlds(spark, d), [0, 5, 20, 50], N.ALTERNATIVE, DCG)
     return rounded(probes.failures_found(probed, effects.gating_failures(_stage(spark, d))))
 
 
+@query(f"WITH {sql.stage(DCG)} SELECT query_id, doc_id, {r('effect', 'e_gate')} FROM st WHERE effect_type = 'e_gate'")
+def probe_everything(spark, d):
+    """A probe of every outsider is the world without a gate: its effects are those of the gate."""
+    return rounded(probes.full_probe(_worlds(spark, d), DCG).select("query_id", "doc_id", F.col("effect").alias("e_gate")))
+
+
+@query()
+def probe_random(spark, d):
+    probed = probes.probe(_worlds(spark, d), [0, 5, 20], N.RANDOM, DCG, seeds=(42, 43))
+    return rounded(probes.query_fidelity(probed, summaries.diagnose(_stage(spark, d))))
+
+
 # Resampling and models
 
 
@@ -568,10 +601,18 @@ def gbt_predictor(spark, d):
 # Retrievers
 
 
-@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 20), s AS (SELECT 'q' || lpad(CAST(q.vec_id AS VARCHAR), 2, '0') AS query_id, 'd' || lpad(CAST(e.vec_id AS VARCHAR), 6, '0') AS doc_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM embeddings e, q WHERE e.vec_id >= 20),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, rank, score FROM k WHERE rank <= 100""")
+@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT 'q' || lpad(CAST(q.vec_id AS VARCHAR), 9, '0') AS query_id, 'd' || lpad(CAST(e.vec_id AS VARCHAR), 9, '0') AS doc_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM embeddings e, q WHERE e.vec_id <> q.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, rank, round(score, 6) AS score FROM k WHERE rank <= 100""")
 def dense_topk(spark, d):
-    return rounded(ranking.top_k(vector_cascade(spark, d), "s2", 100).select("query_id", "doc_id", "rank", F.col("s2").alias("score")))
+    """Every fiftieth vector against all others: one more than asked for is searched, the query itself taken out."""
+    v = table(spark, d, "embeddings")
+
+    def named(letter: str):
+        return F.concat(F.lit(letter), F.lpad(F.col("vec_id").cast("string"), 9, "0"))
+
+    got = retrieval.exact_search(v.where("vec_id % 50 = 0").select(named("q").alias("query_id"), F.col("embedding").alias("vector")), v.select(named("d").alias("doc_id"), F.col("embedding").alias("vector")), 101)
+    others = ranking.top_k(got.where("substring(query_id, 2) <> substring(doc_id, 2)").drop("rank"), "score", 100)
+    return others.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH v AS (SELECT 'b' || CAST(item_id AS VARCHAR) AS query_id, unnest(string_split(text, ' ')) AS token FROM benchmark), vq AS (SELECT DISTINCT * FROM v WHERE token <> ''), p0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS token FROM documents), p AS (SELECT * FROM p0 WHERE token <> ''),
@@ -607,7 +648,11 @@ def leverage(spark, d):
     return rounded(feasibility.leverage(event_runs(spark, d, DEPTH), ["value", "mix"], [10, K_C, 50]))
 
 
-@query()
+@query(
+    f"""WITH {sql.runs(DEPTH)}, {sql.QRELS}, kk AS (SELECT unnest([10, {K_C}, 50]) AS k_c), x AS (SELECT query_id, k_c, doc_id, max(CASE WHEN system = 'value' THEN 1 ELSE 0 END) AS a, max(CASE WHEN system = 'mix' THEN 1 ELSE 0 END) AS b FROM ru, kk WHERE rank <= k_c GROUP BY ALL), j AS (SELECT query_id, k_c, sum(a * b) / count(*) AS jaccard FROM x GROUP BY ALL), lv AS (SELECT k_c, median(jaccard) AS median_jaccard FROM j GROUP BY ALL),
+o AS (SELECT s.system, kk.k_c, qr.query_id, count(*) FILTER (ru.doc_id IS NULL AND {sql.gain()} > 0) AS n FROM qr CROSS JOIN (SELECT unnest(['value', 'mix']) AS system) s CROSS JOIN kk LEFT JOIN ru ON ru.query_id = qr.query_id AND ru.doc_id = qr.doc_id AND ru.system = s.system AND ru.rank <= kk.k_c GROUP BY ALL)
+SELECT CAST(o.k_c AS BIGINT) AS k_c, system, {r('median(n)', 'median_outside_relevant')}, CAST(sum(n) AS BIGINT) AS outside_relevant, {r('max(median_jaccard)', 'median_jaccard')}, sum(n) >= 5 AND max(median_jaccard) <= 0.9 AS usable FROM o JOIN lv USING (k_c) GROUP BY ALL"""
+)
 def feasibility_verdict(spark, d):
     runs = event_runs(spark, d, DEPTH)
     lever = feasibility.leverage(runs, ["value", "mix"], [10, K_C, 50])
@@ -648,8 +693,14 @@ def paired_intervals(spark, d):
     return rounded(study.paired_intervals(*(summaries.diagnose(_stage(spark, d, swapped=s)) for s in (False, True)), draws=200))
 
 
-@query()
+_COST = " UNION ALL ".join(f"(WITH {sql.stage(DCG)}, {sql.DIAGNOSIS}, {sql.FAILURES.replace('1e-9', '1e-12')}, {_probe_x(p, (0, 20, 50))}, {_QUERY_LEVEL}, {_FOUND} SELECT '{p}' AS policy, qf.*, failures, found, loss_recovered_share FROM qf LEFT JOIN ff USING (budget))" for p in (N.BOUNDARY, N.ALTERNATIVE))
+
+
+@query(_COST)
 def cost_fidelity(spark, d):
     own = _worlds(spark, d)
     stage = effects.stage_effects(own, DCG)
     return rounded(study.cost_fidelity(own, summaries.diagnose(stage), stage, DCG, [0, 20, 50]))
+
+
+from . import stored  # noqa: E402,F401  (registers its queries with the helpers above)

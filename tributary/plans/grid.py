@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts
 from ..config import Settings
+from ..errors import ContractError
 from ..functions.utility import Utility
 from ..operators import allocation, effects, worlds
 
@@ -36,8 +37,17 @@ def effect_grid(cascade: DataFrame, settings: Settings, system: str, utilities:
 
 
 def write_grid(effects_: DataFrame, path: str) -> None:
-    """Validate the rules in one pass, then write; ``kind`` tells stage from budget effects."""
-    rows = contracts.coerce(effects_, "effect").withColumn("kind", F.when(F.col("effect_type") == "delta_t", "budget").otherwise("stage"))
+    """Write effect rows that keep their contract; ``kind`` tells stage from budget effects.
+
+    What breaks the contract or, for monotone utilities, a sign rule is refused before anything is
+    written.
+    """
+    rows = contracts.validate(effects_, "effect")
+    for name in (r.utility for r in rows.select("utility").distinct().collect()):  # a handful of settings
+        for r in effects.violations(rows.where(F.col("utility") == name), Utility(name).monotone).collect():
+            if broken := {c: r[c] for c in r.asDict() if c not in ("effect_type", "n") and r[c]}:
+                raise ContractError(f"{name}, {r.effect_type}: {broken}")
+    rows = rows.withColumn("kind", F.when(F.col("effect_type") == "delta_t", "budget").otherwise("stage"))
     rows.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
 
 

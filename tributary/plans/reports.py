@@ -45,6 +45,7 @@ def markdown(df: DataFrame, limit: int = 100) -> str:
 
 def clip(text, n: int = 230):
     """Text column cut to n characters with an ellipsis."""
+    text = F.col(text) if isinstance(text, str) else text
     return F.when(F.length(text) > n, F.concat(F.rtrim(F.substring(text, 1, n - 1)), F.lit("…"))).otherwise(text)
 
 
