@@ -100,3 +100,18 @@ def test_passages_of_short_lines_are_removed(spark):
     verse = "\n".join(f"short line {c}" for c in "abcdef")
     rows = [(1, f"one text\n{verse}\nends here"), (2, f"other text\n{verse}\nhas an end"), (3, "short line a\nshort line b\nno more of it")]
     assert texts_of(L.line_dedup(frame(spark, rows))) == [rows[0], (2, "other text\nhas an end"), rows[2]]
+
+
+def test_lines_that_one_document_repeats_count_once(spark):
+    line = "This line is in two documents and one of them says it again and again."
+    rows = [(1, f"first text of all\n{line}"), (2, "\n".join(["second text of all"] + [f"{line}\nbetween {i}" for i in range(11)]))]
+    assert line not in dict(texts_of(L.line_dedup(frame(spark, rows))))[2].split("\n")[1:2]
+    both = [(1, rows[0][1]), (2, f"{line}\nsecond text of all"), (3, "\n".join([line, "third text"] * 11))]
+    assert dict(texts_of(L.line_dedup(frame(spark, both))))[2] == "second text of all"
+
+
+def test_passages_go_however_common_they_are(spark):
+    passage = " ".join(f"word{i} of a passage" for i in range(20))
+    rows = [(i, f"the only line of its kind, number {i}, and long enough\n{passage}") for i in range(L.RARE + 5)]
+    assert len(passage) >= L.PASSAGE_CHARS
+    assert [passage in t for _, t in texts_of(L.line_dedup(frame(spark, rows)))].count(True) == 1

@@ -2,9 +2,10 @@
 
 Lines are hashed. At every line a run begins: the fewest lines in a row that have LEAST_CHARS
 characters, so a long line is one and short lines are joined. The first document that holds a run
-owns it, and a later document is paired with the owners of its runs: one shared rare run is enough,
-common runs have to end on two or more lines with one owner, so boilerplate alone pairs nothing while
-large groups of near copies still meet in their first member. Each pair is aligned by patience diff over the line hashes and the aligned common
+owns it, and a later document is paired with the owners of its runs: one shared rare run is enough, and
+so is one line of PASSAGE_CHARS however common it is; other common runs have to end on two or more lines
+with one owner. So short boilerplate alone pairs nothing, while repeated passages go wherever they are
+and large groups of near copies still meet in their first member. Each pair is aligned by patience diff over the line hashes and the aligned common
 blocks are deleted from the later document. Exact copies collapse before all this: the whole text of
 a later copy is one common block.
 
@@ -25,8 +26,10 @@ from .common import bounded, bounded_batches, map_rows, written
 
 #: Characters that a run of lines needs to pair documents, and a common block needs to be deleted.
 LEAST_CHARS = 30
-#: Documents that may share a run for it to count as rare.
+#: Texts that may share a run for it to count as rare.
 RARE = 10
+#: Characters from which on a line is a passage of its own, which pairs documents at any frequency.
+PASSAGE_CHARS = 250
 #: Bits of the rows that a longest common subsequence keeps at once; longer sequences are halved first.
 ROW_BITS = 1 << 28
 _MULT = 0x9E3779B97F4A7C15
@@ -154,8 +157,9 @@ def common_lines(early: list[int], late: list[int], sizes: list[int], least_char
     return out
 
 
-def runs(hashes: list[int], sizes: list[int], least_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the run, hash of its last line) of each run of lines; a run of one line has its hash."""
+def runs(hashes: list[int], sizes: list[int], least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the run, hash of its last line, whether that is a passage) of each run of lines, equal
+    runs once; a run of one line has its hash."""
     h, n = np.asarray(hashes, np.int64).view(np.uint64), np.asarray(sizes, np.int64)
     sums = np.r_[0, np.cumsum(n)]
     at = np.flatnonzero((n > 0) | (n >= least_chars))
@@ -166,7 +170,9 @@ def runs(hashes: list[int], sizes: list[int], least_chars: int) -> tuple[np.ndar
         return np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(n), x, np.uint64)])
 
     before = np.r_[np.uint64(0), np.cumsum(h * powers(_MULT)[:-1], dtype=np.uint64)]
-    return ((before[end] - before[at]) * powers(pow(_MULT, -1, 1 << 64))[at]).view(np.int64), h[end - 1].view(np.int64)
+    found = ((before[end] - before[at]) * powers(pow(_MULT, -1, 1 << 64))[at]).view(np.int64)
+    found, once = np.unique(found, return_index=True)
+    return found, h[end - 1].view(np.int64)[once], (n[end - 1] >= PASSAGE_CHARS)[once]
 
 
 def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = RARE) -> DataFrame:
@@ -191,15 +197,16 @@ def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = R
     own = written(lined.join(copies.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"]), "first-copies")
 
     def joined(a: list, n: list) -> tuple[list, ...]:
-        both = [runs(x, y, least_chars) for x, y in zip(a, n, strict=True)]
-        return [x for x, _ in both], [y for _, y in both]
+        return tuple(map(list, zip(*(runs(x, y, least_chars) for x, y in zip(a, n, strict=True)), strict=True))) or ([], [], [])
 
     longs = pa.list_(pa.int64())
-    each = map_rows(own, ["doc_id"], [F.col("hashes"), F.col("sizes")], [("line", "array<long>", longs), ("last", "array<long>", longs)], lambda: joined)
-    each = each.select("doc_id", F.explode(F.arrays_zip("line", "last")).alias("l")).select("doc_id", "l.line", F.col("l.last").alias("at"))
+    added = [("line", "array<long>", longs), ("last", "array<long>", longs), ("passage", "array<boolean>", pa.list_(pa.bool_()))]
+    each = map_rows(own, ["doc_id"], [F.col("hashes"), F.col("sizes")], added, lambda: joined)
+    each = each.select("doc_id", F.explode(F.arrays_zip("line", "last", "passage")).alias("l")).select("doc_id", "l.line", F.col("l.last").alias("at"), "l.passage")
     held = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("df")).where("owner < last")
     held = written(held.select("line", "owner", "df"), "shared-lines")
-    pairs = each.distinct().join(held, "line").where("doc_id > owner").groupBy("doc_id", "owner").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.min("df").alias("df")).where((F.col("df") <= rare) | (F.col("a") < F.col("b")))
+    shared = each.join(held, "line").where("doc_id > owner").groupBy("doc_id", "owner").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.min("df").alias("df"), F.max("passage").alias("passage"))
+    pairs = shared.where((F.col("df") <= rare) | (F.col("a") < F.col("b")) | F.col("passage"))
     pairs = written(pairs.select("doc_id", "owner"), "line-pairs")
     early = own.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("early"))
     both = pairs.join(own, "doc_id").join(early, "owner")
@@ -217,7 +224,8 @@ def line_dedup(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int =
 
     Documents are ordered by doc_id; of rows with equal texts the least doc_id keeps its text, and
     rows that repeat that id keep theirs. A text whose lines all go becomes empty. Null ids, null and
-    empty texts stay as they are (n_removed 0). Other columns stay, save n_lines and n_removed, which
+    empty texts stay as they are (n_removed 0). Texts may be of any length; a line that a text repeats
+    counts once among the texts that hold it. Other columns stay, save n_lines and n_removed, which
     are replaced. An empty table gives an empty table.
     """
     gone = written(removals(documents, least_chars, rare), "removals").withColumn("hit", F.lit(True))
