@@ -84,3 +84,19 @@ def test_merged_transforms_equal_sorting():
             s = m[r, c : c + S.LENGTH].tobytes()
             assert found[r, offset] == (s in seen)
             seen.add(s)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 20])
+def test_hot_anchors_go_string_by_string(spark, docs, hot):
+    line = "a line of a licence that stands in very many documents and is long enough to be an anchor "
+    rows = [(i, f"{i * 7919 % 1009} words before {line}{i // 3} and others {i * 31 % 7} after it" * 2) for i in range(60)]
+    rows += [(r.doc_id + 1000, r.text) for r in docs.limit(60).collect()]
+    assert got(S.digests(frame(spark, rows).repartition(4), hot=hot)) == brute(rows)
+
+
+def test_real_tables_are_merged_from_several_shards(spark):
+    merges = spark.sparkContext.accumulator(0)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = S.digests(table, merges=merges)
+    assert out.agg({"n_removed": "sum"}).first()[0] > 0
+    assert merges.value > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,7 +4,8 @@ Every string of ``length`` bytes is assigned to one anchor: the gram of least ha
 inside it, leftmost among equals. Equal strings have equal anchors at equal offsets, so only anchors
 that occur more than once, with their neighbouring bytes on the string's longer side, need a closer
 look; the others cannot be in a repeated string. The strings of one anchor overlap and travel as one
-segment; segments meet by the anchor's hash.
+segment; segments meet by the anchor's hash. An anchor that is very common would bring too many of
+them together: its strings travel one by one, as digests that meet by the whole string.
 
 Where they meet, segments are aligned at their grams and form shards. Each shard has its own
 Burrows-Wheeler transform, the characters before its sorted suffixes column by column. The shards
@@ -17,11 +18,12 @@ the earliest are removed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,9 @@ LENGTH, GRAM = 100, 32
 #: log2 of the bits of the largest filter of repeated anchors that is broadcast (64 MB).
 MOST_BITS = 29
 #: Segments of a shard, segments merged at once (whole anchors), and segments combined in a map task at once.
-SHARD, MERGED, COMBINED = 16_384, 65_536, 100_000
+SHARD, MERGED, COMBINED = 1024, 65_536, 100_000
+#: Occurrences from which on an anchor's strings travel one by one; no group of segments is larger.
+HOT = 65_536
 _PIECE = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -149,8 +153,12 @@ def _spans(found: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarra
     return r, place[r] - last, place[r] - first + length
 
 
-def _merge(g: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Ranges to remove among segments of whole anchors; g: doc_id, key, place, low, high, segment."""
+def _merge(g: pd.DataFrame, length: int, tell: Callable[[int], None] | None = None) -> pd.DataFrame:
+    """Ranges to remove among segments of whole anchors; g: doc_id, key, place, low, high, segment.
+
+    A digest in a segment's place stands for one string and has equals only. ``tell`` is given the
+    number of shards whose transforms are merged.
+    """
     g = g.sort_values(["doc_id", "place", "key"], kind="stable", ignore_index=True)
     # Repeated rows of a document are one occurrence.
     g = g[~g.duplicated(["doc_id", "place", "key", "low", "high"])]
@@ -158,7 +166,10 @@ def _merge(g: pd.DataFrame, length: int) -> pd.DataFrame:
     twice = g[again]
     out = [pd.DataFrame({"doc_id": twice["doc_id"], "key": twice["key"], "start": twice["place"] - twice["high"], "end": twice["place"] - twice["low"] + length})]
     g = g[~again]
+    g = g[g["segment"].str.len() >= length]
     if len(g) > 1:
+        if tell:
+            tell(-(-len(g) // SHARD))
         width = length - GRAM + 1
         columns = width - 1 + length
         low, high, place = (g[c].to_numpy(np.int64) for c in ("low", "high", "place"))
@@ -172,11 +183,12 @@ def _merge(g: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def _filter(rows: DataFrame, length: int) -> tuple[np.ndarray, int]:
-    """Bits of the leading part of every anchor hash that occurs twice, and the number of bits' log2.
+def _filter(rows: DataFrame, length: int, hot: int) -> tuple[np.ndarray, np.ndarray | None, int]:
+    """Bits of the leading part of every anchor hash that occurs twice, those of the hashes that occur
+    more than ``hot`` times (None without any), and the number of bits' log2.
 
-    It has a fixed largest size. A bit set by another hash lets a segment through that then finds no
-    partner, so a filter that is too full costs time, never results.
+    Both have a fixed largest size. A bit set by another hash lets a segment through that then finds
+    no partner, or takes it apart, so a filter that is too full costs time, never results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,22 +196,35 @@ def _filter(rows: DataFrame, length: int) -> tuple[np.ndarray, int]:
             found = [h for t in batch.column(0).to_pylist() for h, *_ in anchors(t, length)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, np.int64), pa.int64())], names=["h"])
 
-    twice = rows.select("data").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    twice = rows.select("data").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     twice = written(twice, "anchors")
-    bits = max(15, min(MOST_BITS, (16 * twice.count() + 1).bit_length()))
-    place = F.shiftrightunsigned("h", 64 - bits) + 1
-    parts = twice.select(F.call_function("bitmap_bucket_number", place).alias("b"), F.call_function("bitmap_bit_position", place).alias("p")).groupBy("b").agg(F.call_function("bitmap_construct_agg", F.col("p")).alias("bits"))
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in parts.toLocalIterator():
-        part = np.frombuffer(r.bits, np.uint8)
-        out[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(part)] = part
-    return out, bits
-
-
-def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, key, start, end): byte ranges of rows(doc_id, key, data) that an earlier string covers."""
+    counts = twice.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("n") > hot, 1)).alias("hot")).first()
+    bits = max(15, min(MOST_BITS, (16 * counts["all"] + 1).bit_length()))
+
+    def bitmap(of: DataFrame) -> np.ndarray:
+        place = F.shiftrightunsigned("h", 64 - bits) + 1
+        parts = of.select(F.call_function("bitmap_bucket_number", place).alias("b"), F.call_function("bitmap_bit_position", place).alias("p")).groupBy("b").agg(F.call_function("bitmap_construct_agg", F.col("p")).alias("bits"))
+        out = np.zeros(1 << (bits - 3), np.uint8)
+        for r in parts.toLocalIterator():
+            part = np.frombuffer(r.bits, np.uint8)
+            out[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(part)] = part
+        return out
+
+    return bitmap(twice), bitmap(twice.where(F.col("n") > hot)) if counts["hot"] else None, bits
+
+
+def _has(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    v = h.view(np.uint64) >> np.uint64(64 - bits)
+    return (bitmap[(v >> np.uint64(3)).astype(np.int64)] >> (v & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def removals(rows: DataFrame, length: int = LENGTH, hot: int | None = None, merges=None) -> DataFrame:
+    """(doc_id, key, start, end): byte ranges of rows(doc_id, key, data) that an earlier string covers.
+
+    ``merges`` is an accumulator for the number of shards that were merged with others.
+    """
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(_filter(rows, length))
+    shared = spark.sparkContext.broadcast(_filter(rows, length, HOT if hot is None else hot))
     names = ["h", "doc_id", "key", "place", "low", "high", "segment"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary()]
     schema = "h long, doc_id long, key long, place int, low short, high short, segment binary"
@@ -207,7 +232,7 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments of repeated anchors. Equal ones within a task go on as their first; the others
         have an earlier equal and go on without bytes, to be removed."""
-        bitmap, bits = shared.value
+        bitmap, common, bits = shared.value
         first: dict[tuple, tuple] = {}
         out: list[tuple] = []
 
@@ -215,11 +240,26 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = list(zip(*table, strict=True)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
+        def whole() -> Iterator[pa.RecordBatch]:
+            """The segments held, those of hot anchors string by string."""
+            table = []
+            hot_ones = _has(common, np.array([x for x, *_ in first], np.int64), bits).tolist() if common is not None and first else [False] * len(first)
+            for ((x, low, high, seg), (d, p, k)), apart in zip(first.items(), hot_ones, strict=True):
+                if not apart:
+                    table.append((x, d, k, p, low, high, seg))
+                for o in range(low, high + 1) if apart else ():
+                    digest = xxhash.xxh3_128_digest(seg[high - o : high - o + length] + bytes([o]))
+                    table.append((int.from_bytes(digest[:8], "little", signed=True), d, k, p, o, o, digest))
+                if len(table) >= 20_000:
+                    yield batch_of(table)
+                    table = []
+            yield batch_of(table)
+            first.clear()
+
         for batch in batches:
             for doc, key, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for h, place, a, b in anchors(data, length):
-                    v = h.view(np.uint64) >> np.uint64(64 - bits)
-                    keep = np.flatnonzero((bitmap[(v >> np.uint64(3)).astype(np.int64)] >> (v & np.uint64(7)).astype(np.uint8)) & 1)
+                    keep = np.flatnonzero(_has(bitmap, h, bits))
                     for x, p, i, j in zip(h[keep].tolist(), place[keep].tolist(), a[keep].tolist(), b[keep].tolist(), strict=True):
                         low, high, segment = p - j, p - i, data[i : j + length]
                         mark, mine = (x, low, high, segment), (doc, p, key)
@@ -232,12 +272,11 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                         if mine is not None:
                             out.append((x, mine[0], mine[2], mine[1], low, high, None))
                 if len(first) >= COMBINED:
-                    yield batch_of([(x, d, k, p, low, high, seg) for (x, low, high, seg), (d, p, k) in first.items()])
-                    first.clear()
+                    yield from whole()
                 if len(out) >= 20_000:
                     yield batch_of(out)
                     out = []
-        yield batch_of([(x, d, k, p, low, high, seg) for (x, low, high, seg), (d, p, k) in first.items()])
+        yield from whole()
         yield batch_of(out)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +303,7 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             done = g["segment"].isna().to_numpy()
             gone = g[done]
             known = pd.DataFrame({"doc_id": gone["doc_id"], "key": gone["key"], "start": gone["place"] - gone["high"], "end": gone["place"] - gone["low"] + length})
-            every = pd.concat([known, _merge(g[~done], length)]) if not done.all() else known
+            every = pd.concat([known, _merge(g[~done], length, merges.add if merges is not None else None)]) if not done.all() else known
             yield pa.RecordBatch.from_arrays([pa.array(every[c].to_numpy(np.int64)) for c in ranges], names=ranges)
 
     ranges = ["doc_id", "key", "start", "end"]
@@ -274,13 +313,13 @@ def removals(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return met.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h").mapInArrow(merge, "doc_id long, key long, start long, end long")
 
 
-def substring_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def substring_dedup(documents: DataFrame, length: int = LENGTH, hot: int | None = None, merges=None) -> DataFrame:
     """doc_id, kept (the remaining bytes), n_bytes, n_removed and n_spans of every row of ``documents``.
 
     A byte is removed if it lies in a string of ``length`` bytes that also begins earlier: in a
     document of smaller doc_id, or earlier in the same one. Strings overlap, are judged on the input
     and never cross documents; texts are UTF-8 bytes, null is empty. Texts under ``length`` bytes
-    stay whole. Rows that repeat a doc_id with the same text are one document and come out alike;
+    stay whole, texts of any length are read in pieces. Rows that repeat a doc_id with the same text are one document and come out alike;
     rows with a null doc_id stay whole. Other columns are ignored; an empty table gives an empty
     table.
     """
@@ -288,7 +327,7 @@ def substring_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
     rows = rows.withColumn("key", F.xxhash64("data"))
     long_enough = rows.where(F.col("doc_id").isNotNull() & (F.length("data") >= length))
-    gone = removals(long_enough, length)
+    gone = removals(long_enough, length, hot, merges)
     ranges = gone.groupBy("doc_id", "key").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("ranges"))
     ranges = written(ranges, "ranges")
     ids, on = bounded(ranges.select("doc_id", "key")), ["doc_id", "key"]
@@ -316,6 +355,11 @@ def substring_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return map_rows(both, ["doc_id", "n_bytes"], [F.col("data"), F.col("ranges")], added, lambda: cut).unionByName(same)
 
 
-def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    out = substring_dedup(documents, length)
+def digests(documents: DataFrame, length: int = LENGTH, hot: int | None = None, merges=None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the digest of what is left, of every row of ``documents``.
+
+    Nulls, empty and long texts, ties, repeated rows, clashing names and empty tables are as in
+    :func:`substring_dedup`; a null text has the digest of no bytes.
+    """
+    out = substring_dedup(documents, length, hot, merges)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
