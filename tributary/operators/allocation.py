@@ -8,7 +8,7 @@ submitted by s2.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,21 +44,27 @@ def parameters(spark: SparkSession, depths: Sequence[int], t_grid: Sequence[floa
 
 
 def _drawn(worlds: DataFrame, grid: DataFrame) -> DataFrame:
-    """(query_id, doc_id, k_c, t, seed) that numpy draws from each query's outsiders."""
+    """(query_id, doc_id, k_c, t, seed) that numpy draws from each query's outsiders.
+
+    The draw needs the number of outsiders only: it gives places in the doc_id order, which Spark
+    joins to the documents. No query's documents are gathered in Python.
+    """
     wanted = [(r.k_c, r.t, r.seed, r.n_out) for r in grid.where(F.col("policy") == N.RANDOM).collect()]
-    schema = "query_id string, doc_id string, k_c int, t double, seed int"
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool, k_c = np.sort(pdf["doc_id"].to_numpy(object)), int(pdf["k_c"].iloc[0])
-        parts: list[pd.DataFrame] = []
-        for depth, t, seed, n in wanted:
-            if depth == k_c and n > 0:
-                some = pool if n >= len(pool) else pool[np.random.default_rng(seed).choice(len(pool), size=n, replace=False)]
-                parts.append(pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "doc_id": some, "k_c": k_c, "t": t, "seed": seed}))
-        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-
-    out = worlds.where(~F.col("in_cq")).select("query_id", "doc_id", "k_c").distinct()
-    return out.groupBy("query_id", "k_c").applyInPandas(draw, schema)
+    pool = worlds.where(~F.col("in_cq")).select("query_id", "doc_id", "k_c").distinct()
+    placed = pool.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "k_c").orderBy("doc_id")).cast("long") - 1)
+    schema = "query_id string, k_c int, t double, seed int, place long"
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for query, k_c, size in pdf.itertuples(index=False):
+                for depth, t, seed, n in wanted:
+                    if depth == k_c and n > 0:
+                        some = np.arange(size) if n >= size else np.random.default_rng(seed).choice(size, size=n, replace=False)
+                        yield pd.DataFrame({"query_id": query, "k_c": k_c, "t": t, "seed": seed, "place": some})
+
+    sizes = pool.groupBy("query_id", "k_c").agg(F.count(F.lit(1)).alias("size"))
+    places = sizes.select("query_id", F.col("k_c").cast("int").alias("k_c"), "size").mapInPandas(draw, schema)
+    return placed.join(places, ["query_id", "k_c", "place"]).select("query_id", "doc_id", "k_c", "t", "seed")
 
 
 def allocate(worlds: DataFrame, grid: DataFrame) -> DataFrame:

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from .. import config, contracts
 from .. import names as N
-from ..operators import allocation, effects, features, judgments, universe, worlds
+from ..operators import allocation, effects, features, judgments, probes, summaries, universe, worlds
 from ..sources import embeddings, files, retrieval, score_store, trec
 from ..sources.tables import scratch, table
-from . import grid, reports, sql
+from . import grid, reports, sql, study
 from .cascades import event_cascade, event_qrels, event_runs
-from .catalog import _FEATURES, _FLOOR, _HELD, DCG, DEPTH, _allocated, _budget, _floored, _scores, _stage, _worlds, query, rounded
+from .catalog import _FEATURES, _FLOOR, _HELD, DCG, DEPTH, _allocated, _budget, _floored, _probe_x, _scores, _stage, _worlds, query, rounded
 from .sql import K_C, K, r
 
 
@@ -156,6 +156,19 @@ def score_store_merged(spark, d):
     return spark.createDataFrame([(m, first.count(m)) for m in first.models()], "model string, n_scores long")
 
 
+@query(f"WITH {_HELD}, o AS (SELECT query_id, count(*) AS n_scores FROM sc GROUP BY ALL), e AS (SELECT count(*) AS asked FROM ev), h AS (SELECT count(*) AS held FROM sc) SELECT query_id, n_scores, asked, held AS held_before, asked - held AS scored, CAST(0 AS BIGINT) AS missing FROM o, e, h")
+def score_store_report(spark, d):
+    """Scored queries before a fill, beside what the fill reports."""
+    pairs, rows = _scores(spark, d)
+    path = scratch(spark, "scores")
+    store = score_store.ScoreStore(spark, path)
+    store.put(score_store.latest(rows), 1)
+    before = _through(spark, store.scores("m"), "stage2_cache").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_scores"))
+    same = before.join(store.queries("m").select("query_id", F.col("n_scores").alias("held")), "query_id").where("held = n_scores").drop("held")
+    report = store.fill(pairs, "m", lambda todo: todo.withColumn("score", F.lit(0.0)))
+    return same.select("*", *[F.lit(report[k]).cast("long").alias(k) for k in ("asked", "held_before", "scored", "missing")])
+
+
 @query("SELECT item_id, length(text) AS n, CAST(round(length(text) / sqrt(CAST(length(text) * length(text) + 1 AS DOUBLE)), 5) AS DOUBLE) AS first FROM benchmark")
 def vector_shards(spark, d):
     """Vectors of texts by a stand-in encoder, filled twice: the second time finds nothing to do."""
@@ -274,3 +287,32 @@ def stage1_mismatches_planted(spark, d):
     extra = runs.select("query_id").distinct().select("query_id", F.lit("extra").alias("doc_id"), F.lit("value").alias("system"), F.lit(999999).cast("long").alias("rank"), F.lit(-1e9).alias("score"), F.lit("v1").alias("checkpoint"))
     planted = own.where(~_every(17)).select(*extra.columns).unionByName(extra)
     return universe.table_mismatches(planted, runs.where("system = 'value'"), universe.build(runs, DEPTH), [K_C, 30])
+
+
+# Baselines and convergence
+
+_CLEAN = "FROM st WHERE effect_type = 'e_gate' AND judged"
+
+
+@query(
+    f"""WITH {sql.stage(DCG)}, z AS (SELECT stratum, 'zero' AS baseline, 0.0 AS p, effect AS x {_CLEAN} UNION ALL SELECT stratum, 'membership', CASE stratum WHEN 'survivor' THEN 1.0 ELSE -1.0 END, effect {_CLEAN})
+SELECT baseline, stratum, count(*) AS n, {r('avg(abs(p - x))', 'mae')}, {r('sqrt(avg((p - x) * (p - x)))', 'rmse')}, {r('avg(p - x)', 'signed_bias')} FROM z GROUP BY ALL"""
+)
+def baseline_report(spark, d):
+    rows = features.membership(_stage(spark, d).where("effect_type = 'e_gate' and judged"))
+    return rounded(study.baseline_report(rows.withColumn("pred_zero", F.lit(0.0)), {"zero": "pred_zero", "membership": "pred_membership"}).select("baseline", "stratum", "n", "mae", "rmse", "signed_bias"))
+
+
+@query(f"WITH {sql.budget(DCG)} SELECT policy, t, stratum, count(*) AS n, {r('avg(effect)', 'mean')}, count(*) FILTER (effect > 1e-9) AS n_gained, count(*) FILTER (effect < -1e-9) AS n_lost FROM bg GROUP BY ALL")
+def budget_stratum_report(spark, d):
+    return rounded(study.budget_stratum_report(_budget(spark, d)))
+
+
+@query(
+    f"""WITH {sql.stage(DCG)}, {sql.DIAGNOSIS}, {_probe_x(N.BOUNDARY, (0, 5, 20, 50))}, h AS (SELECT query_id, budget, -sum(effect) AS g_hat FROM x GROUP BY ALL), b AS (SELECT budget, avg(abs(g_hat - g_q)) AS mae FROM h JOIN dg USING (query_id) GROUP BY ALL)
+SELECT budget, {r('mae', 'gq_mae')}, {r('mae - lag(mae) OVER (ORDER BY budget)', 'change')} FROM b"""
+)
+def convergence(spark, d):
+    own = _worlds(spark, d)
+    curve = probes.query_fidelity(probes.probe(own, [0, 5, 20, 50], N.BOUNDARY, DCG), summaries.diagnose(effects.stage_effects(own, DCG)))
+    return rounded(study.convergence(curve, "gq_mae"))

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import names as N
+from ..errors import InputError
 from ..functions import statistics as S
 from ..functions.special import binomial_p
 from ..functions.utility import Utility
@@ -68,6 +70,31 @@ def cost_fidelity(built: DataFrame, diagnosis: DataFrame, stage: DataFrame, util
     return out
 
 
+def baseline_report(frame: DataFrame, predictions: dict[str, str], target: str = "effect") -> DataFrame:
+    """Errors of each named prediction column within each stratum, in one pass over the rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("baseline"), F.col(c).cast("double").alias("p")) for n, c in predictions.items()]))
+    rows = frame.select("stratum", F.col(target).cast("double").alias("x"), each.alias("b")).select("stratum", "x", "b.*").where("p is not null and x is not null")
+    error = F.col("p") - F.col("x")
+    return rows.groupBy("baseline", "stratum").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("signed_bias"))
+
+
+def budget_stratum_report(budget: DataFrame) -> DataFrame:
+    """Per (policy, t, stratum): documents, mean effect, and how many gained or lost."""
+    e = F.col("effect")
+    return budget.groupBy("policy", "t", "stratum").agg(F.count(F.lit(1)).alias("n"), F.avg(e).alias("mean"), F.sum((e > N.EPS).cast("long")).alias("n_gained"), F.sum((e < -N.EPS).cast("long")).alias("n_lost"))
+
+
+def convergence(curve: DataFrame, error: str, tolerance: float | None = None) -> DataFrame:
+    """(budget, error, change) along a cost curve of one row a budget; with ``tolerance`` an error at
+    the largest budget beyond it is refused."""
+    if tolerance is not None:
+        last = curve.orderBy(F.desc("budget")).first()
+        if last is None or not abs(last[error]) <= tolerance:
+            raise InputError(f"{error} is {last and last[error]} at the full budget, not within {tolerance}")
+    step = F.col(error) - F.lag(error).over(Window.orderBy("budget"))  # a row for each budget of the settings
+    return curve.select("budget", error, step.alias("change"))
+
+
 def simulate_pool(spark: SparkSession, regime: synthetic.Regime, n_queries: int, n_docs: int, k_c: int, t: float, policy: str, utility: Utility, planted: int = 0, seed: int = 42, tau: float = 0.05) -> DataFrame:
     """(query_id, label, g_q, delta_dcg) of synthetic queries, for power calculations."""
     cascade = synthetic.generate(spark, regime, n_queries, n_docs, seed)

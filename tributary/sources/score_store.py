@@ -57,6 +57,10 @@ class ScoreStore:
     def models(self) -> list[str]:
         return sorted(r.model for r in self.scores().select("model").distinct().collect())
 
+    def queries(self, model: str) -> DataFrame:
+        """(query_id, n_scores) of the queries that ``model`` has scores of."""
+        return self.scores(model).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_scores"))
+
     def count(self, model: str | None = None) -> int:
         return self.scores(model).count()
 
@@ -68,10 +72,21 @@ class ScoreStore:
         if worst:
             raise MissingScoreError(f"scores of {model} are missing: {[(r.query_id, r.n_missing) for r in worst]}")
 
-    def fill(self, universe: DataFrame, model: str, score) -> None:
-        """Score what is missing with ``score`` (a function of the pairs that adds a score column) and store it."""
-        todo = missing(universe, self.scores(), model)
-        self.put(score(todo).withColumn("model", F.lit(model)))
+    def fill(self, universe: DataFrame, model: str, score) -> dict[str, int]:
+        """Score what is missing with ``score`` (a function of the pairs that adds a score column) and store it.
+
+        The report counts the pairs asked for, those held before and those that the store has now.
+        """
+        def held() -> int:
+            row = coverage(universe, self.scores(), model).agg(F.sum("n_universe").alias("n"), F.sum("n_scored").alias("scored")).first()
+            asked.append(row["n"] or 0)
+            return row["scored"] or 0
+
+        asked: list[int] = []
+        before = held()
+        self.put(score(missing(universe, self.scores(), model)).withColumn("model", F.lit(model)))
+        after = held()
+        return {"asked": asked[-1], "held_before": before, "scored": after - before, "missing": asked[-1] - after}
 
 
 def shard_plan(universe: DataFrame, shards: int = 3) -> list[tuple[int, str, int]]:
