@@ -246,7 +246,9 @@ def encode(documents: DataFrame, tokenizer: Codec, text: str = "text", packed: b
 def decode(tokens: DataFrame, tokenizer: Codec) -> DataFrame:
     """Rows of ``tokens`` with ``decoded``, the bytes that ``ids`` stand for (null ids: no bytes).
 
-    ids may be packed or array<int>. An id outside the vocabulary is an error.
+    ids may be packed or array<int>, of any length. An id outside the vocabulary is an error. Every row
+    comes back, repeated ones too; other columns stay, save ``decoded``, which is replaced; an empty
+    table gives an empty table.
     """
     shared = tokens.sparkSession.sparkContext.broadcast(tokenizer)
     packed = dict(tokens.dtypes)["ids"] == "binary"
@@ -264,6 +266,11 @@ def decode(tokens: DataFrame, tokenizer: Codec) -> DataFrame:
 
 
 def digests(documents: DataFrame, tokenizer: Codec) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the bytes that they decode to."""
+    """doc_id, n_tokens and the digests of the ids and of the bytes that they decode to.
+
+    Null and empty texts have 0 tokens and the digests of no bytes; texts may be of any length. Every
+    row comes back, repeated ones and null ids too; other columns are ignored; an empty table gives an
+    empty table.
+    """
     back = decode(encode(documents.select("doc_id", "text"), tokenizer, packed=True).drop("text"), tokenizer)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

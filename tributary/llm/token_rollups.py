@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import tiktoken
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ def inserts(rows: DataFrame, tokens: Column) -> DataFrame:
 
 
 def deletes(rows: DataFrame, tokens: Column) -> DataFrame:
+    """Signed rows for documents that go: one less each, and their tokens. Rows that repeat go as often;
+    a null count takes a document and no tokens, null keys are a group of their own."""
     return rows.select(*KEYS, F.lit(-1).cast("long").alias("docs"), (-tokens).cast("long").alias("tokens"))
 
 
@@ -55,8 +58,13 @@ class Rollup:
         rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.folder)
 
     def deltas(self) -> DataFrame:
-        self.spark.createDataFrame([], DELTAS).write.mode("append").partitionBy("batch").parquet(self.folder)
-        return self.spark.read.schema(DELTAS).parquet(self.folder)
+        """All committed signed sums; before the first commit there are none. Reading changes nothing."""
+        try:
+            return self.spark.read.schema(DELTAS).parquet(self.folder)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], DELTAS)
 
     def batches(self) -> list[str]:
         return [r.batch for r in self.deltas().select("batch").distinct().collect()]

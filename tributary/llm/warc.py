@@ -72,7 +72,9 @@ def write_archives(records: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``records(record_id, target_uri, payload, refers_to)``, one archive or more a partition.
 
     payload is text or bytes (text: UTF-8; null: empty). A record with refers_to becomes a revisit.
-    Returns the committed manifest (path, records, bytes); no rows, no archives.
+    Returns the committed manifest (path, records, bytes); no rows, no archives. Payloads may be of any
+    length; repeated rows are records of their own; a null target_uri is left out; other columns are
+    ignored.
     """
     spark = records.sparkSession
     bounded_batches(spark)
@@ -192,7 +194,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     """Records of the archives named in ``manifest(path)``: see RECORDS.
 
     payload_bytes and payload_digest (lower-case hex SHA-1) are of the full payload, for revisits as
-    their headers have them. error is null for a sound record; otherwise it names what failed.
+    their headers have them. error is null for a sound record; otherwise it names what failed. Records
+    are read in pieces, whatever their length; an empty manifest has none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
