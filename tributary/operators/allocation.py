@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from .. import names as N
 from ..errors import AllocationError
+from .ranking import tasks
 
 RUN = ["query_id", "k_c", "condensed", "t", "policy", "seed"]
 
@@ -67,23 +68,54 @@ def _drawn(worlds: DataFrame, grid: DataFrame) -> DataFrame:
     return placed.join(places, ["query_id", "k_c", "place"]).select("query_id", "doc_id", "k_c", "t", "seed")
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Rows with rank_t by s2. Only what is submitted is sorted, at most a budget a run; the rest passes by."""
+    order = Window.partitionBy(*RUN).orderBy("rank_s2")
+    ranked = rows.where("submitted").withColumn("rank_t", F.row_number().over(order))
+    return ranked.unionByName(rows.where(~F.col("submitted")).withColumn("rank_t", F.lit(None).cast("int")))
+
+
+def _baselines(grid: DataFrame) -> dict[int, int]:
+    """Candidates that t = 1 submits at each depth, where every policy and seed of the depth has that share."""
+    cells = grid.select("k_c", "budget", "policy", "seed", "t", "n_cand").collect()  # one row per grid cell
+    if any(len({c.budget for c in cells if c.k_c == k}) > 1 for k in {c.k_c for c in cells}):
+        raise AllocationError("a grid has one budget per depth")
+    runs = {(c.k_c, c.policy, c.seed) for c in cells}
+    lacking = {k for k, *_ in runs - {(c.k_c, c.policy, c.seed) for c in cells if c.t == 1.0}}
+    return {c.k_c: c.n_cand for c in cells if c.t == 1.0 and c.k_c not in lacking}
+
+
 def allocate(worlds: DataFrame, grid: DataFrame) -> DataFrame:
-    """Worlds by grid cell, with stratum, submitted and rank_t.
+    """Worlds by grid cell, with stratum, submitted, rank_t and, of the cell at t = 1, rank_1.
 
     ``worlds`` has to hold all documents of a query (the uncondensed mode) or its judged ones; the
     outsiders' places are by rank_s1 and rank within the gate's outside, so a condensed frame has to
-    come from :func:`submitted` of the full one.
+    come from :func:`condense` of the full one. At t = 1 all of the budget goes to candidates whatever
+    the policy and seed, so rank_1 (and rank_1_judged, among judged documents) is found once, before
+    the cells multiply the rows. ``baseline`` is null where the grid has no t = 1.
     """
     outside = Window.partitionBy("query_id", "k_c", "condensed", "in_cq")
     other = F.row_number().over(outside.orderBy(F.coalesce("alt_rank", F.lit(N.UNRANKED)), "doc_id"))
-    placed = worlds.withColumn("place_boundary", F.col("rank_s1") - F.col("k_c")).withColumn("place_alternative", other)
-    cells = placed.join(F.broadcast(grid), "k_c")
+    kept = F.lit(None).cast("int")
+    for k_c, n in _baselines(grid).items():
+        kept = F.when(F.col("k_c") == k_c, n).otherwise(kept)
+    base = Window.partitionBy("query_id", "k_c", "condensed", "baseline")
+    placed = worlds.withColumns({"place_boundary": F.col("rank_s1") - F.col("k_c"), "place_alternative": other, "baseline": F.col("in_cq") & (F.col("rank_s1") <= kept)})
+    placed = placed.withColumn("baseline", F.when(kept.isNotNull(), F.col("baseline"))).withColumns(
+        {
+            "rank_1": F.when(F.col("baseline"), F.row_number().over(base.orderBy("rank_s2"))),
+            "rank_1_judged": F.when(F.col("baseline") & F.col("judged"), F.sum(F.col("judged").cast("int")).over(base.orderBy("rank_s2")).cast("int")),
+        }
+    )
     picked = F.when(F.col("policy") == N.BOUNDARY, F.col("place_boundary") <= F.col("n_out")).when(F.col("policy") == N.ALTERNATIVE, F.col("place_alternative") <= F.col("n_out"))
+    # Documents are dealt out before the cells multiply them: a large query then spans many tasks.
+    key = ["query_id", "doc_id", "k_c"]
+    placed = placed.repartition(tasks(worlds), *key)
     if grid.where(F.col("policy") == N.RANDOM).limit(1).count():
-        drawn = _drawn(worlds, grid).withColumn("drawn", F.lit(True))
-        on = [cells[c].eqNullSafe(drawn[c]) for c in ("query_id", "doc_id", "k_c", "t", "seed")]
-        cells = cells.join(drawn, on, "left").select(*[cells[c] for c in cells.columns], F.coalesce("drawn", F.lit(False)).alias("drawn"))
-        picked = picked.otherwise(F.col("drawn"))
+        drawn = _drawn(worlds, grid).groupBy(*key).agg(F.collect_set(F.struct("t", "seed")).alias("drawn"))
+        placed = placed.join(drawn, key, "left")
+        picked = picked.otherwise(F.coalesce(F.array_contains("drawn", F.struct("t", "seed")), F.lit(False)))
+    cells = placed.join(F.broadcast(grid), "k_c")
     inside = F.col("in_cq")
     stratum = (
         F.when(inside & (F.col("rank_s1") <= F.col("n_cand")), N.RETAINED)
@@ -92,15 +124,13 @@ def allocate(worlds: DataFrame, grid: DataFrame) -> DataFrame:
         .otherwise(N.UNSELECTED)
     )
     out = cells.withColumn("stratum", stratum).withColumn("submitted", F.col("stratum").isin(N.RETAINED, N.SELECTED))
-    order = Window.partitionBy(*RUN, "submitted").orderBy("rank_s2")
-    return out.withColumn("rank_t", F.when(F.col("submitted"), F.row_number().over(order))).drop("place_boundary", "place_alternative", "drawn")
+    return _ranked(out.drop("place_boundary", "place_alternative", "drawn"))
 
 
 def condense(allocated: DataFrame) -> DataFrame:
-    """The same allocation among judged documents, world D's ranks recounted."""
-    order = Window.partitionBy(*RUN, "submitted").orderBy("rank_s2")
+    """The same allocation among judged documents, the ranks of world D and of its baseline recounted."""
     kept = allocated.where("judged").withColumn("condensed", F.lit(True))
-    return kept.withColumn("rank_t", F.when(F.col("submitted"), F.row_number().over(order)))
+    return _ranked(kept.drop("rank_t").withColumn("rank_1", F.col("rank_1_judged")))
 
 
 def audit(allocated: DataFrame) -> DataFrame:

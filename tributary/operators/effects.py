@@ -49,13 +49,11 @@ def stage_effects(worlds: DataFrame, utility: Utility | Sequence[Utility], syste
 def budget_effects(allocated: DataFrame, utility: Utility | Sequence[Utility], system: str = "s1") -> DataFrame:
     """delta_t of every document and grid cell but t = 1, whose world is the baseline.
 
-    The baseline is found again for each policy and seed, never taken from world A; it equals A only
+    The baseline is the allocation's own world at t = 1, never taken from world A; it equals A only
     where B = K_c. Several utilities are worked out on the same ranks.
     """
-    same = Window.partitionBy("query_id", "doc_id", "k_c", "condensed", "policy", "seed")
-    is_base = F.col("t") == 1.0
-    rows = allocated.withColumn("rank_1", F.max(F.when(is_base, F.col("rank_t"))).over(same)).withColumn("has_base", F.max(is_base.cast("int")).over(same))
-    rows = rows.where(F.when(F.col("has_base") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("a grid without t = 1 has no baseline")).cast("boolean"))).where(~is_base)
+    sound = F.when(F.col("baseline").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("a grid without t = 1 has no baseline")).cast("boolean"))
+    rows = allocated.where(sound).where(F.col("t") != 1.0)
 
     def sides(u: Utility) -> Column:
         return F.struct(F.lit(u.k).alias("k"), F.lit(u.kind).alias("utility"), u.of(F.col("rank_t"), F.col("relevance")).alias("utility_treatment"), u.of(F.col("rank_1"), F.col("relevance")).alias("utility_control"))

@@ -16,6 +16,12 @@ def scored(column: str) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit(f"{column} is missing for document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("double")).otherwise(F.col(column))
 
 
+def tasks(df: DataFrame) -> int:
+    """The session's number of shuffle partitions. Adaptive execution joins partitions by their size before
+    rows are multiplied by depths, cells and utilities; a number that is given stays."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def by_score(score: Column | str, *keys: str) -> Window:
     return Window.partitionBy("query_id", *keys).orderBy(F.desc(score), F.asc("doc_id"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import InputError
-from .ranking import by_score, scored
+from .ranking import by_score, scored, tasks
 
 COLUMNS = ["query_id", "doc_id", "s1", "s2", "alt_rank", "relevance", "judged"]
 
@@ -28,7 +28,7 @@ COLUMNS = ["query_id", "doc_id", "s1", "s2", "alt_rank", "relevance", "judged"]
 def ranked(cascade: DataFrame) -> DataFrame:
     """The cascade with rank_s1, rank_s2 and n_docs of its query."""
     own = cascade.select(*COLUMNS).withColumns({"s1": scored("s1"), "s2": scored("s2"), "judged": F.coalesce("judged", F.lit(False))})
-    own = own.repartition("query_id")
+    own = own.repartition(tasks(cascade), "query_id")
     return own.select(
         "*",
         F.row_number().over(by_score("s1")).alias("rank_s1"),
