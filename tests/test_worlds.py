@@ -115,3 +115,20 @@ def test_ranks_in_ranges_are_the_same(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("q"), F.col("id") % 7)).alias("query_id"), F.format_string("d%05d", "id").alias("doc_id"), F.pmod(F.hash("id"), F.lit(50)).cast("double").alias("s1"))
     want = {(r.query_id, r.doc_id): r.rank for r in ranking.rank_by(rows, "s1").collect()}
     assert {(r.query_id, r.doc_id): r.rank for r in ranking.rank_in_ranges(rows, "s1", ranges=9).collect()} == want
+
+
+def test_condensed_allocations_recount_ranks_and_baselines(spark):
+    rows = toy.cascade(spark).withColumn("judged", ~F.col("doc_id").isin("b", "e", "j"))
+    grid = allocation.parameters(spark, [toy.K_C], [1.0, 0.5], [N.BOUNDARY, N.RANDOM], [42])
+    full = allocation.allocate(worlds.build_worlds(rows, [toy.K_C]), grid)
+    both = allocation.in_modes(full, [False, True]).collect()
+    for condensed in (False, True):
+        for policy, t in [(p, t) for p in (N.BOUNDARY, N.RANDOM) for t in (1.0, 0.5)]:
+            own = [r for r in both if (r.condensed, r.policy, r.t) == (condensed, policy, t)]
+            sent = sorted((r for r in own if r.submitted), key=lambda r: r.rank_s2)
+            assert len(own) == (7 if condensed else 10)
+            assert [r.rank_t for r in sent] == list(range(1, len(sent) + 1))
+            assert all(r.rank_t is None for r in own if not r.submitted)
+            first = sorted((r for r in own if r.in_cq), key=lambda r: r.rank_s2)
+            assert [r.rank_1 for r in first] == list(range(1, len(first) + 1))
+            assert all(r.rank_1 is None for r in own if not r.in_cq)

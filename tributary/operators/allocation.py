@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,11 +68,18 @@ def _drawn(worlds: DataFrame, grid: DataFrame) -> DataFrame:
     return placed.join(places, ["query_id", "k_c", "place"]).select("query_id", "doc_id", "k_c", "t", "seed")
 
 
+def _judged_rank(order) -> Column:
+    """The rank among judged documents of those that are judged."""
+    return F.when(F.col("judged"), F.sum(F.col("judged").cast("int")).over(order).cast("int"))
+
+
 def _ranked(rows: DataFrame) -> DataFrame:
-    """Rows with rank_t by s2. Only what is submitted is sorted, at most a budget a run; the rest passes by."""
+    """Rows with rank_t by s2, and rank_t_judged among judged documents. Only what is submitted is sorted,
+    at most a budget a run; the rest passes by."""
     order = Window.partitionBy(*RUN).orderBy("rank_s2")
-    ranked = rows.where("submitted").withColumn("rank_t", F.row_number().over(order))
-    return ranked.unionByName(rows.where(~F.col("submitted")).withColumn("rank_t", F.lit(None).cast("int")))
+    ranked = rows.where("submitted").withColumns({"rank_t": F.row_number().over(order), "rank_t_judged": _judged_rank(order)})
+    absent = F.lit(None).cast("int")
+    return ranked.unionByName(rows.where(~F.col("submitted")).withColumns({"rank_t": absent, "rank_t_judged": absent}))
 
 
 def _baselines(grid: DataFrame) -> dict[int, int]:
@@ -104,7 +111,7 @@ def allocate(worlds: DataFrame, grid: DataFrame) -> DataFrame:
     placed = placed.withColumn("baseline", F.when(kept.isNotNull(), F.col("baseline"))).withColumns(
         {
             "rank_1": F.when(F.col("baseline"), F.row_number().over(base.orderBy("rank_s2"))),
-            "rank_1_judged": F.when(F.col("baseline") & F.col("judged"), F.sum(F.col("judged").cast("int")).over(base.orderBy("rank_s2")).cast("int")),
+            "rank_1_judged": F.when(F.col("baseline"), _judged_rank(base.orderBy("rank_s2"))),
         }
     )
     picked = F.when(F.col("policy") == N.BOUNDARY, F.col("place_boundary") <= F.col("n_out")).when(F.col("policy") == N.ALTERNATIVE, F.col("place_alternative") <= F.col("n_out"))
@@ -127,10 +134,17 @@ def allocate(worlds: DataFrame, grid: DataFrame) -> DataFrame:
     return _ranked(out.drop("place_boundary", "place_alternative", "drawn"))
 
 
+def in_modes(allocated: DataFrame, modes: Sequence[bool]) -> DataFrame:
+    """The allocation's rows in each mode; the condensed one keeps judged documents and their ranks among
+    themselves, in world D and in its baseline."""
+    listed = [m for m in (False, True) if m in modes]
+    rows = allocated.withColumn("condensed", F.explode(F.array(*map(F.lit, listed)))).where(~F.col("condensed") | F.col("judged"))
+    return rows.withColumns({c: F.when(F.col("condensed"), F.col(f"{c}_judged")).otherwise(F.col(c)) for c in ("rank_t", "rank_1")})
+
+
 def condense(allocated: DataFrame) -> DataFrame:
     """The same allocation among judged documents, the ranks of world D and of its baseline recounted."""
-    kept = allocated.where("judged").withColumn("condensed", F.lit(True))
-    return _ranked(kept.drop("rank_t").withColumn("rank_1", F.col("rank_1_judged")))
+    return in_modes(allocated, [True])
 
 
 def audit(allocated: DataFrame) -> DataFrame:

@@ -31,8 +31,7 @@ def effect_grid(cascade: DataFrame, settings: Settings, system: str, utilities:
     both = worlds.build_worlds(cascade, depths, list(modes))
     budget = None if settings.b_equals_kc else settings.b_absolute
     grid = allocation.parameters(cascade.sparkSession, depths, settings.grid_t(optional_t), settings.policies, settings.budget_seeds, budget)
-    full = allocation.allocate(worlds.build_worlds(cascade, depths), grid)
-    spent = full if not any(modes) else allocation.condense(full) if all(modes) else full.unionByName(allocation.condense(full))
+    spent = allocation.in_modes(allocation.allocate(worlds.build_worlds(cascade, depths), grid), modes)
     return effects.stage_effects(both, own, system).unionByName(effects.budget_effects(spent, own, system))
 
 
