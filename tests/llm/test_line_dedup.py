@@ -115,3 +115,11 @@ def test_passages_go_however_common_they_are(spark):
     rows = [(i, f"the only line of its kind, number {i}, and long enough\n{passage}") for i in range(L.RARE + 5)]
     assert len(passage) >= L.PASSAGE_CHARS
     assert [passage in t for _, t in texts_of(L.line_dedup(frame(spark, rows)))].count(True) == 1
+
+
+def test_passages_of_many_short_words_go_too(spark):
+    passage, shorter = (" ".join(["so it is"] * 17)[:-n] if n else " ".join(["so it is"] * 17) for n in (0, 3))
+    assert len(passage) < L.PASSAGE_CHARS and len(passage.split()) == L.PASSAGE_WORDS + 1 and len(shorter.split()) == L.PASSAGE_WORDS
+    for text, left in ((passage, 1), (shorter, L.RARE + 5)):
+        rows = [(i, f"the only line of its kind, number {i}, and long enough\n{text}") for i in range(L.RARE + 5)]
+        assert sum(text in t.split("\n") for _, t in texts_of(L.line_dedup(frame(spark, rows)))) == left

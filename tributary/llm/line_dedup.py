@@ -3,7 +3,7 @@
 Lines are hashed. At every line a run begins: the fewest lines in a row that have LEAST_CHARS
 characters, so a long line is one and short lines are joined. The first document that holds a run
 owns it, and a later document is paired with the owners of its runs: one shared rare run is enough, and
-so is one line of PASSAGE_CHARS however common it is; other common runs have to end on two or more lines
+so is one line of PASSAGE_CHARS or of more than PASSAGE_WORDS words however common it is; other common runs have to end on two or more lines
 with one owner. So short boilerplate alone pairs nothing, while repeated passages go wherever they are
 and large groups of near copies still meet in their first member. Each pair is aligned by patience diff over the line hashes and the aligned common
 blocks are deleted from the later document. Exact copies collapse before all this: the whole text of
@@ -28,8 +28,9 @@ from .common import bounded, bounded_batches, map_rows, written
 LEAST_CHARS = 30
 #: Texts that may share a run for it to count as rare.
 RARE = 10
-#: Characters from which on a line is a passage of its own, which pairs documents at any frequency.
-PASSAGE_CHARS = 250
+#: A line is a passage of its own, which pairs documents at any frequency, from so many characters on or
+#: with more words than this.
+PASSAGE_CHARS, PASSAGE_WORDS = 250, 50
 #: Bits of the rows that a longest common subsequence keeps at once; longer sequences are halved first.
 ROW_BITS = 1 << 28
 _MULT = 0x9E3779B97F4A7C15
@@ -157,7 +158,7 @@ def common_lines(early: list[int], late: list[int], sizes: list[int], least_char
     return out
 
 
-def runs(hashes: list[int], sizes: list[int], least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(hashes: list[int], sizes: list[int], passages: list[bool], least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of the run, hash of its last line, whether that is a passage) of each run of lines, equal
     runs once; a run of one line has its hash."""
     h, n = np.asarray(hashes, np.int64).view(np.uint64), np.asarray(sizes, np.int64)
@@ -172,7 +173,7 @@ def runs(hashes: list[int], sizes: list[int], least_chars: int) -> tuple[np.ndar
     before = np.r_[np.uint64(0), np.cumsum(h * powers(_MULT)[:-1], dtype=np.uint64)]
     found = ((before[end] - before[at]) * powers(pow(_MULT, -1, 1 << 64))[at]).view(np.int64)
     found, once = np.unique(found, return_index=True)
-    return found, h[end - 1].view(np.int64)[once], (n[end - 1] >= PASSAGE_CHARS)[once]
+    return found, h[end - 1].view(np.int64)[once], np.asarray(passages, bool)[end - 1][once]
 
 
 def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = RARE) -> DataFrame:
@@ -183,11 +184,18 @@ def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = R
     bounded_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
     lines = F.split("text", "\n", -1)
+
+    def passage(x):
+        # Words are counted only where the characters can hold so many and do not suffice by themselves.
+        n = F.length(F.trim(x))
+        return F.when(n <= 2 * PASSAGE_WORDS, False).when(n >= PASSAGE_CHARS, True).otherwise(F.regexp_count(x, F.lit(r"\S+")) > PASSAGE_WORDS)
+
     lined = rows.select(
         "doc_id",
         F.unhex(F.md5("text")).alias("key"),
         F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
         F.transform(lines, lambda x: F.length(F.trim(x))).alias("sizes"),
+        F.transform(lines, passage).alias("passages"),
     )
     lined = written(lined, "lines")
     copies = lined.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.aggregate("sizes", F.lit(0), lambda s, x: s + x)).alias("chars"))
@@ -196,12 +204,12 @@ def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = R
     whole = lined.select("doc_id", "key").distinct().join(copies.where("first < last").where(F.col("chars") >= least_chars), "key").where("doc_id > first").select("doc_id", "key", F.lit(None).cast("array<int>").alias("gone"))
     own = written(lined.join(copies.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"]), "first-copies")
 
-    def joined(a: list, n: list) -> tuple[list, ...]:
-        return tuple(map(list, zip(*(runs(x, y, least_chars) for x, y in zip(a, n, strict=True)), strict=True))) or ([], [], [])
+    def joined(a: list, n: list, p: list) -> tuple[list, ...]:
+        return tuple(map(list, zip(*(runs(*x, least_chars) for x in zip(a, n, p, strict=True)), strict=True))) or ([], [], [])
 
     longs = pa.list_(pa.int64())
     added = [("line", "array<long>", longs), ("last", "array<long>", longs), ("passage", "array<boolean>", pa.list_(pa.bool_()))]
-    each = map_rows(own, ["doc_id"], [F.col("hashes"), F.col("sizes")], added, lambda: joined)
+    each = map_rows(own, ["doc_id"], [F.col("hashes"), F.col("sizes"), F.col("passages")], added, lambda: joined)
     each = each.select("doc_id", F.explode(F.arrays_zip("line", "last", "passage")).alias("l")).select("doc_id", "l.line", F.col("l.last").alias("at"), "l.passage")
     held = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("df")).where("owner < last")
     held = written(held.select("line", "owner", "df"), "shared-lines")
