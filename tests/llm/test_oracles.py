@@ -3,7 +3,7 @@ import pytest
 
 from tributary.llm import queries
 
-TABLES = ("documents", "pages")
+TABLES = ("documents", "pages", "benchmark", "labels")
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

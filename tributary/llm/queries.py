@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, near_dedup, neighbours, oracles, quality, secrets, substring_dedup, token_rollups, warc
+from . import bpe, decontaminate, filter_audit, lexical_search, line_dedup, near_dedup, neighbours, oracles, quality, quality_rules, secrets, substring_dedup, token_rollups, warc
 
 #: The vocabulary of op10; the files belong to the installed tokenizers, not to this repository.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -73,6 +73,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest lexical score for every benchmark item."""
+    return lexical_search.top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep and remove of every source, in each of their 120 orders."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures of every document, and whether it is kept; its source is its host."""
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_token_rollups": op2_token_rollups,
@@ -84,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bwt_substring_dedup": op8_bwt_substring_dedup,
     "op9_projected_neighbours": op9_projected_neighbours,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_quality_rules": op13_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
 #: The others have models, decoded layers, alignments, token merges or an index in them; tests hold them against brute force.
@@ -91,4 +109,7 @@ ORACLES: dict[str, str] = {
     "op4_warc_round_trip": oracles.OP4,
     "op6_minhash_near_dedup": oracles.OP6,
     "op8_bwt_substring_dedup": oracles.OP8,
+    "op11_lexical_search": oracles.OP11,
+    "op12_filter_audit": oracles.OP12,
+    "op13_quality_rules": oracles.OP13,
 }
