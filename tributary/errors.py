@@ -31,3 +31,7 @@ class PassageError(LookupError):
 
 class ListwiseScorerError(TypeError):
     """A listwise scorer would change what is being estimated."""
+
+
+class ConflictError(ValueError):
+    """Several sources say different things of one key."""

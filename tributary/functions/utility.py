@@ -97,3 +97,16 @@ def recall(ranked: DataFrame, judgments: DataFrame, k: int, least_grade: int = 2
     zero = F.lit(0).cast("long")
     both = all_.join(hit, "query_id", "left").select("query_id", F.coalesce("relevant", zero).alias("relevant"), F.coalesce("found", zero).alias("found"))
     return both.withColumn("recall", F.try_divide(F.col("found").cast("double"), F.col("relevant").cast("double")))
+
+
+def aggregation_gaps(ranked: DataFrame, utility: Utility) -> DataFrame:
+    """(query_id, total, dcg, gap): do utilities of documents add up to the ranking's DCG?
+
+    ``ranked(query_id, doc_id, rank, relevance)``. The total sums documents one by one; the DCG is worked
+    out from the ranking's first k grades in order, so the two share no lookup by rank.
+    """
+    total = F.sum(utility.of(F.col("rank"), F.col("relevance")))
+    head = F.array_sort(F.collect_list(F.when(F.col("rank") <= utility.k, F.struct("rank", utility.gain(F.col("relevance")).alias("gain")))))
+    got = ranked.groupBy("query_id").agg(total.alias("total"), head.alias("head"))
+    dcg = F.aggregate("head", F.lit(0.0), lambda s, x: s + x["gain"] / F.log2(x["rank"].cast("double") + 1))
+    return got.select("query_id", "total", dcg.alias("dcg")).withColumn("gap", F.abs(F.col("total") - F.col("dcg")))

@@ -44,6 +44,16 @@ def parameters(spark: SparkSession, depths: Sequence[int], t_grid: Sequence[floa
     return spark.createDataFrame(rows, "k_c int, budget int, t double, policy string, seed int, n_cand int, n_out int")
 
 
+def split_budget(budgets: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """Rows of ``budgets(budget, ...)`` at each share t, with n_cand and n_out; a budget below 0 and a share
+    outside [0, 1] are refused."""
+    if any(not 0 <= t <= 1 for t in shares):
+        raise AllocationError("a share lies outside [0, 1]")
+    sound = F.when(F.col("budget") >= 0, F.col("budget")).otherwise(F.raise_error(F.lit("a budget is missing or negative")).cast("long"))
+    cells = budgets.withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in shares]))).withColumn("n_cand", F.floor(F.col("t") * sound).cast("long"))
+    return cells.withColumn("n_out", F.col("budget") - F.col("n_cand"))
+
+
 def _drawn(worlds: DataFrame, grid: DataFrame) -> DataFrame:
     """(query_id, doc_id, k_c, t, seed) that numpy draws from each query's outsiders.
 

@@ -5,6 +5,10 @@ Only candidates have their s2 read: what a cascade has not scored must not leak
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,3 +121,66 @@ def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], kind: str
     ready = VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="skip").transform(test.where(whole))
     out = fitted.transform(scaler.transform(ready)).drop("_raw", "_x")
     return out.unionByName(test.where(f"not ({whole})").withColumn("prediction", F.lit(None).cast("double")))
+
+
+# Ridge for many groups at once: sums of products in one aggregate, a small system of equations per group
+
+
+def _whole(columns: list[str]):
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return out
+
+
+def gram(train: DataFrame, keys: list[str], columns: list[str], target: str = "effect") -> DataFrame:
+    """(keys, n, y, x, xy, xx): sums over complete rows; xx has the products of columns i <= j in order.
+
+    The sums are additive, so Spark combines them before the shuffle and a group leaves one row a task.
+    """
+    rows = train.where(_whole([*columns, target])).select(*keys, F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    x = [F.col(f"_x{i}") for i in range(len(columns))]
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y"), F.array(*map(F.sum, x)).alias("x"),
+        F.array(*[F.sum(a * F.col("_y")) for a in x]).alias("xy"), F.array(*[F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))]).alias("xx"),
+    )
+
+
+def solve(sums: DataFrame, keys: list[str], columns: list[str], alpha: float = 1.0, least: int = 20) -> DataFrame:
+    """(keys, n, intercept, weights) of each row of :func:`gram`.
+
+    (Z'Z + alpha I) w = Z'y on features scaled to mean 0 and variance 1 over the group; weights are given
+    for the unscaled ones. A constant feature has weight 0, and fewer than ``least`` rows give their mean.
+    """
+    d = len(columns)
+    upper = np.triu_indices(d)
+    kinds = {f.name: f.dataType.simpleString() for f in sums.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                n, mean = r.n, np.asarray(r.x, float) / r.n
+                weights, y = np.zeros(d), r.y / r.n
+                if n >= least:
+                    second = np.zeros((d, d))
+                    second[upper] = np.asarray(r.xx, float)
+                    second = (second + np.triu(second, 1).T) / n
+                    cov, cross = second - np.outer(mean, mean), np.asarray(r.xy, float) / n - mean * y
+                    varied = np.flatnonzero(np.diag(cov) > 1e-12 * (1 + np.diag(second)))
+                    scale = np.sqrt(np.diag(cov)[varied])
+                    z = n * cov[np.ix_(varied, varied)] / np.outer(scale, scale)
+                    weights[varied] = np.linalg.solve(z + alpha * np.eye(len(varied)), n * cross[varied] / scale) / scale
+                rows.append((*(getattr(r, k) for k in keys), n, float(y - weights @ mean), weights))
+            yield pd.DataFrame(rows, columns=[*keys, "n", "intercept", "weights"])
+
+    return sums.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "n long, intercept double, weights array<double>"]))
+
+
+def predict(test: DataFrame, models: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``test`` with a prediction; rows that lack a feature or whose group has no model get none."""
+    each = F.lit(0.0)
+    for i, c in enumerate(columns):
+        each = each + F.get("weights", F.lit(i)) * F.col(c).cast("double")
+    held = F.broadcast(models.select(*keys, "intercept", "weights"))  # a row per group of the settings
+    return test.join(held, keys, "left").withColumn("prediction", F.when(_whole(columns), F.col("intercept") + each)).drop("intercept", "weights")

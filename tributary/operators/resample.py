@@ -1,20 +1,31 @@
-"""Seeded resampling over queries: permutation tests, bootstrap intervals and power.
+"""Resampling over queries: permutation tests, bootstrap intervals and power.
 
-Rows are summed to one per query by Spark beforehand; what reaches a grouped function is a query
-table of one group, so its size is the number of queries, never of documents.
+Draws are hashes. The weight of a query in a draw, and its place in a permutation, follow from a hash
+of the seed, the draw and the query, so any task can work them out and no table of draws exists. A
+bootstrap draw is then a weighted sum: rows are summed per query once, the sums are weighted per
+draw and added up by mergeable aggregates, and each statistic is an expression over them. No group is
+gathered in a task; a group leaves one row a draw.
+
+Functions over pandas groups (:func:`bootstrap`, :func:`h7_test`, :func:`power`) take a table of one row
+per query whole, for callers whose statistics are no sums.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import names as N
+from ..functions import statistics as S
 from ..functions.special import spearman_p
+from ..sources.tables import scratch
 
 H7 = "policy string, t double, n_queries long, n_gate_sensitive long, n_rerank_sensitive long, difference double, p_value double, rho double, rho_p double"
 
@@ -116,3 +127,158 @@ def power(pool: DataFrame, sizes: Sequence[int], simulations: int = 200, alpha:
         return pd.DataFrame([(size, simulations, able, share, found / able if able else None, share >= target)], columns=[c.split()[0] for c in schema.split(", ")])
 
     return rows.groupBy("size").applyInPandas(run, schema)
+
+
+# Resampling by hashes
+
+
+def poisson_steps(bits: int = 32) -> list[int]:
+    """Where, on a scale of 2 ** bits, the distribution function of a Poisson weight of mean 1 steps up."""
+    chances = [math.exp(-1) / math.factorial(k) for k in range(13)]
+    return [math.floor(c * 2**bits) for c in accumulate(chances)]
+
+
+def hashed(seed: int, draw: Column, query: Column, digits: int) -> Column:
+    """The first hexadecimal digits (15 at most) of a digest of seed, draw and query, as a number."""
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), draw.cast("string"), query.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
+
+
+def weight(seed: int, draw: Column, query: Column) -> Column:
+    """How often a query is in a bootstrap draw: a Poisson number of mean 1 by hash; draw 0 is the sample itself."""
+    h = hashed(seed, draw, query, 8)
+    steps = sum(((h >= s).cast("int") for s in poisson_steps()), F.lit(0))
+    return F.when(draw == 0, 1).otherwise(steps)
+
+
+def drawn(table: DataFrame, draws: int, seed: int = 42, query: str = "query_id") -> DataFrame:
+    """``table`` once per draw (0 to ``draws``) in which its query is, with the columns draw and w."""
+    out = table.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("w", weight(seed, F.col("draw"), F.col(query)))
+    return out.where("w > 0")
+
+
+def _interval(replicates: DataFrame, keys: Sequence[str], names: Sequence[str], alpha: float) -> DataFrame:
+    """(keys, statistic, point, lo, hi, n_draws) of one row per (keys, draw) with a column per statistic."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).cast("double").alias("value")) for n in names]))
+    rows = replicates.select(*keys, "draw", each.alias("s")).select(*keys, "draw", "s.*")
+    value = F.when((F.col("draw") > 0) & F.col("value").isNotNull() & ~F.isnan("value"), F.col("value"))
+    # A group holds one value a draw, so its percentiles are of bounded size.
+    return rows.groupBy(*keys, "statistic").agg(
+        F.max(F.when(F.col("draw") == 0, F.col("value"))).alias("point"), F.percentile(value, F.lit(alpha / 2)).alias("lo"), F.percentile(value, F.lit(1 - alpha / 2)).alias("hi"), F.count(value).alias("n_draws"),
+    )
+
+
+def replicate_intervals(sums: DataFrame, keys: Sequence[str], statistics: dict[str, Callable[[Callable[[str], Column]], Column]], columns: Sequence[str], draws: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(keys, statistic, point, lo, hi, n_draws): percentile intervals over queries of statistics of sums.
+
+    ``sums`` has additive ``columns`` per (keys, query_id); a statistic is given a function that names
+    the weighted sum of a column. All groups and statistics share their draws. Draws in which a
+    statistic is null are left out of its interval and of n_draws.
+    """
+    rep = drawn(sums.select(*keys, "query_id", *columns), draws, seed)
+    rep = rep.groupBy(*keys, "draw").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"_{c}") for c in columns])
+    rep = rep.select(*keys, "draw", *[f(lambda c: F.col(f"_{c}")).alias(name) for name, f in statistics.items()])
+    return _interval(rep, keys, list(statistics), alpha)
+
+
+def weighted_mean(total: str, n: str) -> Callable[[Callable[[str], Column]], Column]:
+    return lambda s: F.try_divide(s(total).cast("double"), s(n).cast("double"))
+
+
+def weighted_correlation(n: str, x: str, y: str, xx: str, yy: str, xy: str) -> Callable[[Callable[[str], Column]], Column]:
+    """Correlation from sums: null for fewer than three rows or a constant side."""
+
+    def of(s: Callable[[str], Column]) -> Column:
+        vx, vy = s(n) * s(xx) - s(x) * s(x), s(n) * s(yy) - s(y) * s(y)
+        return F.when((s(n) >= 3) & (vx > 1e-9) & (vy > 1e-9), (s(n) * s(xy) - s(x) * s(y)) / F.sqrt(vx) / F.sqrt(vy))
+
+    return of
+
+
+def moments(x: str | Column, y: str | Column, prefix: str = "") -> dict[str, Column]:
+    """Columns whose sums :func:`weighted_correlation` needs, named by ``prefix``."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return {f"{prefix}x": x, f"{prefix}y": y, f"{prefix}xx": x * x, f"{prefix}yy": y * y, f"{prefix}xy": x * y}
+
+
+def top_m_intervals(frame: DataFrame, predicted: str, reference: str, keys: Sequence[str], m: int, ids: Sequence[str], draws: int = 200, alpha: float = 0.05, seed: int = 42, query: str = "query_id") -> DataFrame:
+    """Intervals of the share of the m largest references that are among the m largest predictions.
+
+    A draw holds the documents of the queries drawn, each once. Its m largest are among the m largest of
+    its queries, so only these are multiplied by draws: at most m rows a query and side, whatever the
+    number of documents. Heads are written, since sides and draws read them again.
+    """
+    sides = {"_p": predicted, "_r": reference}
+    columns = list(dict.fromkeys([*keys, *ids, query]))
+    rows = S.paired(frame, predicted, reference).select(*columns, *[F.abs(F.col(s)).alias(s) for s in sides])
+
+    def head(s: str) -> DataFrame:
+        order = Window.partitionBy(*dict.fromkeys([*keys, query])).orderBy(F.desc(s), *ids)
+        return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= m).select(*columns, F.lit(s).alias("side"), F.col(s).alias("size"))
+
+    place = scratch(frame.sparkSession, "heads")
+    head("_p").unionByName(head("_r")).write.parquet(place)
+    some = frame.sparkSession.read.parquet(place)
+    order = Window.partitionBy(*keys, "side", "draw").orderBy(F.desc("size"), *ids)
+    found = drawn(some, draws, seed, query).withColumn("n", F.row_number().over(order)).where(F.col("n") <= m)
+    both = found.groupBy(*keys, "draw", *ids).agg(F.count(F.lit(1)).alias("sides"), F.max((F.col("side") == "_r").cast("int")).alias("wanted"))
+    rep = both.groupBy(*keys, "draw").agg(F.try_divide(F.sum((F.col("sides") == 2).cast("double")), F.sum("wanted")).alias("top_m_recovery"))
+    return _interval(rep, keys, ["top_m_recovery"], alpha)
+
+
+def rank_sums(frame: DataFrame, predicted: str, reference: str, keys: Sequence[str]) -> DataFrame:
+    """Per (keys, query_id): documents and the sums of errors, moments and moments of ranks, all additive.
+
+    Ranks are those in the whole sample; a draw weights them and does not rank anew.
+    """
+    rows = S.paired(frame, predicted, reference).withColumns({"_pr": S.average_rank("_p", list(keys)), "_rr": S.average_rank("_r", list(keys))})
+    e = F.col("_p") - F.col("_r")
+    parts = {"n": F.lit(1.0), "e": e, "abs": F.abs(e), "sq": e * e, **moments("_p", "_r", "v_"), **moments("_pr", "_rr", "r_")}
+    return rows.groupBy(*keys, "query_id").agg(*[F.sum(c).alias(k) for k, c in parts.items()])
+
+
+RANK_SUMS = ["n", "e", "abs", "sq", *(f"{p}{c}" for p in ("v_", "r_") for c in ("x", "y", "xx", "yy", "xy"))]
+FIDELITY = {
+    "mae": weighted_mean("abs", "n"),
+    "rmse": lambda s: F.sqrt(weighted_mean("sq", "n")(s)),
+    "signed_bias": weighted_mean("e", "n"),
+    "pearson": weighted_correlation("n", "v_x", "v_y", "v_xx", "v_yy", "v_xy"),
+    "spearman": weighted_correlation("n", "r_x", "r_y", "r_xx", "r_yy", "r_xy"),
+}
+
+
+def group_sums(both: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per (keys, query_id) of (label, g_q, delta_dcg): what group differences and rank correlations add up."""
+    ranked = both.withColumns({"_g": S.average_rank("g_q", list(keys)), "_d": S.average_rank("delta_dcg", list(keys))})
+    gate, rerank = (F.col("label") == k for k in (N.GATE_SENSITIVE, N.RERANK_SENSITIVE))
+    parts = {"n": F.lit(1.0), "delta": F.col("delta_dcg"), "gate_n": gate.cast("double"), "gate": F.when(gate, F.col("delta_dcg")).otherwise(0.0), "rerank_n": rerank.cast("double"), "rerank": F.when(rerank, F.col("delta_dcg")).otherwise(0.0), **moments("_g", "_d", "r_")}
+    return ranked.select(*keys, "query_id", *[c.alias(k) for k, c in parts.items()])
+
+
+GROUP_SUMS = ["n", "delta", "gate_n", "gate", "rerank_n", "rerank", *(f"r_{c}" for c in ("x", "y", "xx", "yy", "xy"))]
+GROUPS = {
+    "delta_mean": weighted_mean("delta", "n"),
+    "group_difference": lambda s: F.when(F.least(s("gate_n"), s("rerank_n")) >= 2, F.try_divide(s("gate"), s("gate_n")) - F.try_divide(s("rerank"), s("rerank_n"))),
+    "spearman": weighted_correlation("n", "r_x", "r_y", "r_xx", "r_yy", "r_xy"),
+}
+
+
+def h7_permutations(diagnosis: DataFrame, outcomes: DataFrame, permutations: int = 10_000, seed: int = 42) -> DataFrame:
+    """The test of :func:`h7_test` with permutations by hash: (policy, t, n_queries, n_gate_sensitive,
+    n_rerank_sensitive, difference, p_value, rho).
+
+    A permutation orders the queries of the two groups by a hash and takes the first as the gate-sensitive
+    ones; all (policy, t) share it. Permutations are dealt out over tasks, each one sort of the queries.
+    """
+    keys = ["policy", "t"]
+    both = outcomes.join(diagnosis.select("query_id", "label", "g_q"), "query_id").select(*keys, "query_id", "label", "g_q", F.col("delta_dcg").cast("double").alias("delta_dcg"))
+    sums = group_sums(both, keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in GROUP_SUMS])
+    able = sums.select(*keys, "gate_n", "rerank_n", (F.col("gate") + F.col("rerank")).alias("pooled"), GROUPS["group_difference"](F.col).alias("seen")).where("seen is not null")
+    own = both.where(F.col("label").isin(N.GATE_SENSITIVE, N.RERANK_SENSITIVE)).join(F.broadcast(able), keys)  # a row per (policy, t)
+    mixed = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("h", hashed(seed, F.col("draw"), F.col("query_id"), 15))
+    order = Window.partitionBy(*keys, "draw").orderBy("h", "query_id")
+    first = mixed.withColumn("place", F.row_number().over(order)).groupBy(*keys, "draw").agg(F.sum(F.when(F.col("place") <= F.col("gate_n"), F.col("delta_dcg")).otherwise(0.0)).alias("gate"), *[F.max(c).alias(c) for c in ("gate_n", "rerank_n", "pooled", "seen")])
+    difference = F.col("gate") / F.col("gate_n") - (F.col("pooled") - F.col("gate")) / F.col("rerank_n")
+    p = first.groupBy(*keys).agg(((F.sum((F.abs(difference) >= F.abs("seen") - 1e-9).cast("long")) + 1) / F.lit(permutations + 1)).alias("p_value"))
+    points = sums.select(*keys, F.col("n").cast("long").alias("n_queries"), F.col("gate_n").cast("long").alias("n_gate_sensitive"), F.col("rerank_n").cast("long").alias("n_rerank_sensitive"), GROUPS["group_difference"](F.col).alias("difference"), GROUPS["spearman"](F.col).alias("rho"))
+    return points.join(p, keys, "left")

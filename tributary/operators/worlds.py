@@ -43,9 +43,14 @@ def build_worlds(cascade: DataFrame, depths: Sequence[int], modes: Sequence[bool
     The condensed mode keeps judged documents and recounts their ranks; candidates stay the same.
     A depth that leaves no document outside the gate is refused.
     """
+    return from_ranked(ranked(cascade), depths, modes)
+
+
+def from_ranked(rows: DataFrame, depths: Sequence[int], modes: Sequence[bool] = (False,)) -> DataFrame:
+    """:func:`build_worlds` on what :func:`ranked` gave, for those who keep it."""
     if not depths or min(depths) < 1:
         raise InputError("candidate depths have to be positive")
-    base = ranked(cascade).withColumn("k_c", F.explode(F.array(*map(F.lit, depths)))).withColumn("condensed", F.explode(F.array(*map(F.lit, modes))))
+    base = rows.withColumn("k_c", F.explode(F.array(*map(F.lit, depths)))).withColumn("condensed", F.explode(F.array(*map(F.lit, modes))))
     base = base.where(F.when(F.col("k_c") < F.col("n_docs"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no document lies outside the gate of query "), "query_id")).cast("boolean")))
     base = base.where(~F.col("condensed") | F.col("judged")).withColumn("in_cq", F.col("rank_s1") <= F.col("k_c"))
     part = Window.partitionBy("query_id", "k_c", "condensed", "in_cq")
@@ -70,3 +75,22 @@ def isolation_violations(worlds: DataFrame) -> DataFrame:
         )
         .where("a_not_b + a_not_c + repeated_c + repeated_a > 0")
     )
+
+
+def baseline_agreement(allocated: DataFrame) -> DataFrame:
+    """Per run at t = 1: whether its world is the one that the design intends.
+
+    Where the budget is K_c it has to be the cascade as it is: it submits exactly the candidates
+    (``wrong_members`` counts those it does not) and ranks them as world A (``wrong_ranks``). With another
+    budget it has to submit as many documents as are paid for, or all there are (``unspent``).
+    """
+    base = allocated.where("t = 1.0")
+    own = F.col("submitted")
+    same = F.col("budget") == F.col("k_c")
+    counts = base.groupBy("query_id", "k_c", "condensed", "policy", "seed").agg(
+        F.max("budget").alias("budget"),
+        F.sum((same & (own != F.col("in_cq"))).cast("long")).alias("wrong_members"),
+        F.sum((same & own & ~F.col("rank_t").eqNullSafe(F.col("rank_a"))).cast("long")).alias("wrong_ranks"),
+        (F.least(F.max("budget"), F.max("k_c"), F.count(F.lit(1))) - F.sum(own.cast("long"))).alias("unspent"),
+    )
+    return counts.withColumn("agrees", (F.col("wrong_members") == 0) & (F.col("wrong_ranks") == 0) & (F.col("unspent") == 0))

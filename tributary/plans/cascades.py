@@ -1,4 +1,4 @@
-"""Cascades derived from the data tables: events, vectors and texts."""
+"""Cascades derived from the event table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.retrieval import dot
 from ..sources.tables import table
 
 
@@ -43,23 +42,3 @@ def event_runs(spark: SparkSession, folder: str, depth: int) -> DataFrame:
 
 def event_qrels(spark: SparkSession, folder: str) -> DataFrame:
     return event_cascade(spark, folder).where("judged").select("query_id", "doc_id", "relevance", "judged")
-
-
-def vector_cascade(spark: SparkSession, folder: str, every: int = 50) -> DataFrame:
-    """Queries are the vectors whose id is divisible by ``every``, candidates all others; s1, s2 and the
-    other retriever see 8, 64 and 8 other dimensions.
-
-    A cascade scores every pair by nature: it has a row per query and document.
-    """
-    v = table(spark, folder, "embeddings")
-    q = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
-    pairs = v.join(q, F.col("vec_id") != F.col("qid"))
-    score = {n: F.round(dot("embedding", "qe", a, s), 6) for n, a, s in (("s1", 1, 8), ("s2", 1, 64), ("alt_score", 9, 8))}
-    gap = F.abs(F.col("label") - F.col("ql"))
-    judged = F.col("vec_id") % 3 != 0
-    rows = pairs.select(
-        F.concat(F.lit("q"), F.lpad(F.col("qid").cast("string"), 9, "0")).alias("query_id"), F.concat(F.lit("d"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("doc_id"), *[c.alias(n) for n, c in score.items()],
-        F.when(judged, F.when(gap == 0, 3).when(gap == 1, 2).when(gap == 2, 1).otherwise(0)).cast("long").alias("relevance"), judged.alias("judged"),
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("alt_score"), "doc_id")
-    return rows.withColumn("alt_rank", F.row_number().over(order))

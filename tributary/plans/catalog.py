@@ -117,10 +117,14 @@ def stage_effects_condensed(spark, d):
     return _stage_columns(_stage(spark, d, modes=(True,)))
 
 
-@query(f"SELECT CAST(b AS BIGINT) AS budget, t, CAST(floor(t * b) AS BIGINT) AS n_cand, b - CAST(floor(t * b) AS BIGINT) AS n_out FROM (SELECT unnest([10, {K_C}, 100, 1000]) AS b), (SELECT unnest([{', '.join(f'CAST({t} AS DOUBLE)' for t in (1.0, 0.9, 0.75, 0.5, 0.29, 0.25, 0.0))}]) AS t)")
+_SHARES = (1.0, 0.9, 0.75, 0.5, 0.29, 0.25, 0.0)
+
+
+@query(f"WITH {sql.events()} SELECT query_id, b AS budget, t, CAST(floor(t * b) AS BIGINT) AS n_cand, b - CAST(floor(t * b) AS BIGINT) AS n_out FROM (SELECT query_id, count(*) AS b FROM ev GROUP BY ALL), (SELECT unnest([{', '.join(f'CAST({t} AS DOUBLE)' for t in _SHARES)}]) AS t)")
 def split_budget(spark, d):
-    grid = allocation.parameters(spark, [10, K_C, 100, 1000], (1.0, 0.9, 0.75, 0.5, 0.29, 0.25, 0.0), [N.BOUNDARY])
-    return rounded(grid.select("budget", "t", "n_cand", "n_out"))
+    """Each query's budget is the number of its documents."""
+    budgets = event_cascade(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("budget"))
+    return rounded(allocation.split_budget(budgets, _SHARES))
 
 
 for _p in (N.BOUNDARY, N.ALTERNATIVE):
@@ -562,16 +566,35 @@ def probe_random(spark, d):
 # Resampling and models
 
 
-@query()
+_STEPS = resample.poisson_steps()
+_TABLE = f"{_BOTH}, {sql.DIAGNOSIS}, bo AS (SELECT query_id, policy, t, sum(effect) AS delta FROM bg GROUP BY ALL), bt AS (SELECT bo.*, label, g_q, {sql.average_rank('g_q', 'policy, t')} AS gr, {sql.average_rank('delta', 'policy, t')} AS dr FROM bo JOIN dg USING (query_id))"
+_GROUP = "CASE WHEN gn >= 2 AND rn >= 2 THEN gs / gn - rs / rn END"
+_GROUP_SUMS = "sum(w) AS n, sum(w * delta) AS delta, sum(w) FILTER (label = 'gate_sensitive') AS gn, sum(w * delta) FILTER (label = 'gate_sensitive') AS gs, sum(w) FILTER (label = 'rerank_sensitive') AS rn, sum(w * delta) FILTER (label = 'rerank_sensitive') AS rs, sum(w * gr) AS x, sum(w * dr) AS y, sum(w * gr * gr) AS xx, sum(w * dr * dr) AS yy, sum(w * gr * dr) AS xy"
+_RHO = sql.correlation("n", "x", "y", "xx", "yy", "xy")
+
+
+@query(
+    f"""WITH {_TABLE}, pt AS (SELECT policy, t, {_GROUP_SUMS} FROM (SELECT *, 1 AS w FROM bt) GROUP BY ALL), sn AS (SELECT policy, t, gn, rn, gs + rs AS pooled, {_GROUP} AS seen FROM pt WHERE gn >= 2 AND rn >= 2),
+mx AS (SELECT bt.policy, bt.t, draw, delta, gn, rn, pooled, seen, row_number() OVER (PARTITION BY bt.policy, bt.t, draw ORDER BY CAST('0x' || substr(md5('42/' || draw || '/' || query_id), 1, 15) AS BIGINT), query_id) AS place FROM bt JOIN sn ON sn.policy = bt.policy AND sn.t = bt.t, (SELECT unnest(range(1, 1001)) AS draw) WHERE label IN ('gate_sensitive', 'rerank_sensitive')),
+pm AS (SELECT policy, t, draw, coalesce(sum(delta) FILTER (place <= gn), 0) AS gate, max(gn) AS gn, max(rn) AS rn, max(pooled) AS pooled, max(seen) AS seen FROM mx GROUP BY ALL),
+pv AS (SELECT policy, t, (count(*) FILTER (abs(gate / gn - (pooled - gate) / rn) >= abs(seen) - 1e-9) + 1) / 1001 AS p FROM pm GROUP BY ALL)
+SELECT pt.policy, pt.t, CAST(n AS BIGINT) AS n_queries, CAST(coalesce(gn, 0) AS BIGINT) AS n_gate_sensitive, CAST(coalesce(rn, 0) AS BIGINT) AS n_rerank_sensitive, {r(_GROUP, 'difference')}, {r('p', 'p_value')}, {r(_RHO, 'rho')} FROM pt LEFT JOIN pv ON pv.policy = pt.policy AND pv.t = pt.t"""
+)
 def h7_test(spark, d):
-    return resample.h7_test(summaries.diagnose(_stage(spark, d)), summaries.budget_outcomes(_budget(spark, d)), permutations=1000)
+    return rounded(resample.h7_permutations(summaries.diagnose(_stage(spark, d)), summaries.budget_outcomes(_budget(spark, d)), permutations=1000))
 
 
-@query()
+_INTERVAL = f"statistic, {r('point', 'point')}, {r('lo', 'lo')}, {r('hi', 'hi')}, n_draws"
+
+
+@query(
+    f"""WITH {_TABLE}, dr AS (SELECT *, {sql.weight(_STEPS)} AS w FROM bt, (SELECT unnest(range(0, 201)) AS draw)), ds AS (SELECT policy, t, draw, {_GROUP_SUMS} FROM dr WHERE w > 0 GROUP BY ALL)
+SELECT policy, t, {_INTERVAL} FROM ({sql.intervals('ds', 'policy, t', {'delta_mean': 'delta / n', 'group_difference': _GROUP, 'spearman': _RHO})})"""
+)
 def bootstrap_intervals(spark, d):
     both = summaries.budget_outcomes(_budget(spark, d)).join(summaries.diagnose(_stage(spark, d)).select("query_id", "label", "g_q"), "query_id")
-    stats = {"delta_mean": lambda p: p["delta_dcg"].mean(), "group_difference": resample.group_difference, "spearman": lambda p: resample.spearman(p["g_q"].to_numpy(float), p["delta_dcg"].to_numpy(float))}
-    return resample.bootstrap(both.select("policy", "t", "query_id", "label", "g_q", "delta_dcg"), ["policy", "t"], stats, n=200)
+    keys = ["policy", "t"]
+    return rounded(resample.replicate_intervals(resample.group_sums(both, keys), keys, resample.GROUPS, resample.GROUP_SUMS, draws=200))
 
 
 @query()
@@ -683,12 +706,48 @@ def stage1_positions(spark, d):
     return rounded(features.stage1_positions(worlds.ranked(event_cascade(spark, d)), K_C))
 
 
-@query()
+_ZERO = "(effect_type = 'e_rerank' AND stratum = 'non_survivor')"
+
+
+def _fidelity_sql(predicted: str, where: str = "judged") -> str:
+    """The whole table of fidelity within strata of one prediction, by plain aggregates."""
+    def side(s: str, which: str) -> str:
+        x = f"max({which}) FILTER (statistic = '{s}')"
+        return r(x if s == "mae" else f"CASE WHEN NOT {_ZERO} THEN {x} END", f"{s}_{which}")
+
+    def informative(x: str, name: str) -> str:
+        return r(f"CASE WHEN NOT {_ZERO} THEN {x} END", name)
+
+    k = "effect_type, stratum"
+    constant = "stddev_pop({0}) * stddev_pop({1}) > 1e-18"
+    pearson, spearman = (f"CASE WHEN {constant.format(a, b)} THEN corr({a}, {b}) END" for a, b in (("p", "x"), ("pr", "xr")))
+    return f"""WITH {sql.stage(DCG)}, g AS (SELECT effect_type, stratum, query_id, doc_id, CAST({predicted} AS DOUBLE) AS p, effect AS x FROM st WHERE {where}), {sql.fidelity(_STEPS, 200)},
+pt AS (SELECT {k}, count(*) AS n, {r('avg(abs(p - x))', 'mae')}, {informative('sqrt(avg((p - x) * (p - x)))', 'rmse')}, {r('avg(p - x)', 'signed_bias')}, {informative(pearson, 'pearson')}, {informative(spearman, 'spearman')}, count(DISTINCT query_id) AS n_queries, {_ZERO} AS structural_zero, count(*) < 30 AS underpowered FROM kr GROUP BY effect_type, stratum),
+bs AS (SELECT {k}, {informative("max(point) FILTER (statistic = 'top_m_recovery')", 'top_m_recovery')}, {', '.join(side(s, w) for s in study.INTERVALS for w in ('lo', 'hi'))} FROM iv GROUP BY effect_type, stratum)
+SELECT * FROM pt JOIN bs USING ({k})"""
+
+
+@query(_fidelity_sql("CASE stratum WHEN 'survivor' THEN 1.0 ELSE -1.0 END"))
 def fidelity_within_strata(spark, d):
     return rounded(study.fidelity_within_strata(features.membership(_stage(spark, d)), "pred_membership"))
 
 
-@query()
+@query(_fidelity_sql("1.0 / rank_control", "judged AND rank_control IS NOT NULL"))
+def fidelity_of_ranks(spark, d):
+    """A prediction that varies: the reciprocal rank in the world of comparison."""
+    rows = _stage(spark, d).where("rank_control is not null").withColumn("pred_rank", F.lit(1.0) / F.col("rank_control"))
+    return rounded(study.fidelity_within_strata(rows, "pred_rank"))
+
+
+_DIAGNOSED = f"(WITH {{}}, {sql.DIAGNOSIS} SELECT query_id, dcg_actual, g_q, r_q FROM dg)"
+_DIFFERENCES = ", ".join(f"a.{c} - b.{c} AS {c}" for c in ("dcg_actual", "g_q", "r_q"))
+
+
+@query(
+    f"""WITH df AS (SELECT query_id, {_DIFFERENCES} FROM {_DIAGNOSED.format(sql.stage(DCG))} a JOIN {_DIAGNOSED.format(sql.stage(DCG, swapped=True))} b USING (query_id)),
+dw AS (SELECT *, {sql.weight(_STEPS)} AS w FROM df, (SELECT unnest(range(0, 201)) AS draw)), ds AS (SELECT 1 AS scope, draw, sum(w * dcg_actual) / sum(w) AS dcg_actual, sum(w * g_q) / sum(w) AS g_q, sum(w * r_q) / sum(w) AS r_q FROM dw WHERE w > 0 GROUP BY ALL)
+SELECT {_INTERVAL} FROM ({sql.intervals('ds', 'scope', {c: c for c in ('dcg_actual', 'g_q', 'r_q')})})"""
+)
 def paired_intervals(spark, d):
     return rounded(study.paired_intervals(*(summaries.diagnose(_stage(spark, d, swapped=s)) for s in (False, True)), draws=200))
 
@@ -703,4 +762,4 @@ def cost_fidelity(spark, d):
     return rounded(study.cost_fidelity(own, summaries.diagnose(stage), stage, DCG, [0, 20, 50]))
 
 
-from . import stored  # noqa: E402,F401  (registers its queries with the helpers above)
+from . import durable, stored  # noqa: E402,F401  (registers its queries with the helpers above)

@@ -6,7 +6,7 @@ of opening tables by name.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from ..config import Settings
 from ..errors import ContractError
 from ..functions.utility import Utility
 from ..operators import allocation, effects, worlds
+from ..sources.commits import CommitLog, content
+from ..sources.tables import scratch
 
 PARTITIONS = ["stage1_system", "utility", "k", "kind", "k_c", "condensed"]
 
@@ -75,3 +77,77 @@ def _place():
     from pyspark.sql.window import Window
 
     return Window.partitionBy("query_id", "k_c", "t", "policy", "seed").orderBy(F.when(F.col("policy") == "boundary", F.col("rank_s1")).otherwise(F.coalesce("alt_rank", F.lit(1 << 30))), "doc_id")
+
+
+# The grid cell by cell, for studies that are stopped and go on
+
+
+def cell_names(settings: Settings, system: str) -> list[tuple[str, int, str | None]]:
+    """(name, k_c, policy) of each cell: the stage effects of a depth, and its budget effects by policy."""
+    return [(f"{system}-k{k_c}-{policy or 'stage'}", k_c, policy) for k_c in settings.candidate_depths for policy in (None, *settings.policies)]
+
+
+def write_cells(cascade: DataFrame, settings: Settings, system: str, path: str, utilities: Sequence[Utility] | None = None, modes: Sequence[bool] = (False, True), optional_t: bool = False, before_commit: Callable[[str], None] | None = None) -> dict[str, list[str]]:
+    """The grid of one system below ``path``, a folder and a commit for each cell.
+
+    A cell is written, checked against its contract and the sign rules on what was written, and then
+    committed with its counts; cells that are committed are not worked out again, and what a stopped run
+    left without a commit is replaced. Both orders are ranked once, on disk, and only if a cell is left
+    to do. Another cascade or other settings are refused. ``before_commit`` is called with each cell's name.
+    """
+    spark = cascade.sparkSession
+    own = utilities or [Utility(u, k, settings.persistence, settings.gains) for u, k in settings.settings()]
+    log = CommitLog(spark, f"{path}-commits")
+    log.begin(fingerprint=settings.fingerprint, cascade=content(cascade, *worlds.COLUMNS).first().digest, modes=list(map(bool, modes)), utilities=sorted(f"{u.kind}@{u.k}" for u in own), optional_t=optional_t)
+    done = log.done()
+    cells = cell_names(settings, system)
+    todo = [c for c in cells if c[0] not in done]
+    if todo:
+        place = scratch(spark, "ranked")
+        worlds.ranked(cascade).write.parquet(place)
+        ranked = spark.read.parquet(place)
+    budget = None if settings.b_equals_kc else settings.b_absolute
+    for name, k_c, policy in todo:
+        record: dict = {}
+        if policy is None:
+            rows = effects.stage_effects(worlds.from_ranked(ranked, [k_c], list(modes)), own, system)
+        else:
+            base, seeds = worlds.from_ranked(ranked, [k_c]), settings.budget_seeds
+            whole = allocation.allocate(base, allocation.parameters(spark, [k_c], [1.0], [policy], seeds, budget))
+            agreed = worlds.baseline_agreement(whole).agg(F.count(F.lit(1)).alias("runs"), F.sum((~F.col("agrees")).cast("long")).alias("disagree")).first()
+            record = {"baselines": agreed.runs, "baselines_that_differ": agreed.disagree or 0}
+            if record["baselines_that_differ"]:
+                raise ContractError(f"{name}: {record['baselines_that_differ']} of {agreed.runs} worlds at t = 1 are not the baseline")
+            spent = allocation.allocate(base, allocation.parameters(spark, [k_c], settings.grid_t(optional_t), [policy], seeds, budget))
+            rows = effects.budget_effects(allocation.in_modes(spent, modes), own, system)
+        folder = f"{path}/cell={name}"
+        rows.write.mode("overwrite").parquet(folder)
+        held = contracts.validate(spark.read.parquet(folder), "effect")
+        n = 0
+        for monotone in {u.monotone for u in own}:
+            listed = [F.struct(F.lit(u.kind).alias("utility"), F.lit(u.k).cast("long").alias("k")) for u in own if u.monotone == monotone]
+            for r in effects.violations(held.where(F.struct("utility", "k").isin(*listed)), monotone).collect():
+                n += r["n"]
+                if broken := {c: r[c] for c in r.asDict() if c not in ("effect_type", "n") and r[c]}:
+                    raise ContractError(f"{name}, {r.effect_type}: {broken}")
+        if before_commit:
+            before_commit(name)
+        log.commit({name: {"rows": n, "k_c": k_c, "policy": policy, **record}})
+    return {"written": [c[0] for c in todo], "held": [c[0] for c in cells if c[0] in done]}
+
+
+def cell_records(spark, path: str) -> DataFrame:
+    """(cell, k_c, policy, rows, baselines, baselines_that_differ) of the committed cells."""
+    fields = "rows long, k_c long, policy string, baselines long, baselines_that_differ long"
+    return CommitLog(spark, f"{path}-commits").table().select(F.col("part").alias("cell"), F.from_json("record", fields).alias("r")).select("cell", "r.k_c", "r.policy", "r.rows", "r.baselines", "r.baselines_that_differ")
+
+
+def read_cells(spark, path: str, k_c: int | None = None, policy: str | None = None) -> DataFrame:
+    """Effect rows of committed cells, of one depth and (None: the stage effects and all) one policy."""
+    chosen = cell_records(spark, path)
+    chosen = chosen if k_c is None else chosen.where(F.col("k_c") == k_c)
+    chosen = chosen if policy is None else chosen.where(F.col("policy") == policy)
+    names = [r.cell for r in chosen.collect()]  # a row per cell
+    if not names:
+        raise ContractError(f"no cell is committed at {path}")
+    return spark.read.parquet(*[f"{path}/cell={n}" for n in sorted(names)])

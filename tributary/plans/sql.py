@@ -77,3 +77,37 @@ QRELS = "qr AS (SELECT query_id, doc_id, relevance FROM ev WHERE judged)"
 
 def universe(depth: int) -> str:
     return f"{runs(depth)}, un AS (SELECT query_id, doc_id, string_agg(DISTINCT system, ',' ORDER BY system) AS sources, min(rank) AS best_rank FROM ru GROUP BY ALL)"
+
+
+def weight(steps: list[int], seed: int = 42) -> str:
+    """The weight of ``query_id`` in ``draw``."""
+    return f"(CASE WHEN draw = 0 THEN 1 ELSE len(list_filter([{', '.join(map(str, steps))}], lambda s: CAST('0x' || substr(md5('{seed}/' || draw || '/' || query_id), 1, 8) AS BIGINT) >= s)) END)"
+
+
+def correlation(n: str, x: str, y: str, xx: str, yy: str, xy: str) -> str:
+    vx, vy = f"({n} * {xx} - {x} * {x})", f"({n} * {yy} - {y} * {y})"
+    return f"CASE WHEN {n} >= 3 AND {vx} > 1e-9 AND {vy} > 1e-9 THEN ({n} * {xy} - {x} * {y}) / sqrt({vx}) / sqrt({vy}) END"
+
+
+def average_rank(column: str, keys: str) -> str:
+    return f"rank() OVER (PARTITION BY {keys} ORDER BY {column}) + (count(*) OVER (PARTITION BY {keys}, {column}) - 1) / 2.0"
+
+
+def intervals(source: str, keys: str, statistics: dict[str, str], alpha: float = 0.05) -> str:
+    """(keys, statistic, point, lo, hi, n_draws) of ``source(keys, draw, statistics...)``."""
+    each = " UNION ALL ".join(f"SELECT {keys}, draw, '{n}' AS statistic, CAST({x} AS DOUBLE) AS v FROM {source}" for n, x in statistics.items())
+    return f"SELECT {keys}, statistic, max(v) FILTER (draw = 0) AS point, quantile_cont(v, {alpha / 2}) FILTER (draw > 0) AS lo, quantile_cont(v, {1 - alpha / 2}) FILTER (draw > 0) AS hi, count(v) FILTER (draw > 0) AS n_draws FROM ({each}) GROUP BY ALL"
+
+
+def fidelity(steps: list[int], draws: int, m: int = 20) -> str:
+    """Replicates of the metrics of ``g(effect_type, stratum, query_id, doc_id, p, x)``: iv, one row per statistic."""
+    k = "effect_type, stratum"
+    sums = {"n": "1.0", "ab": "abs(p - x)", "sq": "(p - x) * (p - x)", "rx": "pr", "ry": "xr", "rxx": "pr * pr", "ryy": "xr * xr", "rxy": "pr * xr"}
+    weighted = ", ".join(f"sum(w * {c}) AS {c}" for c in sums)
+    stats = {"mae": "ab / n", "rmse": "sqrt(sq / n)", "spearman": correlation("n", "rx", "ry", "rxx", "ryy", "rxy")}
+    return f"""kr AS (SELECT *, {average_rank('p', k)} AS pr, {average_rank('x', k)} AS xr FROM g), ks AS (SELECT {k}, query_id, {', '.join(f'sum({x}) AS {c}' for c, x in sums.items())} FROM kr GROUP BY ALL),
+kw AS (SELECT *, {weight(steps)} AS w FROM ks, (SELECT unnest(range(0, {draws + 1})) AS draw)), kd AS (SELECT {k}, draw, {weighted} FROM kw WHERE w > 0 GROUP BY ALL),
+tq AS (SELECT query_id, draw FROM (SELECT DISTINCT query_id, draw, {weight(steps)} AS w FROM g, (SELECT unnest(range(0, {draws + 1})) AS draw)) WHERE w > 0),
+tp AS (SELECT {k}, draw, row_number() OVER (PARTITION BY {k}, draw ORDER BY abs(p) DESC, query_id, doc_id) AS a, row_number() OVER (PARTITION BY {k}, draw ORDER BY abs(x) DESC, query_id, doc_id) AS b FROM g JOIN tq USING (query_id)),
+td AS (SELECT {k}, draw, count(*) FILTER (a <= {m} AND b <= {m}) / count(*) FILTER (b <= {m}) AS top_m_recovery FROM tp GROUP BY ALL),
+iv AS ({intervals('kd', k, stats)} UNION ALL {intervals('td', k, {'top_m_recovery': 'top_m_recovery'})})"""

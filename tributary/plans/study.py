@@ -15,31 +15,43 @@ from ..functions import statistics as S
 from ..functions.special import binomial_p
 from ..functions.utility import Utility
 from ..operators import allocation, effects, features, probes, resample, summaries, synthetic, worlds
+from ..sources.tables import scratch
 
 
 def fidelity_within_strata(frame: DataFrame, predicted: str, top_m: int = 20, draws: int = 200, least: int = 30, seed: int = 42) -> DataFrame:
     """Metrics of one predictor per (effect type, stratum), never pooled, with intervals over queries.
 
-    Strata that are zero by construction get counts and errors only. The bootstrap sees one row per
-    query with its sum of errors and its document count, so its mean error is exact.
+    Intervals of mae, rmse, the rank correlation and top-m recovery share their draws, which are weights
+    by hash (:mod:`..operators.resample`). Strata that are zero by construction get counts and mean
+    errors only.
     """
     keys = ["effect_type", "stratum"]
-    rows = frame.where(F.coalesce("judged", F.lit(False)))
+    place = scratch(frame.sparkSession, "predicted")  # points, heads and sums read the rows
+    frame.where(F.coalesce("judged", F.lit(False))).select(*keys, "query_id", "doc_id", F.col(predicted).cast("double").alias("p"), "effect").write.parquet(place)
+    rows, predicted = frame.sparkSession.read.parquet(place), "p"
     points = S.point_metrics(rows, predicted, "effect", keys)
     best = S.top_m_recovery(rows, predicted, "effect", keys, top_m, ["query_id", "doc_id"]).select(*keys, "top_m_recovery")
-    per = S.paired(rows, predicted, "effect").groupBy(*keys, "query_id").agg(F.sum(F.abs(F.col("_p") - F.col("_r"))).alias("error"), F.count(F.lit(1)).alias("docs"))
-    ci = resample.bootstrap(per, keys, {"mae": lambda p: p["error"].sum() / p["docs"].sum()}, n=draws, seed=seed).select(*keys, F.col("lo").alias("mae_lo"), F.col("hi").alias("mae_hi"), F.col("n").alias("n_queries"))
+    sums = resample.rank_sums(rows, predicted, "effect", keys)
+    each = resample.replicate_intervals(sums, keys, resample.FIDELITY, resample.RANK_SUMS, draws, seed=seed)
+    each = each.unionByName(resample.top_m_intervals(rows, predicted, "effect", keys, top_m, ["query_id", "doc_id"], draws, seed=seed))
+    wide = each.groupBy(*keys).agg(*[F.max(F.when(F.col("statistic") == s, F.col(side))).alias(f"{s}_{side}") for s in INTERVALS for side in ("lo", "hi")])
+    queries = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_queries"))
     zero = F.coalesce(*[F.when(F.col("effect_type") == k, F.col("stratum").isin(*v) if v else F.lit(False)) for k, v in N.STRUCTURAL_ZERO.items()], F.lit(False))
-    out = points.join(best, keys, "left").join(ci, keys, "left").withColumn("structural_zero", zero).withColumn("underpowered", F.col("n") < least)
-    return out.withColumns({c: F.when(~F.col("structural_zero"), F.col(c)) for c in ("pearson", "spearman", "top_m_recovery", "rmse")})
+    out = points.join(best, keys, "left").join(wide, keys, "left").join(queries, keys, "left").withColumn("structural_zero", zero).withColumn("underpowered", F.col("n") < least)
+    informative = ["pearson", "spearman", "top_m_recovery", "rmse", *(f"{s}_{side}" for s in INTERVALS[1:] for side in ("lo", "hi"))]
+    return out.withColumns({c: F.when(~F.col("structural_zero"), F.col(c)) for c in informative})
+
+
+#: Statistics that :func:`fidelity_within_strata` gives intervals of.
+INTERVALS = ["mae", "rmse", "spearman", "top_m_recovery"]
 
 
 def paired_intervals(first: DataFrame, second: DataFrame, draws: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Intervals of per-query differences between two systems' diagnoses, on shared resamples."""
     cols = ["dcg_actual", "g_q", "r_q"]
     both = first.select("query_id", *[F.col(c).alias(f"a_{c}") for c in cols]).join(second.select("query_id", *[F.col(c).alias(f"b_{c}") for c in cols]), "query_id")
-    diff = both.select("query_id", F.lit("all").alias("scope"), *[(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(c) for c in cols])
-    return resample.bootstrap(diff, ["scope"], {c: (lambda p, c=c: p[c].mean()) for c in cols}, n=draws, alpha=alpha, seed=seed).drop("scope")
+    diff = both.select("query_id", F.lit("all").alias("scope"), F.lit(1.0).alias("n"), *[(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(c) for c in cols])
+    return resample.replicate_intervals(diff, ["scope"], {c: resample.weighted_mean(c, "n") for c in cols}, ["n", *cols], draws, alpha, seed).drop("scope")
 
 
 def contrast(first: DataFrame, second: DataFrame, which: str = N.GATE_SENSITIVE) -> dict:
@@ -60,6 +72,24 @@ def fit_by_stratum(frame: DataFrame, columns: dict[str, list[str]], train: str,
     return rest if out is None else out.unionByName(rest)
 
 
+def fit_all_strata(frame: DataFrame, columns: dict[str, list[str]], train: str, alpha: float = 1.0) -> DataFrame:
+    """Ridge predictions of every (effect type, stratum) from one aggregate over the judged training rows.
+
+    ``columns`` names the features of each stratum; other strata and those that are zero by construction
+    predict 0. A row that lacks one of its features has no prediction. ``frame`` has the features beside
+    the effects; rows that satisfy ``train`` are left out of the result.
+    """
+    keys = ["effect_type", "stratum"]
+    every = list(dict.fromkeys(c for names in columns.values() for c in names))
+    zero = F.coalesce(*[F.when(F.col("effect_type") == k, F.col("stratum").isin(*v) if v else F.lit(False)) for k, v in N.STRUCTURAL_ZERO.items()], F.lit(False))
+    # A feature that is not of the stratum is constant there, so it gets no weight.
+    own = {c: F.when(F.col("stratum").isin(*[s for s, names in columns.items() if c in names]), F.col(c)).otherwise(0.0) for c in every}
+    rows = frame.withColumns({f"_{c}": x for c, x in own.items()})
+    models = features.solve(features.gram(rows.where(f"({train}) and judged").where(~zero & F.col("stratum").isin(*columns)), keys, [f"_{c}" for c in every]), keys, [f"_{c}" for c in every], alpha)
+    test = features.predict(rows.where(f"not ({train})"), models, keys, [f"_{c}" for c in every]).drop(*own, *[f"_{c}" for c in every])
+    return test.withColumn("prediction", F.when(zero | ~F.col("stratum").isin(*columns), 0.0).otherwise(F.col("prediction")))
+
+
 def cost_fidelity(built: DataFrame, diagnosis: DataFrame, stage: DataFrame, utility: Utility, budgets: Sequence[int], policies: Sequence[str] = (N.BOUNDARY, N.ALTERNATIVE)) -> DataFrame:
     """Per (policy, budget): calls, error of the approximate gate cost, failures found."""
     out = None

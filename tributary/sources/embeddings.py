@@ -1,4 +1,5 @@
-"""Vectors of a corpus as numbered Parquet shards, filled incrementally."""
+"""Vectors of a corpus as numbered shards: Parquet that is filled incrementally, or float16 shards that
+a job which was stopped goes on with."""
 
 from __future__ import annotations
 
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InputError
+from . import vector_format
+from .commits import CommitLog, content
+from .tables import identity
 
 SCHEMA = "doc_id string, vector array<float>, shard int"
 
@@ -47,3 +51,74 @@ def check(vectors: DataFrame) -> DataFrame:
     if row["n"] and (row["last"] + 1 != row["shards"] or row["ids"] != row["n"] or row["lengths"] != 1):
         raise InputError(f"shards do not fit together: {row.asDict()}")
     return vectors
+
+
+#: Characters that a batch of texts may have when all are padded to the longest.
+BATCH_CHARS = 1 << 17
+LAID = "doc_id string, text string, bucket int"
+
+
+def packed(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Slices of texts, longest first, whose number times their longest length is ``most`` at the most;
+    a longer text is alone."""
+    a = 0
+    while a < len(lengths):
+        b = min(len(lengths), a + max(1, most // max(1, lengths[a])))
+        yield a, b
+        a = b
+
+
+def encode_shards(spark: SparkSession, path: str, texts: DataFrame, encoder: Callable[[list[str]], np.ndarray], name: str, shard_rows: int = 100_000, batch_chars: int = BATCH_CHARS, wave: int = 32) -> dict[str, list[int]]:
+    """Encode ``texts(doc_id, text)`` into float16 shards below ``path``; what is there already is not done again.
+
+    A text's shard follows from its id, so it is the same in every run. Texts are laid out by shard
+    once; then ``wave`` shards at a time are encoded, written and committed to a log. A run that was
+    stopped leaves finished waves and goes on with the others. Other texts, another encoder ``name``, or
+    other sizes are refused, as they would mix vectors in one folder. Within a shard texts of like
+    length share a batch. A null text is empty; null and repeated ids are refused. The report lists the
+    shards that were encoded now and before.
+    """
+    rows = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    facts = content(rows, "doc_id", "text").first()
+    shards = max(1, -(-facts["rows"] // shard_rows))
+    log = CommitLog(spark, f"{path}-commits")
+    log.begin(encoder=name, texts=facts["digest"], shards=shards, batch_chars=batch_chars)
+    laid = f"{path}-texts"
+    done = log.done()
+    if "texts" not in done:
+        bad = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1").limit(1).collect()
+        if bad:
+            raise InputError(f"doc_id {bad[0].doc_id} is null or repeats")
+        rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(laid)
+        held = spark.read.schema(LAID).parquet(laid).groupBy("bucket").count().collect() if facts["rows"] else []
+        log.commit({"texts": {"buckets": sorted((r.bucket, r["count"]) for r in held)}})  # shards are numbered without gaps
+        done = log.done()
+    vector_format.register(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b in packed(pdf["text"].str.len().tolist(), batch_chars):
+                part = pdf.iloc[a:b]
+                x = np.asarray(encoder(part["text"].tolist()), np.float32)
+                size = np.linalg.norm(x, axis=1, keepdims=True)
+                yield pd.DataFrame({"doc_id": part["doc_id"], "vector": list(x / np.where(size > 0, size, 1)), "shard": part["shard"]})
+
+    buckets = done["texts"]["buckets"]
+    todo = [s for s in range(len(buckets)) if f"shard {s}" not in done]
+    for at in range(0, len(todo), wave):
+        now = todo[at : at + wave]
+        own = [buckets[s][0] for s in now]
+        part = spark.read.schema(LAID).parquet(laid).where(F.col("bucket").isin(own))
+        part = part.select("doc_id", "text", F.get(F.array(*map(F.lit, now)), (F.array_position(F.array(*map(F.lit, own)), F.col("bucket")) - 1).cast("int")).alias("shard"))
+        # Range partitions keep a shard whole; longest texts come first.
+        dealt = part.repartitionByRange(len(now), "shard").sortWithinPartitions("shard", F.desc(F.length("text")), "doc_id")
+        dealt.mapInPandas(run, vector_format.SCHEMA).write.format(vector_format.FORMAT).mode("append").save(path)
+        log.commit({f"shard {s}": {"rows": buckets[s][1]} for s in now})
+    return {"encoded": todo, "held": sorted(set(range(len(buckets))) - set(todo))}
+
+
+def checkpoint_label(name: str, revision: str, settings: dict) -> str:
+    """Which weights and which settings of the index a dense run was made with."""
+    import json
+
+    return f"{name}@{revision[:12]}|index:fp16-exact-{identity(json.dumps(settings, sort_keys=True))[:12]}"

@@ -49,10 +49,18 @@ class ScoreStore:
         rows = self.spark.read.schema(SCHEMA).parquet(self.path)
         return latest(rows if model is None else rows.where(F.col("model") == model))
 
+    def versions(self, model: str) -> DataFrame:
+        """(query_id, doc_id, score, version) of each key's latest version."""
+        rows = self.spark.read.schema(SCHEMA).parquet(self.path).where(F.col("model") == model)
+        return rows.groupBy("query_id", "doc_id").agg(F.max_by("score", "version").alias("score"), F.max("version").alias("version"))
+
     def merge_from(self, other: ScoreStore, model: str) -> None:
-        """Take over another store's scores of one model, its versions with them."""
+        """Take over another store's scores of one model, its versions with them; what is here already is
+        not written again. ``shard_merge`` tells where stores disagree."""
+        key = ["query_id", "doc_id", "version"]
         rows = self.spark.read.schema(SCHEMA).parquet(other.path).where(F.col("model") == model)
-        rows.write.mode("append").partitionBy("model").parquet(self.path)
+        held = self.spark.read.schema(SCHEMA).parquet(self.path).where(F.col("model") == model).select(*key)
+        rows.join(held, key, "left_anti").write.mode("append").partitionBy("model").parquet(self.path)
 
     def models(self) -> list[str]:
         return sorted(r.model for r in self.scores().select("model").distinct().collect())

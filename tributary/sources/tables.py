@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -24,3 +25,8 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"{tempfile.gettempdir()}/tributary-scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def identity(text: str) -> str:
+    """A short fingerprint of a text."""
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
