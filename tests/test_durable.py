@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tributary import cli, config, contracts
 from tributary.config import Settings
 from tributary.errors import ConflictError, ContractError, InputError, ListwiseScorerError, MissingScoreError
+from tributary.functions import statistics as S
 from tributary.operators import features, resample, rescoring, worlds
 from tributary.plans import assembly, grid, runner
-from tributary.plans.cascades import event_cascade
+from tributary.plans.cascades import event_cascade, event_qrels
 from tributary.sources import embeddings, shard_merge, vector_format
 from tributary.sources.commits import CommitLog, content
 from tributary.sources.score_store import ScoreStore
@@ -256,3 +258,43 @@ def test_a_study_runs_only_what_changed(spark, tmp_path):
         study().table("other")
     with pytest.raises(InputError, match="no input"):
         study().run()
+
+
+def test_average_ranks_of_large_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [("g" if i % 3 else "h", i, float(rng.integers(0, 9)) * (i % 2), None if i % 50 == 0 else float(rng.normal())) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, i long, a double, b double")
+    got = S.average_ranks(df, {"ra": "a", "rb": "b"}, ["k"], ranges=7).toPandas()
+    for g, own in got.groupby("k"):
+        assert (own["ra"] == own["a"].rank()).all() and np.allclose(own["rb"], own["b"].rank(), equal_nan=True), g
+
+
+def test_study_commands(spark, tmp_path, capsys):
+    """Cells, study, compare and outsiders by command line; what has not changed is not run again."""
+    c = event_cascade(spark, "/root/testdata/sf0.001")
+    (tmp_path / "y").write_text("candidate_depths: [10]\ndepth_m: 60\nk: 5\nother_cutoffs: []\nother_utilities: []\npolicies: [boundary]\n")
+    s = config.load(str(tmp_path / "y"))
+    rows = grid.effect_grid(c, s, "value").unionByName(grid.effect_grid(event_cascade(spark, "/root/testdata/sf0.001", True), s, "mix"))
+    rows.where("stage1_system = 'value'").write.parquet(str(tmp_path / "one"))
+    rows.write.parquet(str(tmp_path / "both"))
+    contracts.save(event_qrels(spark, "/root/testdata/sf0.001"), str(tmp_path / "q"), "qrels")
+
+    def run(*args):
+        assert cli.main(["--settings", str(tmp_path / "y"), *map(str, args)]) == 0
+        return json.loads(capsys.readouterr().out.strip().split("\n")[-1])
+
+    study = ("study", "--effects", tmp_path / "one", "--out", tmp_path / "s", "--draws", 5, "--permutations", 9)
+    assert all(run(*study).values()) and not any(run(*study).values())
+    assert all(run("compare", "--effects", tmp_path / "both", "--first", "value", "--second", "mix", "--out", tmp_path / "c").values())
+    assert all(run("outsiders", "--effects", tmp_path / "one", "--qrels", tmp_path / "q", "--out", tmp_path / "o").values())
+    metrics = {r.metric for r in runner.Study(spark, str(tmp_path / "c"), s, []).table("one_axis").collect()}
+    assert {"g_q_mean", "delta_boundary_t0.5"} <= metrics
+
+
+def test_merge_command(spark, tmp_path, capsys):
+    stores(spark, tmp_path, one={"a": 1.0}, two={"b": 2.0})
+    contracts.save(spark.createDataFrame([("q", "a", "s"), ("q", "b", "s")], "query_id string, doc_id string, sources string"), str(tmp_path / "u"), "universe")
+    args = ["merge", "--universe", str(tmp_path / "u"), "--model", "m", "--out", str(tmp_path / "merged"), *(x for o in ("one", "two") for x in ("--shard", f"{o}={tmp_path / o}"))]
+    assert cli.main(args) == 0
+    said = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
+    assert said["complete"] and said["merged"] == 2 and set(said["owners"]) == {"one", "two"}

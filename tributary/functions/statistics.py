@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import scratch
+
 
 def paired(df: DataFrame, predicted: str, reference: str) -> DataFrame:
     p, r = F.col(predicted).cast("double"), F.col(reference).cast("double")
@@ -38,16 +40,46 @@ def point_metrics(df: DataFrame, predicted: str, reference: str, keys: list[str]
 
 
 def top_m_recovery(df: DataFrame, predicted: str, reference: str, keys: list[str], m: int, ids: list[str], by_size: bool = True) -> DataFrame:
-    """Share of the m largest references that are among the m largest predictions; ties by ``ids``."""
+    """Share of the m largest references that are among the m largest predictions; ties by ``ids``.
+
+    Only heads of m rows are ranked: the planner limits each task's groups before the shuffle.
+    """
+    rows = paired(df, predicted, reference).select(*keys, *ids, "_p", "_r")
 
-    def place(c: str):
-        return F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs(c) if by_size else F.col(c)), *ids))
+    def head(c: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(F.desc(F.abs(c) if by_size else F.col(c)), *ids)
+        return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= m).select(*keys, *ids, F.lit(c).alias("_side"))
 
-    rows = paired(df, predicted, reference).withColumns({"_pp": place("_p"), "_rp": place("_r")}).where(F.least("_pp", "_rp") <= m)
-    got = rows.groupBy(*keys).agg(F.sum(((F.col("_pp") <= m) & (F.col("_rp") <= m)).cast("long")).alias("hits"), F.sum((F.col("_rp") <= m).cast("long")).alias("m"))
+    met = head("_p").unionByName(head("_r")).groupBy(*keys, *ids).agg(F.count(F.lit(1)).alias("_sides"), F.max((F.col("_side") == "_r").cast("long")).alias("_wanted"))
+    got = met.groupBy(*keys).agg(F.sum((F.col("_sides") == 2).cast("long")).alias("hits"), F.sum("_wanted").alias("m"))
     return got.withColumn("top_m_recovery", F.col("hits") / F.col("m"))
 
 
+def average_ranks(df: DataFrame, columns: dict[str, str], keys: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` with the average rank of each of ``columns`` (new name -> column) within ``keys``, for groups of any size.
+
+    Rows are counted by value first, so a value that half of a group shares is one row from each task. The
+    values are dealt out by range; a range adds up its own counts and starts from those of the ranges
+    before it, so a group spans as many tasks as its values need. Counts are written, since ranges and
+    totals have to see the same ones. Null values have a null rank.
+    """
+    spark = df.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = df
+    for name, c in columns.items():
+        counts = df.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+        place = scratch(spark, "value-counts")
+        counts.repartitionByRange(n, *keys, "_value").withColumn("_range", F.spark_partition_id()).write.parquet(place)
+        held = spark.read.parquet(place)
+        earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+        before = held.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        within = Window.partitionBy(*keys, "_range").orderBy("_value")
+        ranked = held.withColumn("_upto", F.sum("_n").over(within)).join(before.select(*keys, "_range", "_before"), [*keys, "_range"])
+        ranked = ranked.select(*keys, F.col("_value").alias(c), (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
+        out = out.join(ranked, [*keys, c], "left")
+    return out
+
+
 def calibration(df: DataFrame, predicted: str, reference: str, bins: int = 10) -> DataFrame:
     """Mean prediction and reference in quantile bins of the reference (right-closed, equal edges merged)."""
     rows = paired(df, predicted, reference)

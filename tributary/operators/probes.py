@@ -16,7 +16,7 @@ from .. import names as N
 from ..errors import InputError
 from ..functions.statistics import average_rank, correlation
 from ..functions.utility import Utility
-
+from . import resample
 
 KEY = ["query_id", "k_c", "condensed"]
 
@@ -75,6 +75,29 @@ def query_fidelity(probed: DataFrame, diagnosis: DataFrame, tau: float = 0.05) -
     return got.withColumn("f1", F.coalesce(F.try_divide(2 * tp, 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
 
 
+def query_intervals(probed: DataFrame, diagnosis: DataFrame, draws: int = 1000, alpha: float = 0.05, seed: int = 42, tau: float = 0.05) -> DataFrame:
+    """(budget, seed if there are, statistic, point, lo, hi, n_draws) of :func:`query_fidelity` over queries.
+
+    Statistics are gq_mae, gq_spearman on the ranks of the whole sample, precision, recall and f1.
+    """
+    run = [c for c in ("budget", "seed") if c in probed.columns]
+    hat = probed.groupBy("query_id", *run).agg((-F.sum("effect")).alias("g_hat"))
+    both = hat.join(diagnosis.select("query_id", "g_q", "r_q", (F.col("label") == N.GATE_SENSITIVE).alias("so")), "query_id")
+    both = both.withColumns({"said": (F.col("g_hat") > tau) & (F.col("g_hat") > F.col("r_q")), "_h": F.round("g_hat", 9) + F.lit(0.0), "_g": F.round("g_q", 9) + F.lit(0.0)})
+    both = both.withColumns({"_hr": average_rank("_h", run), "_gr": average_rank("_g", run)})
+    said, so = F.col("said"), F.col("so")
+    parts = {"n": F.lit(1.0), "error": F.abs(F.col("g_hat") - F.col("g_q")), **{k: c.cast("double") for k, c in (("tp", said & so), ("fp", said & ~so), ("fn", so & ~said))}, **resample.moments("_hr", "_gr", "r_")}
+    sums = both.select(*run, "query_id", *[c.alias(k) for k, c in parts.items()])
+    statistics = {
+        "gq_mae": resample.weighted_mean("error", "n"),
+        "gq_spearman": resample.weighted_correlation("n", "r_x", "r_y", "r_xx", "r_yy", "r_xy"),
+        "precision": lambda s: F.try_divide(s("tp"), s("tp") + s("fp")),
+        "recall": lambda s: F.try_divide(s("tp"), s("tp") + s("fn")),
+        "f1": lambda s: F.coalesce(F.try_divide(2 * s("tp"), 2 * s("tp") + s("fp") + s("fn")), F.lit(0.0)),
+    }
+    return resample.replicate_intervals(sums, run, statistics, list(parts), draws, alpha, seed)
+
+
 def failures_found(probed: DataFrame, failures: DataFrame) -> DataFrame:
     """Per budget: gating failures whose loss the probe sees, and the share of the loss."""
     budgets = F.broadcast(probed.select("budget").distinct())

@@ -163,6 +163,16 @@ def setting_metrics(stage: DataFrame, tau: float = 0.05) -> DataFrame:
     return wide.unpivot(key, list(metrics), "metric", "value")
 
 
+def outcome_metrics(budget: DataFrame) -> DataFrame:
+    """Mean change by policy and share of every setting, in the long form of :func:`setting_metrics`; a
+    query's random runs are averaged first."""
+    key = ["stage1_system", "k_c", "utility", "k", "condensed"]
+    runs = budget.groupBy(*key, "query_id", "policy", "t", "seed").agg(F.sum("effect").alias("delta"))
+    per = runs.groupBy(*key, "query_id", "policy", "t").agg(F.avg("delta").alias("delta"))
+    got = per.groupBy(*key, "policy", "t").agg(F.avg("delta").alias("value"))
+    return got.select(*key, F.concat(F.lit("delta_"), "policy", F.lit("_t"), F.regexp_replace(F.col("t").cast("string"), r"\.0$", "")).alias("metric"), "value")
+
+
 def one_axis(long: DataFrame, headline: dict, first: str, second: str) -> DataFrame:
     """Settings at most one axis away from ``headline``, two systems side by side."""
     axes = list(headline)

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from .. import names as N
 from ..config import Settings
-from ..functions.utility import Utility, aggregation_gaps
-from ..operators import effects, features, rescoring, summaries, worlds
+from ..functions import statistics as S
+from ..functions.utility import Utility, aggregation_gaps, ndcg, recall
+from ..operators import effects, features, probes, resample, rescoring, summaries, universe, worlds
 from ..sources import embeddings, shard_merge, vector_format
 from ..sources.score_store import ScoreStore
 from ..sources.tables import scratch, table
-from . import assembly, grid, runner, sql, study
+from . import assembly, feasibility, grid, runner, sql, study
 from .cascades import event_cascade, event_qrels, event_runs
-from .catalog import DCG, DEPTH, _allocated, _worlds, query, rounded
+from .catalog import DCG, DEPTH, _allocated, _budget, _probe_x, _stage, _worlds, query, rounded
 from .sql import K_C, K, r
 
 OWNERS = ("a", "b", "c")
@@ -129,7 +130,7 @@ def encode_resumed(spark, d):
 
 # The grid in cells
 
-_CELLS = Settings(candidate_depths=(K_C, 30), depth_m=60, k=K, other_cutoffs=(), other_utilities=("topk",), budget_seeds=(42, 43))
+_CELLS = Settings(candidate_depths=(K_C,), depth_m=60, k=K, other_cutoffs=(), other_utilities=("topk",), budget_seeds=(42, 43))
 _ONE = Settings(candidate_depths=(K_C,), depth_m=60, k=K, other_cutoffs=(), other_utilities=(), policies=(N.BOUNDARY,))
 _N_UTILITIES = len(_CELLS.settings())
 
@@ -151,12 +152,12 @@ def _resumed(spark, d, settings: Settings, last: str) -> str:
 
 
 @query(
-    f"""WITH {sql.events()}, x AS (SELECT count(*) + count(*) FILTER (judged) AS n, count(DISTINCT query_id) AS q FROM ev), p AS (SELECT unnest([{K_C}, 30]) AS k_c, NULL AS policy, 0 AS seeds UNION ALL SELECT k_c, policy, CASE policy WHEN 'random' THEN 2 ELSE 1 END FROM (SELECT unnest([{K_C}, 30]) AS k_c), (SELECT unnest(['boundary', 'alternative', 'random']) AS policy))
+    f"""WITH {sql.events()}, x AS (SELECT count(*) + count(*) FILTER (judged) AS n, count(DISTINCT query_id) AS q FROM ev), p AS (SELECT {K_C} AS k_c, NULL AS policy, 0 AS seeds UNION ALL SELECT k_c, policy, CASE policy WHEN 'random' THEN 2 ELSE 1 END FROM (SELECT {K_C} AS k_c), (SELECT unnest(['boundary', 'alternative', 'random']) AS policy))
 SELECT 'value-k' || k_c || '-' || coalesce(policy, 'stage') AS cell, CAST(k_c AS BIGINT) AS k_c, policy, CAST(n * {_N_UTILITIES} * CASE WHEN policy IS NULL THEN 2 ELSE 3 * seeds END AS BIGINT) AS rows, CASE WHEN policy IS NOT NULL THEN CAST(q * seeds AS BIGINT) END AS baselines, CASE WHEN policy IS NOT NULL THEN CAST(0 AS BIGINT) END AS baselines_that_differ FROM p, x"""
 )
 def grid_cells(spark, d):
-    """What is committed after a run that was stopped in its fifth cell and one that went on."""
-    return grid.cell_records(spark, _resumed(spark, d, _CELLS, "value-k30-stage"))
+    """What is committed after a run that was stopped in its third cell and one that went on."""
+    return grid.cell_records(spark, _resumed(spark, d, _CELLS, f"value-k{K_C}-{N.ALTERNATIVE}"))
 
 
 @query(f"WITH {sql.budget(DCG, (N.BOUNDARY,))} SELECT query_id, doc_id, t, stratum, {r('effect', 'effect')} FROM bg")
@@ -293,6 +294,52 @@ def study_diagnosis(spark, d):
     return rounded(own.table("diagnosis").select("query_id", "g_q", "label"))
 
 
+# Findings, outcomes by setting, intervals at the level of queries
+
+
+@query(
+    f"""WITH {sql.universe(DEPTH)}, {sql.QRELS}, kk AS (SELECT unnest([10, {K_C}, 50]) AS k_c), sy AS (SELECT unnest(['value', 'mix']) AS system), x AS (SELECT query_id, k_c, doc_id, max(CASE WHEN system = 'value' THEN 1 ELSE 0 END) AS a, max(CASE WHEN system = 'mix' THEN 1 ELSE 0 END) AS b FROM ru, kk WHERE rank <= k_c GROUP BY ALL), lv AS (SELECT k_c, median(j) AS value FROM (SELECT query_id, k_c, sum(a * b) / count(*) AS j FROM x GROUP BY ALL) GROUP BY ALL),
+o AS (SELECT system, k_c, median(n) AS value FROM (SELECT sy.system, kk.k_c, qr.query_id, count(*) FILTER (ru.doc_id IS NULL AND {sql.gain()} > 0) AS n FROM qr CROSS JOIN sy CROSS JOIN kk LEFT JOIN ru ON ru.query_id = qr.query_id AND ru.doc_id = qr.doc_id AND ru.system = sy.system AND ru.rank <= kk.k_c GROUP BY ALL) GROUP BY ALL),
+du AS (SELECT un.query_id, count(qr.doc_id) / count(*) AS u FROM un LEFT JOIN qr ON qr.query_id = un.query_id AND qr.doc_id = un.doc_id GROUP BY ALL), dc AS (SELECT ru.system, k_c, ru.query_id, count(qr.doc_id) / count(*) AS c FROM ru JOIN kk ON ru.rank <= kk.k_c LEFT JOIN qr ON qr.query_id = ru.query_id AND qr.doc_id = ru.doc_id GROUP BY ALL), dm AS (SELECT system, k_c, median(c / u) AS ratio, median(c) AS density FROM dc JOIN du USING (query_id) GROUP BY ALL),
+f AS (SELECT 'judgment_placement' AS finding, k_c, system, ratio AS value FROM dm WHERE ratio > 1.05 UNION ALL SELECT 'gate_failure_supply', k_c, system, value FROM o WHERE value < 12 UNION ALL SELECT 'between_system_asymmetry', k_c, NULL, max(density) / min(density) FROM dm GROUP BY k_c HAVING max(density) / min(density) > 1.05 UNION ALL SELECT 'no_leverage', k_c, NULL, value FROM lv WHERE value > 0.05 UNION ALL SELECT 'no_usable_depth', NULL, NULL, 0.0 WHERE NOT EXISTS (SELECT k_c FROM o GROUP BY k_c HAVING min(value) >= 12))
+SELECT finding, CAST(k_c AS BIGINT) AS k_c, system, {r('value', 'value')} FROM f"""
+)
+def feasibility_findings(spark, d):
+    """Named findings at limits that this small collection reaches."""
+    runs, qrels, systems, depths = event_runs(spark, d, DEPTH), event_qrels(spark, d), ["value", "mix"], [10, K_C, 50]
+    outs, lever = feasibility.outside(runs, qrels, DCG.gain, systems, depths), feasibility.leverage(runs, systems, depths)
+    placed = feasibility.placement(runs, universe.build(runs, DEPTH), qrels, systems, depths)
+    return rounded(feasibility.findings(lever, outs, placed, most_ratio=1.05, least_gainful=12, most_overlap=0.05))
+
+
+@query(f"WITH {sql.budget(DCG)}, o AS (SELECT query_id, policy, t, sum(effect) AS delta FROM bg GROUP BY ALL) SELECT 'delta_' || policy || '_t' || t AS metric, {r('avg(delta)', 'value')} FROM o GROUP BY policy, t")
+def setting_outcomes(spark, d):
+    return rounded(summaries.outcome_metrics(_budget(spark, d)).select("metric", "value"))
+
+
+_HAT = "h0 AS (SELECT query_id, budget, -sum(effect) AS g_hat FROM x GROUP BY ALL), h1 AS (SELECT h0.*, abs(g_hat - g_q) AS error, label = 'gate_sensitive' AS so, g_hat > 0.05 AND g_hat > r_q AS said, round(g_hat, 9) + 0.0 AS a, round(g_q, 9) + 0.0 AS b FROM h0 JOIN dg USING (query_id))"
+
+
+@query(
+    f"""WITH {sql.stage(DCG)}, {sql.DIAGNOSIS}, {_probe_x(N.ALTERNATIVE, (5, 20))}, {_HAT}, h2 AS (SELECT *, {sql.average_rank('a', 'budget')} AS ar, {sql.average_rank('b', 'budget')} AS br FROM h1), h3 AS (SELECT *, {sql.weight(resample.poisson_steps())} AS w FROM h2, (SELECT unnest(range(0, 101)) AS draw)),
+hd AS (SELECT budget, draw, sum(w) AS n, sum(w * error) AS error, coalesce(sum(w) FILTER (said AND so), 0) AS tp, coalesce(sum(w) FILTER (said AND NOT so), 0) AS fp, coalesce(sum(w) FILTER (so AND NOT said), 0) AS fn, sum(w * ar) AS x, sum(w * br) AS y, sum(w * ar * ar) AS xx, sum(w * br * br) AS yy, sum(w * ar * br) AS xy FROM h3 WHERE w > 0 GROUP BY ALL)
+SELECT CAST(budget AS BIGINT) AS budget, statistic, {r('point', 'point')}, {r('lo', 'lo')}, {r('hi', 'hi')}, n_draws FROM ({sql.intervals('hd', 'budget', {'gq_mae': 'error / n', 'gq_spearman': sql.correlation('n', 'x', 'y', 'xx', 'yy', 'xy'), 'precision': 'tp / nullif(tp + fp, 0)', 'recall': 'tp / nullif(tp + fn, 0)', 'f1': 'coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)'})})"""
+)
+def probe_intervals(spark, d):
+    own = _worlds(spark, d)
+    return rounded(probes.query_intervals(probes.probe(own, [5, 20], N.ALTERNATIVE, DCG), summaries.diagnose(effects.stage_effects(own, DCG)), draws=100))
+
+
+@query(
+    f"""WITH {sql.stage(DCG)}, g AS (SELECT stratum, query_id, doc_id, effect, -CAST(rank_control AS DOUBLE) AS p FROM st WHERE effect_type = 'e_gate')
+SELECT stratum, query_id, doc_id, {sql.average_rank('effect', 'stratum')} AS effect_rank, {sql.average_rank('p', 'stratum')} AS p_rank FROM g"""
+)
+def ranks_in_ranges(spark, d):
+    """Average ranks within strata, most of whose effects are equal, without a task that holds a stratum."""
+    rows = _stage(spark, d).where("effect_type = 'e_gate'").withColumn("p", -F.col("rank_control").cast("double"))
+    return S.average_ranks(rows, {"effect_rank": "effect", "p_rank": "p"}, ["stratum"]).select("stratum", "query_id", "doc_id", "effect_rank", "p_rank")
+
+
 # Effectiveness of a run
 
 
@@ -302,8 +349,6 @@ i AS (SELECT query_id, sum(relevance / log2(CAST(n AS DOUBLE) + 1)) AS ideal FRO
 SELECT query_id, {r('CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0.0 END', 'ndcg')}, {r('CASE WHEN relevant > 0 THEN found / relevant END', 'recall')} FROM g JOIN i USING (query_id)"""
 )
 def effectiveness_by_query(spark, d):
-    from ..functions.utility import ndcg, recall
-
     run = event_runs(spark, d, DEPTH).where("system = 'value'")
     qrels = event_qrels(spark, d)
     return rounded(ndcg(run, qrels, 10).select("query_id", "ndcg").join(recall(run, qrels, DEPTH).select("query_id", "recall"), "query_id"))

@@ -9,17 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..errors import InputError
-from ..functions.utility import Utility
-from ..operators import effects, judgments, resample, summaries
+from ..operators import effects, resample, summaries
 from ..sources.commits import CommitLog, content, mark_of
-from . import feasibility
 
 
 @dataclass(frozen=True)
@@ -102,7 +99,7 @@ def comparison(settings: Settings, first: str, second: str) -> list[Step]:
     """Steps over the ``effects`` of two systems: metrics of all settings, one axis at a time side by side."""
     headline = {"k_c": settings.candidate_depths[0], "utility": settings.utility, "k": settings.k, "condensed": False}
     return [
-        Step("metrics", ("effects",), lambda e: summaries.setting_metrics(e.where("effect_type <> 'delta_t'"), settings.tau_query)),
+        Step("metrics", ("effects",), lambda e: summaries.setting_metrics(e.where("effect_type <> 'delta_t'"), settings.tau_query).unionByName(summaries.outcome_metrics(e.where("effect_type = 'delta_t'")))),
         Step("one_axis", ("metrics",), lambda m: summaries.one_axis(m, headline, first, second)),
     ]
 
@@ -116,15 +113,3 @@ def outsiders(settings: Settings, n_queries: int) -> list[Step]:
         Step("promotion", ("budget", "stage", "qrels"), lambda b, s, q: summaries.promotion(b, s, q.where(F.col("relevance") >= relevant), n_queries)),
         Step("false_negatives", ("budget", "stage"), summaries.false_negatives),
     ]
-
-
-def feasibility_steps(settings: Settings) -> list[Step]:
-    """Steps over ``runs`` and ``qrels``: can they answer the questions?"""
-    systems, depths = list(settings.stage1_systems), list(settings.candidate_depths)
-    u = Utility(settings.utility, settings.k, settings.persistence, settings.gains)
-    return [
-        Step("leverage", ("runs",), lambda r: feasibility.leverage(r, systems, depths)),
-        Step("outside", ("runs", "qrels"), lambda r, q: feasibility.outside(r, q, u.gain, systems, depths)),
-        Step("density", ("runs", "qrels"), lambda r, q: reduce(DataFrame.unionByName, [judgments.density(r.where(F.col("system") == s), q, u.gain, depths).withColumn("system", F.lit(s)) for s in systems])),
-        Step("verdict", ("leverage", "outside"), feasibility.verdict),
-    ]
