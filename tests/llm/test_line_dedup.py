@@ -123,3 +123,11 @@ def test_passages_of_many_short_words_go_too(spark):
     for text, left in ((passage, 1), (shorter, L.RARE + 5)):
         rows = [(i, f"the only line of its kind, number {i}, and long enough\n{text}") for i in range(L.RARE + 5)]
         assert sum(text in t.split("\n") for _, t in texts_of(L.line_dedup(frame(spark, rows)))) == left
+
+
+def test_without_a_limit_common_lines_go_at_any_frequency(spark):
+    notice = "This notice is on every page of the site and says nothing else."
+    for n in (L.RARE, L.RARE + 1, L.RARE + 30):
+        rows = [(i, f"the only line of its kind, number {i}, and long enough\n{notice}") for i in range(n)]
+        out = dict(texts_of(L.line_dedup(frame(spark, rows), rare=None)))
+        assert [i for i, t in out.items() if notice in t] == [0] and all(f"number {i}," in t for i, t in out.items())

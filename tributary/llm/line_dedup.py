@@ -176,9 +176,11 @@ def runs(hashes: list[int], sizes: list[int], passages: list[bool], least_chars:
     return found, h[end - 1].view(np.int64)[once], np.asarray(passages, bool)[end - 1][once]
 
 
-def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = RARE) -> DataFrame:
+def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int | None = RARE) -> DataFrame:
     """(doc_id, key, gone): line numbers to delete by document; gone is null where all lines go.
 
+    Without ``rare`` every shared run pairs a document with its owner, however common it is.
+
     key is the digest of the text, so rows that share a doc_id but not a text stay apart.
     """
     bounded_batches(documents.sparkSession)
@@ -214,7 +216,7 @@ def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = R
     held = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("df")).where("owner < last")
     held = written(held.select("line", "owner", "df"), "shared-lines")
     shared = each.join(held, "line").where("doc_id > owner").groupBy("doc_id", "owner").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.min("df").alias("df"), F.max("passage").alias("passage"))
-    pairs = shared.where((F.col("df") <= rare) | (F.col("a") < F.col("b")) | F.col("passage"))
+    pairs = shared if rare is None else shared.where((F.col("df") <= rare) | (F.col("a") < F.col("b")) | F.col("passage"))
     pairs = written(pairs.select("doc_id", "owner"), "line-pairs")
     early = own.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("early"))
     both = pairs.join(own, "doc_id").join(early, "owner")
@@ -227,9 +229,12 @@ def removals(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = R
     return whole.unionByName(part)
 
 
-def line_dedup(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int = RARE) -> DataFrame:
+def line_dedup(documents: DataFrame, least_chars: int = LEAST_CHARS, rare: int | None = RARE) -> DataFrame:
     """Rows of ``documents`` with aligned common blocks deleted from ``text``, with n_lines and n_removed.
 
+    A lone short line that more than ``rare`` texts share is boilerplate and stays everywhere; with
+    ``rare=None`` it goes from all texts but its owner, at one pair per document and owner of its lines.
+
     Documents are ordered by doc_id; of rows with equal texts the least doc_id keeps its text, and
     rows that repeat that id keep theirs. A text whose lines all go becomes empty. Null ids, null and
     empty texts stay as they are (n_removed 0). Texts may be of any length; a line that a text repeats
