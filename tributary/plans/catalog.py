@@ -644,8 +644,7 @@ s AS (SELECT query_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5))
 SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 50""")
 def bm25_topk(spark, d):
     queries = table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), "text")
-    got = retrieval.bm25(queries, table(spark, d, "documents").select("doc_id", "text")).withColumn("score", F.round("score", 6))
-    return ranking.top_k(got, "score", 50).select("query_id", "doc_id", "score")
+    return retrieval.bm25_search(queries, table(spark, d, "documents").select("doc_id", "text"), 50).select("query_id", "doc_id", "score")
 
 
 # The whole grid and its reports
