@@ -41,23 +41,24 @@ def bm25(queries: DataFrame, documents: DataFrame, k1: float = 0.9, b: float = 0
 def bm25_search(queries: DataFrame, documents: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """(query_id, doc_id, score) of each query's best ``k`` by :func:`bm25`, ties to the lesser doc_id, scores at six places.
 
-    Texts are split once, into lengths and counts of the queries' words, which are written. Queries are
-    taken in blocks of at most QUERY_WORDS rows; a block's words are what is broadcast, and each task scores its documents
-    in sparse products, passing on only what reaches the best k it has seen. So neither pairs that cannot
-    win nor postings of hot words are shuffled.
+    Texts are read twice: for the frequencies of the queries' words and the mean length, and for the scores.
+    Queries are taken in blocks of at most QUERY_WORDS rows; a block's words are what is broadcast, and
+    each task scores its documents in sparse products, passing on only what reaches the best k it has
+    seen. So neither pairs that cannot win nor postings of hot words are shuffled.
     """
     spark = documents.sparkSession
-    asked_at, posts_at = scratch(spark, "query-words"), scratch(spark, "word-counts")
+    asked_at = scratch(spark, "query-words")
     tokens(queries, "query_id").distinct().write.parquet(asked_at)
     asked = spark.read.parquet(asked_at)
     words = asked.select("token").distinct()
-    each = documents.select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "").alias("words"))
-    each.withColumn("dl", F.size("words")).write.parquet(posts_at)
-    texts = spark.read.parquet(posts_at)
-    facts = texts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    texts, tasks = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), spark.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < tasks:  # a small table in few files; many files stay as they are
+        texts = texts.repartition(tasks)
+    split = F.array_remove(F.split("text", " "), "")
+    facts = texts.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(split)).alias("avgdl")).first()
     if not facts["n"] or not facts["avgdl"]:
         return spark.createDataFrame([], f"query_id string, doc_id {dict(documents.dtypes)['doc_id']}, score double")
-    held = texts.select(F.explode(F.array_distinct("words")).alias("token")).join(words, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    held = texts.select(F.explode(F.array_distinct(split)).alias("token")).join(words, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     blocks = max(1, -(-asked.count() // QUERY_WORDS))
     kind, out = dict(documents.dtypes)["doc_id"], None
     for i in range(blocks):
@@ -70,7 +71,7 @@ def bm25_search(queries: DataFrame, documents: DataFrame, k: int, k1: float = 0.
         starts = np.searchsorted(word[order], np.arange(len(token) + 1))
         df = own["df"].to_numpy(float)[order][starts[:-1]]
         shared = spark.sparkContext.broadcast(({t: j for j, t in enumerate(token)}, np.log(1 + (facts["n"] - df + 0.5) / (df + 0.5)), starts, query[order], names))
-        part = texts.select("doc_id", "words", "dl").mapInArrow(_scored(shared, float(facts["avgdl"]), k, k1, b), f"query_id string, doc_id {kind}, score double")
+        part = texts.mapInArrow(_scored(shared, float(facts["avgdl"]), k, k1, b), f"query_id string, doc_id {kind}, score double")
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], f"query_id string, doc_id {kind}, score double") if out is None else top_k(out, "score", k).drop("rank")
 
@@ -81,18 +82,19 @@ def _scored(shared, avgdl: float, k: int, k1: float, b: float):
         least = np.full(len(names), 0.0)
         rows = max(1, PRODUCT // max(1, len(names)))
         for batch in batches:
-            docs, words, dl = batch.column(0), batch.column(1), np.asarray(batch.column(2), float)
+            docs, texts = batch.column(0), batch.column(1)
             for s in range(0, len(docs), rows):
                 stop = min(len(docs), s + rows)
                 score = np.zeros((stop - s, len(names)))
                 for d in range(s, stop):
-                    counts = Counter(map(number.get, words[d].as_py()))
+                    words = [w for w in texts[d].as_py().split(" ") if w]
+                    counts = Counter(map(number.get, words))
                     counts.pop(None, None)
                     if counts:
                         # Words in one order, so that equal texts have equal sums.
                         t = np.sort(np.fromiter(counts.keys(), np.int64, len(counts)))
                         tf = np.array([counts[j] for j in t.tolist()], float)
-                        w = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[d] / avgdl))
+                        w = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / avgdl))
                         n = starts[t + 1] - starts[t]
                         at = np.repeat(starts[t] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                         score[d - s] = np.bincount(of[at], np.repeat(w, n), len(names))
