@@ -36,7 +36,7 @@ def verdict(lever: DataFrame, outs: DataFrame, least_outside: int = 5, most_jacc
     return b.join(a, "k_c").withColumn("usable", (F.col("outside_relevant") >= least_outside) & (F.col("median_jaccard") <= most_jaccard))
 
 
-#: Limits of the findings: how many times denser judgments may lie among candidates than in the universe, or
+#: Names and limits of the findings. How many times denser judgments may lie among candidates than in the universe, or
 #: in one system's candidates than in another's; gainful documents that the median query has outside the gate;
 #: overlap of two systems' candidates.
 MOST_DENSITY_RATIO, LEAST_GAINFUL, MOST_OVERLAP = 3.0, 1.0, 0.8

@@ -121,4 +121,5 @@ def checkpoint_label(name: str, revision: str, settings: dict) -> str:
     """Which weights and which settings of the index a dense run was made with."""
     import json
 
+    # Fixed value: the format of the label.
     return f"{name}@{revision[:12]}|index:fp16-exact-{identity(json.dumps(settings, sort_keys=True))[:12]}"
