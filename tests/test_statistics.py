@@ -42,3 +42,32 @@ def test_bootstrap_shares_its_draws(spark):
     t = spark.createDataFrame([("g", *r) for r in rows], "g string, query_id string, a double, b double")
     got = {r.statistic: r for r in resample.bootstrap(t, ["g"], {"a": lambda p: p["a"].mean(), "b": lambda p: p["b"].mean()}, n=100).collect()}
     assert got["a"].lo == got["b"].lo < got["a"].point == 9.5 < got["a"].hi
+
+
+def test_quantiles_of_large_groups(spark):
+    """Ties, null values and null keys over many ranges agree with numpy; a group of one value is its quantiles."""
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 3 == 0 else "g" if i % 3 == 1 else "h", 0.0 if rng.random() < 0.6 else float(rng.normal()), i) for i in range(700)]
+    rows += [("one", 2.5, 0), ("one", None, 1), ("none", None, 2)]
+    df = spark.createDataFrame(rows, "k string, x double, i long")
+    shares = {"lo": 0.0, "a": 0.05, "m": 0.5, "b": 0.95, "hi": 1.0}
+    for ranges in (1, 9):
+        got = {r.k: r for r in S.quantiles(df, "x", shares, ["k"], ranges).collect()}
+        assert set(got) == {None, "g", "h", "one"}
+        for k, r in got.items():
+            own = [x for key, x, _ in rows if key == k and x is not None]
+            assert [r[n] for n in shares] == pytest.approx(np.quantile(own, list(shares.values())))
+    whole = S.quantiles(df, "x", {"m": 0.5}, []).collect()
+    assert len(whole) == 1 and whole[0].m == pytest.approx(np.median([x for _, x, _ in rows if x is not None]))
+    assert S.quantiles(df.limit(0), "x", {"m": 0.5}, ["k"]).count() == 0
+
+
+def test_point_metrics_of_large_groups(spark):
+    """Ranks by ranges give the metrics that ranks by windows give, for a null key too."""
+    rng = np.random.default_rng(4)
+    rows = [("g" if i % 2 else None, float(rng.integers(0, 6)), None if i % 40 == 0 else float(rng.integers(0, 9)) + 0.5) for i in range(500)]
+    df = spark.createDataFrame(rows, "s string, p double, r double")
+    few, many = ({r.s: r.asDict() for r in S.point_metrics(df, "p", "r", ["s"], n).collect()} for n in (10_000, 3))
+    assert set(few) == set(many) == {"g", None}
+    for s in few:
+        assert {k: v for k, v in many[s].items() if k != "s"} == pytest.approx({k: v for k, v in few[s].items() if k != "s"})

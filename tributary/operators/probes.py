@@ -24,14 +24,14 @@ KEY = ["query_id", "k_c", "condensed"]
 def probe(worlds: DataFrame, budgets: Sequence[int], policy: str, utility: Utility, seeds: Sequence[int] = (42,)) -> DataFrame:
     """(query_id, doc_id, k_c, condensed, budget, probed, effect): e_gate as b calls would show it, per budget.
 
-    The random policy takes outsiders in the order of their hash with the seed, gives a row per seed
-    and adds a seed column.
+    The random policy takes outsiders in the order of the MD5 digest of "seed/query_id/doc_id", gives a
+    row per seed and adds a seed column.
     """
     outside = Window.partitionBy(*KEY, "in_cq")
     cells, run = worlds, ["budget"]
     if policy == N.RANDOM:
         cells, run = worlds.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))), ["budget", "seed"]
-        place = F.row_number().over(Window.partitionBy(*KEY, "in_cq", "seed").orderBy(F.xxhash64("seed", "query_id", "doc_id"), "doc_id"))
+        place = F.row_number().over(Window.partitionBy(*KEY, "in_cq", "seed").orderBy(F.md5(F.concat_ws("/", "seed", "query_id", "doc_id")), "doc_id"))
     elif policy == N.ALTERNATIVE:
         place = F.row_number().over(outside.orderBy(F.coalesce("alt_rank", F.lit(N.UNRANKED)), "doc_id"))
     elif policy == N.BOUNDARY:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import names as N
+from ..functions import statistics as S
 from .effects import gating_failures
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -32,13 +33,18 @@ def effect_summary(effects: DataFrame) -> DataFrame:
 
 
 def distributions(effects: DataFrame, judged_only: bool = False) -> DataFrame:
+    """Counts, mean, spread and quantiles of effects per setting and stratum. A stratum may be of any size:
+    its quantiles come from counts by value that are dealt out by range."""
     rows = effects.where("judged") if judged_only else effects
     keys = ["condensed", "effect_type", "k_c", "t", "policy", "stratum"]
+    rows = S.written(rows.select(*keys, "query_id", "effect"), "effects")
     got = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("query_id").alias("n_queries"), F.avg("effect").alias("mean"), F.stddev_samp("effect").alias("sd"),
-        F.avg((F.abs("effect") > N.EPS).cast("double")).alias("share_nonzero"), F.percentile("effect", F.array(*map(F.lit, QUANTILES))).alias("q"),
+        F.avg((F.abs("effect") > N.EPS).cast("double")).alias("share_nonzero"),
     )
-    return got.select(*keys, F.lit(judged_only).alias("judged_only"), "n", "n_queries", "mean", "sd", "share_nonzero", *[F.get("q", F.lit(i)).alias(f"q{int(q * 100):02d}") for i, q in enumerate(QUANTILES)])
+    shares = {f"q{int(q * 100):02d}": q for q in QUANTILES}
+    got = S.matched(got, S.quantiles(rows, "effect", shares, keys), keys, "left")
+    return got.select(*keys, F.lit(judged_only).alias("judged_only"), "n", "n_queries", "mean", "sd", "share_nonzero", *shares)
 
 
 def macro_average(per_stratum: DataFrame, values: list[str], weight: str | None = None) -> DataFrame:
@@ -153,14 +159,15 @@ def setting_metrics(stage: DataFrame, tau: float = 0.05) -> DataFrame:
         total(N.E_RERANK, "utility_treatment").alias("act"), (-total(N.E_GATE, "effect")).alias("g"), total(N.E_RERANK, "effect").alias("signed"),
         F.sum(((F.col("effect_type") == N.E_GATE) & (F.col("stratum") == N.NON_SURVIVOR) & (F.col("utility_control") > N.EPS)).cast("long")).alias("fails"),
     )
-    q = q.withColumn("r", F.abs("signed")).withColumn("label", label(F.col("g"), F.col("r"), tau))
+    q = S.written(q.withColumn("r", F.abs("signed")).withColumn("label", label(F.col("g"), F.col("r"), tau)), "query-sums")
     metrics = {
-        "n_queries": F.count(F.lit(1)), "utility_actual_mean": F.avg("act"), "g_q_mean": F.avg("g"), "g_q_median": F.percentile("g", F.lit(0.5)), "r_q_mean": F.avg("r"), "rerank_signed_mean": F.avg("signed"),
+        "n_queries": F.count(F.lit(1)), "utility_actual_mean": F.avg("act"), "g_q_mean": F.avg("g"), "r_q_mean": F.avg("r"), "rerank_signed_mean": F.avg("signed"),
         **{f"n_{k}": F.sum((F.col("label") == k).cast("long")) for k in (N.GATE_SENSITIVE, N.RERANK_SENSITIVE, N.MIXED)},
         "n_reranker_harms": F.sum((F.col("signed") < 0).cast("long")), "n_gating_failures": F.sum("fails"), "n_queries_with_gating_failure": F.sum((F.col("fails") > 0).cast("long")),
     }
     wide = q.groupBy(*key).agg(*[v.cast("double").alias(k) for k, v in metrics.items()])
-    return wide.unpivot(key, list(metrics), "metric", "value")
+    wide = S.matched(wide, S.quantiles(q, "g", {"g_q_median": 0.5}, key), key, "left")
+    return wide.unpivot(key, [*metrics, "g_q_median"], "metric", "value")
 
 
 def outcome_metrics(budget: DataFrame) -> DataFrame:

@@ -520,7 +520,8 @@ def calibration(spark, d):
 
 
 def _probe_x(policy: str, budgets=(0, 5, 20, 50)) -> str:
-    place = "rank_s1 - k_c" if policy == N.BOUNDARY else "row_number() OVER (PARTITION BY query_id, in_cq ORDER BY alt_rank, doc_id)"
+    order = {N.ALTERNATIVE: "alt_rank", N.RANDOM: "md5('{seed}/' || query_id || '/' || doc_id)"}
+    place = "rank_s1 - k_c" if policy == N.BOUNDARY else f"row_number() OVER (PARTITION BY query_id, in_cq ORDER BY {order[policy]}, doc_id)"
     return f"""p AS (SELECT *, {place} AS place FROM w), c AS (SELECT * FROM p, (SELECT unnest([{', '.join(map(str, budgets))}]) AS budget) WHERE in_cq OR place <= budget),
 x0 AS (SELECT *, row_number() OVER (PARTITION BY query_id, budget ORDER BY rank_s2) AS rank_p FROM c), x AS (SELECT query_id, doc_id, CAST(budget AS BIGINT) AS budget, NOT in_cq AS probed, {sql.utility('rank_a', DCG)} - {sql.utility('rank_p', DCG)} AS effect FROM x0)"""
 
@@ -557,7 +558,11 @@ def probe_everything(spark, d):
     return rounded(probes.full_probe(_worlds(spark, d), DCG).select("query_id", "doc_id", F.col("effect").alias("e_gate")))
 
 
-@query()
+_DRAWN = _probe_x(N.RANDOM, (0, 5, 20))
+_BY_SEED = " UNION ALL ".join(f"(WITH {sql.stage(DCG)}, {sql.DIAGNOSIS}, {_DRAWN.replace('{seed}', str(s))}, {_QUERY_LEVEL} SELECT CAST({s} AS INT) AS seed, * FROM qf)" for s in (42, 43))
+
+
+@query(_BY_SEED)
 def probe_random(spark, d):
     probed = probes.probe(_worlds(spark, d), [0, 5, 20], N.RANDOM, DCG, seeds=(42, 43))
     return rounded(probes.query_fidelity(probed, summaries.diagnose(_stage(spark, d))))
