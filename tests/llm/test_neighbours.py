@@ -67,3 +67,27 @@ def test_chi_square():
     x = np.random.default_rng(0).normal(size=(200_000, A.PROJECTED))
     for p in (0.5, 0.9, 0.985):
         assert np.mean((x**2).sum(axis=1) <= A.quantile(p)) == pytest.approx(p, abs=0.005)
+
+
+def pruned(x, every=20, k=20):
+    """Share of pairs verified by the search of one chunk, and its recall."""
+    ids = np.arange(len(x))
+    asked = ids % every == 0
+    longest = float((x * x).sum(axis=1).max())
+    got, verified = A.search(ids, x, ids[asked], x[asked], np.full(asked.sum(), -1e300), A.weights(x.shape[1]), longest, k)
+    want = brute([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], every, k)
+    by_query = {}
+    for q, i, s in got:
+        by_query.setdefault(q, []).append((i, s))
+    return verified / (asked.sum() * (len(x) - 1)), recall(by_query, want)
+
+
+def test_search_verifies_few_vectors_of_clusters_and_not_all_others():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    x = centres[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 64))
+    share, found_share = pruned(x / np.linalg.norm(x, axis=1)[:, None])
+    assert share < 0.2 and found_share > 0.9
+    x = rng.normal(size=(4000, 64))  # no direction is denser than another
+    share, found_share = pruned(x / np.linalg.norm(x, axis=1)[:, None])
+    assert share < 0.9 and found_share > 0.9

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import lzma
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -134,3 +135,26 @@ def test_streams_are_scanned_to_their_end(monkeypatch, piece):
 def test_more_is_inflated_than_is_held():
     body = b"no secret in this line, " * 6_000_000 + PLAIN.encode()
     assert [f[0] for f in secrets.findings(base64.b64encode(zlib.compress(body)).decode())] == ["assign"]
+
+
+@pytest.mark.parametrize("before", ["a", "ab", "abc", "abcd", "QUJD+/x"])
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_base64_that_touches_what_stands_before_it(before, wrapped):
+    encoded = base64.b64encode((PLAIN + " " * 30).encode()).decode()
+    body = encoded if not wrapped else encoded[:40] + "\n" + encoded[40:]
+    found = [x for x in secrets.findings(f"see {before}{body} end") if x[3] == "base64"]
+    assert [k for k, *_ in found] == ["assign"]
+    _, start, end, _ = found[0]
+    assert 4 + len(before) <= start + 1 and end <= 4 + len(before) + len(body)
+
+
+def test_one_long_run_of_a_stream_is_held_a_few_times_at_most():
+    size = 24 << 20
+    text = base64.b64encode(gzip.compress(b"a" * size + b" " + PLAIN.encode(), 9)).decode()
+    secrets.findings(text[:100])
+    tracemalloc.start()
+    found = secrets.findings(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(k, via) for k, _, _, via in found} == {("assign", "base64>inflate"), ("hex", "base64>inflate")}
+    assert peak < 4 * size

@@ -3,9 +3,9 @@
 Vectors get one more component so that the largest inner product becomes the least Euclidean
 distance, and are projected with Gaussian (2-stable) weights to a few dimensions. There a squared
 projected distance is the true one times a chi-square variable, so a kd-tree over the projections
-can hand out neighbours by growing projected distance, each is verified on the original vectors, and
-the search ends once the chi-square distribution leaves the next ones too little chance to be among
-the best.
+can hand out neighbours by growing projected distance: leaf by leaf, and of a leaf only those vectors
+whose own projected distance passes the test are verified on the original ones. The search ends once
+the chi-square distribution leaves the next ones too little chance to be among the best.
 
 On Spark the upper levels of the kd-tree are cells that vectors are dealt to; each cell's chunks hold
 their own lower levels. A first wave searches every query's own chunk and gives a bound; a second
@@ -27,9 +27,9 @@ from pyspark.sql.window import Window
 
 from .common import groups, written
 
-PROJECTED = 8
+PROJECTED = 16
 #: Chance at least that a true neighbour is verified.
-SURE = 0.985
+SURE = 0.96
 #: Vectors whose projections place the cells; vectors of a cell; most cells; sizes of chunks, query blocks and leaves.
 SAMPLE, CELL, MOST_CELLS = 20_000, 8192, 4096
 CHUNK, BLOCK, LEAF = 16_384, 1024, 64
@@ -103,8 +103,9 @@ def _leaves(p: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, bound: np.ndarray, w: np.ndarray, longest: float, k: int, sure: float = SURE) -> list[tuple[int, int, float]]:
-    """(query, vector, score) of each query's best k in one chunk among those that reach its bound."""
+def search(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, bound: np.ndarray, w: np.ndarray, longest: float, k: int, sure: float = SURE) -> tuple[list[tuple[int, int, float]], int]:
+    """(query, vector, score) of each query's best k in one chunk among those that reach its bound, and how
+    many pairs were verified."""
     p, pq = project(x, w, longest), project(q, w, None)
     leaves = _leaves(p)
     width = max(map(len, leaves))
@@ -112,8 +113,9 @@ def search(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, bound
     low, high = np.stack([p[r].min(axis=0) for r in leaves]), np.stack([p[r].max(axis=0) for r in leaves])
     limit = quantile(sure)
     out: list[tuple[int, int, float]] = []
+    verified = 0
     for s in range(0, len(q), 128):
-        mine, vec = qid[s : s + 128], q[s : s + 128]
+        mine, vec, place = qid[s : s + 128], q[s : s + 128], pq[s : s + 128]
         gap = np.maximum(0, np.maximum(low - pq[s : s + 128, None], pq[s : s + 128, None] - high))
         far = np.einsum("qld,qld->ql", gap, gap)
         order = np.argsort(far, axis=1, kind="stable")
@@ -130,8 +132,12 @@ def search(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, bound
             if not len(on):
                 break
             at = rows[leaf[on]]
-            score = np.einsum("qld,qd->ql", x[at], vec[on])
-            score[(at < 0) | (ids[at] == mine[on, None])] = -np.inf
+            apart = p[at] - place[on, None]
+            near = ~(np.einsum("qld,qld->ql", apart, apart) > reach[on, None]) & (at >= 0) & (ids[at] != mine[on, None])
+            i, j = np.nonzero(near)
+            verified += len(i)
+            score = np.full(at.shape, -np.inf)
+            score[i, j] = np.einsum("nd,nd->n", x[at[i, j]], vec[on[i]])
             score[score < floor[on, None]] = -np.inf
             every = np.concatenate([best[on], score], axis=1)
             names = np.concatenate([best_id[on], np.where(np.isfinite(score), ids[at], np.iinfo(np.int64).max)], axis=1)
@@ -139,7 +145,7 @@ def search(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, bound
             best[on], best_id[on] = np.take_along_axis(every, top, 1), np.take_along_axis(names, top, 1)
         i, j = np.nonzero(np.isfinite(best))
         out += zip(mine[i].tolist(), best_id[i, j].tolist(), best[i, j].tolist(), strict=True)
-    return out
+    return out, verified
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -203,7 +209,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sure: float = SURE
                 if is_q.all() or not is_q.any():
                     continue
                 x, ids = np.stack(g["x"]), g["id"].to_numpy(np.int64)
-                found = search(ids[~is_q], x[~is_q], ids[is_q], x[is_q], g["bound"].to_numpy(float)[is_q], w, longest, k, sure)
+                found, _ = search(ids[~is_q], x[~is_q], ids[is_q], x[is_q], g["bound"].to_numpy(float)[is_q], w, longest, k, sure)
                 if found:
                     yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 

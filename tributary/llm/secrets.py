@@ -62,8 +62,7 @@ _RUNNING = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each secret in one layer, leftmost and not overlapping within a kind."""
     out = []
-    low = text.lower()
-    if any(h in low for h in _HINTS):
+    if any(h in low for at in range(0, len(text), PIECE) for low in [text[at : at + PIECE + 8].lower()] for h in _HINTS):
         out += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
@@ -79,9 +78,32 @@ class _Layer:
     def __init__(self, text: str, start: np.ndarray, end: np.ndarray, via: str):
         self.text, self.start, self.end, self.via = text, start, end, via
 
+    @property
+    def one_span(self) -> bool:
+        """Whether all characters stand for the same span, held once: what came out of a stream."""
+        return self.start.strides == self.end.strides == (0,)
+
+    def same_span(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.broadcast_to(self.start[0], size), np.broadcast_to(self.end[0], size)
+
 
 def _is_text(text: str) -> bool:
-    return bool(text) and 8 * len(_NO_TEXT.findall(text)) <= len(text)
+    bad = 0
+    for at in range(0, len(text), PIECE):
+        bad += sum(1 for _ in _NO_TEXT.finditer(text, at, at + PIECE))
+        if 8 * bad > len(text):
+            return False
+    return bool(text)
+
+
+def _is_binary(data: bytes) -> bool:
+    """Whether long bytes are no text by :func:`_is_text`, told before all of them are decoded."""
+    decoder, bad = codecs.getincrementaldecoder("utf-8")("surrogateescape"), 0
+    for at in range(0, len(data) if len(data) > PIECE else 0, PIECE):
+        bad += sum(1 for _ in _NO_TEXT.finditer(decoder.decode(data[at : at + PIECE])))
+        if 8 * bad > len(data):
+            return True
+    return False
 
 
 def _opened(data: bytes, raw: bool = False):
@@ -142,20 +164,22 @@ def _pieces(chunks: Iterator[bytes]) -> Iterator[str]:
         text = decoder.decode(chunk)
         cut = len(text.rstrip(_RUNNING))
         if cut:
-            yield "".join([*held, text[:cut]])
-            held = []
+            piece, held = "".join([*held, text[:cut]]), []
+            yield piece
         held.append(text[cut:])
-    if last := "".join([*held, decoder.decode(b"", True)]):
+    last, held = "".join([*held, decoder.decode(b"", True)]), []
+    if last:
         yield last
 
 
 def _from_bytes(data: bytes, start: np.ndarray, end: np.ndarray, via: str) -> Iterator[_Layer]:
     """Layers of bytes that are text, or a stream of it. All of a stream stands for all its bytes."""
-    text = data.decode("utf-8", "surrogateescape")
     raw = False
     if _opened(data) is None:
-        if _is_text(text):
-            if len(text) != len(data):
+        if not _is_binary(data) and _is_text(text := data.decode("utf-8", "surrogateescape")):
+            if start.strides == end.strides == (0,):
+                start, end = np.broadcast_to(start[0], len(text)), np.broadcast_to(end[0], len(text))
+            elif len(text) != len(data):
                 points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
                 wide = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
                 wide[(points >= 0xDC80) & (points <= 0xDCFF)] = 1
@@ -185,6 +209,7 @@ def _from_bytes(data: bytes, start: np.ndarray, end: np.ndarray, via: str) -> It
 def _replaced(layer: _Layer, pattern: re.Pattern, to_text, via: str) -> _Layer | None:
     """The layer with every match of ``pattern`` decoded in place."""
     parts, starts, ends, at, changed = [], [], [], 0, False
+    one = layer.one_span
     for m in pattern.finditer(layer.text):
         got = to_text(m)
         if got is None:
@@ -192,12 +217,15 @@ def _replaced(layer: _Layer, pattern: re.Pattern, to_text, via: str) -> _Layer |
         text, s, e = got
         changed = True
         parts += [layer.text[at : m.start()], text]
-        starts += [layer.start[at : m.start()], layer.start[m.start() + s]]
-        ends += [layer.end[at : m.start()], layer.end[m.start() + e]]
+        if not one:
+            starts += [layer.start[at : m.start()], layer.start[m.start() + s]]
+            ends += [layer.end[at : m.start()], layer.end[m.start() + e]]
         at = m.end()
     if not changed:
         return None
-    return _Layer("".join([*parts, layer.text[at:]]), np.concatenate([*starts, layer.start[at:]]), np.concatenate([*ends, layer.end[at:]]), f"{layer.via}>{via}" if layer.via else via)
+    text = "".join([*parts, layer.text[at:]])
+    start, end = layer.same_span(len(text)) if one else (np.concatenate([*starts, layer.start[at:]]), np.concatenate([*ends, layer.end[at:]]))
+    return _Layer(text, start, end, f"{layer.via}>{via}" if layer.via else via)
 
 
 def _percent(m: re.Match):
@@ -235,6 +263,19 @@ def _wrapped(places: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
         i = j
 
 
+def _unbased(text: str, places: tuple[tuple[int, int], ...], size: int, other: bytes | None) -> Iterator[bytes]:
+    """Bytes of the first ``size`` base64 characters that stand in ``places``, at most about a megabyte at a time."""
+    held = ""
+    for a, b in places:
+        for at in range(a, min(b, a + size), PIECE):
+            held += text[at : min(b, a + size, at + PIECE)]
+            whole = len(held) // 4 * 4
+            yield base64.b64decode(held[:whole], altchars=other)
+            held = held[whole:]
+        size -= min(size, b - a)
+    yield base64.b64decode(held + "=" * (-len(held) % 4), altchars=other)
+
+
 def _decodings(layer: _Layer) -> Iterator[_Layer]:
     text = layer.text
     if "%" in text:
@@ -249,25 +290,33 @@ def _decodings(layer: _Layer) -> Iterator[_Layer]:
         if (whole := _replaced(layer, _UNICODE, _escape, "unicode")) is not None:
             yield whole
 
-    def decoded(places: list[tuple[int, int]], other: bytes | None) -> Iterator[_Layer]:
-        run = "".join(text[a:b] for a, b in places)
-        run = run[: len(run) - (len(run) % 4 == 1)]
+    def decoded(places: tuple[tuple[int, int], ...], other: bytes | None) -> Iterator[_Layer]:
+        size = sum(b - a for a, b in places)
+        size -= size % 4 == 1
         try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), altchars=other)
+            data = b"".join(_unbased(text, places, size, other))
         except (binascii.Error, ValueError):
             return
+        if not data:
+            return
+        via = f"{layer.via}>base64" if layer.via else "base64"
+        if layer.one_span:
+            yield from _from_bytes(data, *layer.same_span(len(data)), via)
+            return
         at = np.concatenate([np.arange(a, b) for a, b in places])
         n = np.arange(len(data))
-        yield from _from_bytes(data, layer.start[at[n * 4 // 3]], layer.end[at[np.minimum((n * 8 + 7) // 6, len(at) - 1)]], f"{layer.via}>base64" if layer.via else "base64")
+        yield from _from_bytes(data, layer.start[at[n * 4 // 3]], layer.end[at[np.minimum((n * 8 + 7) // 6, len(at) - 1)]], via)
 
     done = set()
     for pattern, wrapped, line, other in zip(_BASE64, _WRAPPED, _LINE, (None, b"-_"), strict=True):
         single = ((m.start(), m.start() + len(m.group().rstrip("="))) for m in pattern.finditer(text))
         joined = ([x.span() for x in line.finditer(text, m.start(), m.end())] for m in wrapped.finditer(text)) if "\n" in text else ()
-        for places in chain(([x] for x in single), (way for places in joined for way in _wrapped(places))):
-            if (mark := tuple(places)) not in done:
-                done.add(mark)
-                yield from decoded(places, other)
+        for (first, last), *more in chain(([x] for x in single), (way for places in joined for way in _wrapped(places))):
+            for skip in range(4):  # what stands before an encoded text may touch it
+                places = ((first + skip, last), *more)
+                if first + skip < last and places not in done:
+                    done.add(places)
+                    yield from decoded(places, other)
 
 
 def findings(text: str | None) -> list[tuple[str, int, int, str]]:
@@ -276,7 +325,7 @@ def findings(text: str | None) -> list[tuple[str, int, int, str]]:
         return []
     found = {s: "" for s in scan(text)}
     if "%" in text or "\\" in text or "&#" in text or any(p.search(text) for p in _BASE64):
-        at = np.arange(len(text))
+        at = np.arange(len(text), dtype=np.int32)  # a row's text has less than two thousand million characters
         work: list[Iterator[_Layer]] = [iter([_Layer(text, at, at + 1, "")])]
         seen: set[tuple[bytes, int]] = set()
         while work:
