@@ -71,20 +71,25 @@ def _rules(kind: str) -> dict:
     return {}
 
 
-def problems(df: DataFrame, kind: str) -> dict[str, int]:
-    """Number of rows or groups that break each rule; only broken rules are listed."""
+def faults(df: DataFrame, kind: str) -> DataFrame:
+    """(rule, n): the number of rows or groups that break each rule, 0 too. A rule that is null for a row is broken."""
     keys = KEYS[kind]
     rules = _rules(kind) | {f"null {k}": F.col(k).isNull() for k in keys if k not in NULLABLE_KEYS}
-    row = df.agg(*[F.sum(F.coalesce(r, F.lit(True)).cast("long")).alias(f"r{i}") for i, r in enumerate(rules.values())]).first()
-    found = {name: row[i] for i, name in enumerate(rules) if row[i]}
-    repeated = df.groupBy(*keys).count().where("count > 1").count()
-    if repeated:
-        found["repeated key"] = repeated
+    row = df.agg(*[F.coalesce(F.sum(F.coalesce(r, F.lit(True)).cast("long")), F.lit(0)).alias(name) for name, r in rules.items()])
+    parts = [row.unpivot([], list(rules), "rule", "n")]
+    groups = {"repeated key": df.groupBy(*keys).count().where("count > 1")}
     if kind == "run":
-        gaps = df.groupBy("query_id", "system").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.countDistinct("rank").alias("n")).where("lo <> 1 or hi <> n").count()
-        if gaps:
-            found["ranks with gaps"] = gaps
-    return found
+        groups["ranks with gaps"] = df.groupBy("query_id", "system").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.countDistinct("rank").alias("n")).where("lo <> 1 or hi <> n")
+    parts += [g.agg(F.lit(name).alias("rule"), F.count(F.lit(1)).alias("n")) for name, g in groups.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def problems(df: DataFrame, kind: str) -> dict[str, int]:
+    """The broken rules of :func:`faults`."""
+    return {r.rule: r.n for r in faults(df, kind).where("n > 0").collect()}
 
 
 def validate(df: DataFrame, kind: str, strict: bool = True) -> DataFrame:

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import contracts
 from .. import names as N
 from ..config import Settings
 from ..functions import statistics as S
@@ -657,11 +659,83 @@ def bm25_topk(spark, d):
 _SMALL_GRID = Settings(candidate_depths=(K_C, 30), depth_m=60, k=K, other_cutoffs=(5,), other_utilities=("topk",), budget_seeds=(42, 43))
 
 
+_GRID_KEY = ["utility", "k", "effect_type", "k_c", "condensed", "policy", "t", "stratum"]
+
+
+def _totals(rows):
+    return rounded(rows.groupBy(*_GRID_KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("effect").alias("total")))
+
+
 @query()
 def effect_grid(spark, d):
-    got = grid.effect_grid(event_cascade(spark, d), _SMALL_GRID, "value")
-    key = ["utility", "k", "effect_type", "k_c", "condensed", "policy", "t", "stratum"]
-    return rounded(got.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("effect").alias("total")))
+    return _totals(grid.effect_grid(event_cascade(spark, d), _SMALL_GRID, "value"))
+
+
+_PLACED_GRID = replace(_SMALL_GRID, policies=(N.BOUNDARY, N.ALTERNATIVE))
+
+
+def _grid_totals(u: Utility) -> str:
+    """Totals of all grid cells at one utility."""
+    group = "count(*) AS n, round(sum(effect), 9) + 0.0 AS total"
+    setting = f"'{u.kind}' AS utility, CAST({u.k} AS BIGINT) AS k"
+    stages = f"SELECT {setting}, effect_type, CAST(k_c AS BIGINT) AS k_c, condensed, CAST(NULL AS VARCHAR) AS policy, CAST(NULL AS DOUBLE) AS t, stratum, {group} FROM st GROUP BY ALL"
+    spends = f"SELECT {setting}, 'delta_t' AS effect_type, CAST(k_c AS BIGINT) AS k_c, condensed, policy, t, stratum, {group} FROM (SELECT *, {sql.utility('rank_t', u)} - {sql.utility('rank_1', u)} AS effect FROM sp) GROUP BY ALL"
+    depths, both = _PLACED_GRID.candidate_depths, (False, True)
+    return f"(WITH {sql.stage(u, depths, both)} {stages}) UNION ALL (WITH {sql.spent(_PLACED_GRID.policies, sql.T_GRID, depths, both)} {spends})"
+
+
+@query(" UNION ALL ".join(_grid_totals(Utility(u, k)) for u, k in _PLACED_GRID.settings()))
+def effect_grid_placed(spark, d):
+    """The grid of the policies that take outsiders by place: every depth, share, mode and utility."""
+    return _totals(grid.effect_grid(event_cascade(spark, d), _PLACED_GRID, "value"))
+
+
+@query(
+    f"WITH {sql.allocated((N.BOUNDARY,))} SELECT query_id, t, CAST(seed AS BIGINT) AS seed, max(n_cand) AS n_cand, max(n_out) AS n_out, count(*) FILTER (stratum = 'retained') AS retained, count(*) FILTER (stratum = 'removed') AS removed, count(*) FILTER (stratum = 'selected_outsider') AS selected, count(*) FILTER (stratum = 'unselected_outsider') AS unselected, true AS valid FROM ta, (SELECT unnest([42, 43, 44]) AS seed) GROUP BY ALL"
+)
+def random_allocation_audit(spark, d):
+    """Whom the random policy takes depends on the seed, how many it takes does not."""
+    audit = allocation.audit(_allocated(spark, d, (N.RANDOM,), (42, 43, 44)))
+    return rounded(audit.select("query_id", "t", "seed", "n_cand", "n_out", "retained", "removed", "selected", "unselected", "valid"))
+
+
+# Contracts that planted faults break
+
+
+def _rules(source: str, rules: dict[str, str], kind: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{name}' AS rule, ({counted if counted.startswith('SELECT') else f'SELECT count(*) FILTER ({counted}) FROM {source}'}) AS n" for name, counted in rules.items())
+
+
+def _repeated(source: str, keys: str) -> str:
+    return f"SELECT count(*) FROM (SELECT {keys} FROM {source} GROUP BY ALL HAVING count(*) > 1)"
+
+
+_BROKEN_RUN = {
+    "rank below 1": "rank < 1", "score missing": "score IS NULL", "null doc_id": "doc_id IS NULL", "repeated key": _repeated("bp", "query_id, doc_id, system"),
+    "ranks with gaps": "SELECT count(*) FROM (SELECT query_id, system FROM bp GROUP BY ALL HAVING min(rank) <> 1 OR max(rank) <> count(DISTINCT rank))",
+}
+_BROKEN_QRELS = {"judged without grade": "judged AND relevance IS NULL", "grade without judgment": "NOT judged AND relevance IS NOT NULL"}
+_BROKEN_EFFECTS = {"unknown stratum": "stratum = 'elsewhere'", "definition": "abs(effect - (utility_treatment - utility_control)) > 1e-9", "repeated key": _repeated("be", "query_id, doc_id, effect_type")}
+
+
+@query(
+    f"""WITH {sql.runs(DEPTH)}, bq AS (SELECT query_id, CASE WHEN rank % 19 = 2 THEN NULL ELSE doc_id END AS doc_id, system, CASE WHEN rank % 13 = 6 THEN 0 ELSE rank END AS rank, CASE WHEN rank % 7 <> 3 AND rank % 17 <> 1 THEN score END AS score, rank % 11 = 5 AS twice FROM ru), bp AS (SELECT * FROM bq UNION ALL SELECT * FROM bq WHERE twice),
+bj AS (SELECT CASE WHEN relevance <> 1 THEN relevance END AS relevance, relevance <> 3 AS judged FROM ev WHERE judged), x AS (SELECT * FROM ({_rules('bp', _BROKEN_RUN, 'run')} UNION ALL {_rules('bj', _BROKEN_QRELS, 'qrels')}))
+SELECT * FROM x WHERE n > 0 UNION ALL (WITH {sql.stage(DCG)}, bs AS (SELECT * REPLACE (CASE WHEN rank_treatment = 1 THEN 'elsewhere' ELSE stratum END AS stratum, CASE WHEN rank_control = 2 THEN effect + 0.5 ELSE effect END AS effect) FROM st), be AS (SELECT * FROM bs UNION ALL SELECT * FROM bs WHERE rank_treatment = 3) SELECT * FROM ({_rules('be', _BROKEN_EFFECTS, 'effect')}) WHERE n > 0)"""
+)
+def contract_faults(spark, d):
+    """Rules that runs, judgments and effects with planted faults break, and how often."""
+    rank, twice = F.col("rank"), F.col("rank") % 11 == 5
+    score = F.when(rank % 7 == 3, F.lit(None)).when(rank % 17 == 1, float("nan")).otherwise(F.col("score"))
+    broken = {"score": score, "doc_id": F.when(rank % 19 != 2, F.col("doc_id")), "rank": F.when(rank % 13 == 6, 0).otherwise(rank), "_twice": twice}
+    run = event_runs(spark, d, DEPTH).withColumns(broken)
+    qrels = event_qrels(spark, d).withColumns({"relevance": F.when(F.col("relevance") != 1, F.col("relevance")), "judged": F.col("relevance") != 3})
+    first, second = F.col("rank_treatment") == 1, F.col("rank_control") == 2
+    moved = {"stratum": F.when(first, "elsewhere").otherwise(F.col("stratum")), "effect": F.when(second, F.col("effect") + 0.5).otherwise(F.col("effect"))}
+    stage = _stage(spark, d).withColumns(moved)
+    tables = {"run": run.unionByName(run.where("_twice")), "qrels": qrels, "effect": stage.unionByName(stage.where("rank_treatment = 3"))}
+    counted = [contracts.faults(contracts.coerce(df, kind), kind).select(F.lit(kind).alias("kind"), "rule", "n") for kind, df in tables.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).where("n > 0")
 
 
 @query(f"WITH {sql.allocated((N.BOUNDARY,))} SELECT query_id, t, doc_id, row_number() OVER (PARTITION BY query_id, t ORDER BY rank_s1) AS promoted_rank FROM ta WHERE stratum = 'selected_outsider'")

@@ -61,6 +61,18 @@ bu AS (SELECT ta.*, rank_1, {utility('rank_t', u)} AS utility_treatment, {utilit
 bg AS (SELECT *, utility_treatment - utility_control AS effect, 'delta_t' AS effect_type FROM bu)"""
 
 
+def spent(policies: tuple[str, ...], t_grid: tuple[float, ...], depths: tuple[int, ...], modes: tuple[bool, ...]) -> str:
+    """Allocations at several depths, ranked in each mode: sp, with rank_t and rank_1. Places of outsiders are
+    those among all documents."""
+    ts = ", ".join(f"CAST({t} AS DOUBLE)" for t in t_grid)
+    ps = ", ".join(f"'{p}'" for p in policies)
+    return f"""{worlds(depths, modes)}, wf AS (SELECT query_id, doc_id, k_c, rank_s1 - k_c AS boundary, row_number() OVER (PARTITION BY query_id, k_c, in_cq ORDER BY alt_rank, doc_id) AS alternative FROM (SELECT *, rank_s1 <= k_c AS in_cq FROM rk, (SELECT unnest([{', '.join(map(str, depths))}]) AS k_c))),
+ac AS (SELECT w.*, t, policy, CASE policy WHEN 'boundary' THEN boundary ELSE alternative END AS place, CAST(floor(t * k_c) AS BIGINT) AS n_cand FROM w JOIN wf USING (query_id, doc_id, k_c), (SELECT unnest([{ts}]) AS t), (SELECT unnest([{ps}]) AS policy)),
+ad AS (SELECT *, CASE WHEN in_cq AND rank_s1 <= n_cand THEN 'retained' WHEN in_cq THEN 'removed' WHEN place <= k_c - n_cand THEN 'selected_outsider' ELSE 'unselected_outsider' END AS stratum FROM ac),
+ae AS (SELECT *, CASE WHEN stratum IN ('retained', 'selected_outsider') THEN row_number() OVER (PARTITION BY query_id, k_c, condensed, t, policy, stratum IN ('retained', 'selected_outsider') ORDER BY rank_s2) END AS rank_t FROM ad),
+sp AS (SELECT ae.*, rank_1 FROM ae JOIN (SELECT query_id, doc_id, k_c, condensed, policy, rank_t AS rank_1 FROM ae WHERE t = 1.0) USING (query_id, doc_id, k_c, condensed, policy) WHERE t <> 1.0)"""
+
+
 DIAGNOSIS = """dg0 AS (SELECT query_id, k_c, condensed, sum(CASE WHEN effect_type = 'e_rerank' THEN utility_treatment ELSE 0.0 END) AS dcg_actual, -sum(CASE WHEN effect_type = 'e_gate' THEN effect ELSE 0.0 END) AS g_q, sum(CASE WHEN effect_type = 'e_rerank' THEN effect ELSE 0.0 END) AS rerank_signed FROM st GROUP BY ALL),
 dg AS (SELECT *, abs(rerank_signed) AS r_q, rerank_signed < 0 AS reranker_harms, CASE WHEN g_q > 0.05 AND g_q > abs(rerank_signed) THEN 'gate_sensitive' WHEN abs(rerank_signed) > 0.05 AND abs(rerank_signed) >= greatest(g_q, 0.0) THEN 'rerank_sensitive' ELSE 'mixed_stable' END AS label FROM dg0)"""
 
