@@ -6,8 +6,8 @@ bootstrap draw is then a weighted sum: rows are summed per query once, the sums
 draw and added up by mergeable aggregates, and each statistic is an expression over them. No group is
 gathered in a task; a group leaves one row a draw.
 
-Functions over pandas groups (:func:`bootstrap`, :func:`h7_test`, :func:`power`) take a table of one row
-per query whole, for callers whose statistics are no sums.
+Functions over pandas groups (:func:`bootstrap`, :func:`h7_test`) take a table of one row per query
+whole, for callers whose statistics are no sums.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +26,7 @@ from .. import names as N
 from ..functions import statistics as S
 from ..functions.special import spearman_p
 from ..sources.tables import scratch
+from .ranking import tasks
 
 H7 = "policy string, t double, n_queries long, n_gate_sensitive long, n_rerank_sensitive long, difference double, p_value double, rho double, rho_p double"
 
@@ -102,33 +103,6 @@ def group_difference(pdf: pd.DataFrame) -> float:
     return float(gate.mean() - rerank.mean()) if min(len(gate), len(rerank)) >= 2 else float("nan")
 
 
-def power(pool: DataFrame, sizes: Sequence[int], simulations: int = 200, alpha: float = 0.05, target: float = 0.8, seed: int = 42, permutations: int = 400) -> DataFrame:
-    """Chance that the group test finds its effect in a subset of ``pool(label, delta_dcg)``, per size.
-
-    A draw that cannot be tested is a miss. The sizes are dealt out over tasks with the pool, one
-    row per query, beside them.
-    """
-    spark: SparkSession = pool.sparkSession
-    grid = spark.createDataFrame([(int(s),) for s in sizes], "size int")
-    rows = grid.join(F.broadcast(pool.select("query_id", "label", "delta_dcg")))
-    schema = "size int, simulations int, testable int, power double, power_if_testable double, meets_target boolean"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = int(pdf["size"].iloc[0])
-        pdf = pdf.sort_values("query_id", ignore_index=True)
-        rng, found, able = np.random.default_rng([seed, size]), 0, 0
-        for _ in range(simulations):
-            some = pdf.iloc[rng.integers(0, len(pdf), size)]
-            gate, rerank = (some.loc[some["label"] == k, "delta_dcg"].to_numpy(float) for k in (N.GATE_SENSITIVE, N.RERANK_SENSITIVE))
-            if min(len(gate), len(rerank)) >= 2:
-                able += 1
-                found += permutation_p(gate, rerank, permutations, rng) < alpha
-        share = found / simulations
-        return pd.DataFrame([(size, simulations, able, share, found / able if able else None, share >= target)], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return rows.groupBy("size").applyInPandas(run, schema)
-
-
 # Resampling by hashes
 
 
@@ -282,3 +256,33 @@ def h7_permutations(diagnosis: DataFrame, outcomes: DataFrame, permutations: int
     p = first.groupBy(*keys).agg(((F.sum((F.abs(difference) >= F.abs("seen") - 1e-9).cast("long")) + 1) / F.lit(permutations + 1)).alias("p_value"))
     points = sums.select(*keys, F.col("n").cast("long").alias("n_queries"), F.col("gate_n").cast("long").alias("n_gate_sensitive"), F.col("rerank_n").cast("long").alias("n_rerank_sensitive"), GROUPS["group_difference"](F.col).alias("difference"), GROUPS["spearman"](F.col).alias("rho"))
     return points.join(p, keys, "left")
+
+
+def power(pool: DataFrame, sizes: Sequence[int], simulations: int = 200, alpha: float = 0.05, target: float = 0.8, seed: int = 42, permutations: int = 400) -> DataFrame:
+    """(size, simulations, testable, power, power_if_testable, meets_target): the chance that the group test
+    finds its effect in ``size`` queries drawn with replacement from ``pool(query_id, label, delta_dcg)``.
+
+    A draw that cannot be tested is a miss. Each slot of a simulation takes the query in the place that a hash
+    gives, and each permutation is a hash order of a simulation's slots, so simulations spread over all tasks, one
+    sorts at most ``size`` rows, and the pool is ranked by ranges. An empty pool has nothing to test.
+    """
+    spark = pool.sparkSession
+    rows = S.written(pool.select("query_id", "label", F.col("delta_dcg").cast("double").alias("delta")), "pool")
+    placed = rows.join(S.cumulated(rows, "query_id", []).select(F.col("_value").alias("query_id"), (F.col("_upto") - 1).alias("at")), "query_id")
+    n = rows.where("query_id is not null").count()
+    run = ["size", "simulation"]
+    tried = spark.createDataFrame([(int(s),) for s in sizes], "size int").withColumn("simulation", F.explode(F.sequence(F.lit(1), F.lit(simulations)))).repartition(tasks(pool), *run)
+    slots = tried.withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("size"))))
+    slots = slots.withColumn("at", F.pmod(hashed(seed, F.concat_ws("/", *run), F.col("slot"), 15), F.lit(max(1, n)).cast("long")))
+    own = slots.join(placed, "at").where(F.col("label").isin(N.GATE_SENSITIVE, N.RERANK_SENSITIVE))
+    gate = F.col("label") == N.GATE_SENSITIVE
+    sums = own.groupBy(*run).agg(F.sum(gate.cast("long")).alias("gate_n"), F.sum((~gate).cast("long")).alias("rerank_n"), F.sum(F.when(gate, F.col("delta")).otherwise(0.0)).alias("gate"), F.sum("delta").alias("pooled"))
+    difference = F.col("gate") / F.col("gate_n") - (F.col("pooled") - F.col("gate")) / F.col("rerank_n")
+    able = sums.where("gate_n >= 2 and rerank_n >= 2").withColumn("seen", difference).drop("gate")
+    mixed = own.join(able, run).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    order = Window.partitionBy(*run, "draw").orderBy(hashed(seed, F.concat_ws("/", *run, "draw"), F.col("slot"), 15), "slot")
+    first = mixed.withColumn("place", F.row_number().over(order)).groupBy(*run, "draw").agg(F.sum(F.when(F.col("place") <= F.col("gate_n"), F.col("delta")).otherwise(0.0)).alias("gate"), *[F.max(c).alias(c) for c in ("gate_n", "rerank_n", "pooled", "seen")])
+    p = first.groupBy(*run).agg(((F.sum((F.abs(difference) >= F.abs("seen") - 1e-9).cast("long")) + 1) / F.lit(permutations + 1)).alias("p"))
+    got = tried.select(*run).join(p, run, "left").groupBy("size").agg(F.count(F.lit(1)).cast("int").alias("simulations"), F.count("p").cast("int").alias("testable"), F.sum((F.coalesce("p", F.lit(1.0)) < alpha).cast("long")).alias("found"))
+    share = F.col("found") / F.col("simulations")
+    return got.select("size", "simulations", "testable", share.alias("power"), F.try_divide(F.col("found").cast("double"), F.col("testable")).alias("power_if_testable"), (share >= target).alias("meets_target"))

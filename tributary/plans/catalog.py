@@ -604,10 +604,21 @@ def bootstrap_intervals(spark, d):
     return rounded(resample.replicate_intervals(resample.group_sums(both, keys), keys, resample.GROUPS, resample.GROUP_SUMS, draws=200))
 
 
-@query()
+_HASH = "CAST('0x' || substr(md5('42/' || {0}), 1, 15) AS BIGINT)"
+
+
+@query(
+    f"""WITH {_TABLE}, pz AS (SELECT label, delta, row_number() OVER (ORDER BY query_id) - 1 AS pos, count(*) OVER () AS pool FROM bt WHERE policy = 'alternative' AND t = 0.5), sl AS (SELECT size, sim, unnest(range(1, size + 1)) AS slot FROM (SELECT unnest([5, 10, 20]) AS size), (SELECT unnest(range(1, 51)) AS sim)),
+dw AS (SELECT sl.*, label = 'gate_sensitive' AS g, delta FROM sl JOIN pz ON pos = {_HASH.format("size || '/' || sim || '/' || slot")} % pool WHERE label IN ('gate_sensitive', 'rerank_sensitive')),
+ab AS (SELECT size, sim, count(*) FILTER (g) AS gn, count(*) FILTER (NOT g) AS rn, sum(delta) AS pooled, sum(delta) FILTER (g) / count(*) FILTER (g) - sum(delta) FILTER (NOT g) / count(*) FILTER (NOT g) AS seen FROM dw GROUP BY ALL HAVING count(*) FILTER (g) >= 2 AND count(*) FILTER (NOT g) >= 2),
+mp AS (SELECT size, sim, draw, delta, gn, rn, pooled, seen, row_number() OVER (PARTITION BY size, sim, draw ORDER BY {_HASH.format("size || '/' || sim || '/' || draw || '/' || slot")}, slot) AS place FROM dw JOIN ab USING (size, sim), (SELECT unnest(range(1, 201)) AS draw)),
+mg AS (SELECT size, sim, draw, sum(delta) FILTER (place <= gn) AS gate, gn, rn, pooled, seen FROM mp GROUP BY ALL), pv AS (SELECT size, sim, (count(*) FILTER (abs(gate / gn - (pooled - gate) / rn) >= abs(seen) - 1e-9) + 1) / 201 AS p FROM mg GROUP BY ALL),
+fd AS (SELECT size, count(p) AS testable, count(*) FILTER (p < 0.05) AS found FROM (SELECT unnest([5, 10, 20]) AS size) LEFT JOIN pv USING (size) GROUP BY ALL)
+SELECT CAST(size AS BIGINT) AS size, CAST(50 AS BIGINT) AS simulations, testable, {r('found / 50', 'power')}, {r('found / nullif(testable, 0)', 'power_if_testable')}, found / 50 >= 0.8 AS meets_target FROM fd"""
+)
 def power(spark, d):
     both = summaries.budget_outcomes(_budget(spark, d, policies=(N.ALTERNATIVE,))).where("t = 0.5").join(summaries.diagnose(_stage(spark, d)).select("query_id", "label"), "query_id")
-    return resample.power(both, [5, 10, 20], simulations=50, permutations=200)
+    return rounded(resample.power(both, [5, 10, 20], simulations=50, permutations=200))
 
 
 def _model(spark, d, kind):
