@@ -5,7 +5,7 @@ from tributary import config, contracts
 from tributary.errors import ConfigError, ContractError, InputError, MissingScoreError, PassageError, UniverseError
 from tributary.operators import features, judgments, synthetic, universe, worlds
 from tributary.sources import retrieval, trec
-from tributary.sources.score_store import ScoreStore, shard_plan
+from tributary.sources.score_store import ScoreStore, plan_shards, shard_plan
 from tributary.streaming import score_ingest
 
 
@@ -99,6 +99,18 @@ def test_shards_are_even(spark):
     assert load == {0: 7, 1: 7, 2: 7}
 
 
+@pytest.mark.parametrize("shards", [1, 3, 7])
+def test_shards_are_those_of_one_query_after_the_other(spark, shards):
+    size = {f"q{i:03d}": 1 + (i * i) % 11 if i % 3 else 4 for i in range(90)}
+    u = spark.createDataFrame([(q, f"d{j}") for q, n in size.items() for j in range(n)], "query_id string, doc_id string")
+    load, want = [0] * shards, {}
+    for q in sorted(size, key=lambda q: (-size[q], q)):
+        want[q] = min(range(shards), key=lambda i: (load[i], i))
+        load[want[q]] += size[q]
+    assert {r.query_id: r.shard for r in plan_shards(u, shards, ranges=5).collect()} == want
+    assert not plan_shards(u.limit(0), shards).collect()
+
+
 def test_settings():
     s = config.Settings()
     assert s.fingerprint == config.Settings().fingerprint and s.budget_for(100) == 100

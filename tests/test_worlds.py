@@ -117,6 +117,25 @@ def test_ranks_in_ranges_are_the_same(spark):
     assert {(r.query_id, r.doc_id): r.rank for r in ranking.rank_in_ranges(rows, "s1", ranges=9).collect()} == want
 
 
+def test_worlds_of_ranges_are_the_same(spark):
+    c = toy.cascade(spark)
+    other = c.withColumn("query_id", F.lit("other")).where("doc_id <> 'c'")
+    rows = c.unionByName(other).withColumn("judged", F.when(F.col("doc_id") != "b", ~F.col("doc_id").isin("e", "j")))
+
+    def built(ranges):
+        got = worlds.build_worlds(rows, [toy.K_C, 2], [False, True], ranges)
+        return {(r.query_id, r.doc_id, r.k_c, r.condensed): (r.in_cq, r.rank_a, r.rank_b, r.rank_c, r.n_docs) for r in got.collect()}
+
+    assert built(5) == built(None) and len(built(5)) == 2 * (10 + 9 + 7 + 6)
+    assert ranking.ranges_for(rows) is None and ranking.ranges_for(rows.limit(0)) is None
+
+
+def test_queries_too_large_for_a_task_are_dealt_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "LARGE", 9)
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 4)
+    assert ranking.ranges_for(toy.cascade(spark)) == 3
+
+
 def test_condensed_allocations_recount_ranks_and_baselines(spark):
     rows = toy.cascade(spark).withColumn("judged", ~F.col("doc_id").isin("b", "e", "j"))
     grid = allocation.parameters(spark, [toy.K_C], [1.0, 0.5], [N.BOUNDARY, N.RANDOM], [42])

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import scratch
+
 
 def scored(column: str) -> Column:
     """The column, or an error where it is null or NaN."""
@@ -49,17 +51,38 @@ def condense(ranked: DataFrame, rank: str = "rank") -> DataFrame:
     return ranked.where(F.coalesce("judged", F.lit(False))).withColumn(rank, F.row_number().over(order))
 
 
-def rank_in_ranges(df: DataFrame, score: str, name: str = "rank", ranges: int = 200) -> DataFrame:
+def rank_in_ranges(df: DataFrame, score: str, name: str = "rank", ranges: int = 200, marked: str | None = None, total: str | None = None) -> DataFrame:
     """The ranks of :func:`rank_by` where single queries are too large for one task.
 
     Rows are dealt out by ranges of (query, score, doc_id), so a hot query spans many tasks; each
     range ranks its own rows and adds the number of the query's rows in earlier ranges. Ranges are
-    checkpointed, since the counts and the ranks have to see the same ones.
+    written first, since the counts and the ranks have to see the same ones. With ``marked``, a boolean
+    column, ``<name>_marked`` counts the marked rows up to each; ``total`` names the query's number of rows.
     """
+    spark = df.sparkSession
     dealt = df.withColumn(score, scored(score)).repartitionByRange(ranges, "query_id", F.desc(score), "doc_id")
-    dealt = dealt.withColumn("_range", F.spark_partition_id()).checkpoint()
-    counts = dealt.groupBy("query_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("query_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("query_id", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    ranked = dealt.join(before, ["query_id", "_range"]).withColumn(name, F.row_number().over(by_score(score, "_range")) + F.col("_before"))
-    return ranked.drop("_range", "_before")
+    place = scratch(spark, "ranges")
+    dealt.withColumn("_range", F.spark_partition_id()).write.parquet(place)
+    dealt = spark.read.parquet(place)
+    mark = F.coalesce(F.col(marked), F.lit(False)).cast("long") if marked else F.lit(0).cast("long")
+    counts = dealt.groupBy("query_id", "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum(mark).alias("_m"))
+    query = Window.partitionBy("query_id")
+    earlier = query.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("query_id", "_range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_m")], F.sum("_n").over(query).alias("_total"))
+    own = by_score(score, "_range")
+    more = {name: F.row_number().over(own) + F.col("_n_before")}
+    if marked:
+        more[f"{name}_marked"] = F.sum(mark).over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_m_before")
+    if total:
+        more[total] = F.col("_total")
+    return dealt.join(before, ["query_id", "_range"]).withColumns(more).drop("_range", "_n_before", "_m_before", "_total")
+
+
+#: Rows of one query that a task ranks by a window, and rows of a range of larger ones.
+LARGE, RANGE_ROWS = 4_000_000, 1_000_000
+
+
+def ranges_for(df: DataFrame) -> int | None:
+    """The ranges that :func:`rank_in_ranges` should deal ``df`` into, or None where each query fits in a task."""
+    sizes = df.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
+    return None if (sizes.largest or 0) <= LARGE else -(-sizes.rows // RANGE_ROWS)

@@ -15,52 +15,76 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import InputError
-from .ranking import by_score, scored, tasks
+from .ranking import by_score, rank_in_ranges, scored, tasks
 
 COLUMNS = ["query_id", "doc_id", "s1", "s2", "alt_rank", "relevance", "judged"]
 
 
-def ranked(cascade: DataFrame) -> DataFrame:
-    """The cascade with rank_s1, rank_s2 and n_docs of its query."""
+def ranked(cascade: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The cascade with rank_s1, rank_s2, the same ranks counted among judged documents, and n_docs of its query.
+
+    A query is a task of windows; with ``ranges`` (see :func:`ranking.ranges_for`) its documents are dealt
+    out by ranges of either score instead.
+    """
     own = cascade.select(*COLUMNS).withColumns({"s1": scored("s1"), "s2": scored("s2"), "judged": F.coalesce("judged", F.lit(False))})
+    if ranges:
+        first = rank_in_ranges(own, "s1", "rank_s1", ranges, marked="judged", total="n_docs")
+        both = rank_in_ranges(first, "s2", "rank_s2", ranges, marked="judged")
+        return both.select(*COLUMNS, "rank_s1", "rank_s2", F.col("rank_s1_marked").alias("judged_s1"), F.col("rank_s2_marked").alias("judged_s2"), "n_docs")
     own = own.repartition(tasks(cascade), "query_id")
+
+    def judged(score: str) -> Column:
+        return F.sum(F.col("judged").cast("int")).over(by_score(score).rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+
     return own.select(
         "*",
         F.row_number().over(by_score("s1")).alias("rank_s1"),
         F.row_number().over(by_score("s2")).alias("rank_s2"),
+        judged("s1").alias("judged_s1"),
+        judged("s2").alias("judged_s2"),
         F.count(F.lit(1)).over(Window.partitionBy("query_id")).alias("n_docs"),
     )
 
 
-def build_worlds(cascade: DataFrame, depths: Sequence[int], modes: Sequence[bool] = (False,)) -> DataFrame:
+def build_worlds(cascade: DataFrame, depths: Sequence[int], modes: Sequence[bool] = (False,), ranges: int | None = None) -> DataFrame:
     """Rows (query, document, k_c, condensed) with rank_a, rank_b and rank_c (null: absent).
 
     The condensed mode keeps judged documents and recounts their ranks; candidates stay the same.
     A depth that leaves no document outside the gate is refused.
     """
-    return from_ranked(ranked(cascade), depths, modes)
+    return from_ranked(ranked(cascade, ranges), depths, modes)
+
+
+#: Groups that documents outside the gate, which need no rank in world A, are dealt into.
+SPREAD = 64
 
 
 def from_ranked(rows: DataFrame, depths: Sequence[int], modes: Sequence[bool] = (False,)) -> DataFrame:
-    """:func:`build_worlds` on what :func:`ranked` gave, for those who keep it."""
+    """:func:`build_worlds` on what :func:`ranked` gave, for those who keep it.
+
+    Candidates are the head of the s1 order, so ranks in B and C are those in all of the query, among
+    judged documents in the condensed mode. Only candidates are sorted again, for A.
+    """
     if not depths or min(depths) < 1:
         raise InputError("candidate depths have to be positive")
     base = rows.withColumn("k_c", F.explode(F.array(*map(F.lit, depths)))).withColumn("condensed", F.explode(F.array(*map(F.lit, modes))))
     base = base.where(F.when(F.col("k_c") < F.col("n_docs"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no document lies outside the gate of query "), "query_id")).cast("boolean")))
-    base = base.where(~F.col("condensed") | F.col("judged")).withColumn("in_cq", F.col("rank_s1") <= F.col("k_c"))
-    part = Window.partitionBy("query_id", "k_c", "condensed", "in_cq")
+    inside, condensed = F.col("in_cq"), F.col("condensed")
+    base = base.where(~condensed | F.col("judged")).withColumn("in_cq", F.col("rank_s1") <= F.col("k_c"))
+    base = base.withColumn("_part", F.when(~inside, F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))))
+    part = Window.partitionBy("query_id", "k_c", "condensed", "in_cq", "_part")
     return base.withColumns(
         {
-            "rank_a": F.when(F.col("in_cq"), F.row_number().over(part.orderBy("rank_s2"))),
-            "rank_b": F.when(F.col("in_cq"), F.row_number().over(part.orderBy("rank_s1"))),
-            "rank_c": F.row_number().over(Window.partitionBy("query_id", "k_c", "condensed").orderBy("rank_s2")),
+            "rank_a": F.when(inside, F.row_number().over(part.orderBy("rank_s2"))),
+            "rank_b": F.when(inside, F.when(condensed, F.col("judged_s1")).otherwise(F.col("rank_s1"))),
+            "rank_c": F.when(condensed, F.col("judged_s2")).otherwise(F.col("rank_s2")),
         }
-    )
+    ).drop("_part", "judged_s1", "judged_s2")
 
 
 def isolation_violations(worlds: DataFrame) -> DataFrame:

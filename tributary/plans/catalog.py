@@ -90,6 +90,13 @@ def worlds_abc(spark, d):
     return rounded(_worlds(spark, d, (False, True), depths=(K_C, 30)).select("query_id", "doc_id", "k_c", "condensed", "in_cq", "rank_a", "rank_b", "rank_c"))
 
 
+@query(f"WITH {sql.worlds((K_C, 30), (False, True))} SELECT query_id, doc_id, CAST(k_c AS BIGINT) AS k_c, condensed, in_cq, rank_a, rank_b, rank_c FROM w")
+def worlds_in_ranges(spark, d):
+    """The worlds where no task holds a whole query."""
+    rows = worlds.build_worlds(event_cascade(spark, d), [K_C, 30], [False, True], ranges=2 * ranking.tasks(table(spark, d, "events")))
+    return rounded(rows.select("query_id", "doc_id", "k_c", "condensed", "in_cq", "rank_a", "rank_b", "rank_c"))
+
+
 @query(f"WITH {sql.worlds()} SELECT query_id, 0 AS n FROM w WHERE (rank_a IS NULL) <> (rank_b IS NULL)")
 def isolation_violations(spark, d):
     return worlds.isolation_violations(_worlds(spark, d)).select("query_id", F.lit(0).alias("n"))

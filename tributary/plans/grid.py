@@ -15,7 +15,7 @@ from .. import contracts
 from ..config import Settings
 from ..errors import ContractError
 from ..functions.utility import Utility
-from ..operators import allocation, effects, worlds
+from ..operators import allocation, effects, ranking, worlds
 from ..sources.commits import CommitLog, content
 from ..sources.tables import scratch
 
@@ -30,10 +30,11 @@ def effect_grid(cascade: DataFrame, settings: Settings, system: str, utilities:
     """
     own = utilities or [Utility(u, k, settings.persistence, settings.gains) for u, k in settings.settings()]
     depths = list(settings.candidate_depths)
-    both = worlds.build_worlds(cascade, depths, list(modes))
+    ranked = worlds.ranked(cascade)
+    both = worlds.from_ranked(ranked, depths, list(modes))
     budget = None if settings.b_equals_kc else settings.b_absolute
     grid = allocation.parameters(cascade.sparkSession, depths, settings.grid_t(optional_t), settings.policies, settings.budget_seeds, budget)
-    spent = allocation.in_modes(allocation.allocate(worlds.build_worlds(cascade, depths), grid), modes)
+    spent = allocation.in_modes(allocation.allocate(worlds.from_ranked(ranked, depths), grid), modes)
     return effects.stage_effects(both, own, system).unionByName(effects.budget_effects(spent, own, system))
 
 
@@ -104,7 +105,7 @@ def write_cells(cascade: DataFrame, settings: Settings, system: str, path: str,
     todo = [c for c in cells if c[0] not in done]
     if todo:
         place = scratch(spark, "ranked")
-        worlds.ranked(cascade).write.parquet(place)
+        worlds.ranked(cascade, ranking.ranges_for(cascade)).write.parquet(place)
         ranked = spark.read.parquet(place)
     budget = None if settings.b_equals_kc else settings.b_absolute
     for name, k_c, policy in todo:

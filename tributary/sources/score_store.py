@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InputError, MissingScoreError
+from ..operators.ranking import rank_in_ranges
 
 KEY = ["query_id", "doc_id", "model"]
 SCHEMA = "query_id string, doc_id string, score double, version long, model string"
@@ -97,12 +98,63 @@ class ScoreStore:
         return {"asked": asked[-1], "held_before": before, "scored": after - before, "missing": asked[-1] - after}
 
 
+def _picks(load: list[int], size: int, queries: int) -> list[int]:
+    """How many of ``queries`` queries of ``size`` pairs each shard takes, always the least loaded, ties to the first.
+
+    Shard i takes its k-th one at a load of load[i] + k * size, so those below one level are taken, and of
+    those at the next level the first shards'.
+    """
+    def below(level: int) -> list[int]:
+        return [max(0, -(-(level - at) // size)) for at in load]
+
+    low, high = min(load), max(load) + size * (queries + 1)
+    while high - low > 1:  # the highest level that not more than ``queries`` loads lie below
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(below(mid)) <= queries else (low, mid)
+    taken = below(low)
+    rest = queries - sum(taken)
+    for i, at in enumerate(load):
+        if rest and low >= at and (low - at) % size == 0:
+            taken[i], rest = taken[i] + 1, rest - 1
+    return taken
+
+
+def plan_shards(universe: DataFrame, shards: int = 3, ranges: int = 64) -> DataFrame:
+    """(query_id, pairs, shard): queries by falling size, ties by id, each to the least loaded shard.
+
+    Queries of one size are dealt out together: what a shard takes of them follows from the loads before,
+    and so does the place of each in the order of that size. The driver sees a row per size, of which there
+    are at most as many as a pool is deep; queries find their place by ranges of (size, id).
+    """
+    if shards < 1:
+        raise InputError("a plan has at least one shard")
+    spark = universe.sparkSession
+    counts = universe.groupBy("query_id").agg(F.count(F.lit(1)).alias("pairs"))
+    ranked = rank_in_ranges(counts.select(F.col("pairs").alias("query_id"), F.col("query_id").alias("doc_id"), F.lit(0.0).alias("score")), "score", "place", ranges)
+    classes, load = [], [0] * shards
+    for row in ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("query_id")).collect():
+        size, taken = row.query_id, _picks(load, row.query_id, row.n)
+        classes += [(size, i, load, n) for i, n in enumerate(taken) if n]
+        load = [at + n * size for at, n in zip(load, taken, strict=True)]
+    dealt = spark.createDataFrame(classes, "pairs long, shard int, load array<long>, n long").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    level = F.get("load", "shard") + F.col("k") * F.col("pairs")
+
+    def earlier(at: Column, i: Column) -> Column:
+        ahead = F.greatest(F.lit(0).cast("long"), F.ceil((level - at) / F.col("pairs")).cast("long"))
+        tie = (i < F.col("shard")) & (level >= at) & (F.pmod(level - at, F.col("pairs")) == 0)
+        return ahead + tie.cast("long")
+
+    place = F.aggregate(F.transform("load", earlier), F.lit(1).cast("long"), lambda s, v: s + v)
+    placed = dealt.select("pairs", place.alias("place"), "shard")
+    own = ranked.select(F.col("doc_id").alias("query_id"), F.col("query_id").alias("pairs"), F.col("place").cast("long").alias("place"))
+    return own.join(placed, ["pairs", "place"]).select("query_id", "pairs", "shard")
+
+
+def shard_loads(plan: DataFrame) -> DataFrame:
+    """(shard, n_queries, n_pairs) of a plan."""
+    return plan.groupBy("shard").agg(F.count(F.lit(1)).alias("n_queries"), F.sum("pairs").alias("n_pairs"))
+
+
 def shard_plan(universe: DataFrame, shards: int = 3) -> list[tuple[int, str, int]]:
-    """(shard, query_id, pairs): queries by falling size, each to the least loaded shard. One row per query."""
-    load = [0] * shards
-    plan = []
-    for r in universe.groupBy("query_id").count().orderBy(F.desc("count"), "query_id").collect():
-        s = min(range(shards), key=lambda i: (load[i], i))
-        load[s] += r["count"]
-        plan.append((s, r.query_id, r["count"]))
-    return sorted(plan)
+    """The rows (shard, query_id, pairs) of :func:`plan_shards` in order, for a small plan's file."""
+    return sorted((r.shard, r.query_id, r.pairs) for r in plan_shards(universe, shards).collect())
