@@ -11,7 +11,7 @@ from tributary.config import Settings
 from tributary.errors import ConflictError, ContractError, InputError, ListwiseScorerError, MissingScoreError
 from tributary.functions import statistics as S
 from tributary.operators import features, resample, rescoring, worlds
-from tributary.plans import assembly, grid, runner
+from tributary.plans import assembly, grid, ingest, runner
 from tributary.plans.cascades import event_cascade, event_qrels
 from tributary.sources import embeddings, shard_merge, vector_format
 from tributary.sources.commits import CommitLog, content
@@ -291,6 +291,55 @@ def test_study_commands(spark, tmp_path, capsys):
     assert {"g_q_mean", "delta_boundary_t0.5"} <= metrics
 
 
+def test_ingestion_commands(spark, tmp_path, capsys):
+    """Text files to first-stage tables by command line; what is stale, shallow or unknown is refused."""
+    (tmp_path / "y").write_text("sources: [bm25, other]\noptional_sources: []\nstage1_systems: [bm25]\npolicies: [boundary]\ndepth_m: 2\ncandidate_depths: [1]\nk: 1\nother_cutoffs: []\n")
+    s = config.load(str(tmp_path / "y"))
+    (tmp_path / "q").write_text("".join(f"q{i}\tred {'fish' if i else 'bird'}\n" for i in range(10)) + "\n")
+    (tmp_path / "j").write_text("q0 0 a 3\nq1 0 b 0\n")
+    spark.createDataFrame([("a", "red bird"), ("b", "a fish"), ("c", "blue"), ("d", "red red")], "doc_id string, text string").write.parquet(str(tmp_path / "texts"))
+    stored = spark.createDataFrame([("q0", "c", "old", 1, 5.0, "v1"), ("q0", "d", "old", 2, 4.0, "v1")], "query_id string, doc_id string, system string, rank long, score double, checkpoint string")
+    contracts.save(stored, str(tmp_path / "stored"), "run")
+    out = tmp_path / "all"
+
+    def run(*args):
+        assert cli.main(["--settings", str(tmp_path / "y"), *map(str, args)]) == 0
+        return json.loads(capsys.readouterr().out.strip().split("\n")[-1])
+
+    prepare = ("prepare", "--queries", tmp_path / "q", "--qrels", tmp_path / "j", "--out", out)
+    made = run(*prepare)
+    assert made["n_queries"] == 10 and made["queries_without_judgment"] == 8 and made["split_sizes"] == {"train": 5, "val": 2, "test": 3}
+    chain = ingest.Ingestion(spark, str(out), s)
+    want = config.split_queries([f"q{i}" for i in range(10)], s.split_fractions, s.seed)
+    assert {(r.query_id, r.split) for r in chain.split().collect()} == {(q, part) for part, ids in want.items() for q in ids}
+    with pytest.raises(ValueError, match="whose depth is 2"):
+        cli.main(["--settings", str(tmp_path / "y"), "retrieve", "--system", "bm25", "--corpus", str(tmp_path / "texts"), "--depth", "1", "--out", str(out)])
+    first = run("retrieve", "--system", "bm25", "--corpus", tmp_path / "texts", "--out", out)
+    assert first["n_rows"] == 20 and not first["shallow"] and first["depth_median"] == 2
+    with pytest.raises(ValueError, match="run:other"):
+        chain.freeze()
+    other = run("retrieve", "--system", "other", "--from-run", tmp_path / "stored", "--out", out)
+    assert other["without_answer"] == 9 and other["shallow"] == 9 and other["checkpoint"] == "v1"
+    frozen = run("freeze", "--out", out)
+    assert frozen["universe"]["size_max"] == 3 and frozen["stage1"]["bm25"]["n_floored"] == 1
+    table = {(r.query_id, r.doc_id): r.rank for r in chain.stage1("bm25").collect()}
+    assert table["q0", "a"] == 1 and table["q0", "c"] == 3 and len(table) == frozen["universe"]["n_pairs"] == 21
+    contracts.save(chain.universe(), str(tmp_path / "u"), "universe")
+    plan = run("shards", "--universe", tmp_path / "u", "--out", tmp_path / "p", "--shards", 2)
+    assert plan == {"0": {"queries": 5, "pairs": 11}, "1": {"queries": 5, "pairs": 10}}
+    run("retrieve", "--system", "other", "--from-run", tmp_path / "stored", "--out", out)
+    with pytest.raises(ValueError, match="older results"):
+        chain.universe()
+    contracts.save(stored.withColumn("query_id", F.lit("nobody")), str(tmp_path / "strange"), "run")
+    with pytest.raises(ValueError, match="not asked"):
+        chain.retrieve("other", stored=contracts.load(spark, str(tmp_path / "strange"), "run"))
+    (tmp_path / "j").write_text("q0 0 a 9\n")
+    with pytest.raises(ValueError, match=r"no gain for grades \[9\]"):
+        chain.prepare(str(tmp_path / "q"), str(tmp_path / "j"))
+    with pytest.raises(ValueError, match="was begun with"):
+        ingest.Ingestion(spark, str(out), config.Settings())
+
+
 def test_merge_command(spark, tmp_path, capsys):
     stores(spark, tmp_path, one={"a": 1.0}, two={"b": 2.0})
     contracts.save(spark.createDataFrame([("q", "a", "s"), ("q", "b", "s")], "query_id string, doc_id string, sources string"), str(tmp_path / "u"), "universe")

@@ -1,4 +1,4 @@
-"""Command lines: ``python -m tributary.cli grid|cells|analyse|study|compare|outsiders|feasibility|merge --help``.
+"""Command lines: ``python -m tributary.cli prepare|retrieve|freeze|shards|grid|cells|analyse|study|compare|outsiders|feasibility|merge --help``.
 
 Studies are recomputed only where their inputs, settings or steps changed.
 """
@@ -15,7 +15,8 @@ from . import config, contracts
 from .functions.utility import Utility
 from .operators import judgments, summaries, universe
 from .plans import assembly, feasibility, grid, reports, runner
-from .sources import shard_merge
+from .plans.ingest import Ingestion
+from .sources import score_store, shard_merge
 from .sources.score_store import ScoreStore
 
 
@@ -37,6 +38,21 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tributary")
     parser.add_argument("--settings", help="YAML file of settings")
     sub = parser.add_subparsers(dest="command", required=True)
+    pr = sub.add_parser("prepare", help="queries, judgments and split from text files")
+    for name in ("queries", "qrels", "out"):
+        pr.add_argument(f"--{name}", required=True)
+    re = sub.add_parser("retrieve", help="one system's run to the universe's depth: BM25, inner product, or a stored run")
+    for name in ("system", "out"):
+        re.add_argument(f"--{name}", required=True)
+    for name in ("corpus", "vectors", "from-run"):
+        re.add_argument(f"--{name}")
+    re.add_argument("--depth", type=int)
+    fr = sub.add_parser("freeze", help="the universe of all runs, and each first stage's table over it")
+    fr.add_argument("--out", required=True)
+    sh = sub.add_parser("shards", help="deal the universe's queries to owners, even by pairs")
+    for name in ("universe", "out"):
+        sh.add_argument(f"--{name}", required=True)
+    sh.add_argument("--shards", type=int, default=3)
     g = sub.add_parser("grid", help="effect tables of one first stage over the whole grid")
     for name in ("universe", "runs", "qrels", "scores", "system", "other", "out"):
         g.add_argument(f"--{name}", required=True)
@@ -70,7 +86,20 @@ def main(argv: list[str] | None = None) -> int:
     a = parser.parse_args(argv)
     settings = config.load(a.settings) if a.settings else config.Settings()
     spark = SparkSession.builder.appName("tributary").getOrCreate()
-    if a.command == "grid":
+    if a.command == "prepare":
+        print(json.dumps(Ingestion(spark, a.out, settings).prepare(a.queries, a.qrels)))
+    elif a.command == "retrieve":
+        given = {n: spark.read.parquet(p) for n, p in (("corpus", a.corpus), ("vectors", a.vectors)) if p}
+        if a.from_run:
+            given["stored"] = contracts.load(spark, a.from_run, "run")
+        print(json.dumps(Ingestion(spark, a.out, settings).retrieve(a.system, depth=a.depth, **given)))
+    elif a.command == "freeze":
+        chain = Ingestion(spark, a.out, settings)
+        print(json.dumps({"universe": chain.freeze(), "stage1": chain.first_stages()}))
+    elif a.command == "shards":
+        score_store.plan_shards(contracts.load(spark, a.universe, "universe"), a.shards).write.mode("overwrite").parquet(a.out)
+        print(json.dumps({r.shard: {"queries": r.n_queries, "pairs": r.n_pairs} for r in score_store.shard_loads(spark.read.parquet(a.out)).collect()}))
+    elif a.command == "grid":
         grid.write_grid(grid.effect_grid(assemble(spark, a), settings, a.system), a.out)
     elif a.command == "analyse":
         stage = grid.read_grid(spark, a.effects, k_c=a.k_c, kind="stage").where((F.col("utility") == settings.utility) & (F.col("k") == settings.k))

@@ -16,11 +16,11 @@ from ..functions import statistics as S
 from ..functions.utility import Utility, aggregation_gaps, ndcg, recall
 from ..operators import effects, features, probes, resample, rescoring, summaries, universe, worlds
 from ..sources import embeddings, shard_merge, vector_format
-from ..sources.score_store import ScoreStore
+from ..sources.score_store import ScoreStore, plan_shards, shard_loads
 from ..sources.tables import scratch, table
-from . import assembly, feasibility, grid, runner, sql, study
+from . import assembly, feasibility, grid, ingest, runner, sql, study
 from .cascades import event_cascade, event_qrels, event_runs
-from .catalog import DCG, DEPTH, _allocated, _budget, _probe_x, _stage, _worlds, query, rounded
+from .catalog import DCG, DEPTH, ORACLES, _allocated, _budget, _probe_x, _stage, _worlds, query, rounded
 from .sql import K_C, K, r
 
 OWNERS = ("a", "b", "c")
@@ -352,3 +352,85 @@ def effectiveness_by_query(spark, d):
     run = event_runs(spark, d, DEPTH).where("system = 'value'")
     qrels = event_qrels(spark, d)
     return rounded(ndcg(run, qrels, 10).select("query_id", "ndcg").join(recall(run, qrels, DEPTH).select("query_id", "recall"), "query_id"))
+
+
+# Ingestion: text files and retrievers to a frozen universe
+
+
+def _ingestion(spark, d, queries: DataFrame, settings: Settings) -> ingest.Ingestion:
+    """Text files of ``queries(query_id, text)`` and the events' judgments, taken in."""
+    asked, judged = scratch(spark, "queries-text"), scratch(spark, "qrels-text")
+    queries.select(F.concat_ws("\t", "query_id", F.translate("text", "\n\t", "  ")).alias("value")).write.text(asked)
+    event_qrels(spark, d).select(F.concat_ws(" ", "query_id", F.lit("0"), "doc_id", F.col("relevance").cast("string")).alias("value")).write.text(judged)
+    chain = ingest.Ingestion(spark, scratch(spark, "ingestion"), settings)
+    chain.prepare(asked, judged)
+    return chain
+
+
+def _items(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), "text")
+
+
+_BM25 = Settings(sources=("bm25",), stage1_systems=("bm25",), policies=("boundary",), depth_m=50, candidate_depths=(K_C,), k=K, other_cutoffs=(5,))
+
+
+@query("WITH h AS (SELECT query_id, row_number() OVER (ORDER BY sha256('42/' || query_id), query_id) AS n, count(*) OVER () AS total FROM (SELECT 'b' || CAST(item_id AS VARCHAR) AS query_id FROM benchmark)) SELECT query_id, CASE WHEN n <= floor(0.5 * total + 0.5) THEN 'train' WHEN n <= floor(0.7 * total + 0.5) THEN 'val' ELSE 'test' END AS split FROM h")
+def ingest_split(spark, d):
+    return _ingestion(spark, d, _items(spark, d), _BM25).split()
+
+
+@query(f"SELECT query_id, count(doc_id) AS n_docs, count(doc_id) < 50 AS shallow FROM (SELECT 'b' || CAST(item_id AS VARCHAR) AS query_id FROM benchmark) LEFT JOIN ({ORACLES['bm25_topk']}) USING (query_id) GROUP BY ALL")
+def ingest_depths(spark, d):
+    """How deep a run of the benchmark's items over all documents is."""
+    chain = _ingestion(spark, d, _items(spark, d), _BM25)
+    chain.retrieve("bm25", corpus=table(spark, d, "documents").select("doc_id", "text"))
+    return ingest.depths(chain.queries(), chain.run("bm25"), 50)
+
+
+_STORED = Settings(sources=("value", "mix"), optional_sources=(), stage1_systems=("value", "mix"), alternative_source="mix", depth_m=DEPTH, candidate_depths=(K_C, 30), k=K, other_cutoffs=(5,))
+
+
+def _taken_over(spark, d) -> ingest.Ingestion:
+    queries = event_cascade(spark, d).select("query_id").distinct().withColumn("text", F.col("query_id"))
+    chain = _ingestion(spark, d, queries, _STORED)
+    for system in _STORED.sources:
+        chain.retrieve(system, stored=event_runs(spark, d, DEPTH).where(F.col("system") == system))
+    chain.freeze()
+    return chain
+
+
+@query(f"WITH {sql.universe(DEPTH)} SELECT query_id, doc_id, sources FROM un")
+def ingest_universe(spark, d):
+    return _taken_over(spark, d).universe().select("query_id", "doc_id", "sources")
+
+
+@query(
+    f"""WITH {sql.universe(DEPTH)}, us AS (SELECT query_id, doc_id, system FROM un, (SELECT unnest(['value', 'mix']) AS system)), ff AS (SELECT us.query_id, us.doc_id, us.system, ru.score IS NOT NULL AS retrieved, coalesce(ru.score, min(ru.score) OVER (PARTITION BY us.query_id, us.system) - 1, 0.0) AS score
+FROM us LEFT JOIN ru ON ru.query_id = us.query_id AND ru.doc_id = us.doc_id AND ru.system = us.system) SELECT query_id, doc_id, system, row_number() OVER (PARTITION BY query_id, system ORDER BY score DESC, doc_id) AS rank, {r('score', 'score')} FROM ff"""
+)
+def ingest_stage1(spark, d):
+    """Both first stages' tables at the end of the chain."""
+    chain = _taken_over(spark, d)
+    chain.first_stages()
+    return rounded(chain.stage1("value").unionByName(chain.stage1("mix")).select("query_id", "doc_id", "system", "rank", "score"))
+
+
+# Shards of a universe: customers are queries and their orders documents. SQL deals them out one after the other.
+
+_DEALT = """pu AS (SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS query_id, count(*) AS pairs FROM orders GROUP BY ALL), po AS (SELECT *, row_number() OVER (ORDER BY pairs DESC, query_id) AS n FROM pu),
+ps AS (SELECT CAST(0 AS BIGINT) AS n, CAST([0, 0, 0] AS BIGINT[]) AS held, CAST(NULL AS BIGINT) AS shard UNION ALL
+ SELECT po.n, [held[1] + CASE WHEN list_position(held, list_min(held)) = 1 THEN pairs ELSE 0 END, held[2] + CASE WHEN list_position(held, list_min(held)) = 2 THEN pairs ELSE 0 END, held[3] + CASE WHEN list_position(held, list_min(held)) = 3 THEN pairs ELSE 0 END], CAST(list_position(held, list_min(held)) AS BIGINT) - 1 FROM ps JOIN po ON po.n = ps.n + 1)"""
+
+
+def _dealt(spark, d) -> DataFrame:
+    return plan_shards(table(spark, d, "orders").select(F.concat(F.lit("c"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("query_id"), F.col("o_orderkey").cast("string").alias("doc_id")), 3)
+
+
+@query(f"WITH RECURSIVE {_DEALT} SELECT query_id, pairs, shard FROM ps JOIN po USING (n)")
+def shard_dealing(spark, d):
+    return rounded(_dealt(spark, d))
+
+
+@query(f"WITH RECURSIVE {_DEALT} SELECT shard, count(*) AS n_queries, CAST(sum(pairs) AS BIGINT) AS n_pairs FROM ps JOIN po USING (n) GROUP BY ALL")
+def shard_sizes(spark, d):
+    return rounded(shard_loads(_dealt(spark, d)))
