@@ -130,6 +130,18 @@ def test_worlds_of_ranges_are_the_same(spark):
     assert ranking.ranges_for(rows) is None and ranking.ranges_for(rows.limit(0)) is None
 
 
+def test_allocations_of_ranges_are_the_same(spark):
+    other = toy.cascade(spark).where("doc_id <> 'c'").withColumns({"query_id": F.lit("other"), "alt_rank": F.when(F.col("doc_id") > "d", F.col("alt_rank"))})
+    rows = toy.cascade(spark).unionByName(other)
+    grid = allocation.parameters(spark, [toy.K_C, 2], [1.0, 0.5, 0.0], N.POLICIES, [42, 43])
+
+    def spent(ranges):
+        got = allocation.allocate(worlds.build_worlds(rows, [toy.K_C, 2], ranges=ranges), grid, ranges).collect()
+        return {(r.query_id, r.doc_id, r.k_c, r.policy, r.seed, r.t): (r.stratum, r.submitted, r.rank_t, r.rank_1, r.baseline) for r in got}
+
+    assert spent(3) == spent(None) and len(spent(3)) == 19 * 2 * 3 * 4
+
+
 def test_queries_too_large_for_a_task_are_dealt_into_ranges(spark, monkeypatch):
     monkeypatch.setattr(ranking, "LARGE", 9)
     monkeypatch.setattr(ranking, "RANGE_ROWS", 4)

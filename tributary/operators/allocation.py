@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from .. import names as N
 from ..errors import AllocationError
-from .ranking import tasks
+from .ranking import rank_in_ranges, tasks
 
 RUN = ["query_id", "k_c", "condensed", "t", "policy", "seed"]
 
@@ -54,7 +54,7 @@ def split_budget(budgets: DataFrame, shares: Sequence[float]) -> DataFrame:
     return cells.withColumn("n_out", F.col("budget") - F.col("n_cand"))
 
 
-def _drawn(worlds: DataFrame, grid: DataFrame) -> DataFrame:
+def _drawn(worlds: DataFrame, grid: DataFrame, ranges: int | None = None) -> DataFrame:
     """(query_id, doc_id, k_c, t, seed) that numpy draws from each query's outsiders.
 
     The draw needs the number of outsiders only: it gives places in the doc_id order, which Spark
@@ -62,7 +62,11 @@ def _drawn(worlds: DataFrame, grid: DataFrame) -> DataFrame:
     """
     wanted = [(r.k_c, r.t, r.seed, r.n_out) for r in grid.where(F.col("policy") == N.RANDOM).collect()]
     pool = worlds.where(~F.col("in_cq")).select("query_id", "doc_id", "k_c").distinct()
-    placed = pool.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "k_c").orderBy("doc_id")).cast("long") - 1)
+    if ranges:
+        keyed = pool.select(F.struct("query_id", "k_c").alias("query_id"), "doc_id", F.lit(0.0).alias("score"))
+        placed = rank_in_ranges(keyed, "score", "place", ranges).select("query_id.*", "doc_id", (F.col("place") - 1).alias("place"))
+    else:
+        placed = pool.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "k_c").orderBy("doc_id")).cast("long") - 1)
     schema = "query_id string, k_c int, t double, seed int, place long"
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,6 +96,23 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return ranked.unionByName(rows.where(~F.col("submitted")).withColumns({"rank_t": absent, "rank_t_judged": absent}))
 
 
+def _alternative(worlds: DataFrame, grid: DataFrame, ranges: int | None) -> DataFrame:
+    """``worlds`` with the place of each document in the other retriever's order, within its side of the gate.
+
+    With ``ranges`` a query's documents are ranked in that many parts; what is among the first of its part is
+    ranked again, and no place is given to the rest, which no budget of the grid reaches.
+    """
+    order = [F.coalesce("alt_rank", F.lit(N.UNRANKED)), F.col("doc_id")]
+    side = ["query_id", "k_c", "condensed", "in_cq"]
+    if not ranges:
+        return worlds.withColumn("place_alternative", F.row_number().over(Window.partitionBy(*side).orderBy(*order)))
+    most = grid.agg(F.max("n_out")).first()[0] or 0
+    parts = worlds.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)))
+    parts = parts.withColumn("_part", F.when(F.row_number().over(Window.partitionBy(*side, "_part").orderBy(*order)) > most, F.col("_part")))
+    place = F.row_number().over(Window.partitionBy(*side, "_part").orderBy(*order))
+    return parts.withColumn("place_alternative", F.when(F.col("_part").isNull(), place)).drop("_part")
+
+
 def _baselines(grid: DataFrame) -> dict[int, int]:
     """Candidates that t = 1 submits at each depth, where every policy and seed of the depth has that share."""
     cells = grid.select("k_c", "budget", "policy", "seed", "t", "n_cand").collect()  # one row per grid cell
@@ -102,23 +123,24 @@ def _baselines(grid: DataFrame) -> dict[int, int]:
     return {c.k_c: c.n_cand for c in cells if c.t == 1.0 and c.k_c not in lacking}
 
 
-def allocate(worlds: DataFrame, grid: DataFrame) -> DataFrame:
+def allocate(worlds: DataFrame, grid: DataFrame, ranges: int | None = None) -> DataFrame:
     """Worlds by grid cell, with stratum, submitted, rank_t and, of the cell at t = 1, rank_1.
 
     ``worlds`` has to hold all documents of a query (the uncondensed mode) or its judged ones; the
     outsiders' places are by rank_s1 and rank within the gate's outside, so a condensed frame has to
     come from :func:`condense` of the full one. At t = 1 all of the budget goes to candidates whatever
     the policy and seed, so rank_1 (and rank_1_judged, among judged documents) is found once, before
-    the cells multiply the rows. ``baseline`` is null where the grid has no t = 1.
+    the cells multiply the rows. ``baseline`` is null where the grid has no t = 1. With ``ranges`` (see
+    ``ranking.ranges_for``) no task holds all of a query's outsiders.
     """
-    outside = Window.partitionBy("query_id", "k_c", "condensed", "in_cq")
-    other = F.row_number().over(outside.orderBy(F.coalesce("alt_rank", F.lit(N.UNRANKED)), "doc_id"))
     kept = F.lit(None).cast("int")
     for k_c, n in _baselines(grid).items():
         kept = F.when(F.col("k_c") == k_c, n).otherwise(kept)
-    base = Window.partitionBy("query_id", "k_c", "condensed", "baseline")
-    placed = worlds.withColumns({"place_boundary": F.col("rank_s1") - F.col("k_c"), "place_alternative": other, "baseline": F.col("in_cq") & (F.col("rank_s1") <= kept)})
-    placed = placed.withColumn("baseline", F.when(kept.isNotNull(), F.col("baseline"))).withColumns(
+    base = Window.partitionBy("query_id", "k_c", "condensed", "baseline", "_rest")
+    placed = _alternative(worlds, grid, ranges).withColumns({"place_boundary": F.col("rank_s1") - F.col("k_c"), "baseline": F.when(kept.isNotNull(), F.col("in_cq") & (F.col("rank_s1") <= kept))})
+    # Only the baseline is sorted, at most a budget a query; the rest is spread.
+    rest = F.when(~F.coalesce("baseline", F.lit(False)), F.pmod(F.xxhash64("doc_id"), F.lit(ranges or 1)))
+    placed = placed.withColumn("_rest", rest).withColumns(
         {
             "rank_1": F.when(F.col("baseline"), F.row_number().over(base.orderBy("rank_s2"))),
             "rank_1_judged": F.when(F.col("baseline"), _judged_rank(base.orderBy("rank_s2"))),
@@ -129,7 +151,7 @@ def allocate(worlds: DataFrame, grid: DataFrame) -> DataFrame:
     key = ["query_id", "doc_id", "k_c"]
     placed = placed.repartition(tasks(worlds), *key)
     if grid.where(F.col("policy") == N.RANDOM).limit(1).count():
-        drawn = _drawn(worlds, grid).groupBy(*key).agg(F.collect_set(F.struct("t", "seed")).alias("drawn"))
+        drawn = _drawn(worlds, grid, ranges).groupBy(*key).agg(F.collect_set(F.struct("t", "seed")).alias("drawn"))
         placed = placed.join(drawn, key, "left")
         picked = picked.otherwise(F.coalesce(F.array_contains("drawn", F.struct("t", "seed")), F.lit(False)))
     cells = placed.join(F.broadcast(grid), "k_c")
@@ -141,7 +163,7 @@ def allocate(worlds: DataFrame, grid: DataFrame) -> DataFrame:
         .otherwise(N.UNSELECTED)
     )
     out = cells.withColumn("stratum", stratum).withColumn("submitted", F.col("stratum").isin(N.RETAINED, N.SELECTED))
-    return _ranked(out.drop("place_boundary", "place_alternative", "drawn"))
+    return _ranked(out.drop("place_boundary", "place_alternative", "drawn", "_rest"))
 
 
 def in_modes(allocated: DataFrame, modes: Sequence[bool]) -> DataFrame:

@@ -140,6 +140,14 @@ for _p in (N.BOUNDARY, N.ALTERNATIVE):
     query(f"WITH {sql.allocated((_p,))} SELECT query_id, doc_id, t, policy, stratum, submitted FROM ta", f"alloc_{_p}")(lambda spark, d, p=_p: _allocated(spark, d, (p,)).select("query_id", "doc_id", "t", "policy", "stratum", "submitted"))
 
 
+@query(f"WITH {sql.allocated()} SELECT query_id, doc_id, t, policy, stratum, submitted, rank_t FROM ta")
+def alloc_in_ranges(spark, d):
+    """Both policies by place where no task holds a whole query."""
+    cells, ranges = allocation.parameters(spark, [K_C], T_GRID, (N.BOUNDARY, N.ALTERNATIVE)), 2 * ranking.tasks(table(spark, d, "events"))
+    got = allocation.allocate(worlds.build_worlds(event_cascade(spark, d), [K_C], ranges=ranges), cells, ranges)
+    return rounded(got.select("query_id", "doc_id", "t", "policy", "stratum", "submitted", "rank_t"))
+
+
 @query()
 def alloc_random(spark, d):
     return _allocated(spark, d, (N.RANDOM,), (42, 43, 44)).select("query_id", "doc_id", "t", "policy", "seed", "stratum", "submitted")

@@ -105,7 +105,8 @@ def write_cells(cascade: DataFrame, settings: Settings, system: str, path: str,
     todo = [c for c in cells if c[0] not in done]
     if todo:
         place = scratch(spark, "ranked")
-        worlds.ranked(cascade, ranking.ranges_for(cascade)).write.parquet(place)
+        ranges = ranking.ranges_for(cascade)
+        worlds.ranked(cascade, ranges).write.parquet(place)
         ranked = spark.read.parquet(place)
     budget = None if settings.b_equals_kc else settings.b_absolute
     for name, k_c, policy in todo:
@@ -114,12 +115,12 @@ def write_cells(cascade: DataFrame, settings: Settings, system: str, path: str,
             rows = effects.stage_effects(worlds.from_ranked(ranked, [k_c], list(modes)), own, system)
         else:
             base, seeds = worlds.from_ranked(ranked, [k_c]), settings.budget_seeds
-            whole = allocation.allocate(base, allocation.parameters(spark, [k_c], [1.0], [policy], seeds, budget))
+            whole = allocation.allocate(base, allocation.parameters(spark, [k_c], [1.0], [policy], seeds, budget), ranges)
             agreed = worlds.baseline_agreement(whole).agg(F.count(F.lit(1)).alias("runs"), F.sum((~F.col("agrees")).cast("long")).alias("disagree")).first()
             record = {"baselines": agreed.runs, "baselines_that_differ": agreed.disagree or 0}
             if record["baselines_that_differ"]:
                 raise ContractError(f"{name}: {record['baselines_that_differ']} of {agreed.runs} worlds at t = 1 are not the baseline")
-            spent = allocation.allocate(base, allocation.parameters(spark, [k_c], settings.grid_t(optional_t), [policy], seeds, budget))
+            spent = allocation.allocate(base, allocation.parameters(spark, [k_c], settings.grid_t(optional_t), [policy], seeds, budget), ranges)
             rows = effects.budget_effects(allocation.in_modes(spent, modes), own, system)
         folder = f"{path}/cell={name}"
         rows.write.mode("overwrite").parquet(folder)
