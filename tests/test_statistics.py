@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tributary.functions import special
@@ -71,3 +72,10 @@ def test_point_metrics_of_large_groups(spark):
     assert set(few) == set(many) == {"g", None}
     for s in few:
         assert {k: v for k, v in many[s].items() if k != "s"} == pytest.approx({k: v for k, v in few[s].items() if k != "s"})
+
+
+def test_rank_sums_of_groups_beyond_one_task(spark):
+    """Ranks by ranges give the sums of ranks by windows, and no window takes a whole group."""
+    rows = spark.range(400).selectExpr("'k' AS g", "concat('q', id % 7) AS query_id", "double(id % 13) AS p", "double(id % 5) AS x")
+    one, many = (resample.rank_sums(rows, "p", "x", ["g"], most).orderBy("query_id").toPandas() for most in (1000, 10))
+    pd.testing.assert_frame_equal(one, many)

@@ -51,15 +51,10 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 def point_metrics(df: DataFrame, predicted: str, reference: str, keys: list[str], in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """n, mae, rmse, signed_bias, pearson and spearman per ``keys``.
 
-    Groups of up to ``in_one_task`` rows are ranked by windows; if the largest has more, all are ranked by
-    :func:`average_ranks`, which gives the same ranks.
+    Ranks are those of :func:`ranked_within`.
     """
     rows = written(paired(df, predicted, reference).select(*keys, "_p", "_r"), "paired")
-    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= in_one_task:
-        rows = rows.withColumns({"_pr": average_rank("_p", keys), "_rr": average_rank("_r", keys)})
-    else:
-        rows = average_ranks(rows, {"_pr": "_p", "_rr": "_r"}, keys)
+    rows = ranked_within(rows, {"_pr": "_p", "_rr": "_r"}, keys, in_one_task)
     error = F.col("_p") - F.col("_r")
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("signed_bias"),
@@ -114,6 +109,18 @@ def average_ranks(df: DataFrame, columns: dict[str, str], keys: list[str], range
     return out
 
 
+def ranked_within(rows: DataFrame, columns: dict[str, str], keys: list[str], in_one_task: int = IN_ONE_TASK) -> DataFrame:
+    """``rows``, which are read more than once, with the average rank of each of ``columns`` within ``keys``.
+
+    Groups of up to ``in_one_task`` rows are ranked by windows; if the largest has more, all are ranked by
+    :func:`average_ranks`, which gives the same ranks.
+    """
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= in_one_task:
+        return rows.withColumns({name: average_rank(c, keys) for name, c in columns.items()})
+    return average_ranks(rows, columns, keys)
+
+
 def quantiles(df: DataFrame, column: str, shares: dict[str, float], keys: list[str], ranges: int | None = None) -> DataFrame:
     """(keys, one column per entry of ``shares``): exact quantiles of ``column``, interpolated between the two
     rows next to their place, for groups of any size (:func:`cumulated`).
