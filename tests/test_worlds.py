@@ -163,3 +163,13 @@ def test_condensed_allocations_recount_ranks_and_baselines(spark):
             first = sorted((r for r in own if r.in_cq), key=lambda r: r.rank_s2)
             assert [r.rank_1 for r in first] == list(range(1, len(first) + 1))
             assert all(r.rank_1 is None for r in own if not r.in_cq)
+
+
+def test_no_task_multiplies_a_whole_query(spark):
+    """One query's worlds and grid cells are spread over the tasks, and candidates alone are sorted again."""
+    rows = spark.range(400).select(F.lit("q").alias("query_id"), F.format_string("d%03d", "id").alias("doc_id"), F.rand(1).alias("s1"), F.rand(2).alias("s2"), (F.col("id") + 1).cast("int").alias("alt_rank"), F.lit(1).cast("long").alias("relevance"), F.lit(True).alias("judged"))
+    built = worlds.build_worlds(rows, [5, 9], [False, True])
+    spent = allocation.allocate(worlds.build_worlds(rows, [5]), allocation.parameters(spark, [5], [1.0, 0.5], [N.BOUNDARY, N.ALTERNATIVE, N.RANDOM]))
+    for df, n in ((built, 1600), (spent, 2400)):
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and max(sizes) < n / 2
