@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..sources.tables import scratch
 
 #: Rows of a group that one task may sort.
-IN_ONE_TASK = 2_000_000
+IN_ONE_TASK = 500_000
 
 
 def paired(df: DataFrame, predicted: str, reference: str) -> DataFrame:
