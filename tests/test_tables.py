@@ -167,3 +167,18 @@ def test_retrievers(spark):
     assert [(r.doc_id, r.rank) for r in retrieval.exact_search(s, v, 1).collect()] == [("a", 1)]
     with pytest.raises(InputError):
         retrieval.stored_run(run(spark, [("q", "a", "x")]), "other")
+
+
+def test_many_queries_pass_on_few_pairs():
+    """A block of more queries than a product has room for is cut by queries, so documents that cannot win stay."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tributary.sources import retrieval
+
+    rng = np.random.default_rng(1)
+    asked, x = rng.normal(size=(50_000, 4)), rng.normal(size=(600, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(600)]), pa.array(list(x))], names=["doc_id", "vector"])
+    shared = type("Shared", (), {"value": ([str(i) for i in range(len(asked))], asked)})
+    got = list(retrieval._nearest(shared, 4, 101)(iter([batch])))
+    assert sum(b.num_rows for b in got) == 101 * len(asked) and max(b.num_rows for b in got) <= retrieval.PRODUCT // 4

@@ -160,20 +160,24 @@ def _nearest(shared, size: int, k: int):
         ids, asked = shared.value
         names = np.array(ids, object)
         least = np.full(len(ids), -np.inf)  # what has to be reached, a little below the k-th best so far
-        rows = max(1, PRODUCT // max(1, len(ids)))
+        pairs = max(1, PRODUCT // size)
         for batch in batches:
             docs = batch.column(0)
             x = np.asarray(batch.column(1).flatten()).reshape(len(docs), size)
-            for s in range(0, len(x) if len(ids) else 0, rows):
-                part = x[s : s + rows]
-                score = asked @ part.T
+            # Queries are cut, not documents: of fewer than k documents all would pass.
+            some = max(1, PRODUCT // max(1, len(x)))
+            for a in range(0, len(ids) if len(x) else 0, some):
+                own, floor = asked[a : a + some], least[a : a + some]
+                score = own @ x.T
                 if score.shape[1] >= k:
                     kth = np.partition(score, -k, axis=1)[:, -k]
-                    least = np.maximum(least, kth - 1e-9 * (1 + np.abs(kth)))
-                q, d = np.nonzero(score >= least[:, None])
-                # Each pair's sum once more in one fixed order, so that equal vectors have equal scores.
-                exact = np.einsum("ij,ij->i", asked[q], part[d])
-                yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.string()), docs.take(pa.array(d + s)), pa.array(exact)], names=["query_id", "doc_id", "score"])
+                    np.maximum(floor, kth - 1e-9 * (1 + np.abs(kth)), out=floor)
+                q, d = np.nonzero(score >= floor[:, None])
+                for s in range(0, len(q), pairs):
+                    qs, ds = q[s : s + pairs], d[s : s + pairs]
+                    # Each pair's sum once more in one fixed order, so that equal vectors have equal scores.
+                    exact = np.einsum("ij,ij->i", own[qs], x[ds])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a + qs], pa.string()), docs.take(pa.array(ds)), pa.array(exact)], names=["query_id", "doc_id", "score"])
 
     return run
 
