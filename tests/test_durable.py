@@ -347,3 +347,15 @@ def test_merge_command(spark, tmp_path, capsys):
     assert cli.main(args) == 0
     said = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
     assert said["complete"] and said["merged"] == 2 and set(said["owners"]) == {"one", "two"}
+
+
+def test_a_shard_is_encoded_by_several_tasks(spark, tmp_path):
+    import numpy as np
+    from pyspark import TaskContext
+
+    from tributary.sources import embeddings, vector_format
+
+    texts = spark.range(200).selectExpr("cast(id as string) AS doc_id", "repeat('x', int(id)) AS text")
+    embeddings.encode_shards(spark, str(tmp_path / "v"), texts, lambda ts: np.eye(8)[[TaskContext.get().partitionId() % 8] * len(ts)], "task", shard_rows=1000)
+    back = spark.read.format(vector_format.FORMAT).load(str(tmp_path / "v"))
+    assert back.count() == 200 and back.select("shard").distinct().count() == 1 and back.select("vector").distinct().count() > 1

@@ -74,10 +74,11 @@ def encode_shards(spark: SparkSession, path: str, texts: DataFrame, encoder: Cal
     A text's shard follows from its id, so it is the same in every run. Texts are laid out by shard
     once; then ``wave`` shards at a time are encoded, written and committed to a log. A run that was
     stopped leaves finished waves and goes on with the others. Other texts, another encoder ``name``, or
-    other sizes are refused, as they would mix vectors in one folder. Within a shard texts of like
-    length share a batch. A null text is empty; null and repeated ids are refused. The report lists the
+    other sizes are refused, as they would mix vectors in one folder. Texts of like
+    length share a batch, whatever their shard. A null text is empty; null and repeated ids are refused. The report lists the
     shards that were encoded now and before.
     """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     facts = content(rows, "doc_id", "text").first()
     shards = max(1, -(-facts["rows"] // shard_rows))
@@ -89,7 +90,7 @@ def encode_shards(spark: SparkSession, path: str, texts: DataFrame, encoder: Cal
         bad = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1").limit(1).collect()
         if bad:
             raise InputError(f"doc_id {bad[0].doc_id} is null or repeats")
-        rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(laid)
+        rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartition(tasks, "bucket", F.pmod(F.hash("doc_id"), F.lit(-(-tasks // shards)))).write.mode("overwrite").partitionBy("bucket").parquet(laid)
         held = spark.read.schema(LAID).parquet(laid).groupBy("bucket").count().collect() if facts["rows"] else []
         log.commit({"texts": {"buckets": sorted((r.bucket, r["count"]) for r in held)}})  # shards are numbered without gaps
         done = log.done()
@@ -101,7 +102,7 @@ def encode_shards(spark: SparkSession, path: str, texts: DataFrame, encoder: Cal
                 part = pdf.iloc[a:b]
                 x = np.asarray(encoder(part["text"].tolist()), np.float32)
                 size = np.linalg.norm(x, axis=1, keepdims=True)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "vector": list(x / np.where(size > 0, size, 1)), "shard": part["shard"]})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "vector": list(x / np.where(size > 0, size, 1)), "shard": part["shard"], "length": part["text"].str.len()})
 
     buckets = done["texts"]["buckets"]
     todo = [s for s in range(len(buckets)) if f"shard {s}" not in done]
@@ -110,9 +111,11 @@ def encode_shards(spark: SparkSession, path: str, texts: DataFrame, encoder: Cal
         own = [buckets[s][0] for s in now]
         part = spark.read.schema(LAID).parquet(laid).where(F.col("bucket").isin(own))
         part = part.select("doc_id", "text", F.get(F.array(*map(F.lit, now)), (F.array_position(F.array(*map(F.lit, own)), F.col("bucket")) - 1).cast("int")).alias("shard"))
-        # Range partitions keep a shard whole; longest texts come first.
-        dealt = part.repartitionByRange(len(now), "shard").sortWithinPartitions("shard", F.desc(F.length("text")), "doc_id")
-        dealt.mapInPandas(run, vector_format.SCHEMA).write.format(vector_format.FORMAT).mode("append").save(path)
+        # A shard is encoded by all tasks, longest texts first, and only its vectors come together to be written.
+        dealt = part.repartition(tasks, "doc_id").sortWithinPartitions(F.desc(F.length("text")), "doc_id")
+        made = dealt.mapInPandas(run, f"{vector_format.SCHEMA}, length int")
+        whole = made.repartition(len(now), "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id").drop("length")
+        whole.write.format(vector_format.FORMAT).mode("append").save(path)
         log.commit({f"shard {s}": {"rows": buckets[s][1]} for s in now})
     return {"encoded": todo, "held": sorted(set(range(len(buckets))) - set(todo))}
 
