@@ -135,6 +135,27 @@ def test_features_read_only_candidates_scores(spark):
     assert features.pivot(features.long(inside)).count() == inside.count()
 
 
+def test_features_of_a_query_span_tasks(spark):
+    """The scores at the cuts are joined to the rows; a condensed gate whose last document is unjudged has none."""
+    rows = spark.range(400).select(F.lit("q").alias("query_id"), F.format_string("d%03d", "id").alias("doc_id"), (-F.col("id")).cast("double").alias("s1"), (F.col("id") % 7).cast("double").alias("s2"), (F.col("id") + 1).cast("int").alias("alt_rank"), F.lit(1).cast("long").alias("relevance"), (F.col("id") != 9).alias("judged"))
+    got = features.wide(worlds.build_worlds(rows, [10, 20], [False, True]), 5, 30)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2 * 400 + 2 * 399 and max(sizes) < sum(sizes) / 2
+    cuts = {(r.k_c, r.n, r.s1_cut, r.s2_cut) for r in got.groupBy("k_c", F.col("s1_margin").isNull().alias("none")).agg(F.count(F.lit(1)).alias("n"), F.max(-F.substring("doc_id", 2, 3).cast("double") - F.col("s1_margin")).alias("s1_cut"), F.max(F.col("s2_score") - F.col("s2_margin_k")).alias("s2_cut")).collect()}
+    assert cuts == {(10, 400, -9.0, 2.0), (10, 399, None, 2.0), (20, 799, -19.0, 5.0)}
+
+
+def test_keys_are_dealt_out_before_they_are_counted(spark, monkeypatch):
+    """A task of the check holds KEY_ROWS rows or so, whatever adaptive execution joins; a constant key changes nothing."""
+    monkeypatch.setattr(contracts, "KEY_ROWS", 250)
+    one = spark.range(1000).select(F.lit("q").alias("query_id"), F.format_string("d%04d", "id").alias("doc_id"), F.lit("v1").alias("feature_version"), F.lit("f").alias("feature_name"), F.lit(0.0).alias("value"), F.lit(0.0).alias("generation_seconds"))
+    twice = contracts.repeated(one.union(one), contracts.KEYS["feature"], 2000)
+    sizes = [r["count"] for r in twice.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 250
+    assert twice._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert contracts.problems(one.union(one.limit(3)), "feature") == {"repeated key": 3} and contracts.problems(one, "feature") == {}
+
+
 def test_stress_moves_what_it_should(spark):
     c = synthetic.generate(spark, synthetic.Regime(0.8, 0.9, 0.3, 0.2), 2, 80)
     gated = synthetic.gate_stress(c, 10, 3)

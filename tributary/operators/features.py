@@ -15,19 +15,25 @@ from pyspark.sql.window import Window
 
 from .. import names as N
 from ..errors import InputError
+from .ranking import heads
 
 SHARED = ["s1_log_rank", "s1_margin", "s1_floored", "alt_log_rank", "alt_top_kc", "alt_floored"]
 SURVIVOR = [*SHARED, "s2_score", "s2_rank", "s2_margin_k", "displacement"]
 
 
 def wide(worlds: DataFrame, k: int, depth: int) -> DataFrame:
-    """One row per (query, document, k_c) with all features; s2 features are null outside the gate."""
-    q = Window.partitionBy("query_id", "k_c", "condensed")
+    """One row per (query, document, k_c) with all features; s2 features are null outside the gate.
+
+    The scores at the cuts are those of single candidates: they are found among candidates and joined to the
+    rows, so no task holds a query for them.
+    """
+    q = ["query_id", "k_c", "condensed"]
     inside = F.col("in_cq")
     alt = F.coalesce(F.col("alt_rank"), F.col("n_docs") + 1).cast("double")
-    s1_cut = F.max(F.when(F.col("rank_s1") == F.col("k_c"), F.col("s1"))).over(q)
-    s2_cut = F.max(F.when(F.col("rank_a") == F.least(F.lit(k), F.col("k_c")), F.col("s2"))).over(q)
-    return worlds.select(
+    at_s1, at_s2 = F.col("rank_s1") == F.col("k_c"), F.col("rank_a") == F.least(F.lit(k), F.col("k_c"))
+    cuts = worlds.where(inside & (at_s1 | at_s2)).groupBy(*q).agg(F.max(F.when(at_s1, F.col("s1"))).alias("_s1_cut"), F.max(F.when(at_s2, F.col("s2"))).alias("_s2_cut"))
+    s1_cut, s2_cut = F.col("_s1_cut"), F.col("_s2_cut")
+    return worlds.join(heads(cuts, "cuts"), q, "left").select(
         "query_id", "doc_id", "k_c", inside.alias("survivor"),
         F.log(F.col("rank_s1").cast("double")).alias("s1_log_rank"), (F.col("s1") - s1_cut).alias("s1_margin"), (F.col("rank_s1") > depth).cast("double").alias("s1_floored"),
         F.log(alt).alias("alt_log_rank"), (alt <= F.col("k_c")).cast("double").alias("alt_top_kc"), (alt > depth).cast("double").alias("alt_floored"),
