@@ -260,6 +260,32 @@ def test_a_study_runs_only_what_changed(spark, tmp_path):
         study().run()
 
 
+def test_steps_wait_for_what_they_read_only(spark, tmp_path):
+    """Two tables are written at a time; a step that fails leaves the others' commits, and the study goes on from them."""
+    from threading import Barrier
+
+    met, t = Barrier(2, timeout=60), spark.range(4).toDF("x")
+
+    def write_meets(df):
+        class Waiting:
+            @property
+            def write(self):
+                met.wait()  # passes only once the other step's table is being written too
+                return df.write
+
+        return Waiting()
+
+    steps = [runner.Step("a", ("t",), write_meets), runner.Step("b", ("t",), write_meets), runner.Step("c", ("a", "b"), lambda a, b: a.union(b))]
+    own = runner.Study(spark, str(tmp_path / "s"), Settings(), steps)
+    assert own.run(t=t) == {"a": True, "b": True, "c": True} and own.table("c").count() == 8
+    broken = [steps[0], runner.Step("bad", ("t",), lambda d: d.select(F.raise_error(F.lit("no")).alias("x"))), steps[1], runner.Step("e", ("t",), lambda d: d)]
+    with pytest.raises(Exception, match="no"):
+        runner.Study(spark, own.path, Settings(), broken).run(t=t)
+    assert own.table("e").count() == 4
+    with pytest.raises(InputError, match="has not been run"):
+        own.table("bad")
+
+
 def test_average_ranks_of_large_groups(spark):
     rng = np.random.default_rng(2)
     rows = [("g" if i % 3 else "h", i, float(rng.integers(0, 9)) * (i % 2), None if i % 50 == 0 else float(rng.normal())) for i in range(600)]

@@ -8,8 +8,11 @@ so a table that was written again with the same rows changes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,10 @@ from ..operators import effects, resample, summaries
 from ..sources.commits import CommitLog, content, mark_of
 
 
+#: Steps whose tables are written at the same time.
+AT_ONCE = 4
+
+
 @dataclass(frozen=True)
 class Step:
     """A table made of others: inputs or earlier steps by name. A new ``version`` makes it run again."""
@@ -35,22 +42,42 @@ class Study:
         self.log = CommitLog(spark, f"{path}/commits")
 
     def run(self, **inputs: DataFrame) -> dict[str, bool]:
-        """Bring all steps up to date; whether each was worked out now (or else found)."""
-        marks, tables, done, ran = {}, dict(inputs), self.log.done(), {}
+        """Bring all steps up to date; whether each was worked out now (or else found).
+
+        A step waits for the tables that it reads only: tables of several steps are written at a time, so tasks of
+        one fill the cores that the last tasks of another, or its small jobs, leave idle.
+        """
+        marks, tables, done, ran, lock = {}, dict(inputs), self.log.done(), {}, Lock()
         for name, df in inputs.items():
             facts = content(df, *sorted(df.columns)).first()
             marks[name] = f"{facts['rows']}:{facts.digest}"
-        for step in self.steps:
-            if lacking := set(step.reads) - set(tables):
-                raise InputError(f"step {step.name} reads {sorted(lacking)}, which no input or earlier step is")
-            marks[step.name] = mark_of(step=step.name, version=step.version, settings=self.settings.fingerprint, reads={r: marks[r] for r in step.reads})
-            place = f"{self.path}/{step.name}/{marks[step.name]}"
-            ran[step.name] = done.get(step.name, {}).get("mark") != marks[step.name]
-            if ran[step.name]:
-                step.make(*(tables[r] for r in step.reads)).write.mode("overwrite").parquet(place)
-            tables[step.name] = self.spark.read.parquet(place)
-            if ran[step.name]:
-                self.log.commit({step.name: {"mark": marks[step.name], "rows": tables[step.name].count()}})
+
+        def write(name: str, df: DataFrame, place: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(place)
+            held = self.spark.read.parquet(place)
+            rows = held.count()
+            with lock:  # two jobs that append to the log at once would clear each other's files
+                self.log.commit({name: {"mark": marks[name], "rows": rows}})
+            return held
+
+        def held(name: str) -> DataFrame:
+            if isinstance(tables[name], Future):
+                tables[name] = tables[name].result()
+            return tables[name]
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for step in self.steps:
+                if lacking := set(step.reads) - set(tables):
+                    raise InputError(f"step {step.name} reads {sorted(lacking)}, which no input or earlier step is")
+                marks[step.name] = mark_of(step=step.name, version=step.version, settings=self.settings.fingerprint, reads={r: marks[r] for r in step.reads})
+                place = f"{self.path}/{step.name}/{marks[step.name]}"
+                ran[step.name] = done.get(step.name, {}).get("mark") != marks[step.name]
+                if ran[step.name]:
+                    tables[step.name] = pool.submit(inheritable_thread_target(self.spark)(write), step.name, step.make(*map(held, step.reads)), place)
+                else:
+                    tables[step.name] = self.spark.read.parquet(place)
+            for step in self.steps:
+                held(step.name)
         return ran
 
     def table(self, name: str) -> DataFrame:
