@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,13 +11,16 @@ from tributary import cli, config, contracts
 from tributary.config import Settings
 from tributary.errors import ConflictError, ContractError, InputError, ListwiseScorerError, MissingScoreError
 from tributary.functions import statistics as S
-from tributary.operators import features, resample, rescoring, worlds
-from tributary.plans import assembly, grid, ingest, runner
+from tributary.functions.utility import Utility
+from tributary.operators import effects, features, resample, rescoring, worlds
+from tributary.plans import assembly, catalog, grid, ingest, runner
 from tributary.plans.cascades import event_cascade, event_qrels
 from tributary.sources import embeddings, shard_merge, vector_format
 from tributary.sources.commits import CommitLog, content
 from tributary.sources.score_store import ScoreStore
 
+from .test_queries import normal
+
 PAIRS = "query_id string, doc_id string"
 SCORES = f"{PAIRS}, model string, score double"
 
@@ -385,3 +389,51 @@ def test_a_shard_is_encoded_by_several_tasks(spark, tmp_path):
     embeddings.encode_shards(spark, str(tmp_path / "v"), texts, lambda ts: np.eye(8)[[TaskContext.get().partitionId() % 8] * len(ts)], "task", shard_rows=1000)
     back = spark.read.format(vector_format.FORMAT).load(str(tmp_path / "v"))
     assert back.count() == 200 and back.select("shard").distinct().count() == 1 and back.select("vector").distinct().count() > 1
+
+
+@pytest.fixture(scope="module")
+def late(spark, tmp_path_factory):
+    """The smallest events with ids beyond ten million, of which the SQL shows seven digits."""
+    folder = tmp_path_factory.mktemp("late")
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.withColumn("event_id", F.col("event_id") + 10_000_000).write.parquet(str(folder / "events.parquet"))
+    keys = event_cascade(spark, str(folder)).groupBy("query_id", "doc_id").count().where("count > 1")
+    assert keys.count() > 100
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["grid_cells"])
+def test_ids_beyond_seven_digits(spark, late, name):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{late}/events.parquet/*.parquet'")
+    got, want = catalog.QUERIES[name](spark, late), duck.sql(catalog.ORACLES[name])
+    assert normal(map(tuple, got.collect()), got.columns) == normal(want.fetchall(), want.columns)
+
+
+def test_whole_ids_keep_the_order(spark, late):
+    rows = event_cascade(spark, late, whole=True).orderBy("doc_id").select("doc_id", F.substring("doc_id", 1, 8).alias("s")).collect()
+    assert len({r.doc_id for r in rows}) == 1000 and [r.s for r in rows] == sorted(r.s for r in rows)
+
+
+def test_a_grid_of_repeated_documents_is_refused(spark, tmp_path):
+    c = event_cascade(spark, "/root/testdata/sf0.001")
+    s = Settings(candidate_depths=(10,), depth_m=60, k=5, other_cutoffs=(), other_utilities=(), policies=("boundary",))
+    with pytest.raises(ContractError, match="repeated key': 15"):
+        grid.write_cells(c.unionByName(c.where("alt_rank = 40")), s, "value", str(tmp_path / "g"))
+
+
+def test_a_cell_that_lost_doubled_or_changed_rows_is_refused(spark, tmp_path):
+    c = event_cascade(spark, "/root/testdata/sf0.001")
+    own = [Utility("dcg", 5)]
+    rows = effects.stage_effects(worlds.build_worlds(c, [10], [False, True]), own, "value")
+    held = {m: content(c.where("judged") if m else c, "query_id", "doc_id").first() for m in (False, True)}
+    n = held[False].rows + held[True].rows
+    assert grid._checked(rows, "cell", own, held) == 2 * n
+    one = rows.where("query_id = 'q01' and rank_control = 1 and effect_type = 'e_gate' and not condensed")
+    for wrong in (rows.exceptAll(one), rows.unionByName(one), rows.exceptAll(one).unionByName(one.withColumn("doc_id", F.lit("d9"))), rows.exceptAll(one).unionByName(one.withColumn("doc_id", F.lit(None).cast("string")))):
+        with pytest.raises(ContractError, match="not those of documents|'rows'"):
+            grid._checked(wrong, "cell", own, held)
+    with pytest.raises(ContractError, match="definition"):
+        grid._checked(rows.withColumn("effect", F.col("effect") + 1), "cell", own, held)
+    with pytest.raises(ContractError, match="null stage1_system"):
+        grid._checked(rows.withColumn("stage1_system", F.lit(None).cast("string")), "cell", own, held)

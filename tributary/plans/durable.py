@@ -19,7 +19,7 @@ from ..sources import embeddings, shard_merge, vector_format
 from ..sources.score_store import ScoreStore, plan_shards, shard_loads
 from ..sources.tables import scratch, table
 from . import assembly, feasibility, grid, ingest, runner, sql, study
-from .cascades import event_cascade, event_qrels, event_runs
+from .cascades import event_cascade, event_qrels, event_runs, short
 from .catalog import DCG, DEPTH, ORACLES, _allocated, _budget, _probe_x, _stage, _worlds, query, rounded
 from .sql import K_C, K, r
 
@@ -137,7 +137,7 @@ _N_UTILITIES = len(_CELLS.settings())
 
 def _resumed(spark, d, settings: Settings, last: str) -> str:
     """The grid of a run that was stopped before ``last`` was committed, and of one that went on."""
-    path, c = scratch(spark, "cells"), event_cascade(spark, d)
+    path, c = scratch(spark, "cells"), event_cascade(spark, d, whole=True)
 
     def stop(name: str) -> None:
         if name == last:
@@ -163,7 +163,7 @@ def grid_cells(spark, d):
 @query(f"WITH {sql.budget(DCG, (N.BOUNDARY,))} SELECT query_id, doc_id, t, stratum, {r('effect', 'effect')} FROM bg")
 def grid_cells_read(spark, d):
     rows = grid.read_cells(spark, _resumed(spark, d, _ONE, f"value-k{K_C}-{N.BOUNDARY}"), K_C, N.BOUNDARY).where(f"utility = 'dcg' and k = {K} and not condensed")
-    return rounded(rows.select("query_id", "doc_id", "t", "stratum", "effect"))
+    return rounded(short(rows.select("query_id", "doc_id", "t", "stratum", "effect")))
 
 
 _AGREE = "SELECT policy, count(*) AS runs, count(*) FILTER (wrong_members = 0 AND wrong_ranks = 0) AS agree, CAST(sum(wrong_members) AS BIGINT) AS wrong_members, CAST(sum(wrong_ranks) AS BIGINT) AS wrong_ranks FROM (SELECT policy, query_id, count(*) FILTER (s <> in_cq) AS wrong_members, count(*) FILTER (s AND rt IS DISTINCT FROM rank_a) AS wrong_ranks FROM x WHERE t = 1.0 GROUP BY ALL) GROUP BY ALL"
