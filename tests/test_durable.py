@@ -1,6 +1,7 @@
 """Merges, commits and runs that are stopped: refusals, and equality of resumed and whole runs."""
 
 import json
+import pathlib
 
 import duckdb
 import numpy as np
@@ -402,10 +403,13 @@ def late(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["grid_cells"])
+@pytest.mark.parametrize("name", ["grid_cells", "ingest_universe", "ingest_stage1", "ingest_split"])
 def test_ids_beyond_seven_digits(spark, late, name):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW events AS SELECT * FROM '{late}/events.parquet/*.parquet'")
+    duck.sql("CREATE VIEW benchmark AS SELECT * FROM '/root/testdata/sf0.001/benchmark.parquet'")
+    if name == "ingest_split":
+        (pathlib.Path(late) / "benchmark.parquet").symlink_to("/root/testdata/sf0.001/benchmark.parquet")
     got, want = catalog.QUERIES[name](spark, late), duck.sql(catalog.ORACLES[name])
     assert normal(map(tuple, got.collect()), got.columns) == normal(want.fetchall(), want.columns)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import names as N
 from ..config import Settings
@@ -354,14 +355,15 @@ def effectiveness_by_query(spark, d):
     return rounded(ndcg(run, qrels, 10).select("query_id", "ndcg").join(recall(run, qrels, DEPTH).select("query_id", "recall"), "query_id"))
 
 
-# Ingestion: text files and retrievers to a frozen universe
+# Ingestion: text files and retrievers to a frozen universe. Its documents are events by their whole ids, since the
+# chain refuses keys that repeat; what the SQL shows by seven digits is brought together at the end.
 
 
 def _ingestion(spark, d, queries: DataFrame, settings: Settings) -> ingest.Ingestion:
     """Text files of ``queries(query_id, text)`` and the events' judgments, taken in."""
     asked, judged = scratch(spark, "queries-text"), scratch(spark, "qrels-text")
     queries.select(F.concat_ws("\t", "query_id", F.translate("text", "\n\t", "  ")).alias("value")).write.text(asked)
-    event_qrels(spark, d).select(F.concat_ws(" ", "query_id", F.lit("0"), "doc_id", F.col("relevance").cast("string")).alias("value")).write.text(judged)
+    event_qrels(spark, d, whole=True).select(F.concat_ws(" ", "query_id", F.lit("0"), "doc_id", F.col("relevance").cast("string")).alias("value")).write.text(judged)
     chain = ingest.Ingestion(spark, scratch(spark, "ingestion"), settings)
     chain.prepare(asked, judged)
     return chain
@@ -393,15 +395,19 @@ _STORED = Settings(sources=("value", "mix"), optional_sources=(), stage1_systems
 def _taken_over(spark, d) -> ingest.Ingestion:
     queries = event_cascade(spark, d).select("query_id").distinct().withColumn("text", F.col("query_id"))
     chain = _ingestion(spark, d, queries, _STORED)
+    stored = scratch(spark, "stored-runs")  # ranked once, not for each check
+    event_runs(spark, d, DEPTH, whole=True).write.parquet(stored)
     for system in _STORED.sources:
-        chain.retrieve(system, stored=event_runs(spark, d, DEPTH).where(F.col("system") == system))
+        chain.retrieve(system, stored=spark.read.parquet(stored).where(F.col("system") == system))
     chain.freeze()
     return chain
 
 
 @query(f"WITH {sql.universe(DEPTH)} SELECT query_id, doc_id, sources FROM un")
 def ingest_universe(spark, d):
-    return _taken_over(spark, d).universe().select("query_id", "doc_id", "sources")
+    rows = short(_taken_over(spark, d).universe()).groupBy("query_id", "doc_id")
+    every = F.flatten(F.collect_list(F.split("sources", ",")))
+    return rows.agg(F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("sources"))
 
 
 @query(
@@ -409,10 +415,16 @@ def ingest_universe(spark, d):
 FROM us LEFT JOIN ru ON ru.query_id = us.query_id AND ru.doc_id = us.doc_id AND ru.system = us.system) SELECT query_id, doc_id, system, row_number() OVER (PARTITION BY query_id, system ORDER BY score DESC, doc_id) AS rank, {r('score', 'score')} FROM ff"""
 )
 def ingest_stage1(spark, d):
-    """Both first stages' tables at the end of the chain."""
+    """Both first stages' tables at the end of the chain. Of events with the same seven digits all that were
+    retrieved are listed, or one at the floor."""
     chain = _taken_over(spark, d)
     chain.first_stages()
-    return rounded(chain.stage1("value").unionByName(chain.stage1("mix")).select("query_id", "doc_id", "system", "rank", "score"))
+    key = ["query_id", "doc_id", "system"]
+    got = chain.run(*_STORED.stage1_systems).select(*key, F.lit(True).alias("got"))
+    rows = short(chain.stage1("value").unionByName(chain.stage1("mix")).join(got, key, "left"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("rank"))).where("got or n = 1")
+    order = Window.partitionBy("query_id", "system").orderBy(F.desc("score"), "doc_id")
+    return rounded(rows.select(*key, F.row_number().over(order).alias("rank"), "score"))
 
 
 # Shards of a universe: customers are queries and their orders documents. SQL deals them out one after the other.

@@ -21,6 +21,7 @@ from ..errors import ConfigError, InputError, UniverseError
 from ..operators import judgments, ranking, universe
 from ..sources import files, retrieval, trec
 from ..sources.commits import CommitLog
+from ..sources.tables import scratch
 
 #: What a step is made from, so that what is stale is known. Runs and tables are named ``run:…`` and ``stage1:…``.
 _AFTER = {"queries": ("run",), "run": ("universe",), "universe": ("stage1",)}
@@ -150,6 +151,9 @@ class Ingestion:
             else:
                 own = vectors.join(asked.select("query_id"), "query_id", "left_semi")
                 rows = retrieval.exact_search(own, named, depth).withColumn("system", F.lit(system))
+            once = scratch(self.spark, "run")  # what checks and writes it would each search again
+            rows.write.parquet(once)
+            rows = self.spark.read.parquet(once)
         folder = f"{self.path}/runs/system={system}"
         self._open(f"run:{system}")
         contracts.save(rows, folder, "run")
