@@ -138,7 +138,9 @@ _N_UTILITIES = len(_CELLS.settings())
 
 def _resumed(spark, d, settings: Settings, last: str) -> str:
     """The grid of a run that was stopped before ``last`` was committed, and of one that went on."""
-    path, c = scratch(spark, "cells"), event_cascade(spark, d, whole=True)
+    path, stored = scratch(spark, "cells"), scratch(spark, "cascade")
+    event_cascade(spark, d, whole=True).write.parquet(stored)
+    c = spark.read.parquet(stored)
 
     def stop(name: str) -> None:
         if name == last:
