@@ -403,7 +403,7 @@ def late(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["grid_cells", "ingest_universe", "ingest_stage1", "ingest_split"])
+@pytest.mark.parametrize("name", ["grid_cells", "grid_read", "contract_effect", "contract_qrels", "contract_run", "stored_run", "ingest_universe", "ingest_stage1", "ingest_split"])
 def test_ids_beyond_seven_digits(spark, late, name):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW events AS SELECT * FROM '{late}/events.parquet/*.parquet'")

@@ -14,7 +14,7 @@ from ..operators import allocation, effects, features, judgments, probes, summar
 from ..sources import embeddings, files, retrieval, score_store, trec
 from ..sources.tables import scratch, table
 from . import grid, reports, sql, study
-from .cascades import event_cascade, event_qrels, event_runs
+from .cascades import event_cascade, event_qrels, event_runs, short
 from .catalog import _FEATURES, _FLOOR, _HELD, DCG, DEPTH, _allocated, _budget, _floored, _probe_x, _scores, _stage, _worlds, query, rounded
 from .sql import K_C, K, r
 
@@ -30,7 +30,7 @@ def _through(spark, df, kind):
 
 @query(f"WITH {sql.runs(DEPTH)} SELECT query_id, doc_id, system, rank, {r('score', 'score')}, 'v1' AS checkpoint FROM ru")
 def contract_run(spark, d):
-    return rounded(_through(spark, event_runs(spark, d, DEPTH), "run"))
+    return rounded(short(_through(spark, event_runs(spark, d, DEPTH, whole=True), "run")))
 
 
 @query(f"WITH {sql.universe(DEPTH)} SELECT query_id, doc_id, sources FROM un")
@@ -40,7 +40,7 @@ def contract_universe(spark, d):
 
 @query(f"WITH {sql.events()}, {sql.QRELS} SELECT query_id, doc_id, relevance, true AS judged FROM qr")
 def contract_qrels(spark, d):
-    return _through(spark, event_qrels(spark, d), "qrels")
+    return short(_through(spark, event_qrels(spark, d, whole=True), "qrels"))
 
 
 @query(f"WITH {_HELD} SELECT query_id, doc_id, 'm' AS model, {r('score', 'score')} FROM sc")
@@ -58,7 +58,8 @@ def contract_feature(spark, d):
 
 @query(f"WITH {sql.stage(DCG)} SELECT query_id, doc_id, effect_type, stratum, {r('effect', 'effect')} FROM st")
 def contract_effect(spark, d):
-    return rounded(_through(spark, _stage(spark, d), "effect").select("query_id", "doc_id", "effect_type", "stratum", "effect"))
+    rows = effects.stage_effects(worlds.build_worlds(event_cascade(spark, d, whole=True), [K_C]), DCG)
+    return rounded(short(_through(spark, rows, "effect").select("query_id", "doc_id", "effect_type", "stratum", "effect")))
 
 
 @query(f"WITH {sql.stage(DCG, modes=(False, True))} SELECT query_id, doc_id, effect_type, {r('effect', 'effect')} FROM st WHERE condensed")
@@ -104,8 +105,8 @@ def required_passages(spark, d):
 
 @query(f"WITH {sql.runs(DEPTH)} SELECT query_id, doc_id, rank, {r('score', 'score')} FROM ru WHERE system = 'mix' AND rank <= {K_C}")
 def stored_run(spark, d):
-    got = retrieval.stored_run(_through(spark, event_runs(spark, d, DEPTH), "run"), "mix", K_C)
-    return rounded(got.select("query_id", "doc_id", "rank", "score"))
+    got = retrieval.stored_run(_through(spark, event_runs(spark, d, DEPTH, whole=True), "run"), "mix", K_C)
+    return rounded(short(got).select("query_id", "doc_id", "rank", "score"))
 
 
 _SHARES = {"train": 0.5, "val": 0.2, "test": 0.3}
@@ -196,8 +197,9 @@ def pointwise_scores(spark, d):
 @query(f"WITH {sql.stage(DCG, (K_C, 30), (False, True))} SELECT query_id, doc_id, effect_type, {r('effect', 'effect')} FROM st WHERE k_c = 30 AND condensed")
 def grid_read(spark, d):
     path = scratch(spark, "grid")
-    grid.write_grid(_stage(spark, d, modes=(False, True), depths=(K_C, 30)), path)
-    return rounded(grid.read_grid(spark, path, system="s1", k_c=30, kind="stage", condensed=True).select("query_id", "doc_id", "effect_type", "effect"))
+    built = worlds.build_worlds(event_cascade(spark, d, whole=True), [K_C, 30], [False, True])
+    grid.write_grid(effects.stage_effects(built, DCG), path)
+    return rounded(short(grid.read_grid(spark, path, system="s1", k_c=30, kind="stage", condensed=True).select("query_id", "doc_id", "effect_type", "effect")))
 
 
 @query(f"WITH {sql.allocated((N.BOUNDARY,))} SELECT query_id, t, doc_id, true AS in_first, false AS in_second FROM ta WHERE stratum = 'selected_outsider' AND query_id = 'q01'")
